@@ -32,3 +32,16 @@ def fixed(c: Column, digits: int, plus: bool = False) -> Column:
 def ratio(part: Column, whole: Column) -> Column:
     """``part / whole`` as a double, 0 where there is nothing to divide by."""
     return F.when(whole > 0, part.cast("double") / whole.cast("double")).otherwise(0.0)
+
+
+def float_text(c: Column) -> Column:
+    """Double as text the way JSON writers print it: plain between 1e-4 and 1e16, else ``1e-05``."""
+    text = c.cast("string")
+    plain = F.regexp_replace(c.cast("decimal(38,20)").cast("string"), r"0+\z", "")
+    plain = F.regexp_replace(plain, r"\.\z", ".0")
+    mantissa = F.regexp_replace(F.regexp_extract(text, r"^(-?[0-9.]+)E", 1), r"\.0\z", "")
+    power = F.regexp_extract(text, r"E-?([0-9]+)\z", 1)
+    sign = F.when(text.contains("E-"), "e-").otherwise("e+")
+    scientific = F.concat(mantissa, sign, F.lpad(power, F.greatest(F.length(power), F.lit(2)), F.lit("0")))
+    size = F.abs(c)
+    return F.when(~text.contains("E"), text).when((size >= 1e-4) & (size < 1e16), plain).otherwise(scientific)

@@ -113,3 +113,15 @@ def is_valid_text(c: Column) -> Column:
 def or_unknown(*choices: Column) -> Column:
     """First non-empty choice, else ``unknown``."""
     return F.coalesce(*[F.nullif(c, F.lit("")) for c in choices], F.lit("unknown"))
+
+
+def parse_object(text: Column, schema: str) -> Column:
+    """STRUCT read from a text that is exactly one JSON object, else NULL.
+
+    The text is parsed as the first item of an array that must also end properly: anything
+    after the object then shows up as a parse failure or as a wrong item count. The lambda
+    makes sure that the parser runs once per text.
+    """
+    items = F.from_json(F.concat(F.lit("["), text, F.lit(",null]")), f"ARRAY<STRUCT<{schema}>>")
+    only = F.transform(F.array(items), lambda a: F.when(F.size(a) == 2, a[0]))[0]
+    return F.when(text.startswith("{"), only)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cmdprism.functions.text import strip
+from cmdprism.functions.text import parse_object, strip
 from cmdprism.session import ROW_ID, shared_dir
 
 # Names of the declared event fields; every one is read as text.
@@ -31,7 +31,7 @@ def event_schema(verdict_field: str = VERDICT_FIELD) -> str:
     fields = [f"`{name}` STRING" for name in EVENT_FIELDS]
     fields += [f"`{name}` VARIANT" for name in TEXT_FIELDS]
     fields += [f"`{verdict_field}` STRING", f"`{verdict_field}.predicted_label` VARIANT"]
-    return f"STRUCT<{', '.join(f.replace('` ', '`: ', 1) for f in fields)}>"
+    return ", ".join(f.replace("` ", "`: ", 1) for f in fields)
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -45,18 +45,12 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_events(spark: SparkSession, path: str, verdict_field: str = VERDICT_FIELD) -> tuple[DataFrame, DataFrame]:
-    """Scan JSON Lines into events and a quarantine of lines that are no JSON object.
-
-    Each line is parsed inside a two-element array, which the parser must read to its end:
-    text after the object then shows up as a parse failure or a wrong element count.
-    """
-    wrapped = F.concat(F.lit("["), F.col("raw"), F.lit(",null]"))
-    parsed = read_lines(spark, path).withColumn("_items", F.from_json(wrapped, f"ARRAY<{event_schema(verdict_field)}>"))
-    is_object = (
-        F.col("raw").startswith("{") & (F.coalesce(F.size("_items"), F.lit(-1)) == 2) & F.col("_items")[0].isNotNull()
-    )
-    is_object = F.coalesce(is_object, F.lit(False))
-    event = F.col("_items")[0]
+    """Scan JSON Lines into events and a quarantine of lines that are no JSON object."""
+    lines = read_lines(spark, path)
+    event = parse_object(F.col("raw"), event_schema(verdict_field))
+    # As a generator the parser runs once per line; a plain column would be computed again in the filter.
+    parsed = lines.select("*", F.explode(F.array(event)).alias("_event"))
+    is_object = F.col("_event").isNotNull()
     bad_fields = F.array_compact(
         F.array(
             *[
@@ -66,9 +60,7 @@ def read_events(spark: SparkSession, path: str, verdict_field: str = VERDICT_FIE
         )
     )
     good = (
-        parsed.where(is_object)
-        .withColumn("_event", event)
-        .select(
+        parsed.where(is_object).select(
             "raw",
             "file_path",
             "file_block",
@@ -78,8 +70,7 @@ def read_events(spark: SparkSession, path: str, verdict_field: str = VERDICT_FIE
             F.col(f"_event.`{verdict_field}.predicted_label`").alias("flat_label"),
             bad_fields.alias("bad_fields"),
         )
-        .withColumn("EventID", F.col("EventID").try_cast("int"))
-    )
+    ).withColumn("EventID", F.col("EventID").try_cast("int"))
     bad = parsed.where(~is_object).select("raw", "file_path", "file_block")
     return good, bad
 

@@ -6,7 +6,7 @@ import importlib
 
 from cmdprism.catalog.registry import ORACLES, QUERIES, Query
 
-FAMILIES = ["ingest_queries", "metric_queries", "split_queries", "text_queries"]
+FAMILIES = ["ingest_queries", "metric_queries", "split_queries", "text_queries", "report_queries"]
 
 
 def _load() -> None:

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cmdprism.catalog.registry import query
-from cmdprism.catalog.scored import scored, stacked, with_scored
+from cmdprism.catalog.scored import score_runs, scored, stacked, with_scored
 from cmdprism.catalog.telemetry import FLAG_FEATURES, telemetry, with_telemetry
 from cmdprism.functions.features import build_features
 from cmdprism.operators import errors as er
 from cmdprism.operators import metrics as m
+from cmdprism.sources.tables import materialize
 
 CONFUSION = """SELECT model,
   count(*) FILTER (WHERE score >= 0.5e0 AND "_label" = 1) AS tp,
@@ -80,8 +81,13 @@ def e15_error_rates(spark, sf_dir):
 
 
 def shape_errors(spark, sf_dir):
-    """Telemetry features with the error type of the ``shape`` scorer."""
-    return er.with_error_type(stacked(spark, sf_dir).withColumn("score", F.round("prob_shape", 6)))
+    """Telemetry features with the error type of the ``shape`` scorer.
+
+    The scored features are written first: a filter on the error type would otherwise be
+    pushed down to the scan together with all feature expressions it depends on.
+    """
+    rows = stacked(spark, sf_dir).withColumn("score", F.round("prob_shape", 6))
+    return er.with_error_type(materialize(rows, "scored-features"))
 
 
 ERRORS_SQL = """SELECT *, CASE WHEN p = 1 AND "_label" = 0 THEN 'FP' WHEN p = 0 AND "_label" = 1 THEN 'FN' END AS error_type
@@ -179,7 +185,7 @@ WINDOW w AS (PARTITION BY model ORDER BY score DESC ROWS UNBOUNDED PRECEDING)"""
     ),
 )
 def f1_roc_points(spark, sf_dir):
-    return rounded(m.roc_points(m.ranked_scores(scored(spark, sf_dir), ["model"])), ["tpr", "fpr"])
+    return rounded(m.roc_points(m.ranked_scores(score_runs(spark, sf_dir), ["model"])), ["tpr", "fpr"])
 
 
 @query(
@@ -191,7 +197,7 @@ def f1_roc_points(spark, sf_dir):
     ),
 )
 def f2_roc_auc(spark, sf_dir):
-    ranking = m.ranking_metrics(m.ranked_scores(scored(spark, sf_dir), ["model"]), ["model"])
+    ranking = m.ranking_metrics(m.ranked_scores(score_runs(spark, sf_dir), ["model"]), ["model"])
     return ranking.select("model", F.round("roc_auc", 6).alias("roc_auc"))
 
 
@@ -204,7 +210,7 @@ def f2_roc_auc(spark, sf_dir):
     ),
 )
 def f3_pr_points(spark, sf_dir):
-    return rounded(m.pr_points(m.ranked_scores(scored(spark, sf_dir), ["model"])), ["precision", "recall"])
+    return rounded(m.pr_points(m.ranked_scores(score_runs(spark, sf_dir), ["model"])), ["precision", "recall"])
 
 
 @query(
@@ -218,7 +224,7 @@ def f3_pr_points(spark, sf_dir):
     ),
 )
 def f3_pr_auc(spark, sf_dir):
-    ranking = m.ranking_metrics(m.ranked_scores(scored(spark, sf_dir), ["model"]), ["model"])
+    ranking = m.ranking_metrics(m.ranked_scores(score_runs(spark, sf_dir), ["model"]), ["model"])
     return ranking.select("model", F.round("pr_auc", 6).alias("pr_auc"))
 
 
@@ -231,7 +237,7 @@ FROM curve GROUP BY model""",
     ),
 )
 def f4_average_precision(spark, sf_dir):
-    ranking = m.ranking_metrics(m.ranked_scores(scored(spark, sf_dir), ["model"]), ["model"])
+    ranking = m.ranking_metrics(m.ranked_scores(score_runs(spark, sf_dir), ["model"]), ["model"])
     return ranking.select("model", F.round("average_precision", 6).alias("average_precision"))
 
 

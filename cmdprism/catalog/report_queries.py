@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from cmdprism.catalog.ingest_queries import documents
 from cmdprism.catalog.metric_queries import CONFUSION, CURVE, GRID, REPORT, rounded, rounded_sql, sweep_sql
 from cmdprism.catalog.registry import query
-from cmdprism.catalog.scored import MODELS, STACKED_SQL, WEIGHTS, scored, stacked, with_scored
+from cmdprism.catalog.scored import STACKED_SQL, WEIGHTS, score_runs, stacked, with_scored
 from cmdprism.catalog.split_queries import ASSIGNED, GROUPS, KEYED, STATS
 from cmdprism.catalog.telemetry import feature_sql, table, telemetry, with_features, with_telemetry
 from cmdprism.functions import payloads as pl
@@ -551,16 +551,17 @@ PUBLIC_NAMES = {"value": "gbdt", "keyword": "Text", "shape": "st"}
 def scored_public(spark, sf_dir):
     """The scored telemetry under the names that the price tables know."""
     names = F.create_map(*[F.lit(x) for pair in PUBLIC_NAMES.items() for x in pair])
-    return scored(spark, sf_dir).withColumn("model", names[F.col("model")])
+    return score_runs(spark, sf_dir).withColumn("model", names[F.col("model")])
 
 
 PUBLIC = """SELECT CASE model WHEN 'value' THEN 'gbdt' WHEN 'keyword' THEN 'Text' ELSE 'st' END AS model, row_id, "_label", score
 FROM scored"""
 
 
-def latencies(spark, sf_dir):
+def latencies(spark, sf_dir, scores=None):
     """Stand-in latencies that depend on the whole scored table: the mean score in milliseconds."""
-    own = scored_public(spark, sf_dir).groupBy("model").agg(F.round(F.avg("score") / 1000, 9).alias("latency_seconds"))
+    scores = scored_public(spark, sf_dir) if scores is None else scores
+    own = scores.groupBy("model").agg(F.round(F.avg("score") / 1000, 9).alias("latency_seconds"))
     base = telemetry(spark, sf_dir).agg(F.round(F.avg("score"), 6).alias("latency_seconds")).select(F.lit("claude").alias("model"), "latency_seconds")
     return own.unionByName(base)
 
@@ -659,18 +660,19 @@ METRIC_PARTS = (
 )
 
 
-def model_metrics(spark, sf_dir):
+def model_metrics(spark, sf_dir, scores):
     """Metrics per model with latency and the listing order."""
     position = F.create_map(F.lit("gbdt"), F.lit(0), F.lit("Text"), F.lit(1), F.lit("st"), F.lit(2))
-    lat = latencies(spark, sf_dir).withColumnRenamed("latency_seconds", "per_row_seconds")
-    table_, _ = md.compare_models(scored_public(spark, sf_dir), latency=lat)
+    lat = latencies(spark, sf_dir, scores).withColumnRenamed("latency_seconds", "per_row_seconds")
+    table_, _ = md.compare_models(scores, latency=lat)
     return table_.withColumn("ordinal", position[F.col("model")])
 
 
-def benchmark(spark, sf_dir, metrics=None):
+def benchmark(spark, sf_dir, scores=None):
+    scores = scored_public(spark, sf_dir) if scores is None else scores
     verdict = m.verdict_metrics(telemetry(spark, sf_dir), "verdict_label")
-    metrics = metrics if metrics is not None else model_metrics(spark, sf_dir)
-    return co.cost_benchmark(metrics, co.cost_per_prediction(latencies(spark, sf_dir)), verdict)
+    metrics = model_metrics(spark, sf_dir, scores)
+    return co.cost_benchmark(metrics, co.cost_per_prediction(latencies(spark, sf_dir, scores)), verdict)
 
 
 @query(
@@ -709,7 +711,8 @@ FROM metric JOIN latencies USING (model)""",
     ),
 )
 def k4_dashboard_table(spark, sf_dir):
-    return rounded(co.dashboard_table(model_metrics(spark, sf_dir)), [*HEADLINE, "latency_ms"])
+    metrics = model_metrics(spark, sf_dir, scored_public(spark, sf_dir))
+    return rounded(co.dashboard_table(metrics), [*HEADLINE, "latency_ms"])
 
 
 AVERAGES = [f"{a}_{x}" for a in ("macro", "weighted") for x in ("precision", "recall", "f1")]
@@ -727,10 +730,11 @@ JOIN (SELECT model, per_million_usd FROM bench) USING (model)""",
     ),
 )
 def k5_dashboard_details(spark, sf_dir):
-    metrics = model_metrics(spark, sf_dir)
-    points = m.threshold_sweep(scored_public(spark, sf_dir), by=["model"])
+    scores = scored_public(spark, sf_dir)
+    metrics = model_metrics(spark, sf_dir, scores)
+    points = m.threshold_sweep(scores, by=["model"])
     sampled = m.nearest_threshold_rows(points, [round(i / 10, 1) for i in range(1, 10)], ["model"])
-    details = co.dashboard_details(metrics, sampled, benchmark(spark, sf_dir, metrics))
+    details = co.dashboard_details(metrics, sampled, benchmark(spark, sf_dir, scores))
     flat = details.select("model", "n", *AVERAGES, F.col("per_million_usd"), F.inline("threshold_rows"))
     rows = rounded(flat, [*AVERAGES, "per_million_usd"])
     return rows.select("model", "n", *AVERAGES, "target", "threshold", "tp", "per_million_usd")

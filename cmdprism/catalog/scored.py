@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cmdprism.catalog.telemetry import telemetry, with_features
 from cmdprism.functions.features import build_features
+from cmdprism.sources.tables import materialize
 from cmdprism.operators.scoring import Provider, linear_provider, score_table, stack_probabilities
 
 WEIGHTS = {
@@ -31,6 +32,11 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table.select("model", "row_id", "_label", F.round("prob", 6).alias("score"))
 
 
+def score_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scored table written once, for queries that read it several times."""
+    return materialize(scored(spark, sf_dir), "scores")
+
+
 def margin_sql(name: str) -> str:
     weights, intercept = WEIGHTS[name]
     terms = " + ".join(f"{column} * {weight!r}e0" for column, weight in weights.items())

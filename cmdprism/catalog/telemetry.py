@@ -7,10 +7,14 @@ from pyspark.sql import functions as F
 
 from cmdprism.functions.features import CATEGORICAL_FEATURES, FEATURES, FLAG_FEATURES
 from cmdprism.functions.text import WHITESPACE
+from cmdprism.sources.tables import spread_small
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None = None) -> DataFrame:
+    """A supplied table, or some of its columns; text tables are spread over all cores."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = df if columns is None else df.select(*columns)
+    return spread_small(df) if name in ("events", "documents", "conversations", "pages") else df
 
 
 def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:

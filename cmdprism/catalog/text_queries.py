@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cmdprism.catalog.metric_queries import rounded
 from cmdprism.catalog.registry import query
-from cmdprism.catalog.scored import MODELS, STACKED_SQL, providers, scored, stacked, with_scored
+from cmdprism.catalog.scored import MODELS, STACKED_SQL, providers, score_runs, stacked, with_scored
 from cmdprism.catalog.telemetry import table, telemetry, with_features, with_telemetry
 from cmdprism.functions.features import build_features
 from cmdprism.operators import metrics as m
@@ -15,6 +15,7 @@ from cmdprism.operators import models as md
 from cmdprism.operators import scoring as sc
 from cmdprism.operators import textmodel as tm
 from cmdprism.session import scratch_path
+from cmdprism.sources.tables import materialize
 from cmdprism.streaming.scoring import event_stream, score_stream
 
 
@@ -30,9 +31,11 @@ TFIDF = """SELECT id, term, tf, round(w / sqrt(sum(w * w) OVER (PARTITION BY id)
   SELECT id, term, tf, tf * (ln((1e0 + n) / (1e0 + df)) + 1e0) AS w FROM counts JOIN vocabulary USING (term))"""
 
 
-def tfidf(counts, n_rows, key, **limits):
-    vocabulary = tm.fit_tfidf(counts, n_rows, **limits)
-    return rounded(tm.transform_tfidf(counts, vocabulary, key), ["tfidf"])
+def tfidf(df, text, key, **limits):
+    """Fit and transform; the counts and the vocabulary are written once and read by both."""
+    counts = materialize(tm.term_counts(tm.with_terms(df, text), key), "term-counts")
+    vocabulary = materialize(tm.fit_tfidf(counts, df.count(), **limits), "vocabulary")
+    return tm.transform_tfidf(counts, vocabulary, key)
 
 
 @query(
@@ -55,8 +58,7 @@ SELECT id AS item_id, term, tf, tfidf FROM ({TFIDF})""",
 )
 def h3_tfidf_benchmark(spark, sf_dir):
     items = table(spark, sf_dir, "benchmark")
-    counts = tm.term_counts(tm.with_terms(items, "text"), "item_id")
-    return tfidf(counts, items.count(), "item_id")
+    return rounded(tfidf(items, "text", "item_id"), ["tfidf"])
 
 
 @query(
@@ -71,8 +73,7 @@ GROUP BY id""",
 def h3_tfidf_documents(spark, sf_dir):
     """Every term of every document is weighted; the report keeps three numbers per document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    counts = tm.term_counts(tm.with_terms(docs, "text"), "doc_id")
-    weighted = tm.transform_tfidf(counts, tm.fit_tfidf(counts, docs.count()), "doc_id")
+    weighted = tfidf(docs, "text", "doc_id")
     return weighted.groupBy("doc_id").agg(
         F.count("*").alias("n_terms"), F.round(F.sum("tfidf"), 3).alias("total"), F.round(F.max("tfidf"), 5).alias("top")
     )
@@ -89,8 +90,7 @@ def h3_tfidf_max_features(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations").select(
         F.concat(F.col("conv_id").cast("string"), F.lit("/"), F.col("turn").cast("string")).alias("turn_id"), "text"
     )
-    counts = tm.term_counts(tm.with_terms(turns, "text"), "turn_id")
-    return tfidf(counts, turns.count(), "turn_id", min_df=2, max_features=500)
+    return rounded(tfidf(turns, "text", "turn_id", min_df=2, max_features=500), ["tfidf"])
 
 
 @query(
@@ -315,7 +315,7 @@ def h12_tune(spark, sf_dir):
     ),
 )
 def h15_compare_models(spark, sf_dir):
-    table_, _ = md.compare_models(scored(spark, sf_dir))
+    table_, _ = md.compare_models(score_runs(spark, sf_dir))
     return rounded(table_, ["accuracy"]).select("model", "n", "accuracy", "support_1")
 
 
@@ -332,7 +332,7 @@ def a10_metric_tables(spark, sf_dir):
     from cmdprism.sources import tables as tb
 
     path = scratch_path(spark, "metrics")
-    metrics, points = md.compare_models(scored(spark, sf_dir))
+    metrics, points = md.compare_models(score_runs(spark, sf_dir))
     tb.append_metrics(metrics, f"{path}/model_metrics")
     tb.append_metrics(points, f"{path}/threshold_points")
     saved = spark.read.parquet(f"{path}/threshold_points").join(

@@ -9,7 +9,7 @@ from functools import cache
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cmdprism.functions.text import WHITESPACE, text_or_empty
+from cmdprism.functions.text import NON_SPACE, SPACE, text_or_empty
 from cmdprism.session import COMMAND, IMAGE
 
 # Feature names with the lower-cased texts that set them. A flag is 1 when
@@ -30,9 +30,9 @@ KEYWORD_TEXTS: dict[str, tuple[str, ...]] = {
     "has_bypass": ("bypass",),
 }
 # The flags that need a pattern, over the command as written or lower-cased.
-BASE64_PATTERN = "[A-Za-z0-9+/=]{40}"
-REG_ADD_PATTERN = rf"reg(\.exe)?[{WHITESPACE}]+add"
-SCRIPT_EXTENSION_PATTERN = rf"""\.(cab|zip|ps1|bat|vbs)'*"*([{WHITESPACE}]|\z)"""
+BASE64_PATTERN = "[A-Za-z0-9+/=](?<![A-Za-z0-9+/=]{2})[A-Za-z0-9+/=]{39}"
+REG_ADD_PATTERN = rf"reg(\.exe)?{SPACE}+add"
+SCRIPT_EXTENSION_PATTERN = rf"""\.(cab|zip|ps1|bat|vbs)'*"*({SPACE}|\z)"""
 
 # Column order of the feature table.
 COUNT_FEATURES = ["cmd_length", "cmd_token_count", "num_special_chars", "cmd_upper_ratio", "cmd_digit_count"]
@@ -48,15 +48,21 @@ NUMERIC_FEATURES = [name for name in FEATURES if name not in CATEGORICAL_FEATURE
 
 @cache
 def digit_class() -> str:
-    """Characters that count as digits: decimal digits plus super-, subscript and circled ones."""
-    extra = (chr(c) for c in range(sys.maxunicode + 1))
+    """Non-ASCII characters that count as digits: decimal digits plus super-, subscript and circled ones."""
+    extra = (chr(c) for c in range(0x80, sys.maxunicode + 1))
     return r"\p{Nd}" + "".join(c for c in extra if c.isdigit() and unicodedata.category(c) != "Nd")
 
 
+def is_ascii(c: Column) -> Column:
+    return F.octet_length(c) == F.length(c)
+
+
 def fold_case(c: Column) -> Column:
     """Lower case, with the four non-ASCII letters that match ASCII ones folded as well."""
-    ascii_only = F.octet_length(c) == F.length(c)
-    return F.lower(F.when(ascii_only, c).otherwise(F.translate(c, "\u017f\u212a\u0131\u0130", "skii")))
+    folded = c
+    for letter, plain in (("\u017f", "s"), ("\u212a", "k"), ("\u0131", "i"), ("\u0130", "i")):
+        folded = F.replace(folded, F.lit(letter), F.lit(plain))
+    return F.lower(F.when(is_ascii(c), c).otherwise(folded))
 
 
 def _count_removed(c: Column, kept: Column) -> Column:
@@ -67,25 +73,38 @@ def _flag(c: Column) -> Column:
     return c.cast("double")
 
 
-def _letters(c: Column, letter_class: str) -> Column:
-    return F.length(F.regexp_replace(c, f"[^{letter_class}]+", "")).cast("bigint")
+def _kept(c: Column, kept_class: str) -> Column:
+    """Number of characters of a class: the other ones go in whole runs."""
+    return F.length(F.regexp_replace(c, f"[^{kept_class}]+", "")).cast("bigint")
+
+
+def _digits(c: Column) -> Column:
+    foreign = F.regexp_replace(c, r"[\x00-\x7f]+", "")
+    return _kept(c, "0-9") + F.when(is_ascii(c), F.lit(0).cast("bigint")).otherwise(_kept(foreign, digit_class()))
+
+
+def _tokens(c: Column) -> Column:
+    """Number of white-space separated tokens: the pieces between runs, less empty ones at the ends."""
+    pieces = F.size(F.split(c, f"{SPACE}+"))
+    at_ends = c.rlike(rf"\A{SPACE}").cast("int") + c.rlike(rf"{SPACE}\z").cast("int")
+    return F.when(c == "", 0).otherwise(pieces - at_ends).cast("bigint")
 
 
 def feature_columns(cmd: Column, folded: Column, image: Column) -> dict[str, Column]:
     """Feature expressions over non-null command, case-folded command and image path."""
-    letters, upper = _letters(cmd, r"\p{L}"), _letters(cmd, r"\p{Lu}")
+    letters, upper = _kept(cmd, r"\p{L}"), _kept(cmd, r"\p{Lu}")
     out = {
         "cmd_length": F.length(cmd).cast("bigint"),
-        "cmd_token_count": F.regexp_count(cmd, F.lit(f"[^{WHITESPACE}]+")).cast("bigint"),
+        "cmd_token_count": _tokens(cmd),
         "num_special_chars": _count_removed(cmd, F.translate(cmd, "|&;", "")),
         "cmd_upper_ratio": F.when(letters > 0, upper / letters).otherwise(0.0),
-        "cmd_digit_count": _letters(cmd, digit_class()),
+        "cmd_digit_count": _digits(cmd),
         "has_pipe": _flag(cmd.contains("|") | cmd.contains("&&")),
         "has_base64": _flag(cmd.rlike(BASE64_PATTERN)),
         "has_reg_add": _flag(folded.rlike(REG_ADD_PATTERN)),
         "has_suspicious_ext": _flag(F.lower(cmd).rlike(SCRIPT_EXTENSION_PATTERN)),
         "source_image_base": F.lower(F.substring_index(image, "\\", -1)),
-        "cmd_exe_base": F.lower(F.regexp_extract(cmd, f"[^{WHITESPACE}]+", 0)),
+        "cmd_exe_base": F.lower(F.regexp_extract(cmd, f"{NON_SPACE}+", 0)),
         "image_path_depth": _count_removed(image, F.replace(image, F.lit("\\"), F.lit(""))),
     }
     for name, texts in KEYWORD_TEXTS.items():

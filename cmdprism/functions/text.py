@@ -9,8 +9,16 @@ from pyspark.sql import functions as F
 # space plus the four ASCII separators), spelled out because the JVM's \s is narrower.
 WHITESPACE = r"\t-\r\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 
-# Patterns and place-holders of the normalised command line.
-LONG_TOKEN = "[A-Za-z0-9+/=]{16,}"
+# The same class for the JVM. Printable ASCII and the letters up to U+167F are ruled out by
+# the first test, so that ordinary text never reaches the long list.
+SPACE = rf"[[^!-~\xa1-\x{{167f}}]&&[{WHITESPACE}]]"
+NON_SPACE = rf"[!-~\xa1-\x{{167f}}[^{WHITESPACE}]]"
+# A white-space run that is not just one blank.
+UNEVEN_SPACE = rf"(?: {SPACE}+|[[^ -~\xa1-\x{{167f}}]&&[{WHITESPACE}]]{SPACE}*)"
+
+# Patterns and place-holders of the normalised command line. The patterns begin
+# with a plain character test and look behind only after it, which keeps the search fast.
+LONG_TOKEN = "[A-Za-z0-9+/=](?<![A-Za-z0-9+/=]{2})[A-Za-z0-9+/=]{15,}"
 LONG_TOKEN_MARK = "<B64>"
 NUMBER_MARK = "<NUM>"
 WORD_CHAR = r"\p{L}\p{N}_"
@@ -22,12 +30,12 @@ def text_or_empty(c: Column) -> Column:
 
 def collapse_whitespace(c: Column) -> Column:
     """Runs of white space become one blank; outer blanks go."""
-    return F.trim(F.regexp_replace(c, f"[{WHITESPACE}]+", " "))
+    return F.trim(F.regexp_replace(c, UNEVEN_SPACE, " "))
 
 
 def strip(c: Column) -> Column:
     """Remove outer white space of any kind; the look-behind keeps long inner runs linear."""
-    return F.regexp_replace(c, rf"^[{WHITESPACE}]+|(?<![{WHITESPACE}])[{WHITESPACE}]+\z", "")
+    return F.regexp_replace(c, rf"^{SPACE}+|{SPACE}(?<!{SPACE}{{2}}){SPACE}*\z", "")
 
 
 def normalize_commandline(c: Column) -> Column:
@@ -37,9 +45,10 @@ def normalize_commandline(c: Column) -> Column:
     can ever appear.
     """
     flat = F.lower(collapse_whitespace(text_or_empty(c)))
-    unquoted = F.regexp_replace(flat, r'(?s)^"(?:(.*)")?\z', "$1")
+    quoted = F.startswith(flat, F.lit('"'))
+    unquoted = F.when(quoted, F.regexp_replace(flat, r'(?s)^"(?:(.*)")?\z', "$1")).otherwise(flat)
     masked = F.regexp_replace(unquoted, LONG_TOKEN, LONG_TOKEN_MARK)
-    numbers = rf"(?<![{WORD_CHAR}])\p{{Nd}}+(?![{WORD_CHAR}])"
+    numbers = rf"\p{{Nd}}(?<![{WORD_CHAR}]\p{{Nd}})\p{{Nd}}*+(?![{WORD_CHAR}])"
     return F.trim(F.regexp_replace(masked, numbers, NUMBER_MARK))
 
 
@@ -62,13 +71,19 @@ def basename(c: Column, windows_paths: bool = False) -> Column:
     return F.lower(F.when(name == ".", "").otherwise(name))
 
 
+def never_null(c: Column) -> Column:
+    """Mark an expression that never gives NULL, so that joins on it add no filter that computes it again."""
+    return F.coalesce(c, F.lit(""))
+
+
 def group_key(image: Column, command: Column, windows_paths: bool = False) -> Column:
-    return F.concat(basename(image, windows_paths), F.lit("::"), normalize_commandline(command))
+    key = F.concat(basename(image, windows_paths), F.lit("::"), normalize_commandline(command))
+    return never_null(key)
 
 
 def group_digest(key: Column, seed: int = 13) -> Column:
     """A fixed-width, seed-dependent stand-in for a group key of any length."""
-    return F.sha2(F.concat(key, F.lit(f"|{seed}")), 256)
+    return never_null(F.sha2(F.concat(key, F.lit(f"|{seed}")), 256))
 
 
 def json_string(c: Column) -> Column:
@@ -107,7 +122,7 @@ def row_hash(command: Column, image: Column, prompt: Column) -> Column:
 
 def is_valid_text(c: Column) -> Column:
     """Present and not blank."""
-    return c.isNotNull() & c.rlike(f"[^{WHITESPACE}]")
+    return c.isNotNull() & c.rlike(NON_SPACE)
 
 
 def or_unknown(*choices: Column) -> Column:

@@ -74,11 +74,22 @@ def classification_report(counts: DataFrame) -> DataFrame:
     return out.withColumns(averages)
 
 
+def _class_counts(label: str, score: str) -> list[Column]:
+    """Positives and negatives with a score.
+
+    Rows without a score are left out here and not by a filter, because a filter would be
+    pushed down to the scan and run the whole scorer a second time.
+    """
+    present = F.col(score).isNotNull()
+    return [
+        _count(present & (F.col(label) == 1)).alias("p"),
+        _count(present & (F.col(label) == 0)).alias("n"),
+    ]
+
+
 def score_counts(df: DataFrame, by: list[str], label: str = LABEL, score: str = "score") -> DataFrame:
     """Positives ``p`` and negatives ``n`` per distinct score."""
-    return df.where(F.col(score).isNotNull()).groupBy(*by, score).agg(
-        _count(F.col(label) == 1).alias("p"), _count(F.col(label) == 0).alias("n")
-    )
+    return df.groupBy(*by, score).agg(*_class_counts(label, score)).where(F.col("p") + F.col("n") > 0)
 
 
 def ranked_scores(
@@ -86,9 +97,8 @@ def ranked_scores(
 ) -> DataFrame:
     """Distinct scores with the positives and negatives scored strictly higher, and the totals."""
     keyed, keys = _keys(df, by)
-    scored = keyed.where(F.col(score).isNotNull())
-    bounds = quantile_bounds(scored, score, buckets)
-    counts = with_score_bucket(score_counts(scored, keys, label, score), score, bounds)
+    bounds = quantile_bounds(keyed, score, buckets)
+    counts = with_score_bucket(score_counts(keyed, keys, label, score), score, bounds)
     return running_totals(counts, keys, "_bucket", [F.col(score).desc()], ["p", "n"], bucket_descending=True).drop(
         "_bucket"
     )
@@ -154,10 +164,8 @@ def sweep_thresholds(
     """
     keyed, keys = _keys(df, by)
     thresholds = sorted(thresholds)
-    binned = with_score_bucket(keyed.where(F.col(score).isNotNull()), score, thresholds, "_bin")
-    per_bin = binned.groupBy(*keys, "_bin").agg(
-        _count(F.col(label) == 1).alias("p"), _count(F.col(label) == 0).alias("n")
-    )
+    binned = with_score_bucket(keyed, score, thresholds, "_bin")
+    per_bin = binned.groupBy(*keys, "_bin").agg(*_class_counts(label, score))
     per_key = per_bin.groupBy(*keys).agg(
         F.collect_list(F.struct("_bin", "p", "n")).alias("_bins"), F.sum("p").alias("_p"), F.sum("n").alias("_n")
     )
@@ -286,11 +294,20 @@ def error_rates(counts: DataFrame) -> DataFrame:
 
 
 def full_report(df: DataFrame, by: list[str] = (), label: str = LABEL, score: str = "score") -> DataFrame:
-    """Report at 0.5 with ROC-AUC and average precision, one row per group."""
+    """Report at 0.5 with ROC-AUC and average precision, one row per group.
+
+    All numbers come from the counts per distinct score, so the events are aggregated once.
+    """
     keyed, keys = _keys(df, by)
-    report = classification_report(confusion_counts(keyed, keys, label=label, score=score))
-    ranking = ranking_metrics(ranked_scores(keyed, keys, label, score), keys)
-    return report.join(ranking, keys, "left").drop(ALL)
+    ranked = ranked_scores(keyed, keys, label, score)
+    hit = F.col(score) >= 0.5
+    counts = ranked.groupBy(*keys).agg(
+        F.sum(F.when(hit, F.col("p")).otherwise(0)).alias("tp"),
+        F.sum(F.when(hit, F.col("n")).otherwise(0)).alias("fp"),
+        F.sum(F.when(hit, 0).otherwise(F.col("n"))).alias("tn"),
+        F.sum(F.when(hit, 0).otherwise(F.col("p"))).alias("fn"),
+    )
+    return classification_report(counts).join(ranking_metrics(ranked, keys), keys, "left").drop(ALL)
 
 
 def verdict_metrics(df: DataFrame, verdict: str, by: list[str] = (), label: str = LABEL) -> DataFrame:

@@ -12,6 +12,7 @@ from cmdprism.functions.text import group_digest
 from cmdprism.plans.prefix import rank_by_digest
 from cmdprism.plans.skew import attach_group_values
 from cmdprism.session import GROUP_KEY, LABEL, ROW_ID
+from cmdprism.sources.tables import materialize
 
 SPLITS = ("train", "val", "test")
 # Default ratios of the three splits.
@@ -59,11 +60,14 @@ def stratified_group_split(
     df: DataFrame, ratios: tuple[float, float, float] = RATIOS, seed: int = 13,
     targets: dict[str, int] | None = None,
 ) -> DataFrame:
-    """Row-level split table; with row ``targets`` the groups are rebalanced first."""
-    groups = split_groups(df, ratios, seed)
+    """Row-level split table; with row ``targets`` the groups are rebalanced first.
+
+    The group table is written once, because the assignment reads it several times.
+    """
+    groups = split_groups(df, ratios, seed).select("digest", "size", "split")
     if targets is not None:
-        groups = rebalance_groups(groups, targets)
-    return assign_rows(df, groups, seed)
+        groups = rebalance_groups(materialize(groups, "groups"), targets)
+    return assign_rows(df, materialize(groups, "groups"), seed)
 
 
 def select_split(df: DataFrame, splits: DataFrame, name: str, check: bool = True) -> DataFrame:
@@ -209,6 +213,6 @@ def assert_disjoint(df: DataFrame, splits: DataFrame, label: str = LABEL) -> Non
 
 def stratified_kfold(df: DataFrame, k: int = 5, seed: int = 13, label: str = LABEL, row_id: str = ROW_ID) -> DataFrame:
     """Add ``fold``: digest rank within the label, modulo ``k``."""
-    digest = F.sha2(F.concat(F.col(row_id).cast("string"), F.lit(f"|{seed}")), 256)
+    digest = group_digest(F.col(row_id).cast("string"), seed)
     ranked = rank_by_digest(df.withColumn("_digest", digest), [label], "_digest")
     return ranked.withColumn("fold", (F.col("_rank") % k).cast("int")).drop("_rank", "_n", "_digest")

@@ -66,8 +66,12 @@ def with_terms(df: DataFrame, text: str = COMMAND, ngram_range: tuple[int, int]
 
 
 def term_counts(df: DataFrame, row_id: str = ROW_ID) -> DataFrame:
-    """(row, term, tf); equal terms of a row are summed before anything is shuffled."""
-    return df.select(row_id, F.explode("terms").alias("term")).groupBy(row_id, "term").agg(F.count("*").alias("tf"))
+    """(row, term, tf); equal terms of a row are summed before anything is shuffled.
+
+    The outer form of explode keeps Spark from adding a filter that tokenises every text again.
+    """
+    exploded = df.select(row_id, F.explode_outer("terms").alias("term")).where(F.col("term").isNotNull())
+    return exploded.groupBy(row_id, "term").agg(F.count("*").alias("tf"))
 
 
 def fit_tfidf(counts: DataFrame, n_rows: int, min_df: int = 1, max_features: int | None = None) -> DataFrame:
@@ -82,7 +86,10 @@ def fit_tfidf(counts: DataFrame, n_rows: int, min_df: int = 1, max_features: int
 
 
 def transform_tfidf(counts: DataFrame, vocabulary: DataFrame, row_id: str = ROW_ID) -> DataFrame:
-    """(row, term, tf, tfidf), each row scaled to unit length. Frequent terms do not skew the join."""
+    """(row, term, tf, tfidf), each row scaled to unit length. Frequent terms do not skew the join.
+
+    Both inputs are read more than once and should be written tables.
+    """
     sized = vocabulary.select("term", "df", "idf")
     weighted = attach_group_values(counts, sized, "term", "df", ["idf"], spread_by=row_id)
     weighted = weighted.where(F.col("idf").isNotNull()).withColumn("_w", F.col("tf") * F.col("idf"))
@@ -98,7 +105,7 @@ def fit_vectorizer(terms: DataFrame, min_df: int = 1, max_features: int | None =
     """
     size = max_features
     if size is None:
-        size = terms.select(F.explode("terms").alias("t")).distinct().count()
+        size = terms.select(F.explode_outer("terms").alias("t")).where("t IS NOT NULL").distinct().count()
         if size > MAX_VOCABULARY:
             raise ValueError(f"{size} terms: set max_features, or use the relational form")
     counter = CountVectorizer(inputCol="terms", outputCol="_tf", minDF=float(min_df), vocabSize=max(size, 1)).fit(terms)

@@ -6,6 +6,8 @@ and their offsets joined back, so the row-level windows run per bucket and in pa
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,7 +32,7 @@ def with_score_bucket(df: DataFrame, col: str, bounds: list[float], bucket: str
     inner = [b for b in bounds if -inf < b < inf]
     splits = [-inf, *inner, inf] if inner else [-inf, 0.0, inf]
     out = Bucketizer(splits=splits, inputCol="_bucket_in", outputCol="_bucket_out", handleInvalid="keep").transform(
-        df.withColumn("_bucket_in", F.when(F.isnan(col), -inf).otherwise(F.col(col)))
+        df.withColumn("_bucket_in", F.when(F.col(col).isNull() | F.isnan(col), -inf).otherwise(F.col(col)))
     )
     return out.withColumn(bucket, F.col("_bucket_out").cast("int")).drop("_bucket_in", "_bucket_out")
 
@@ -58,13 +60,17 @@ def running_totals(
         *[F.coalesce(F.sum(s).over(ahead), F.lit(0)).alias(f"_{s}_offset") for s in sums],
         *[F.sum(s).over(everything).alias(f"{s}_total") for s in sums],
     )
-    local = Window.partitionBy(*by, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    keys = [*by, bucket]
+    offsets = offsets.withColumnsRenamed({k: f"_offset_{k}" for k in keys})
+    # NULL keys match as well, and a left join adds no NOT NULL filter that would compute the keys twice.
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_offset_{k}")) for k in keys])
+    local = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return (
-        df.join(F.broadcast(offsets), [*by, bucket])
+        df.join(F.broadcast(offsets), same, "left")
         .withColumns(
             {f"{s}_before": F.coalesce(F.sum(s).over(local), F.lit(0)) + F.col(f"_{s}_offset") for s in sums}
         )
-        .drop(*[f"_{s}_offset" for s in sums])
+        .drop(*[f"_{s}_offset" for s in sums], *[f"_offset_{k}" for k in keys])
     )
 
 

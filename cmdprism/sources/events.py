@@ -36,8 +36,10 @@ def event_schema(verdict_field: str = VERDICT_FIELD) -> str:
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """Non-blank stripped lines with the file block they come from."""
+    value = F.col("value")
+    bare = value.startswith("{") & value.endswith("}")
     lines = spark.read.text(path).select(
-        strip(F.col("value")).alias("raw"),
+        F.when(bare, value).otherwise(strip(value)).alias("raw"),
         F.col("_metadata.file_path").alias("file_path"),
         F.col("_metadata.file_block_start").alias("file_block"),
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cmdprism.session import LABEL
+from cmdprism.session import LABEL, scratch_path
 
 RULE_SCHEMA = "ordinal INT, name STRING, kind STRING, feature STRING, threshold DOUBLE, categories ARRAY<STRING>"
 DEFAULT_THRESHOLD = 0.5
@@ -57,3 +57,19 @@ def read_threshold(spark: SparkSession, path: str | None) -> float:
         return DEFAULT_THRESHOLD
     row = spark.read.parquet(path).select(F.max("threshold").alias("t")).first()
     return DEFAULT_THRESHOLD if row is None or row["t"] is None else float(row["t"])
+
+
+def spread_small(df: DataFrame) -> DataFrame:
+    """Use all cores where a small file gives fewer scan tasks than there are cores.
+
+    Meant for CPU-heavy expressions; an input with enough splits is returned as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write a table that several jobs read to the shared folder, and read it back."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

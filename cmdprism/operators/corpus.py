@@ -94,7 +94,7 @@ def export_corpus(
     wanted = splits.where(F.col("split").isin(*names)).select(ROW_ID, "split")
     records = instruction_records(df.join(wanted, ROW_ID), F.col("split"), instruction)
     records.write.mode("overwrite").partitionBy("split").json(path)
-    written = df.sparkSession.read.text(path).groupBy("split").agg(F.count("*").alias("n"))
+    written = df.sparkSession.read.schema("row_id BIGINT, split STRING").json(path).groupBy("split").agg(F.count("*").alias("n"))
     counts = {r["split"]: r["n"] for r in written.collect()}
     if not counts:
         raise ValueError("no records written: check splits and events")

@@ -108,23 +108,18 @@ def cost_benchmark(
     an ``ordinal``; ``baseline_metrics`` the same metrics in one row.
     """
     metric = ["precision_1", "recall_1", "f1_1", "roc_auc", "average_precision"]
-    base = costs.where(F.lower("model") == baseline).agg(
-        F.coalesce(F.max("per_prediction_usd"), F.lit(0.0)).alias("_base_cost"),
-        F.coalesce(F.max("latency_seconds"), F.lit(0.0)).alias("_base_latency"),
-    )
-    base = base.withColumn("_unit", F.lit(1))
+    found = costs.where(F.lower("model") == baseline).agg(F.max("per_prediction_usd"), F.max("latency_seconds")).first()
+    base_cost, base_latency = F.lit(found[0] or 0.0), F.lit(found[1] or 0.0)
     million = F.col("per_prediction_usd") * 1_000_000
-    rows = attach_costs(models, costs).withColumn("_unit", F.lit(1)).join(F.broadcast(base), "_unit")
     latency = F.coalesce(F.col("per_row_seconds"), F.lit(0.0))
-    table = rows.select(
+    table = attach_costs(models, costs).select(
         "ordinal", "model", *metric, latency.alias("latency_seconds"), million.alias("per_million_usd"),
-        _quotient(F.col("_base_latency"), latency).alias("speedup"),
-        _quotient(F.col("_base_cost"), F.col("per_prediction_usd")).alias("savings"),
+        _quotient(base_latency, latency).alias("speedup"),
+        _quotient(base_cost, F.col("per_prediction_usd")).alias("savings"),
     )
-    first = baseline_metrics.withColumn("_unit", F.lit(1)).join(F.broadcast(base), "_unit")
-    first = first.select(
-        F.lit(-1).alias("ordinal"), F.lit(baseline).alias("model"), *metric, F.col("_base_latency").alias("latency_seconds"),
-        (F.col("_base_cost") * 1_000_000).alias("per_million_usd"), F.lit(1.0).alias("speedup"), F.lit(1.0).alias("savings"),
+    first = baseline_metrics.select(
+        F.lit(-1).alias("ordinal"), F.lit(baseline).alias("model"), *metric, base_latency.alias("latency_seconds"),
+        (base_cost * 1_000_000).alias("per_million_usd"), F.lit(1.0).alias("speedup"), F.lit(1.0).alias("savings"),
     )
     return first.unionByName(table)
 

@@ -118,33 +118,40 @@ def pr_points(ranked: DataFrame, score: str = "score") -> DataFrame:
     ).drop("p", "n", "p_before", "n_before", "p_total", "n_total", score, ALL)
 
 
-def ranking_metrics(ranked: DataFrame, by: list[str] = ()) -> DataFrame:
-    """ROC-AUC, average precision (step sum) and PR-AUC (trapezoid) per group.
-
-    ROC-AUC is NULL where only one class occurs; without positives average precision is 0.
-    """
-    keys = list(by) or [ALL]
+def _ranking_sums() -> list[Column]:
     p, n = F.col("p").cast("double"), F.col("n").cast("double")
     tp = F.col("p_before") + F.col("p")
     fp = F.col("n_before") + F.col("n")
     precision = ratio(tp, tp + fp)
     ahead = F.col("p_before") + F.col("n_before")
     previous = F.when(ahead > 0, F.col("p_before").cast("double") / ahead.cast("double")).otherwise(1.0)
-    sums = ranked.groupBy(*keys).agg(
+    return [
         F.sum(n * (F.col("p_before").cast("double") + p / 2)).alias("_area"),
         F.sum(p * precision).alias("_steps"),
         F.sum(p * (precision + previous) / 2).alias("_trapezoids"),
         F.sum("p").alias("_p"),
         F.sum("n").alias("_n"),
-    )
+    ]
+
+
+def _with_areas(sums: DataFrame) -> DataFrame:
     both = (F.col("_p") > 0) & (F.col("_n") > 0)
     pairs = F.col("_p").cast("double") * F.col("_n").cast("double")
-    return sums.select(
-        *by,
-        F.when(both, F.col("_area") / pairs).alias("roc_auc"),
-        ratio(F.col("_steps"), F.col("_p")).alias("average_precision"),
-        ratio(F.col("_trapezoids"), F.col("_p")).alias("pr_auc"),
-    )
+    areas = {
+        "roc_auc": F.when(both, F.col("_area") / pairs),
+        "average_precision": ratio(F.col("_steps"), F.col("_p")),
+        "pr_auc": ratio(F.col("_trapezoids"), F.col("_p")),
+    }
+    return sums.withColumns(areas).drop("_area", "_steps", "_trapezoids", "_p", "_n")
+
+
+def ranking_metrics(ranked: DataFrame, by: list[str] = ()) -> DataFrame:
+    """ROC-AUC, average precision (step sum) and PR-AUC (trapezoid) per group.
+
+    ROC-AUC is NULL where only one class occurs; without positives average precision is 0.
+    """
+    keys = list(by) or [ALL]
+    return _with_areas(ranked.groupBy(*keys).agg(*_ranking_sums())).drop(ALL)
 
 
 def threshold_grid(step: float = 0.05) -> list[float]:
@@ -301,13 +308,14 @@ def full_report(df: DataFrame, by: list[str] = (), label: str = LABEL, score: st
     keyed, keys = _keys(df, by)
     ranked = ranked_scores(keyed, keys, label, score)
     hit = F.col(score) >= 0.5
-    counts = ranked.groupBy(*keys).agg(
+    sums = ranked.groupBy(*keys).agg(
         F.sum(F.when(hit, F.col("p")).otherwise(0)).alias("tp"),
         F.sum(F.when(hit, F.col("n")).otherwise(0)).alias("fp"),
         F.sum(F.when(hit, 0).otherwise(F.col("n"))).alias("tn"),
         F.sum(F.when(hit, 0).otherwise(F.col("p"))).alias("fn"),
+        *_ranking_sums(),
     )
-    return classification_report(counts).join(ranking_metrics(ranked, keys), keys, "left").drop(ALL)
+    return classification_report(_with_areas(sums)).drop(ALL)
 
 
 def verdict_metrics(df: DataFrame, verdict: str, by: list[str] = (), label: str = LABEL) -> DataFrame:

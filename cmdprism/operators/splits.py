@@ -90,8 +90,8 @@ def plan_moves(
 
     Repeats one step on the size histogram: the smallest group of the split most above its
     target goes to the split most below. Groups of equal size are moved in one go as long as
-    the same pair stays furthest off. Ends when no split is above, or none below, its
-    target, when a state comes back, or after ``max_moves`` groups.
+    the same pair stays furthest off. Ends when no split is above, or none below, its target,
+    or after ``max_moves`` groups; without that limit also when a state comes back.
     """
     cells = {s: defaultdict(lambda: defaultdict(int)) for s in SPLITS}
     excess = {s: -targets.get(s, 0) for s in SPLITS}
@@ -105,7 +105,7 @@ def plan_moves(
         if excess[over] <= 0 or excess[under] >= 0 or not cells[over]:
             break
         state = tuple(excess[s] for s in SPLITS)
-        if state in seen:
+        if max_moves is None and state in seen:
             break
         seen.add(state)
         size = min(cells[over])

@@ -18,15 +18,12 @@ def attach_group_values(
     is bounded whatever the data; their rows take the value from it and are then spread over
     the shuffle by a key that matches nothing, made from ``spread_by`` so that a repeated task
     sends each row to the same place. All other rows meet in an ordinary join, in which no key
-    is large.
+    is large. ``groups`` is read three times and should be a written table.
     """
     names = {v: f"_hot_{v}" for v in values}
-    total = groups.agg(F.sum(size).alias("_total")).withColumn("_unit", F.lit(1))
-    hot = (
-        groups.withColumn("_unit", F.lit(1))
-        .join(F.broadcast(total), "_unit")
-        .where(F.col(size) * HOT_SHARE >= F.col("_total"))
-        .select(key, F.lit(True).alias("_hot"), *[F.col(v).alias(names[v]) for v in values])
+    total = groups.agg(F.sum(size)).first()[0] or 0
+    hot = groups.where(F.col(size) * HOT_SHARE >= total).select(
+        key, F.lit(True).alias("_hot"), *[F.col(v).alias(names[v]) for v in values]
     )
     spread_key = F.concat(F.lit("spread/"), F.pmod(F.xxhash64(spread_by), F.lit(SPREAD)).cast("string"))
     staged = rows.join(F.broadcast(hot), key, "left").withColumn(
@@ -35,4 +32,4 @@ def attach_group_values(
     cold = groups.select(F.concat(F.lit("key/"), F.col(key)).alias("_join_key"), *values)
     joined = staged.join(cold, "_join_key", "left")
     out = {v: F.when(F.col("_hot"), F.col(names[v])).otherwise(F.col(v)) for v in values}
-    return joined.withColumns(out).drop("_join_key", "_hot", *names.values())
+    return joined.withColumns(out).select(*rows.columns, *values)

@@ -48,9 +48,11 @@ def bag(columns: list[str], rows) -> tuple[list[str], Counter]:
     return [columns[i] for i in order], Counter(tuple(plain(r[i]) for i in order) for r in rows)
 
 
-def compare(spark, con, name: str, fn, sql: str | None, sf_dir: str) -> str | None:
-    """None where both sides agree, else what differs."""
+def compare(spark, con, name: str, fn, sql: str | None, sf_dir: str, check=None) -> str | None:
+    """None where both sides agree, else what differs; ``check`` looks at the DataFrame first."""
     df = fn(spark, sf_dir)
+    if check is not None:
+        check(df)
     columns, rows = bag(df.columns, df.collect())
     if sql is None:
         return None if rows else f"{name}: no rows"

@@ -177,7 +177,7 @@ def a6_a7_jsonl_round_trip(spark, sf_dir):
 FROM documents GROUP BY ALL""",
 )
 def a9_json_folder(spark, sf_dir):
-    """One multi-line file per source, written from the table, then read back by file stem."""
+    """One multi-line file per source, written from the table, then read back as one row per file."""
     path = scratch_path(spark, "folder")
     docs = table(spark, sf_dir, "documents").groupBy("source", "lang").agg(
         F.sum("n_chars").alias("n_chars"), F.count("*").alias("n_docs")
@@ -186,13 +186,7 @@ def a9_json_folder(spark, sf_dir):
     body = F.to_json(F.struct("source", "langs"), {"pretty": "true"})
     per_source.select("source", body.alias("value")).repartition("source").write.partitionBy("source").text(path)
     schema = "source STRING, langs ARRAY<STRUCT<lang: STRING, n_chars: BIGINT, n_docs: BIGINT>>"
-    files = (
-        spark.read.schema(schema)
-        .option("multiLine", True)
-        .option("recursiveFileLookup", True)
-        .json(path)
-        .select("source", "langs")
-    )
+    files = ev.read_json_folder(spark, path, schema, glob="*.txt")
     return files.select(F.col("source").alias("key"), F.inline("langs")).select("key", "lang", "n_chars", "n_docs")
 
 

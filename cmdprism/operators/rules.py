@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cmdprism.functions.numbers import ratio
 from cmdprism.plans.skew import attach_group_values
 from cmdprism.session import LABEL, ROW_ID
+from cmdprism.sources.tables import materialize
 
 # Features that rules may use, in rule order.
 RULE_FLAGS = [
@@ -106,7 +107,8 @@ def mine_rules(features: DataFrame, label: str = LABEL) -> tuple[DataFrame, Data
     """All mined rules: the rule table, and the hot category values in a table of their own.
 
     The value table has one row per value, because nothing bounds how many there are; the
-    rule table has at most one row per feature.
+    rule table has at most one row per feature. Both are written, so that applying the rules
+    does not mine them again.
     """
     flags = mine_boolean_rules(features, label=label).select(
         "ordinal", F.col("feature").alias("name"), F.lit("bool").alias("kind"), "feature",
@@ -116,13 +118,14 @@ def mine_rules(features: DataFrame, label: str = LABEL) -> tuple[DataFrame, Data
         (F.col("ordinal") + len(RULE_FLAGS)).alias("ordinal"), F.concat(F.lit("high_"), "feature").alias("name"),
         F.lit("numeric").alias("kind"), "feature", "threshold",
     )
-    values = mine_category_rules(features, label=label)
+    mined = mine_category_rules(features, label=label).select("ordinal", "feature", "category", "support")
+    values = materialize(mined, "rule-categories")
     hot = values.groupBy("ordinal", "feature").agg(F.count("*").alias("_n")).select(
         (F.col("ordinal") + len(RULE_FLAGS) + len(RULE_NUMERICS)).alias("ordinal"),
         F.concat(F.lit("hot_"), "feature").alias("name"), F.lit("category").alias("kind"), "feature",
         F.lit(None).cast("double").alias("threshold"),
     )
-    return flags.unionByName(numerics).unionByName(hot), values.select("feature", "category", "support")
+    return materialize(flags.unionByName(numerics).unionByName(hot), "rules"), values
 
 
 def rules_with_categories(rules: DataFrame, values: DataFrame) -> DataFrame:

@@ -78,9 +78,12 @@ def select_split(df: DataFrame, splits: DataFrame, name: str, check: bool = True
     return df.join(wanted, ROW_ID, "left_semi")
 
 
-def ids_for(df: DataFrame, groups: DataFrame, group: str = GROUP_KEY) -> DataFrame:
-    """Row ids of the rows whose group is listed; AQE splits the hot keys of the row side."""
-    return df.join(groups.select(group), group, "left_semi").select(ROW_ID)
+def ids_for(df: DataFrame, groups: DataFrame, seed: int = 13, group: str = GROUP_KEY) -> DataFrame:
+    """Row ids of the rows whose group is listed (a group table with digest and size)."""
+    listed = materialize(groups.select("digest", "size", F.lit(True).alias("listed")), "listed-groups")
+    rows = df.select(ROW_ID, group_digest(F.col(group), seed).alias("digest"))
+    found = attach_group_values(rows, listed, "digest", "size", ["listed"], spread_by=ROW_ID)
+    return found.where("listed").select(ROW_ID)
 
 
 def plan_moves(

@@ -115,17 +115,17 @@ def require_rows(df: DataFrame, what: str) -> DataFrame:
     return df
 
 
-def read_json_folder(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """One object per multi-line ``*.json`` file, with the file's stem as ``key``; malformed files are skipped."""
+def read_json_folder(spark: SparkSession, path: str, schema: str, glob: str = "*.json") -> DataFrame:
+    """One object per multi-line file, with the file's stem as ``key``; malformed files are skipped."""
     raw = (
         spark.read.schema(f"{schema}, _corrupt STRING")
         .option("multiLine", True)
         .option("columnNameOfCorruptRecord", "_corrupt")
         .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*.json")
+        .option("pathGlobFilter", glob)
         .json(path)
     )
-    stem = F.regexp_replace(F.col("_metadata.file_name"), r"\.json\z", "")
+    stem = F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*\z", "")
     return raw.select(stem.alias("key"), "*").where(F.col("_corrupt").isNull()).drop("_corrupt")
 
 

@@ -48,6 +48,15 @@ def bag(columns: list[str], rows) -> tuple[list[str], Counter]:
     return [columns[i] for i in order], Counter(tuple(plain(r[i]) for i in order) for r in rows)
 
 
+TYPES = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
+
+
+def type_notes(df, con, sql: str) -> list[str]:
+    """Columns whose types differ between the two engines."""
+    other = {r[0]: r[1] for r in con.execute(f"DESCRIBE {sql}").fetchall()}
+    return [f"{n}: {t} / {other.get(n)}" for n, t in df.dtypes if TYPES.get(t, t) != other.get(n)]
+
+
 def compare(spark, con, name: str, fn, sql: str | None, sf_dir: str, check=None) -> str | None:
     """None where both sides agree, else what differs; ``check`` looks at the DataFrame first."""
     df = fn(spark, sf_dir)
@@ -81,12 +90,16 @@ def main(sf: str, pattern: str = "") -> None:
     con = connect(sf_dir)
     oracles = all_oracles()
     bad = 0
+    seen = {}
     for name, fn in all_queries().items():
         if pattern and not any(name.startswith(p) for p in pattern.split(",")):
             continue
         start = time.perf_counter()
         try:
-            problem = compare(spark, con, name, fn, oracles.get(name), sf_dir)
+            problem = compare(spark, con, name, fn, oracles.get(name), sf_dir, lambda df: seen.update(df=df))
+            notes = type_notes(seen["df"], con, oracles[name]) if name in oracles else []
+            if notes:
+                print(f"types of {name}:", *notes)
         except Exception as exc:  # noqa: BLE001
             problem = f"{name}: {type(exc).__name__} {str(exc)[:700]}"
         bad += problem is not None

@@ -46,6 +46,11 @@ def rounded(df, columns):
     return df.withColumns({c: F.round(c, 6) for c in columns})
 
 
+def big(df, *columns):
+    """Ranks and bins as BIGINT, the type of the twins."""
+    return df.withColumns({c: F.col(c).cast("bigint") for c in columns})
+
+
 def rounded_sql(columns) -> str:
     return ", ".join(f"round({c}, 6) AS {c}" for c in columns)
 
@@ -105,7 +110,7 @@ FROM (SELECT * REPLACE (round(prob_shape, 6) AS score), CASE WHEN round(prob_sha
     ),
 )
 def e16_error_clusters(spark, sf_dir):
-    return er.error_clusters(shape_errors(spark, sf_dir))
+    return big(er.error_clusters(shape_errors(spark, sf_dir)), "rank")
 
 
 @query(
@@ -122,7 +127,7 @@ def e16_error_clusters(spark, sf_dir):
     ),
 )
 def e17_error_flag_totals(spark, sf_dir):
-    return er.error_flag_totals(shape_errors(spark, sf_dir))
+    return big(er.error_flag_totals(shape_errors(spark, sf_dir)), "rank")
 
 
 @query(
@@ -139,7 +144,7 @@ def e18_error_examples(spark, sf_dir):
     from cmdprism.operators.ingest import display_columns
 
     examples = display_columns(er.error_examples(shape_errors(spark, sf_dir)))
-    return examples.select("error_type", "rank", "row_id", "command_short", "score_short")
+    return big(examples, "rank").select("error_type", "rank", "row_id", "command_short", "score_short")
 
 
 @query(
@@ -334,7 +339,7 @@ GROUP BY model, "_label", bin, lo, w"""
     ),
 )
 def f8_score_histogram(spark, sf_dir):
-    return rounded(m.score_histogram(scored(spark, sf_dir), by=["model"]), ["bin_left", "bin_right"])
+    return big(rounded(m.score_histogram(scored(spark, sf_dir), by=["model"]), ["bin_left", "bin_right"]), "bin")
 
 
 @query(
@@ -349,7 +354,7 @@ def f9_top_scores(spark, sf_dir):
 
     order = Window.partitionBy("model").orderBy(F.col("score").desc(), "row_id")
     ranked = scored(spark, sf_dir).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= 10)
-    return ranked.select("model", "row_id", "score", "rank")
+    return big(ranked, "rank").select("model", "row_id", "score", "rank")
 
 
 @query(

@@ -234,7 +234,7 @@ def contributed(spark, sf_dir):
 )
 def i4_linear_contributions(spark, sf_dir):
     items = contributed(spark, sf_dir).select("row_id", F.posexplode("contributions").alias("pos", "c"))
-    return items.select("row_id", (F.col("pos") + 1).alias("rank"), "c.feature", "c.phrase", F.round("c.impact", 6).alias("impact"))
+    return items.select("row_id", (F.col("pos") + 1).cast("bigint").alias("rank"), "c.feature", "c.phrase", F.round("c.impact", 6).alias("impact"))
 
 
 @query("i4_tree_contributions")

@@ -202,7 +202,7 @@ def e7_top_images_by_label(spark, sf_dir):
   quantile_cont(length(text), 0.75) AS q3, max(length(text)) AS max_len, count(*) AS n_rows FROM documents GROUP BY lang""",
 )
 def e8_length_distribution(spark, sf_dir):
-    return pf.length_distribution(table(spark, sf_dir, "documents"), "lang", F.length("text"))
+    return pf.length_distribution(table(spark, sf_dir, "documents"), "lang", F.length("text").cast("bigint"))
 
 
 @query(

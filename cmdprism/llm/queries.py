@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cmdprism.llm import contamination
+from cmdprism.llm import contamination, language, mixing, secrets, topk
 from cmdprism.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,7 +17,28 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.op1(table(spark, sf_dir, "documents"))
+
+
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.op6(table(spark, sf_dir, "documents"))
+
+
+def op8_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.op8(table(spark, sf_dir, "documents"))
+
+
+def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    every = F.pmod(F.col("id"), F.lit(topk.QUERY_STEP)) == 0
+    return topk.top_k(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), every)
+
+
 QUERIES: dict[str, Query] = {
+    "op1_language_id": op1_language_id,
+    "op6_secret_scan": op6_secret_scan,
+    "op8_temperature_mix": op8_temperature_mix,
+    "op10_exact_top_k": op10_exact_top_k,
     "op7_decontamination": op7_decontamination,
 }
 ORACLES: dict[str, str] = {}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cmdprism.llm import contamination, language, mixing, secrets, topk
+from cmdprism.llm import chat, contamination, jaccard, language, mixing, pii, quality, secrets, topk, toxicity
 from cmdprism.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,22 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.op1(table(spark, sf_dir, "documents"))
 
 
+def op2_chat_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.op2(table(spark, sf_dir, "conversations"))
+
+
+def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.op3(table(spark, sf_dir, "documents"))
+
+
+def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.op4(table(spark, sf_dir, "documents"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.op5(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.op6(table(spark, sf_dir, "documents"))
 
@@ -29,6 +45,10 @@ def op8_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.op8(table(spark, sf_dir, "documents"))
 
 
+def op9_quality_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.op9(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     every = F.pmod(F.col("id"), F.lit(topk.QUERY_STEP)) == 0
     return topk.top_k(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), every)
@@ -36,9 +56,14 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_language_id": op1_language_id,
+    "op2_chat_snapshots": op2_chat_snapshots,
+    "op3_personal_data": op3_personal_data,
+    "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
+    "op5_toxicity": op5_toxicity,
     "op6_secret_scan": op6_secret_scan,
+    "op7_decontamination": op7_decontamination,
     "op8_temperature_mix": op8_temperature_mix,
+    "op9_quality_grades": op9_quality_grades,
     "op10_exact_top_k": op10_exact_top_k,
-    "op7_decontamination": op7_decontamination,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op2_chat_snapshots": chat.OP2_SQL}

@@ -1,21 +1,63 @@
-"""The corpus pipeline: stages over the documents, each written before the next one reads it."""
+"""The corpus pipeline: five stages over the documents, each written before the next one reads it.
+
+Every stage but the last returns the columns of its input. Toxicity drops documents whose score reaches the operator's
+threshold; the n-gram Jaccard join keeps the document with the smallest id of each class; decontamination drops documents that hold
+a benchmark window; the PII stage masks every span it finds and counts ``n_chars`` anew where the text changed; mixing
+returns one row for each copy of a document in the mix. Documents without text pass all stages.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cmdprism.llm import contamination
-from cmdprism.llm.common import table
+from cmdprism.llm import contamination, jaccard, mixing, pii, toxicity
+from cmdprism.llm.common import crc_bucket, table
 from cmdprism.sources.tables import materialize
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity score stays below the threshold."""
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), crc_bucket("doc_id", 4) != 2)
+    scored = docs.withColumn("_toxicity", model.score(F.col("text")))
+    return scored.where(F.col("_toxicity") < toxicity.THRESHOLD).select(*docs.columns)
+
+
+def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near copies."""
+    return jaccard.one_of_each(docs)
+
+
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark window stay."""
-    found = contamination.find_contamination(docs, table(spark, sf_dir, "benchmark"), out_col="_hits")
+    """Documents that hold no benchmark window."""
+    found = contamination.find_contamination(docs, table(spark, sf_dir, "benchmark"))
     return found.where("size(_hits.spans) = 0").select(*docs.columns)
 
 
-STAGES = [("decontaminate", drop_contaminated)]
+def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data in their texts replaced by its kind."""
+    model = pii.fit(docs)
+    masked = docs.withColumn("_masked", pii.masked(model, F.col("text")))
+    n_chars = F.when(F.col("_masked") == F.col("text"), F.col("n_chars")).otherwise(
+        F.coalesce(F.length("_masked").cast("long"), F.col("n_chars"))
+    )
+    replaced = {"text": F.col("_masked"), "n_chars": n_chars.alias("n_chars")}
+    return masked.select(*[replaced[c].alias(c) if c in replaced else F.col(c) for c in docs.columns])
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row for every copy of a document in the temperature mix of the sources."""
+    return mixing.mix(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_duplicates", one_of_near_copies),
+    ("decontamination", drop_contaminated),
+    ("personal_data", mask_personal_data),
+    ("mixing", mix_sources),
+]
+#: No SQL twin: the first, second and fourth stage rest on trained models and sampled paths.
 ORACLE_SQL = None
 
 

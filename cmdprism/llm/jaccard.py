@@ -1,10 +1,11 @@
 """N-gram Jaccard join by chosen paths.
 
 A document is the set of its shingles (five words in a row). Equal sets are one set with so many copies. In each of
-several runs a set picks tokens by a hash of the run and the token, about 1/threshold of them on average, and falls into one
-bucket per picked token. Buckets of up to ``SMALL`` sets are compared pair by pair. The members of larger ones pick again,
-by a hash of the path so far, and fall into the children's buckets, down to ``DEPTH`` levels. Two sets of similarity t share one
-pick per level on average, so they part in every run with a chance that ``runs_for`` bounds.
+several runs a set picks tokens by a hash of the run and the token, 1/threshold of them on average, and falls into one bucket
+per picked token. Buckets of up to ``SMALL`` sets are compared pair by pair. The members of larger ones pick again, by a hash
+of the path so far, ``BRANCH``/threshold tokens on average, and fall into the children's buckets, down to ``DEPTH`` levels. Two sets
+of the wanted similarity share a pick per run, and ``BRANCH`` picks per further level, on average; ``runs_for`` gives the runs
+after which they have met with the wanted chance.
 
 What is still large at the last level is a group of sets that share nearly everything: its overlapping buckets are
 joined into one cluster, and all pairs of the cluster are compared, dealt out as pairs of chunks of bounded size, from which
@@ -13,10 +14,10 @@ only sums per set and one edge per set come back. Every comparison counts common
 Classes are the connected components of the links; a document's links are all other documents of at least the wanted similarity,
 copies included.
 
-Defined results: null texts and texts without words have no shingles, no links and a class each (``_set`` is null). A text of
+Defined results: null texts and texts without words have no shingles, no links and a class each (their set is null). A text of
 fewer than ``width`` words has one shingle, all of it. The class id is the smallest non-null document id of the class (null
-if it has none). Repeated rows are copies. Empty tables give no rows. Extra columns are kept; ``_set`` and ``_class``
-are replaced.
+if it has none). Repeated rows are copies. Empty tables give no rows. Extra columns take no part
+and are kept where documents are returned; names that begin with ``_set``, ``_own`` or ``_stay`` are taken.
 """
 
 from __future__ import annotations
@@ -31,13 +32,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cmdprism.llm.common import in_steps
-from cmdprism.plans.skew import attach_group_values
 from cmdprism.sources.tables import materialize
 
 WIDTH = 5
 THRESHOLD = 0.8
 TARGET_RECALL = 0.99
-DEPTH = 3
+DEPTH = 4
+BRANCH = 2.0
 #: Buckets of up to so many sets are compared at once; larger ones are split on.
 SMALL = 32
 #: Sets in one chunk of a cluster.
@@ -48,19 +49,18 @@ STEP_TOKENS = 4_000_000
 #: ASCII letters in lower case, digits and bytes from 0x80 make words.
 WORD_BYTES = bytes(b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
 ODD_1, ODD_2, ODD_3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
-PATHS = "array<struct<level: int, parent: long, bucket: long>>"
 
 
-def runs_for(threshold: float, depth: int, recall: float) -> int:
-    """Runs after which two sets of exactly the threshold have met with the wanted chance.
+def runs_for(depth: int, recall: float) -> int:
+    """Runs after which two sets of exactly the threshold have met with the wanted chance, were all buckets large.
 
-    They share Poisson(1) picks per level, so the chance to meet at level k is 1 - exp(-chance at k - 1).
+    Shared picks are Poisson: one per run on average, ``BRANCH`` per further level. So they miss each other in a run
+    with the chance exp(-chance to meet below a shared bucket).
     """
-    del threshold  # picks are scaled by it, so the chance is the same for all
     meet = 1.0
-    for _ in range(depth):
-        meet = 1 - math.exp(-meet)
-    return math.ceil(math.log(1 - recall) / math.log(1 - meet))
+    for _ in range(depth - 1):
+        meet = 1 - math.exp(-BRANCH * meet)
+    return math.ceil(-math.log(1 - recall) / meet)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -69,25 +69,26 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+class WordHashes(dict):
+    """64-bit hashes of words; the first ones met are remembered."""
+
+    def __missing__(self, word: bytes) -> int:
+        value = xxhash.xxh64_intdigest(word)
+        if len(self) < 500_000:
+            self[word] = value
+        return value
+
+
 class Shingler:
-    """Sets of 64-bit shingles; a worker remembers the hashes of common words."""
+    """Sets of 64-bit shingles."""
 
     def __init__(self, width: int) -> None:
         self.width = width
-        self.words: dict[bytes, int] = {}
+        self.hashes = WordHashes()
 
     def word_hashes(self, text: str | None) -> np.ndarray:
         words = (text or "").lower().encode("utf-8", "surrogatepass").translate(WORD_BYTES).split()
-        known = self.words
-        out = np.empty(len(words), dtype=np.uint64)
-        for i, word in enumerate(words):
-            value = known.get(word)
-            if value is None:
-                value = xxhash.xxh64_intdigest(word)
-                if len(known) < 500_000:
-                    known[word] = value
-            out[i] = value
-        return out
+        return np.fromiter(map(self.hashes.__getitem__, words), dtype=np.uint64, count=len(words))
 
     def shingles(self, text: str | None) -> np.ndarray:
         words = self.word_hashes(text)
@@ -108,51 +109,37 @@ def digest(tokens: np.ndarray) -> bytes | None:
     return b"".join(int(x).to_bytes(8, "big") for x in sums)
 
 
-def ranges(sizes: np.ndarray, begin: np.ndarray) -> np.ndarray:
-    """begin[0], begin[0]+1, ..., begin[1], ...: ``sizes`` consecutive numbers from each begin."""
-    return np.arange(sizes.sum()) + np.repeat(begin - (np.cumsum(sizes) - sizes), sizes)
+def picked(tokens: np.ndarray, path: np.uint64, below: np.ndarray | np.uint64) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the tokens that a path picks, and the buckets they lead to."""
+    hashed = (tokens ^ path) * ODD_1
+    hashed = (hashed ^ (hashed >> np.uint64(32))) * ODD_2
+    at = np.flatnonzero(hashed < below)
+    return at, mixed(hashed[at] ^ path)
+
+
+def limits(sizes: np.ndarray | int, picks: float) -> np.ndarray:
+    """Hashes below which a token of a set of so many is picked, ``picks`` of them on average."""
+    return np.minimum(2.0**64 * picks / np.maximum(sizes, 1), 2.0**64 - 4096).astype(np.uint64)
 
 
-def chosen_paths(sets: list[np.ndarray], runs: int, depth: int, threshold: float) -> list[list[tuple[int, int, int]]]:
-    """(level, parent bucket, bucket) of every pick of every set, all levels down."""
-    out: list[list[tuple[int, int, int]]] = [[] for _ in sets]
+def first_buckets(sets: list[np.ndarray], runs: int, threshold: float) -> list[np.ndarray]:
+    """Buckets of every set in all runs."""
+    if not sets:
+        return []
     sizes = np.array([len(s) for s in sets], dtype=np.int64)
-    if not sizes.sum():
-        return out
-    tokens = np.concatenate(sets)
-    begin = np.cumsum(sizes) - sizes
-    with np.errstate(divide="ignore"):
-        below = np.minimum(2.0**64 / (threshold * np.maximum(sizes, 1)), 2.0**64 - 4096).astype(np.uint64)
-    # Nodes to pick from: a set, its path so far, and the tokens the path holds.
-    owner = np.tile(np.flatnonzero(sizes), runs)
-    path = np.repeat(mixed(np.arange(1, runs + 1, dtype=np.uint64) * ODD_3), len(owner) // runs)
-    used = np.zeros((len(owner), 0), dtype=np.uint64)
-    for level in range(1, depth + 1):
-        next_owner, next_path, next_used = [], [], []
-        heavy = np.cumsum(sizes[owner]) // STEP_TOKENS
-        for part in range(int(heavy[-1]) + 1 if len(heavy) else 0):
-            nodes = np.flatnonzero(heavy == part)
-            if not len(nodes):
-                continue
-            each = sizes[owner[nodes]]
-            token = tokens[ranges(each, begin[owner[nodes]])]
-            node = np.repeat(nodes, each)
-            pick = (token ^ path[node]) * ODD_1
-            pick = (pick ^ (pick >> np.uint64(32))) * ODD_2
-            chosen = np.flatnonzero(pick < below[owner[node]])
-            token, node, pick = token[chosen], node[chosen], pick[chosen]
-            fresh = (used[node] != token[:, None]).all(axis=1)
-            token, node, pick = token[fresh], node[fresh], pick[fresh]
-            bucket = mixed(pick ^ path[node] ^ np.uint64(level))
-            for d, p, b in zip(owner[node], path[node].view(np.int64), bucket.view(np.int64), strict=True):
-                out[d].append((level, int(p), int(b)))
-            next_owner.append(owner[node])
-            next_path.append(bucket)
-            next_used.append(np.column_stack([used[node], token]))
-        if not next_owner:
-            break
-        owner, path, used = np.concatenate(next_owner), np.concatenate(next_path), np.concatenate(next_used)
-    return out
+    tokens, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    below = limits(sizes, 1 / threshold)[owner]
+    found = [picked(tokens, path, below) for path in mixed(np.arange(1, runs + 1, dtype=np.uint64) * ODD_3)]
+    owners, buckets = np.concatenate([owner[at] for at, _ in found]), np.concatenate([b for _, b in found])
+    order = np.argsort(owners, kind="stable")
+    cuts = np.searchsorted(owners[order], np.arange(1, len(sets)))
+    return np.split(buckets[order].view(np.int64), cuts)
+
+
+def next_buckets(tokens: np.ndarray, buckets: np.ndarray, threshold: float) -> np.ndarray:
+    """The children's buckets of one set in some large buckets."""
+    below = limits(len(tokens), BRANCH / threshold)
+    return np.concatenate([picked(tokens, path, below)[1] for path in buckets.view(np.uint64)]).view(np.int64)
 
 
 def common(a: np.ndarray, b: np.ndarray) -> int:
@@ -190,31 +177,21 @@ def components(edges: DataFrame, name: str) -> DataFrame:
     Alternating stars: each node hands its larger neighbours, then all its smaller ones, to the smallest; components
     shrink to stars in a number of rounds that grows with the logarithm of their size.
     """
-    edges = materialize(
-        edges.where("a <> b").select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct(), name
-    )
+    edges = edges.where("a <> b").select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct()
+    edges, before = materialize(edges, name), None
     while True:
-        both = edges.select("lo", "hi").unionByName(edges.select(F.col("hi").alias("lo"), F.col("lo").alias("hi")))
-        least = both.groupBy(F.col("lo").alias("node")).agg(F.min("hi").alias("m"))
-        least = least.select("node", F.least("node", "m").alias("m"))
-        large = (
-            both.where("hi > lo").join(least, F.col("lo") == F.col("node")).select(F.col("m").alias("lo"), "hi").where("lo <> hi").distinct()
-        )
-        large = materialize(large, name)
-        down = large.groupBy(F.col("hi").alias("node")).agg(F.min("lo").alias("m"))
-        joined = large.join(down, F.col("hi") == F.col("node"))
-        small = (
-            joined.select(F.col("m").alias("a"), F.col("lo").alias("b"))
-            .unionByName(joined.select(F.col("m").alias("a"), F.col("hi").alias("b")))
-            .where("a <> b")
-            .select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"))
-            .distinct()
-        )
-        small = materialize(small, name)
-        ends = small.agg(F.count("*"), F.bit_xor(F.xxhash64("lo", "hi"))).first()
-        if ends == edges.agg(F.count("*"), F.bit_xor(F.xxhash64("lo", "hi"))).first():
+        state = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("lo", "hi"))).first()
+        if state == before or not state[0]:
             break
-        edges = small
+        before = state
+        both = edges.unionByName(edges.select(F.col("hi").alias("lo"), F.col("lo").alias("hi")))
+        least = both.groupBy(F.col("lo").alias("node")).agg(F.min("hi").alias("m")).select("node", F.least("node", "m").alias("m"))
+        large = both.where("hi > lo").join(least, F.col("lo") == F.col("node")).select(F.col("m").alias("lo"), "hi").distinct()
+        down = large.groupBy(F.col("hi").alias("node")).agg(F.min("lo").alias("m"))
+        # Every node but the smallest hangs on the smallest of its neighbours, which takes over the others.
+        joined = large.join(down, F.col("hi") == F.col("node")).select("lo", "hi", "m")
+        others = joined.where("lo <> m").select(F.least("lo", "m").alias("lo"), F.greatest("lo", "m").alias("hi"))
+        edges = materialize(others.unionByName(joined.select(F.col("m").alias("lo"), "hi")).distinct(), name)
     return edges.select(F.col("hi").alias("id"), F.col("lo").alias("root")).unionByName(
         edges.select(F.col("lo").alias("id"), F.col("lo").alias("root")).distinct()
     )
@@ -225,7 +202,7 @@ class Join:
 
     def __init__(self, width: int, threshold: float, recall: float, small: int, chunk: int, depth: int) -> None:
         self.width, self.threshold, self.small, self.chunk, self.depth = width, threshold, small, chunk, depth
-        self.runs = runs_for(threshold, depth, recall)
+        self.runs = runs_for(depth, recall)
         self.shingler = Shingler(width)
 
     def with_set(self, docs: DataFrame, text_col: str) -> DataFrame:
@@ -238,37 +215,29 @@ class Join:
 
         return docs.withColumn("_set", digests.asNondeterministic()(F.col(text_col)))
 
-    def paths(self, docs: DataFrame, text_col: str) -> DataFrame:
-        """Per task and distinct set: digest, its rows, their smallest id, and all picks."""
-        shingler, runs, depth, threshold = self.shingler, self.runs, self.depth, self.threshold
+    def sets_of(self, docs: DataFrame) -> DataFrame:
+        """Per step of a task and distinct set: its documents and first buckets; documents without words have the set null."""
+        shingler, runs, threshold = self.shingler, self.runs, self.threshold
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
                 at = 0
                 for step in in_steps(batch["text"], STEP_TOKENS):
-                    ids = batch["id"].iloc[at : at + len(step)].tolist()
+                    ids = [None if pd.isna(x) else int(x) for x in batch["id"].iloc[at : at + len(step)]]
                     at += len(step)
-                    held: dict[bytes, list] = {}
+                    held: dict[bytes | None, tuple[np.ndarray, list]] = {}
                     for doc, text in zip(ids, step, strict=True):
                         tokens = shingler.shingles(text)
-                        key = digest(tokens)
-                        if key is None:
-                            continue
-                        row = held.setdefault(key, [tokens, 0, None])
-                        row[1] += 1
-                        if not pd.isna(doc):
-                            row[2] = int(doc) if row[2] is None else min(row[2], int(doc))
-                    picks = chosen_paths([r[0] for r in held.values()], runs, depth, threshold)
+                        held.setdefault(digest(tokens), (tokens, []))[1].append(doc)
                     yield pd.DataFrame(
                         {
                             "set": pd.Series(list(held), dtype=object),
-                            "copies": pd.Series([r[1] for r in held.values()], dtype="int64"),
-                            "first_id": pd.array([r[2] for r in held.values()], dtype="Int64"),
-                            "paths": pd.Series([[{"level": x, "parent": p, "bucket": b} for x, p, b in q] for q in picks], dtype=object),
+                            "ids": pd.Series([x[1] for x in held.values()], dtype=object),
+                            "buckets": pd.Series(first_buckets([x[0] for x in held.values()], runs, threshold), dtype=object),
                         }
                     )
 
-        return docs.mapInPandas(run, f"set binary, copies long, first_id long, paths {PATHS}")
+        return docs.mapInPandas(run, "set binary, ids array<long>, buckets array<long>")
 
     def texts_of_sets(self, docs: DataFrame, text_col: str) -> DataFrame:
         """(set, words) of the distinct sets of each task: what a comparison needs, as text."""
@@ -288,25 +257,47 @@ class Join:
 
         return docs.select(F.col(text_col).alias("text")).mapInPandas(run, "set binary, text string")
 
-    def buckets(self, sets: DataFrame) -> tuple[DataFrame | None, DataFrame]:
-        """Small buckets as lists of sets, all levels; and (bucket, set) of what is large at the last level."""
-        lists, parents, members = [], None, None
+    def split_on(self, large: DataFrame, texts: DataFrame) -> DataFrame:
+        """(set, bucket) one level down for the members of large buckets."""
+        shingler, threshold = self.shingler, self.threshold
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                children = [
+                    next_buckets(shingler.shingles(text), np.asarray(buckets, dtype=np.int64), threshold)
+                    for text, buckets in zip(batch["text"], batch["buckets"], strict=True)
+                ]
+                sizes = [len(c) for c in children]
+                yield pd.DataFrame(
+                    {"set": batch["set"].to_numpy().repeat(sizes), "bucket": np.concatenate([*children, np.zeros(0, np.int64)])}
+                )
+
+        own = large.groupBy("set").agg(F.collect_list("bucket").alias("buckets"))
+        return own.join(texts, "set").select("text", "set", "buckets").mapInPandas(run, "set binary, bucket long")
+
+    def buckets(self, sets: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Small buckets of all levels as lists of sets, (bucket, set) of what stays large, and the texts of their sets."""
+        entries = sets.select("set", F.explode("buckets").alias("bucket"))
+        lists, texts = [], None
         for level in range(1, self.depth + 1):
-            entries = sets.select("set", F.explode("paths").alias("x")).where(F.col("x.level") == level)
-            entries = entries.select("set", F.col("x.parent").alias("parent"), F.col("x.bucket").alias("bucket"))
-            if parents is not None:
-                entries = entries.join(parents, F.col("parent") == F.col("large_bucket"), "left_semi")
-            entries = entries.select("set", "bucket")
             sizes = materialize(entries.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "jaccard-sizes")
-            joined = entries.join(sizes.where(F.col("n") <= self.small).select("bucket"), "bucket")
-            lists.append(joined.groupBy("bucket").agg(F.sort_array(F.collect_list("set")).alias("sets")).select("sets"))
-            large = sizes.where(F.col("n") > self.small)
-            parents = large.select(F.col("bucket").alias("large_bucket"))
-            members = entries.join(large.select("bucket"), "bucket")
-        small = lists[0]
+            shared = materialize(entries.join(sizes, "bucket"), "jaccard-shared")
+            if texts is None:
+                # Whatever shares a bucket is compared or split on: only those texts are shuffled on.
+                texts = materialize(self.texts_of(docs, shared.select("set").distinct()), "jaccard-texts")
+            small = shared.where(F.col("n") <= self.small)
+            lists.append(small.groupBy("bucket").agg(F.sort_array(F.collect_list("set")).alias("sets")).select("sets"))
+            large = shared.where(F.col("n") > self.small).select("bucket", "set")
+            if level == self.depth or large.isEmpty():
+                break
+            entries = materialize(self.split_on(large, texts), "jaccard-entries")
+        every = lists[0]
         for other in lists[1:]:
-            small = small.unionByName(other)
-        return small.distinct(), members
+            every = every.unionByName(other)
+        return every.distinct(), large, texts
+
+    def texts_of(self, docs: DataFrame, wanted: DataFrame) -> DataFrame:
+        return self.texts_of_sets(docs, "text").join(wanted, "set").groupBy("set").agg(F.first("text").alias("text"))
 
     def compare_lists(self, rows: DataFrame) -> DataFrame:
         """Links (a, b and their copies) among the sets of each list; rows of a list stand together."""
@@ -376,17 +367,17 @@ class Join:
         return rows.groupBy("cluster", "low", "high").applyInPandas(run, "set binary, links long, root binary")
 
     def run(self, docs: DataFrame, text_col: str, id_col: str) -> tuple[DataFrame, DataFrame]:
-        """Sets (set, copies, class_id, n_links, class_docs, root), and ``docs`` as it was read."""
-        source = docs.select(F.col(text_col).alias("text"), F.col(id_col).alias("id"))
-        found = materialize(self.paths(source, "text"), "jaccard-paths")
-        # Copies of a set pick the same paths, so any row's paths serve.
-        sets = materialize(
-            found.groupBy("set").agg(F.sum("copies").alias("copies"), F.min("first_id").alias("first_id"), F.first("paths").alias("paths")),
-            "jaccard-sets",
+        """Sets (set, copies, root, class_id, class_docs, n_links, rep_set), and (set, ids) of all documents."""
+        source = docs.select(F.col(text_col).alias("text"), F.col(id_col).cast("long").alias("id"))
+        found = materialize(self.sets_of(source), "jaccard-found")
+        # Copies of a set pick the same tokens, so any row's buckets serve.
+        sets = found.where("set IS NOT NULL").groupBy("set").agg(
+            F.sum(F.size("ids")).alias("copies"), F.min(F.array_min("ids")).alias("first_id"), F.first("buckets").alias("buckets")
         )
-        lists, large = self.buckets(sets)
+        sets = materialize(sets, "jaccard-sets")
+        lists, large, texts = self.buckets(sets, source)
         lists = materialize(lists.select("sets", F.xxhash64("sets").alias("list")), "jaccard-lists")
-        large = materialize(large, "jaccard-large")
+        texts = texts.join(sets.select("set", "copies"), "set")
         firsts = large.groupBy("bucket").agg(F.min("set").alias("first"))
         stars = large.join(firsts, "bucket").select(F.col("first").alias("a"), F.col("set").alias("b"))
         clusters = materialize(components(stars, "jaccard-clusters"), "jaccard-clusters").select(
@@ -398,10 +389,6 @@ class Join:
         )
         chunked = chunked.withColumn("own", F.pmod(F.xxhash64("set"), F.col("chunks")).cast("int"))
         members = lists.select("list", F.explode("sets").alias("set")).join(clusters, "set", "left")
-        wanted = members.select("set").unionByName(clusters.select("set")).distinct()
-        texts = self.texts_of_sets(source, "text").join(wanted, "set").groupBy("set").agg(F.first("text").alias("text"))
-        texts = materialize(texts.join(sets.select("set", "copies"), "set"), "jaccard-texts")
-
         pairs = self.compare_lists(members.join(texts, "set").select("list", "set", "text", "copies", "cluster"))
         pairs = materialize(pairs.distinct(), "jaccard-pairs")
         others = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
@@ -426,11 +413,13 @@ class Join:
             .withColumn("root", F.coalesce("root", "set"))
         )
         joined = materialize(joined, "jaccard-joined")
-        classes = joined.groupBy("root").agg(F.min("first_id").alias("class_id"), F.sum("copies").alias("class_docs"))
+        first = F.min(F.struct(F.col("first_id").isNull(), "first_id", "set"))
+        classes = joined.groupBy("root").agg(first.alias("first"), F.sum("copies").alias("class_docs"))
         out = joined.join(classes, "root").select(
-            "set", "copies", "root", "class_id", "class_docs", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
-        )
-        return materialize(out, "jaccard-result"), docs
+            "set", "copies", "root", F.col("first.first_id").alias("class_id"), F.col("first.set").alias("rep_set"), "class_docs",
+            (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
+        )
+        return materialize(out, "jaccard-result"), found.select("set", "ids")
 
 
 def near_duplicates(
@@ -444,34 +433,55 @@ def near_duplicates(
     chunk: int = CHUNK,
     depth: int = DEPTH,
 ) -> DataFrame:
-    """``docs`` with ``_set`` (hex digest, null without words) and ``_class``: root, class_id, n_links, class_docs."""
-    join = Join(width, threshold, recall, small, chunk, depth)
-    sets, docs = join.run(docs, text_col, id_col)
-    groups = sets.select(
-        F.hex("set").alias("_set"), "copies", F.struct(F.hex("root").alias("root"), "class_id", "n_links", "class_docs").alias("_class")
+    """One row per document: id, class_id, n_links, class_docs, and the hex digests ``set`` and ``root`` (null without words).
+
+    Documents of a set stand together in few rows when the classes are joined, so many copies are no large key.
+    """
+    sets, found = Join(width, threshold, recall, small, chunk, depth).run(docs, text_col, id_col)
+    named = found.select(F.col("set").alias("_own"), "ids")
+    joined = named.join(sets, F.col("_own") == F.col("set"), "left")
+    return joined.select(F.explode("ids").alias("id"), "set", "root", "class_id", "n_links", "class_docs").select(
+        "id",
+        F.when(F.col("set").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"),
+        F.coalesce("n_links", F.lit(0)).alias("n_links"),
+        F.coalesce("class_docs", F.lit(1)).alias("class_docs"),
+        F.hex("set").alias("set"),
+        F.hex("root").alias("root"),
     )
-    rows = join.with_set(docs.drop("_set", "_class"), text_col).withColumn("_set", F.hex("_set"))
-    rows = rows.withColumn("_spread", F.monotonically_increasing_id())
-    return attach_group_values(rows, materialize(groups, "jaccard-groups"), "_set", "copies", ["_class"], "_spread")
 
 
-def one_of_each(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", **options) -> DataFrame:
-    """One document of each class, the one with the smallest id, and all documents without words."""
-    found = near_duplicates(docs, text_col, id_col, **options)
-    alone = F.col("_class").isNull()
-    first = F.col(id_col).eqNullSafe(F.col("_class.class_id")) | F.col("_class.class_id").isNull()
-    kept = found.where(alone | first)
-    # Rows that repeat the smallest id are copies as well: one row of each root stays.
-    own = F.coalesce(F.col("_class.root"), F.concat(F.lit("row/"), F.col("_spread").cast("string")))
-    return kept.withColumn("_own", own).dropDuplicates(["_own"]).select(*docs.columns)
+def one_of_each(
+    docs: DataFrame,
+    text_col: str = "text",
+    id_col: str = "doc_id",
+    width: int = WIDTH,
+    threshold: float = THRESHOLD,
+    recall: float = TARGET_RECALL,
+    small: int = SMALL,
+    chunk: int = CHUNK,
+    depth: int = DEPTH,
+) -> DataFrame:
+    """One document of each class, the one with the smallest id, and all documents without words.
+
+    Documents meet the list of those that stay by set and id: many copies of a text spread by their ids.
+    """
+    join = Join(width, threshold, recall, small, chunk, depth)
+    sets, _ = join.run(docs, text_col, id_col)
+    stay = sets.where(F.col("set") == F.col("rep_set")).select(
+        F.hex("set").alias("_stay"), F.coalesce(F.col("class_id").cast("string"), F.lit("null")).alias("_stay_id")
+    )
+    rows = join.with_set(docs, text_col)
+    # A document without words has a key of its own, which nothing else has.
+    own = F.concat(F.lit("row/"), F.monotonically_increasing_id().cast("string"))
+    rows = rows.withColumn("_own", F.coalesce(F.hex("_set"), own)).withColumn(
+        "_own_id", F.coalesce(F.col(id_col).cast("long").cast("string"), F.lit("null"))
+    )
+    same = (F.col("_own") == F.col("_stay")) & (F.col("_own_id") == F.col("_stay_id"))
+    kept = rows.join(stay, same, "left").where(F.col("_set").isNull() | F.col("_stay").isNotNull())
+    # Rows that repeat an id and a text are copies as well.
+    return kept.dropDuplicates(["_own", "_own_id"]).select(*docs.columns)
 
 
 def op4(docs: DataFrame) -> DataFrame:
     found = near_duplicates(docs.select("doc_id", "text"))
-    of = F.col("_class")
-    return found.select(
-        "doc_id",
-        F.coalesce(of["class_id"], F.col("doc_id")).alias("class_id"),
-        F.coalesce(of["n_links"], F.lit(0)).alias("n_links"),
-        F.coalesce(of["class_docs"], F.lit(1)).alias("class_docs"),
-    )
+    return found.select(F.col("id").alias("doc_id"), "class_id", "n_links", "class_docs")

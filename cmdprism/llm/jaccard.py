@@ -37,8 +37,8 @@ from cmdprism.sources.tables import materialize
 WIDTH = 5
 THRESHOLD = 0.8
 TARGET_RECALL = 0.99
-DEPTH = 4
-BRANCH = 2.0
+DEPTH = 3
+BRANCH = 1.5
 #: Buckets of up to so many sets are compared at once; larger ones are split on.
 SMALL = 32
 #: Sets in one chunk of a cluster.

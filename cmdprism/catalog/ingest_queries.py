@@ -78,29 +78,36 @@ def written_events(spark: SparkSession, sf_dir: str) -> str:
     return path
 
 
+LABEL_TEXT = """CASE row_id % 5 WHEN 0 THEN verdict_label WHEN 1 THEN 'true' WHEN 2 THEN '1' WHEN 3 THEN ' benign ' ELSE '0' END"""
+
+
 @query(
     "a1_read_events",
     with_telemetry(
-        """SELECT CASE WHEN row_id % 11 IN (0, 1, 2) THEN 'quarantined' ELSE 'event' END AS outcome,
-  "SourceImage" AS image, count(*) AS n_rows,
-  CAST(sum(CASE WHEN row_id % 11 NOT IN (0, 1, 2) THEN length("CommandLine") END) AS BIGINT) AS command_chars
-FROM (SELECT *, CASE WHEN row_id % 11 IN (0, 1, 2) THEN NULL ELSE "SourceImage" END AS "SourceImage" 
-      FROM (SELECT * EXCLUDE ("SourceImage"), "SourceImage" AS img FROM telemetry) )
-GROUP BY ALL""".replace('ELSE "SourceImage" END AS "SourceImage"', 'ELSE img END AS "SourceImage"')
+        f"""SELECT 'event' AS outcome, "ProcessId" AS process_id, "CommandLine" AS command, "SourceImage" AS image,
+  CASE WHEN row_id % 13 = 0 THEN CAST(row_id AS VARCHAR) ELSE prompt END AS prompt, row_id % 13 = 0 AS bad_prompt, {LABEL_TEXT} AS flat_label,
+  coalesce(verdict_label, CASE WHEN row_id % 7 = 0 THEN 'benign' END) AS nested_label, NULL AS raw_length
+FROM telemetry WHERE row_id % 11 NOT IN (0, 1, 2)
+UNION ALL SELECT 'quarantined', NULL, NULL, NULL, NULL, NULL, NULL, NULL, count(*) FROM telemetry WHERE row_id % 11 IN (0, 1, 2) GROUP BY row_id"""
     ),
 )
 def a1_read_events(spark, sf_dir):
+    """Every event with the fields that were written, and a row for each rejected line."""
     good, bad = ev.read_events(spark, written_events(spark, sf_dir))
-    rows = good.select(F.lit("event").alias("outcome"), F.col("SourceImage").alias("image"), "CommandLine").unionByName(
-        bad.select(
-            F.lit("quarantined").alias("outcome"),
-            F.lit(None).cast("string").alias("image"),
-            F.lit(None).cast("string").alias("CommandLine"),
-        )
-    )
-    return rows.groupBy("outcome", "image").agg(
-        F.count("*").alias("n_rows"), F.sum(F.length("CommandLine")).alias("command_chars")
-    )
+    nothing = F.lit(None).cast("string")
+    events = good.select(
+        F.lit("event").alias("outcome"), F.col("ProcessId").alias("process_id"), F.col("CommandLine").alias("command"),
+        F.col("SourceImage").alias("image"), "prompt", F.array_contains("bad_fields", "prompt").alias("bad_prompt"),
+        F.expr("try_variant_get(flat_label, '$', 'string')").alias("flat_label"),
+        F.expr("try_variant_get(verdict.predicted_label, '$', 'string')").alias("nested_label"),
+        F.lit(None).cast("bigint").alias("raw_length"),
+    )
+    names = ["process_id", "command", "image", "prompt", "flat_label", "nested_label"]
+    rejected = bad.select(
+        F.lit("quarantined").alias("outcome"), *[nothing.alias(n) for n in names], F.lit(None).cast("boolean").alias("bad_prompt"),
+        (F.length("raw") > 0).cast("bigint").alias("raw_length"),
+    )
+    return events.unionByName(rejected)
 
 
 @query(
@@ -228,13 +235,27 @@ def b2_resolve_label(spark, sf_dir):
 
 @query(
     "b3_validate_events",
+    with_telemetry(
+        f"""SELECT "ProcessId" AS process_id, CASE WHEN word IS NULL THEN 'missing_label' WHEN {CODE_SQL} IS NULL THEN 'invalid_label'
+  WHEN bad_prompt THEN 'non_text_field' ELSE 'valid' END AS outcome, {CODE_SQL} AS label FROM ({RESOLVED_SQL})"""
+    ),
+)
+def b3_validate_events(spark, sf_dir):
+    good, _ = ev.read_events(spark, written_events(spark, sf_dir))
+    valid, rejected = ingest.validate_events(good)
+    kept = valid.select(F.col("ProcessId").alias("process_id"), F.lit("valid").alias("outcome"), F.col("_label").alias("label"))
+    return kept.unionByName(rejected.select(F.col("ProcessId").alias("process_id"), F.col("reject_reason").alias("outcome"), F.col("_label").alias("label")))
+
+
+@query(
+    "b3_reject_counts",
     with_telemetry(
         f"""SELECT CASE WHEN word IS NULL THEN 'missing_label' WHEN {CODE_SQL} IS NULL THEN 'invalid_label'
   WHEN bad_prompt THEN 'non_text_field' ELSE 'valid' END AS outcome, count(*) AS n_rows
 FROM ({RESOLVED_SQL}) GROUP BY ALL"""
     ),
 )
-def b3_validate_events(spark, sf_dir):
+def b3_reject_counts(spark, sf_dir):
     good, _ = ev.read_events(spark, written_events(spark, sf_dir))
     return ingest.reject_counts(ingest.check_events(good))
 

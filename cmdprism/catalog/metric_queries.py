@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cmdprism.catalog.registry import query
-from cmdprism.catalog.scored import score_runs, scored, stacked, with_scored
+from cmdprism.catalog.scored import MODELS, score_runs, scored, stacked, with_scored
 from cmdprism.catalog.telemetry import FLAG_FEATURES, telemetry, with_telemetry
 from cmdprism.functions.features import build_features
 from cmdprism.operators import errors as er
@@ -297,8 +297,8 @@ ORDER BY "precision" DESC, threshold LIMIT 1"""
 FINE_GRID = "SELECT CASE WHEN i = 400 THEN 1e0 ELSE i * 0.0025e0 END AS threshold FROM range(0, 401) t(i)"
 
 
-def calibrated(df):
-    out = m.calibrate_threshold(df, 0.95, 400)
+def calibrated(df, candidates):
+    out = m.calibrate_threshold(df, 0.95, 400, candidates=candidates)
     return rounded(out, ["threshold", "precision", "recall"]).select(
         "threshold", "precision", "recall", "achieved_target", "evaluated_points"
     )
@@ -309,21 +309,25 @@ def calibrated(df):
     with_telemetry(CALIBRATE, ("scored", 'SELECT score, "_label" FROM telemetry'), ("points", sweep_sql(FINE_GRID, ""))),
 )
 def f7_calibrate_grid(spark, sf_dir):
-    """Many distinct scores: the candidates are the uniform grid."""
-    return calibrated(telemetry(spark, sf_dir))
+    """The candidates are an even grid."""
+    return calibrated(telemetry(spark, sf_dir), "grid")
 
 
 @query(
     "f7_calibrate_distinct",
     with_scored(
-        CALIBRATE,
-        ("keyword", "SELECT score, \"_label\" FROM scored WHERE model = 'keyword'"),
-        ("points", sweep_sql("SELECT DISTINCT score AS threshold FROM keyword", "").replace("FROM scored,", "FROM keyword,")),
+        f"""SELECT model, round(score, 6) AS threshold, round({div('tp', 'tp + fp')}, 6) AS "precision", round({div('tp', 'pt')}, 6) AS recall,
+  TRUE AS achieved_target, evaluated_points FROM (
+  SELECT *, count(*) OVER (PARTITION BY model) AS evaluated_points FROM curve) WHERE {div('tp', 'pt')} >= 0.95e0
+QUALIFY row_number() OVER (PARTITION BY model ORDER BY {div('tp', 'tp + fp')} DESC, score) = 1""",
+        ("curve", CURVE),
     ),
 )
 def f7_calibrate_distinct(spark, sf_dir):
-    """Few distinct scores: they are the candidates themselves."""
-    return calibrated(scored(spark, sf_dir).where(F.col("model") == "keyword"))
+    """Every distinct score is a candidate, for each model."""
+    scores = score_runs(spark, sf_dir)
+    parts = [calibrated(scores.where(F.col("model") == name), "distinct").withColumn("model", F.lit(name)) for name in MODELS]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 @query(

@@ -60,10 +60,12 @@ def outside_predictions(spark, sf_dir):
     """One or two predictions per event, as an outside scorer would deliver them."""
     t = telemetry(spark, sf_dir)
     first = t.select(
-        "row_id", F.lit(0).alias("seq"), F.col("verdict_label").alias("label"), F.lit("high").alias("confidence")
+        "row_id", F.lit(0).alias("seq"), F.col("verdict_label").alias("label"), F.lit("0.99").alias("confidence"),
+        F.lit(False).alias("is_number"),
     )
     again = t.where(F.col("row_id") % 3 == 0).select(
-        "row_id", F.lit(1).alias("seq"), F.lit("Malicious").alias("label"), F.round("score", 4).cast("string").alias("confidence")
+        "row_id", F.lit(1).alias("seq"), F.lit("Malicious").alias("label"), F.round("score", 4).cast("string").alias("confidence"),
+        F.lit(True).alias("is_number"),
     )
     return first.unionByName(again)
 
@@ -78,7 +80,7 @@ def outside_predictions(spark, sf_dir):
 def d5_attach_predictions(spark, sf_dir):
     events = telemetry(spark, sf_dir).select("row_id", "_label")
     joined = lk.attach_predictions(events, outside_predictions(spark, sf_dir), "seq")
-    prob = lk.prediction_to_prob(F.col("label"), F.col("confidence"))
+    prob = lk.prediction_to_prob(F.col("label"), F.col("confidence"), F.col("is_number"))
     return joined.select("row_id", "_label", F.round(prob, 4).alias("prob"))
 
 
@@ -237,14 +239,16 @@ def i4_linear_contributions(spark, sf_dir):
     return items.select("row_id", (F.col("pos") + 1).cast("bigint").alias("rank"), "c.feature", "c.phrase", F.round("c.impact", 6).alias("impact"))
 
 
-@query("i4_tree_contributions")
+@query("i4_tree_contributions", with_telemetry("SELECT row_id, TRUE AS in_range, TRUE AS adds_up FROM telemetry"))
 def i4_tree_contributions(spark, sf_dir):
-    """Path attribution of a trained forest: impacts and base add up to the score (rows only)."""
+    """Path attribution of a trained forest: impacts and base add up to every row's score."""
     features = build_features(telemetry(spark, sf_dir))
-    model = md.train_random_forest(features, {"numTrees": 5, "maxDepth": 4})
+    model = md.train_random_forest(features)
     out, base = ex.tree_contributions(model, features, top_k=1000)
     total = F.aggregate("contributions", F.lit(base), lambda acc, c: acc + c["impact"])
-    return out.select("row_id", F.round("score", 4).alias("score"), F.round(total, 2).alias("base_plus_impacts"))
+    # Impacts below the reporting limit are left out, so the sum may be off by as much for each feature.
+    limit = ex.MIN_IMPACT * 40
+    return out.select("row_id", F.col("score").between(0, 1).alias("in_range"), (F.abs(total - F.col("score")) <= limit).alias("adds_up"))
 
 
 @query(
@@ -373,16 +377,15 @@ def j4_instruction_records(spark, sf_dir):
 @query(
     "j5_export_corpus",
     with_assigned_judged(
-        f"""SELECT split, count(*) AS n_rows, CAST(sum(length({OUTPUT_TEXT})) AS BIGINT) AS response_chars
-FROM judged JOIN (SELECT row_id, split FROM assigned) USING (row_id) WHERE split <> 'val' GROUP BY 1"""
+        f"""SELECT row_id, split, {OUTPUT_TEXT} AS response FROM judged JOIN (SELECT row_id, split FROM assigned) USING (row_id)"""
     ),
 )
 def j5_export_corpus(spark, sf_dir):
     rows = judged(spark, sf_dir)
     path = scratch_path(spark, "corpus")
-    cp.export_corpus(rows, sp.stratified_group_split(add_group_key(rows)), path, ("train", "test"))
+    cp.export_corpus(rows, sp.stratified_group_split(add_group_key(rows)), path)
     saved = ev.read_jsonl(spark, path, "row_id BIGINT, formatted_response STRING, split STRING")
-    return saved.groupBy("split").agg(F.count("*").alias("n_rows"), F.sum(F.length("formatted_response")).alias("response_chars"))
+    return saved.select("row_id", "split", F.col("formatted_response").alias("response"))
 
 
 @query(
@@ -470,29 +473,44 @@ def j10_review_prompt(spark, sf_dir):
 
 
 def answers(spark, sf_dir):
-    """Generated texts of many shapes, one per event."""
+    """Generated texts of many shapes, one per event: around its reason, its properties and its score."""
     t = telemetry(spark, sf_dir)
-    n, rid = F.col("row_id") % 7, F.col("row_id").cast("string")
+    n = F.col("row_id") % 7
+    reason, props = tx.json_string(F.coalesce("verdict_reason", F.lit(" none "))), F.coalesce("prompt", F.lit("{}"))
+    number = F.round("score", 3).cast("string")
     text = (
-        F.when(n == 0, F.concat(F.lit('{"label": "MALICIOUS", "explanation": " run '), rid, F.lit(' ", "confidence": 0.75}')))
-        .when(n == 1, F.concat(F.lit('Sure! {"label": "benign", "explanation": "event '), rid, F.lit('"} Anything else?')))
-        .when(n == 2, F.concat(F.lit("  Likely benign: event "), rid, F.lit(" \n")))
-        .when(n == 3, F.lit('{"label": "maybe", "confidence": "high"}'))
-        .when(n == 4, F.concat(F.lit('{"label": "malicious"} and {"label": "benign"} '), rid))
-        .when(n == 5, F.lit('```json\n{"label": "malicious", "explanation": "fenced"}\n```'))
-        .otherwise(F.lit("} wrong order {"))
+        F.when(n == 0, F.concat(F.lit('{"label": "MALICIOUS", "explanation": '), reason, F.lit(', "confidence": '), number, F.lit("}")))
+        .when(n == 1, F.concat(F.lit('Sure! {"label": "benign", "explanation": '), reason, F.lit("} Anything else?")))
+        .when(n == 2, F.concat(F.lit("  Likely benign: "), F.coalesce("verdict_reason", F.lit("event")), F.lit(" \n")))
+        .when(n == 3, F.concat(F.lit('{"label": "maybe", "confidence": "high", "event": '), props, F.lit("}")))
+        .when(n == 4, F.concat(F.lit('{"label": "malicious"} and '), props))
+        .when(n == 5, F.concat(F.lit('```json\n{"label": "'), F.coalesce("verdict_label", F.lit("?")), F.lit('", "explanation": "fenced"}\n```')))
+        .otherwise(F.concat(F.lit("} "), F.col("Hostname"), F.lit(" {")))
     )
-    return t.select("row_id", text.alias("text"))
-
-
-PARSED = """SELECT row_id, CASE row_id % 7 WHEN 0 THEN 'malicious' WHEN 1 THEN 'benign' WHEN 5 THEN 'malicious' ELSE 'unknown' END AS label,
-  CASE row_id % 7 WHEN 0 THEN concat('run ', row_id) WHEN 1 THEN concat('event ', row_id) WHEN 2 THEN concat('Likely benign: event ', row_id)
-    WHEN 3 THEN NULL WHEN 4 THEN concat('{"label": "malicious"} and {"label": "benign"} ', row_id) WHEN 5 THEN 'fenced'
-    ELSE '} wrong order {' END AS explanation,
-  CASE row_id % 7 WHEN 0 THEN '0.75' WHEN 3 THEN 'high' END AS confidence FROM telemetry"""
-
-
-@query("j8_parse_model_output", with_telemetry(PARSED))
+    return t.select("row_id", F.explode(F.array(text)).alias("text"))
+
+
+REASON_JSON = js("coalesce(verdict_reason, ' none ')")
+ANSWERS = f"""SELECT row_id, CASE row_id % 7
+  WHEN 0 THEN concat('{{"label": "MALICIOUS", "explanation": ', {REASON_JSON}, ', "confidence": ', CAST(round(score, 3) AS VARCHAR), '}}')
+  WHEN 1 THEN concat('Sure! {{"label": "benign", "explanation": ', {REASON_JSON}, '}} Anything else?')
+  WHEN 2 THEN concat('  Likely benign: ', coalesce(verdict_reason, 'event'), ' ', chr(10))
+  WHEN 3 THEN concat('{{"label": "maybe", "confidence": "high", "event": ', coalesce(prompt, '{{}}'), '}}')
+  WHEN 4 THEN concat('{{"label": "malicious"}} and ', coalesce(prompt, '{{}}'))
+  WHEN 5 THEN concat('```json', chr(10), '{{"label": "', coalesce(verdict_label, '?'), '", "explanation": "fenced"}}', chr(10), '```')
+  ELSE concat('}} ', "Hostname", ' {{') END AS text FROM telemetry"""
+# Parsed by DuckDB: the span from the first to the last brace, if it is one JSON object.
+SPANS = r"""SELECT row_id, trim(text, chr(32) || chr(10)) AS cleaned, regexp_extract(text, '\{.*\}', 0, 's') AS span FROM answers"""
+OBJECTS = """SELECT row_id, cleaned, CASE WHEN json_valid(span) THEN CASE WHEN json_type(span) = 'OBJECT' THEN span END END AS o FROM spans"""
+PARSED = """SELECT row_id, CASE WHEN lower(json_extract_string(o, '$.label')) IN ('malicious', 'benign')
+    THEN lower(json_extract_string(o, '$.label')) ELSE 'unknown' END AS label,
+  CASE WHEN o IS NULL THEN cleaned ELSE trim(json_extract_string(o, '$.explanation')) END AS explanation,
+  json_extract_string(o, '$.confidence') AS confidence, json_type(o, '$.confidence') IN ('DOUBLE', 'UBIGINT', 'BIGINT') AS is_number
+FROM objects"""
+ANSWER_PARTS = (("answers", ANSWERS), ("spans", SPANS), ("objects", OBJECTS), ("parsed", PARSED))
+
+
+@query("j8_parse_model_output", with_telemetry("SELECT row_id, label, explanation, confidence FROM parsed", *ANSWER_PARTS))
 def j8_parse_model_output(spark, sf_dir):
     parsed = answers(spark, sf_dir).withColumn("p", pl.parse_model_output(F.col("text")))
     return parsed.select("row_id", "p.label", "p.explanation", "p.confidence")
@@ -501,7 +519,8 @@ def j8_parse_model_output(spark, sf_dir):
 @query(
     "j9_prediction_to_prob",
     with_telemetry(
-        f"""SELECT row_id, CASE WHEN row_id % 7 = 0 THEN 0.75e0 WHEN label = 'malicious' THEN 1e0 ELSE 0e0 END AS prob FROM ({PARSED})"""
+        """SELECT row_id, CASE WHEN is_number THEN CAST(confidence AS DOUBLE) WHEN label = 'malicious' THEN 1e0 ELSE 0e0 END AS prob FROM parsed""",
+        *ANSWER_PARTS,
     ),
 )
 def j9_prediction_to_prob(spark, sf_dir):
@@ -510,26 +529,49 @@ def j9_prediction_to_prob(spark, sf_dir):
     return parsed.select("row_id", prob.alias("prob"))
 
 
+REVIEW_ANSWERS = f"""SELECT conv_id, turn, CASE turn % 6
+  WHEN 0 THEN concat('{{"reason_good": true, "justification": ', {js('text')}, ', "improvements": [', {js('role')}, ', "b"]}}')
+  WHEN 1 THEN concat('```json', chr(10), '{{"reason_good": ', conv_id % 3, ', "justification": ', {js('text')}, ', "improvements": []}}', chr(10), '```')
+  WHEN 2 THEN concat('{{"reason_good": null, "role": ', {js('role')}, '}}')
+  WHEN 3 THEN concat(' ', text, ' ')
+  WHEN 4 THEN concat('{{"reason_good": ', {js('role')}, ', "justification": "yes", "improvements": ', {js('role')}, '}}')
+  ELSE concat('{{"reason_good": false, "justification": ', {js('text')}, ', "improvements": null}}') END AS answer FROM conversations"""
+
+
 @query(
     "j11_parse_review_response",
-    with_telemetry(
-        """SELECT row_id, n IN (0, 1, 4) AS reason_good, CASE n WHEN 0 THEN concat('ok ', row_id) WHEN 1 THEN 'fenced' WHEN 2 THEN ''
-    WHEN 3 THEN concat('Could not parse judge response: looks fine ', row_id) WHEN 4 THEN 'yes' ELSE 'no list' END AS justification,
-  CASE n WHEN 0 THEN 'a|b' WHEN 4 THEN 'shorter' ELSE '' END AS improvements FROM (SELECT row_id, row_id % 6 AS n FROM telemetry)"""
-    ),
+    f"""WITH answers AS ({REVIEW_ANSWERS}),
+bodies AS (SELECT *, regexp_replace(regexp_replace(trim(answer, chr(32) || chr(9) || chr(10)), '^```[^\n]*\n', ''), '\n```$', '') AS body FROM answers),
+objects AS (SELECT *, CASE WHEN json_valid(body) THEN CASE WHEN json_type(body) = 'OBJECT' THEN body END END AS o FROM bodies)
+SELECT conv_id, turn, CASE json_type(o, '$.reason_good') WHEN 'BOOLEAN' THEN json_extract_string(o, '$.reason_good') = 'true'
+    WHEN 'VARCHAR' THEN json_extract_string(o, '$.reason_good') <> '' WHEN 'NULL' THEN FALSE
+    ELSE coalesce(TRY_CAST(json_extract_string(o, '$.reason_good') AS DOUBLE) <> 0, FALSE) END AS reason_good,
+  CASE WHEN o IS NULL THEN concat('Could not parse judge response: ', body) ELSE coalesce(json_extract_string(o, '$.justification'), '') END AS justification,
+  CASE json_type(o, '$.improvements') WHEN 'ARRAY' THEN array_to_string(json_extract_string(o, '$.improvements[*]'), '|')
+    WHEN 'VARCHAR' THEN json_extract_string(o, '$.improvements') ELSE '' END AS improvements FROM objects""",
 )
 def j11_parse_review_response(spark, sf_dir):
-    n, rid = F.col("row_id") % 6, F.col("row_id").cast("string")
+    """Reviews made around the turns of the conversations."""
+    turns = table(spark, sf_dir, "conversations")
+    n, said, role = F.col("turn") % 6, tx.json_string(F.col("text")), tx.json_string(F.col("role"))
     text = (
-        F.when(n == 0, F.concat(F.lit('{"reason_good": true, "justification": "ok '), rid, F.lit('", "improvements": ["a", "b"]}')))
-        .when(n == 1, F.lit('```json\n{"reason_good": 1, "justification": "fenced", "improvements": []}\n```'))
-        .when(n == 2, F.lit('{"reason_good": null}'))
-        .when(n == 3, F.concat(F.lit(" looks fine "), rid))
-        .when(n == 4, F.lit('{"reason_good": "yes", "justification": "yes", "improvements": "shorter"}'))
-        .otherwise(F.lit('{"reason_good": false, "justification": "no list", "improvements": null}'))
+        F.when(n == 0, F.concat(F.lit('{"reason_good": true, "justification": '), said, F.lit(', "improvements": ['), role, F.lit(', "b"]}')))
+        .when(
+            n == 1,
+            F.concat(
+                F.lit('```json\n{"reason_good": '), (F.col("conv_id") % 3).cast("string"), F.lit(', "justification": '), said,
+                F.lit(', "improvements": []}\n```'),
+            ),
+        )
+        .when(n == 2, F.concat(F.lit('{"reason_good": null, "role": '), role, F.lit("}")))
+        .when(n == 3, F.concat(F.lit(" "), F.col("text"), F.lit(" ")))
+        .when(n == 4, F.concat(F.lit('{"reason_good": '), role, F.lit(', "justification": "yes", "improvements": '), role, F.lit("}")))
+        .otherwise(F.concat(F.lit('{"reason_good": false, "justification": '), said, F.lit(', "improvements": null}')))
     )
-    parsed = telemetry(spark, sf_dir).select("row_id", pl.parse_review_response(text).alias("p"))
-    return parsed.select("row_id", "p.reason_good", "p.justification", F.array_join("p.improvements", "|").alias("improvements"))
+    # As a generator the text is put together once; the parser reads it in several places.
+    reviews = turns.select("conv_id", "turn", F.explode(F.array(text)).alias("answer"))
+    parsed = reviews.select("conv_id", "turn", pl.parse_review_response(F.col("answer")).alias("p"))
+    return parsed.select("conv_id", "turn", "p.reason_good", "p.justification", F.array_join("p.improvements", "|").alias("improvements"))
 
 
 @query(
@@ -677,11 +719,17 @@ def benchmark(spark, sf_dir, scores=None):
 
 @query(
     "k3_cost_benchmark",
-    with_costs("SELECT * EXCLUDE (recall_1), round(recall_1, 6) AS recall_1 FROM bench", *METRIC_PARTS),
+    with_costs(
+        """SELECT * EXCLUDE (recall_1), round(recall_1, 6) AS recall_1 FROM bench UNION ALL BY NAME
+SELECT 'claude' AS model, round(latency_seconds, 6) AS latency_seconds, round(per_prediction_usd * 1000000, 6) AS per_million_usd,
+  1e0 AS speedup, 1e0 AS savings, -1 AS ordinal, (SELECT round(count(*) FILTER (WHERE lower(verdict_label) = 'malicious' AND "_label" = 1)
+    / CAST(count(*) FILTER (WHERE "_label" = 1) AS DOUBLE), 6) FROM telemetry) AS recall_1 FROM costs WHERE model = 'claude'""",
+        *METRIC_PARTS,
+    ),
 )
 def k3_cost_benchmark(spark, sf_dir):
     columns = ["recall_1", "latency_seconds", "per_million_usd", "speedup", "savings"]
-    rows = rounded(benchmark(spark, sf_dir).where("model <> 'claude'"), columns)
+    rows = rounded(benchmark(spark, sf_dir), columns)
     return rows.select("model", "ordinal", *columns)
 
 
@@ -721,10 +769,11 @@ AVERAGES = [f"{a}_{x}" for a in ("macro", "weighted") for x in ("precision", "re
 @query(
     "k5_dashboard_details",
     with_costs(
-        f"""SELECT model, n, {rounded_sql(AVERAGES)}, target, threshold, tp, per_million_usd FROM metric
-JOIN (SELECT model, target, threshold, tp FROM (SELECT *, row_number() OVER (PARTITION BY model, target ORDER BY abs(threshold - target), threshold) AS r
+        f"""SELECT model, n, {rounded_sql(AVERAGES)}, target, threshold, tp, fp, tn, fn, round("precision", 6) AS "precision",
+  round(recall, 6) AS recall, per_million_usd, speedup, savings FROM metric
+JOIN (SELECT model, target, threshold, tp, fp, tn, fn, "precision", recall FROM (SELECT *, row_number() OVER (PARTITION BY model, target ORDER BY abs(threshold - target), threshold) AS r
   FROM points, (SELECT i / 10e0 AS target FROM range(1, 10) t(i))) WHERE r = 1) USING (model)
-JOIN (SELECT model, per_million_usd FROM bench) USING (model)""",
+JOIN (SELECT model, per_million_usd, speedup, savings FROM bench) USING (model)""",
         *METRIC_PARTS,
         ("points", sweep_sql(GRID).replace("FROM scored,", "FROM public,")),
     ),
@@ -735,6 +784,7 @@ def k5_dashboard_details(spark, sf_dir):
     points = m.threshold_sweep(scores, by=["model"])
     sampled = m.nearest_threshold_rows(points, [round(i / 10, 1) for i in range(1, 10)], ["model"])
     details = co.dashboard_details(metrics, sampled, benchmark(spark, sf_dir, scores))
-    flat = details.select("model", "n", *AVERAGES, F.col("per_million_usd"), F.inline("threshold_rows"))
-    rows = rounded(flat, [*AVERAGES, "per_million_usd"])
-    return rows.select("model", "n", *AVERAGES, "target", "threshold", "tp", "per_million_usd")
+    money = ["per_million_usd", "speedup", "savings"]
+    flat = details.select("model", "n", *AVERAGES, *money, F.inline("threshold_rows"))
+    rows = rounded(flat, [*AVERAGES, *money, "precision", "recall"])
+    return rows.select("model", "n", *AVERAGES, "target", "threshold", "tp", "fp", "tn", "fn", "precision", "recall", *money)

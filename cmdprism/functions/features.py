@@ -30,7 +30,7 @@ KEYWORD_TEXTS: dict[str, tuple[str, ...]] = {
     "has_bypass": ("bypass",),
 }
 # The flags that need a pattern, over the command as written or lower-cased.
-BASE64_PATTERN = "[A-Za-z0-9+/=](?<![A-Za-z0-9+/=]{2})[A-Za-z0-9+/=]{39}"
+BASE64_PATTERN = "[A-Za-z0-9+/=]{40,}"
 REG_ADD_PATTERN = rf"reg(\.exe)?{SPACE}+add"
 SCRIPT_EXTENSION_PATTERN = rf"""\.(cab|zip|ps1|bat|vbs)'*"*({SPACE}|\z)"""
 

@@ -46,9 +46,9 @@ def with_prices(models: DataFrame, resources: DataFrame | None = None, prices: D
     spark = models.sparkSession
     resources = resources if resources is not None else resource_table(spark)
     prices = prices if prices is not None else price_table(spark)
-    keyed = models.join(F.broadcast(resources), F.lower("model") == F.col("cost_model"), "left").drop("cost_model")
+    keyed = models.join(resources, F.lower("model") == F.col("cost_model"), "left").drop("cost_model")
     keyed = keyed.withColumn("resource", F.coalesce("resource", F.lit(DEFAULT_RESOURCE)))
-    return keyed.join(F.broadcast(prices), "resource", "left")
+    return keyed.join(prices, "resource", "left")
 
 
 def cost_from_latency(latency: Column, hourly: Column, utilization: float) -> Column:

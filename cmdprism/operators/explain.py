@@ -8,7 +8,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cmdprism.functions.features import CATEGORICAL_FEATURES
+from cmdprism.functions.features import CATEGORICAL_FEATURES, NUMERIC_FEATURES
 from cmdprism.functions.numbers import fixed
 from cmdprism.functions.signals import build_signals, feature_phrase
 from cmdprism.operators.models import Detector
@@ -98,50 +98,65 @@ def path_impacts(nodes: pd.DataFrame) -> tuple[float, list[tuple[np.ndarray, np.
     return base, trees
 
 
+def used_features(detector: Detector, positions: list[int]) -> list[tuple[str, Column]]:
+    """Name and shown value of the matrix columns that the trees split on; the model bounds their number."""
+    sizes, out = detector.config["sizes"], {}
+    for i in positions:
+        if i < len(NUMERIC_FEATURES):
+            out[i] = (NUMERIC_FEATURES[i], F.col(NUMERIC_FEATURES[i]).cast("double").cast("string"))
+    if detector.config["feature_type"] == "categorical":
+        for k, name in enumerate(CATEGORICAL_FEATURES):
+            out[len(NUMERIC_FEATURES) + k] = (name, F.col(name))
+        return [out[i] for i in positions]
+    offset = len(NUMERIC_FEATURES)
+    for name, table in detector.categories.items():
+        wanted = [i - offset for i in positions if offset <= i <= offset + sizes[name]]
+        found = {int(r["index"]): r["value"] for r in table.where(F.col("index").isin(wanted)).collect()} if wanted else {}
+        for k in wanted:
+            value = F.coalesce(F.col(name), F.lit("unknown"))
+            hit = F.col(f"{name}_index") == sizes[name] if k == sizes[name] else value == found[k]
+            shown = F.when(hit, "1.0").otherwise("0.0")
+            out[offset + k] = (f"{name}_{found[k]}" if k in found else f"{name}_other", shown)
+        offset += sizes[name] + 1
+    return [out[i] for i in positions]
+
+
 def tree_contributions(detector: Detector, df: DataFrame, top_k: int = 3) -> tuple[DataFrame, float]:
     """Score events with a tree model and attribute each margin to features along the decision paths.
 
-    The model's own leaf index says where a row ends in every tree, so the Python part only
-    adds up prepared path tables for an Arrow batch. Impacts plus the base value give the margin.
+    The model's own leaf index says where a row ends in every tree, so the Python part only adds up prepared path
+    tables for an Arrow batch, over the features that the trees split on. Impacts plus the base value give the margin.
     """
     spark = df.sparkSession
     base, trees = path_impacts(saved_nodes(spark, detector))
-    names = detector.feature_names
+    positions = sorted({int(i) for index, _ in trees for i in np.unique(index)})
+    place = {i: k for k, i in enumerate(positions)}
+    trees = [(np.vectorize(place.get, otypes=[np.int64])(index), impact) for index, impact in trees]
+    used = used_features(detector, positions)
     shared = spark.sparkContext.broadcast(trees)
-    keep, n_features = min(top_k, len(names)), len(names)
+    n_features = len(positions)
+    keep = min(top_k, n_features)
 
-    @F.pandas_udf("array<struct<index: int, impact: double>>")
-    def attribute(leaves: pd.Series) -> pd.Series:
+    @F.pandas_udf("index array<int>, impact array<double>")
+    def attribute(leaves: pd.Series) -> pd.DataFrame:
         matrix = np.vstack(leaves.to_numpy()).astype(np.int64)
-        out = np.empty(len(matrix), dtype=object)
-        for start in range(0, len(matrix), 1000):
-            part = matrix[start : start + 1000]
-            total = np.zeros((len(part), n_features))
-            rows = np.arange(len(part))[:, None]
-            for tree, (index, impact) in enumerate(shared.value):
-                np.add.at(total, (rows, index[part[:, tree]]), impact[part[:, tree]])
-            order = np.argsort(-np.abs(total), axis=1, kind="stable")[:, :keep]
-            for i, top in enumerate(order):
-                out[start + i] = [{"index": int(j), "impact": float(total[i, j])} for j in top]
-        return pd.Series(out)
+        total = np.zeros((len(matrix), n_features))
+        rows = np.arange(len(matrix))[:, None]
+        for tree, (index, impact) in enumerate(shared.value):
+            np.add.at(total, (rows, index[matrix[:, tree]]), impact[matrix[:, tree]])
+        order = np.argsort(-np.abs(total), axis=1, kind="stable")[:, :keep]
+        return pd.DataFrame({"index": list(order.astype(np.int32)), "impact": list(np.take_along_axis(total, order, axis=1))})
 
     scored = detector.pipeline.transform(detector.prepare(df))
-    labels = F.array(*[F.lit(n) for n in names])
-    values = vector_to_array("features")
-
-    def value_of(i: Column) -> Column:
-        number = F.element_at(F.col("_values"), i + 1).cast("string")
-        name = F.element_at(labels, i + 1)
-        out = number
-        for c in CATEGORICAL_FEATURES:
-            out = F.when(name == c, F.col(c)).otherwise(out)
-        return out
-
-    staged = scored.withColumns({"_impacts": attribute(vector_to_array("leaf")), "_values": values})
-    items = F.transform(
-        "_impacts",
-        lambda c: F.struct(
-            F.element_at(labels, c["index"] + 1).alias("feature"), value_of(c["index"]).alias("value"), c["impact"].alias("impact")
+    labels = F.array(*[F.lit(name) for name, _ in used])
+    staged = scored.withColumns(
+        {"_impacts": attribute(vector_to_array("leaf")), "_values": F.array(*[shown for _, shown in used])}
+    )
+    items = F.zip_with(
+        "_impacts.index",
+        "_impacts.impact",
+        lambda i, impact: F.struct(
+            F.element_at(labels, i + 1).alias("feature"), F.element_at(F.col("_values"), i + 1).alias("value"), impact.alias("impact")
         ),
     )
     staged = staged.withColumn("contributions", _top(items, top_k))
@@ -183,6 +198,7 @@ def explain(df: DataFrame, score: str = "score", threshold: float = 0.5, top_k:
     )
     has_pushes = F.size("contributions") > 0
     shown = fixed(F.col(score), 2)
+    # The wordings of the narrative.
     narrative = (
         F.when(hit & has_pushes, F.concat(F.lit("Model score "), shown, F.lit(" driven by "), pushes, F.lit(".")))
         .when(

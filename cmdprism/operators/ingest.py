@@ -8,18 +8,14 @@ from pyspark.sql import functions as F
 from cmdprism.functions import text as tx
 from cmdprism.functions.labels import label_from_variant
 from cmdprism.functions.numbers import fixed
-from cmdprism.plans.prefix import quantile_bounds, running_totals, with_score_bucket
+from cmdprism.plans.prefix import rank_in_order
 from cmdprism.session import COMMAND, GROUP_KEY, IMAGE, LABEL, ROW_ID
 
 
 def with_row_id(df: DataFrame, order_by: str, row_id: str = ROW_ID) -> DataFrame:
-    """Dense 0-based id in the order of a unique numeric column."""
-    bounds = quantile_bounds(df, order_by)
-    staged = with_score_bucket(df, order_by, bounds).withColumns(
-        {"_all": F.lit(0), "_one": F.lit(1).cast("bigint")}
-    )
-    numbered = running_totals(staged, ["_all"], "_bucket", [F.col(order_by)], ["_one"])
-    return numbered.withColumnRenamed("_one_before", row_id).drop("_all", "_bucket", "_one", "_one_total")
+    """Dense 0-based id in the order of a unique column."""
+    ranked = rank_in_order(df.withColumn("_all", F.lit(0)), ["_all"], [F.col(order_by)])
+    return ranked.withColumnRenamed("_rank", row_id).drop("_all", "_n")
 
 
 def with_row_hash(df: DataFrame, command: str = COMMAND, image: str = IMAGE, prompt: str = "prompt") -> DataFrame:

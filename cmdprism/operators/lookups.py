@@ -11,11 +11,11 @@ from cmdprism.session import LABEL, ROW_ID
 def prediction_to_prob(label: Column, confidence: Column, numeric: Column | None = None, signed: bool = False) -> Column:
     """A numeric confidence as it is, else 1 or 0 from the label word.
 
-    ``numeric`` says whether the source value was a JSON number; text never counts. With
-    ``signed`` a benign verdict's confidence is turned around.
+    ``numeric`` says whether the source value was a number; text never counts, so without ``numeric`` only the
+    label does. With ``signed`` a benign verdict's confidence is turned around.
     """
     malicious = F.lower(F.coalesce(label, F.lit("unknown"))) == "malicious"
-    value = confidence.try_cast("double") if numeric is None else F.when(numeric, confidence.try_cast("double"))
+    value = F.lit(None).cast("double") if numeric is None else F.when(numeric, confidence.try_cast("double"))
     if signed:
         value = F.when(malicious, value).otherwise(1.0 - value)
     return F.coalesce(value, F.when(malicious, 1.0).otherwise(0.0))

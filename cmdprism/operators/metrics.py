@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from cmdprism.functions.labels import verdict_code
 from cmdprism.functions.numbers import ratio
-from cmdprism.plans.prefix import DEFAULT_BUCKETS, quantile_bounds, running_totals, with_score_bucket
+from cmdprism.plans.prefix import running_totals, with_score_bucket
 from cmdprism.session import LABEL
 
 ALL = "_all"
@@ -92,16 +92,10 @@ def score_counts(df: DataFrame, by: list[str], label: str = LABEL, score: str =
     return df.groupBy(*by, score).agg(*_class_counts(label, score)).where(F.col("p") + F.col("n") > 0)
 
 
-def ranked_scores(
-    df: DataFrame, by: list[str] = (), label: str = LABEL, score: str = "score", buckets: int = DEFAULT_BUCKETS
-) -> DataFrame:
+def ranked_scores(df: DataFrame, by: list[str] = (), label: str = LABEL, score: str = "score") -> DataFrame:
     """Distinct scores with the positives and negatives scored strictly higher, and the totals."""
     keyed, keys = _keys(df, by)
-    bounds = quantile_bounds(keyed, score, buckets)
-    counts = with_score_bucket(score_counts(keyed, keys, label, score), score, bounds)
-    return running_totals(counts, keys, "_bucket", [F.col(score).desc()], ["p", "n"], bucket_descending=True).drop(
-        "_bucket"
-    )
+    return running_totals(score_counts(keyed, keys, label, score), keys, [F.col(score).desc()], ["p", "n"])
 
 
 def roc_points(ranked: DataFrame, score: str = "score") -> DataFrame:
@@ -213,27 +207,30 @@ def sweep_with_calibrated(
     return sweep_thresholds(df, grid, by, label, score).withColumn("is_calibrated", marked)
 
 
-def calibration_candidates(df: DataFrame, steps: int, score: str = "score") -> list[float]:
-    """The distinct scores where there are fewer than ``steps``, else a uniform grid.
+def grid_points(df: DataFrame, steps: int, label: str, score: str) -> DataFrame:
+    """Precision and recall at ``steps + 1`` evenly spaced thresholds from 0 to 1."""
+    grid = [i / steps for i in range(steps)] + [1.0]
+    return sweep_thresholds(df, grid, label=label, score=score).select("threshold", "precision", "recall")
 
-    The scores are made distinct on the cluster; at most ``steps`` values reach the driver.
-    """
-    found = [r[0] for r in df.where(F.col(score).isNotNull()).select(score).distinct().limit(steps).collect()]
-    if len(found) < steps:
-        return sorted(found)
-    width = 1.0 / steps
-    return [i * width for i in range(steps)] + [1.0]
+
+def distinct_points(df: DataFrame, label: str, score: str) -> DataFrame:
+    """Precision and recall at every distinct score, however many there are."""
+    ranked = ranked_scores(df, label=label, score=score)
+    return pr_points(ranked, score).select("threshold", "precision", "recall")
 
 
 def calibrate_threshold(
-    df: DataFrame, recall_target: float = 0.95, steps: int = 1000, label: str = LABEL, score: str = "score"
+    df: DataFrame, recall_target: float = 0.95, steps: int = 1000, label: str = LABEL, score: str = "score",
+    candidates: str = "grid",
 ) -> DataFrame:
     """Lowest threshold of best precision among those that reach the recall target (one row).
 
-    If none does, the one of best recall, then precision; if nothing is ever right, 0.5.
+    ``candidates`` says which thresholds are looked at: an even ``grid`` of ``steps``, or every ``distinct`` score. If
+    none reaches the target, the one of best recall, then precision; if nothing is ever right, 0.5.
     """
-    candidates = calibration_candidates(df, steps, score)
-    points = sweep_thresholds(df, candidates, label=label, score=score)
+    if candidates not in ("grid", "distinct"):
+        raise ValueError(f"unknown candidates: {candidates}")
+    points = distinct_points(df, label, score) if candidates == "distinct" else grid_points(df, steps, label, score)
     reached = F.col("recall") >= recall_target
     best = F.max_by(
         F.struct("threshold", "precision", "recall"),
@@ -273,7 +270,7 @@ def score_histogram(
         .otherwise(F.col("_raw"))
     )
     counted = (
-        scored.join(F.broadcast(spans), keys)
+        scored.join(spans, keys)
         .withColumns({"_w": width, "_raw": raw})
         .groupBy(*keys, exact.alias("bin"))
         .agg(F.count("*").alias("_n"))
@@ -318,9 +315,31 @@ def full_report(df: DataFrame, by: list[str] = (), label: str = LABEL, score: st
     return classification_report(_with_areas(sums)).drop(ALL)
 
 
+def two_valued_report(counts: DataFrame) -> DataFrame:
+    """Report with ROC-AUC, average precision and PR-AUC of a verdict that is only yes or no, from confusion counts.
+
+    Its curves have two points: at "yes" and at "all".
+    """
+    tp, fp, tn, fn = (F.col(c).cast("double") for c in ("tp", "fp", "tn", "fn"))
+    positives, negatives = tp + fn, fp + tn
+    at_yes, at_all = ratio(tp, tp + fp), ratio(positives, positives + negatives)
+    first = F.when(tp + fp > 0, tp).otherwise(0.0)
+    return classification_report(counts).withColumns(
+        {
+            "roc_auc": F.when((positives > 0) & (negatives > 0), (tp * tn + (tp * fp + fn * tn) / 2) / (positives * negatives)),
+            "average_precision": ratio(first * at_yes + (positives - first) * at_all, positives),
+            "pr_auc": ratio(
+                first * (at_yes + 1.0) / 2 + (positives - first) * (at_all + F.when(tp + fp > 0, at_yes).otherwise(1.0)) / 2, positives
+            ),
+        }
+    )
+
+
 def verdict_metrics(df: DataFrame, verdict: str, by: list[str] = (), label: str = LABEL) -> DataFrame:
-    """Report of the reviewer's own verdict words against the label."""
-    return full_report(df.withColumn("_verdict_score", verdict_code(F.col(verdict))), by, label, "_verdict_score")
+    """Report of the reviewer's own verdict words against the label: one aggregate, as a word has two values."""
+    code = verdict_code(F.col(verdict))
+    counts = confusion_counts(df.where(F.col(label).isNotNull()), by, prediction=F.coalesce(code, F.lit(0)), label=label)
+    return two_valued_report(counts)
 
 
 def nearest_threshold_rows(points: DataFrame, targets: list[float], by: list[str]) -> DataFrame:

@@ -12,9 +12,9 @@ import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import Evaluator
-from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexerModel, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, VectorAssembler
 from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
@@ -25,7 +25,10 @@ from cmdprism.operators import metrics as m
 from cmdprism.operators.scoring import Provider, stack_probabilities
 from cmdprism.operators.splits import stratified_kfold
 from cmdprism.operators.textmodel import fit_vectorizer, with_terms
+from cmdprism.plans.prefix import rank_in_order
+from cmdprism.plans.skew import attach_group_values
 from cmdprism.session import COMMAND, LABEL, ROW_ID
+from cmdprism.sources.tables import materialize
 
 # Default training parameters.
 SEED = 13
@@ -41,8 +44,6 @@ TUNING_GRIDS = {
     "rf": {"maxDepth": [30, 20], "numTrees": [300, 500]},
 }
 TREE_MODELS = ("gbdt", "xgb", "rf")
-# Values of a categorical feature beyond the most frequent ones share one extra category.
-MAX_CATEGORIES = 1000
 
 
 @dataclass
@@ -55,10 +56,12 @@ class Detector:
     config: dict = field(default_factory=dict)
     feature_names: list[str] = field(default_factory=list)
     encoder: Callable | None = None
+    categories: dict[str, DataFrame] = field(default_factory=dict)
 
     def prepare(self, df: DataFrame) -> DataFrame:
         if self.kind == "tree":
-            return df if set(NUMERIC_FEATURES) <= set(df.columns) else build_features(df)
+            features = df if set(NUMERIC_FEATURES) <= set(df.columns) else build_features(df)
+            return with_category_indexes(features.fillna(0.0, NUMERIC_FEATURES), self.categories, self.config["sizes"])
         if self.kind == "tfidf":
             return with_terms(df, accents=self.config.get("strip_accents", True))
         if self.kind == "sentence":
@@ -82,8 +85,7 @@ class Detector:
 
 def with_class_weight(df: DataFrame, mode: str = "balanced", label: str = LABEL, out: str = "weight") -> DataFrame:
     """``balanced``: n / (2 n_c) per class; ``positive``: negatives per positive for class 1."""
-    per_class = {r[label]: r["n"] for r in df.groupBy(label).agg(F.count("*").alias("n")).collect()}
-    zero, one = per_class.get(0, 0), per_class.get(1, 0)
+    zero, one = df.agg(F.count_if(F.col(label) == 0), F.count_if(F.col(label) == 1)).first()
     if mode == "balanced":
         weights = {c: (zero + one) / (2.0 * n) if n else 0.0 for c, n in ((0, zero), (1, one))}
     elif mode == "positive":
@@ -93,55 +95,65 @@ def with_class_weight(df: DataFrame, mode: str = "balanced", label: str = LABEL,
     return df.withColumn(out, F.when(F.col(label) == 1, F.lit(weights[1])).otherwise(F.lit(weights[0])))
 
 
-def category_stages(df: DataFrame, columns: Sequence[str], limit: int = MAX_CATEGORIES) -> tuple[list, list[list[str]]]:
-    """Stages that index the most frequent values of each column, and those values.
-
-    Every other value gets one shared last index. Values are marked with ``=`` first, because
-    attribute names must not be empty.
-    """
-    marked = ", ".join(f"concat('=', coalesce({c}, 'unknown')) AS {c}_key" for c in columns)
-    stages: list = [SQLTransformer(statement=f"SELECT *, {marked} FROM __THIS__")]
-    values = []
+def category_tables(df: DataFrame, columns: Sequence[str] = CATEGORICAL_FEATURES) -> dict[str, DataFrame]:
+    """Per column a written table of all its values: (value, index, n), the most frequent value first."""
+    tables = {}
     for name in columns:
-        value = F.coalesce(F.col(name), F.lit("unknown")).alias("v")
-        top = df.groupBy(value).agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "v").limit(limit)
-        found = [r["v"] for r in top.collect()]
-        values.append(found)
-        stages.append(
-            StringIndexerModel.from_labels(
-                [f"={v}" for v in found] or ["="], inputCol=f"{name}_key", outputCol=f"{name}_index", handleInvalid="keep"
-            )
-        )
-    return stages, values
+        counts = df.groupBy(F.coalesce(F.col(name), F.lit("unknown")).alias("value")).agg(F.count("*").alias("n"))
+        ranked = rank_in_order(counts.withColumn("_all", F.lit(0)), ["_all"], [F.col("n").desc(), F.col("value")])
+        tables[name] = materialize(ranked.select("value", F.col("_rank").cast("double").alias("index"), "n"), "categories")
+    return tables
 
 
-def one_hot_stages(df: DataFrame, categoricals: Sequence[str] = CATEGORICAL_FEATURES) -> tuple[list, list[str]]:
-    """Indexers, encoder and assembler for the one-hot matrix, and its column names."""
-    stages, values = category_stages(df, categoricals)
-    encoder = OneHotEncoder(
-        inputCols=[f"{c}_index" for c in categoricals], outputCols=[f"{c}_hot" for c in categoricals],
-        dropLast=False, handleInvalid="error",
-    )
-    assembler = VectorAssembler(inputCols=[*NUMERIC_FEATURES, *[f"{c}_hot" for c in categoricals]], outputCol="features")
-    names = list(NUMERIC_FEATURES)
-    for c, found in zip(categoricals, values):
-        names += [f"{c}_{value}" for value in found] + [f"{c}_other"]
-    return [*stages, encoder, assembler], names
+def with_category_indexes(df: DataFrame, tables: dict[str, DataFrame], sizes: dict[str, int]) -> DataFrame:
+    """Add ``<column>_index`` by joins that large categories don't skew; values not in the table share the last index."""
+    out = df.withColumn("_spread", F.monotonically_increasing_id())
+    for name, table in tables.items():
+        keyed = out.withColumn("_category", F.coalesce(F.col(name), F.lit("unknown")))
+        listed = table.select(F.col("value").alias("_category"), "n", F.col("index").alias("_index"))
+        found = attach_group_values(keyed, listed, "_category", "n", ["_index"], spread_by="_spread")
+        index = F.coalesce("_index", F.lit(float(sizes[name])))
+        out = found.withColumn(f"{name}_index", index).drop("_category", "_index")
+    return nominal_indexes(out.drop("_spread"), sizes)
 
 
-def one_hot(df: DataFrame) -> tuple[DataFrame, list[str]]:
-    """Feature table with the sparse one-hot matrix in ``features``, and its column names."""
-    filled = df.fillna(0.0, NUMERIC_FEATURES)
-    stages, names = one_hot_stages(filled)
-    return Pipeline(stages=stages).fit(filled).transform(filled), names
+def matrix_stages(one_hot_input: bool, columns: Sequence[str] = CATEGORICAL_FEATURES) -> list:
+    """Assembler of the feature matrix from numbers and category indexes, as one-hot blocks or as categories."""
+    indexes = [f"{c}_index" for c in columns]
+    if not one_hot_input:
+        return [VectorAssembler(inputCols=[*NUMERIC_FEATURES, *indexes], outputCol="features")]
+    hot = [f"{c}_hot" for c in columns]
+    encoder = OneHotEncoder(inputCols=indexes, outputCols=hot, dropLast=False, handleInvalid="error")
+    return [encoder, VectorAssembler(inputCols=[*NUMERIC_FEATURES, *hot], outputCol="features")]
 
 
-def indexed_stages(df: DataFrame) -> tuple[list, list[str], int]:
-    """Indexers and assembler that keep the categoricals as categories, names, and the bins trees need."""
-    stages, values = category_stages(df, CATEGORICAL_FEATURES)
-    inputs = [*NUMERIC_FEATURES, *[f"{c}_index" for c in CATEGORICAL_FEATURES]]
-    bins = max(32, *[len(found) + 2 for found in values])
-    return [*stages, VectorAssembler(inputCols=inputs, outputCol="features")], [*NUMERIC_FEATURES, *CATEGORICAL_FEATURES], bins
+def table_sizes(tables: dict[str, DataFrame]) -> dict[str, int]:
+    return {name: table.count() for name, table in tables.items()}
+
+
+def one_hot(df: DataFrame) -> tuple[DataFrame, dict[str, DataFrame], dict[str, int]]:
+    """Feature table with the sparse one-hot matrix in ``features``, its category tables and their sizes.
+
+    The matrix has the numbers first, then one block per categorical: a column for each value by its index, and one for all others.
+    """
+    filled = df.fillna(0.0, NUMERIC_FEATURES)
+    tables = category_tables(filled)
+    sizes = table_sizes(tables)
+    indexed = with_category_indexes(filled, tables, sizes)
+    return Pipeline(stages=matrix_stages(True)).fit(indexed).transform(indexed), tables, sizes
+
+
+def column_names(tables: dict[str, DataFrame], sizes: dict[str, int]) -> DataFrame:
+    """(pos, column_name) of every column of the one-hot matrix, as a table."""
+    spark = next(iter(tables.values())).sparkSession
+    parts = [spark.createDataFrame(list(enumerate(NUMERIC_FEATURES)), "pos BIGINT, column_name STRING")]
+    offset = len(NUMERIC_FEATURES)
+    for name, table in tables.items():
+        named = table.select((F.col("index").cast("bigint") + offset).alias("pos"), F.concat(F.lit(f"{name}_"), "value").alias("column_name"))
+        other = spark.createDataFrame([(offset + sizes[name], f"{name}_other")], "pos BIGINT, column_name STRING")
+        parts += [named, other]
+        offset += sizes[name] + 1
+    return reduce(DataFrame.unionByName, parts)
 
 
 def embed_column(df: DataFrame, make_encoder: Callable, batch_size: int = 32, text: str = COMMAND) -> DataFrame:
@@ -208,19 +220,32 @@ def train_embedding_lr(
     return Detector("st", "sentence", PipelineModel([model]), {"C": c, "batch_size": batch_size}, names, make_encoder)
 
 
-def _train_trees(name: str, features: DataFrame, estimator, one_hot_input: bool, weight: str | None, params: dict) -> Detector:
-    table = features.where(F.col(LABEL).isNotNull())
+def _train_trees(
+    name: str, features: DataFrame, estimator, one_hot_input: bool, weight: str | None, params: dict, max_bins: int | None = None
+) -> Detector:
+    """Fit trees on the matrix. Categories as such need a bin for each value: ``max_bins`` bounds them only where it is given."""
+    table = features.where(F.col(LABEL).isNotNull()).fillna(0.0, NUMERIC_FEATURES)
     if weight is not None:
         table = with_class_weight(table, weight)
         estimator = estimator.setWeightCol("weight")
-    if one_hot_input:
-        stages, names = one_hot_stages(table)
-    else:
-        stages, names, bins = indexed_stages(table)
-        estimator = estimator.setMaxBins(bins)
-    pipeline = Pipeline(stages=[*stages, estimator]).fit(table)
-    config = {**params, "feature_type": "ohe" if one_hot_input else "categorical", "class_weight": weight}
-    return Detector(name, "tree", pipeline, config, names)
+    tables = category_tables(table)
+    sizes = table_sizes(tables)
+    if not one_hot_input:
+        estimator = estimator.setMaxBins(max_bins or max(32, *[n + 2 for n in sizes.values()]))
+    indexed = materialize(with_category_indexes(table, tables, sizes), "train")
+    # The nominal attributes are lost in the written table, so they are set again.
+    indexed = nominal_indexes(indexed, sizes)
+    pipeline = Pipeline(stages=[*matrix_stages(one_hot_input), estimator]).fit(indexed)
+    config = {**params, "feature_type": "ohe" if one_hot_input else "categorical", "class_weight": weight, "sizes": sizes}
+    return Detector(name, "tree", pipeline, config, [*NUMERIC_FEATURES, *CATEGORICAL_FEATURES], categories=tables)
+
+
+def nominal_indexes(df: DataFrame, sizes: dict[str, int]) -> DataFrame:
+    """Mark the index columns as categories with one value more than their tables have."""
+    for name, size in sizes.items():
+        nominal = {"ml_attr": {"type": "nominal", "name": f"{name}_index", "num_vals": size + 1}}
+        df = df.withMetadata(f"{name}_index", nominal)
+    return df
 
 
 def train_gbdt(features: DataFrame, params: dict | None = None, class_weight: str | None = None) -> Detector:
@@ -277,6 +302,8 @@ def default_providers(available: dict[str, Detector]) -> list[Detector]:
 def save_detector(spark: SparkSession, detector: Detector, path: str) -> None:
     """Model, configuration and feature list under one prefix."""
     detector.pipeline.write().overwrite().save(f"{path}/model")
+    for name, table in detector.categories.items():
+        table.write.mode("overwrite").parquet(f"{path}/categories/{name}")
     row = [(detector.name, detector.kind, json.dumps(detector.config), detector.feature_names)]
     schema = "name STRING, kind STRING, config STRING, feature_names ARRAY<STRING>"
     spark.createDataFrame(row, schema).write.mode("overwrite").parquet(f"{path}/config")
@@ -285,7 +312,9 @@ def save_detector(spark: SparkSession, detector: Detector, path: str) -> None:
 def load_detector(spark: SparkSession, path: str, encoder: Callable | None = None) -> Detector:
     row = spark.read.parquet(f"{path}/config").first()
     pipeline = PipelineModel.load(f"{path}/model")
-    return Detector(row["name"], row["kind"], pipeline, json.loads(row["config"]), list(row["feature_names"]), encoder)
+    config = json.loads(row["config"])
+    categories = {name: spark.read.parquet(f"{path}/categories/{name}") for name in config.get("sizes", {})}
+    return Detector(row["name"], row["kind"], pipeline, config, list(row["feature_names"]), encoder, categories)
 
 
 def providers_from_metadata(
@@ -318,41 +347,50 @@ class MacroF1Evaluator(Evaluator):
 
 def tune(
     features: DataFrame, model: str, grid: dict[str, list] | None = None, folds: int = 5, class_weight: str = "balanced",
-    base: dict | None = None, parallelism: int = 2,
+    base: dict | None = None,
 ) -> DataFrame:
-    """Mean macro F1 over stratified folds for every grid point, best first."""
+    """Mean macro F1 over stratified folds for every grid point, best first.
+
+    Category tables and weights are made from the training part of each fold. The grids' ``maxDepth`` stands for
+    a limit on leaves and ``minInfoGain`` for a penalty on leaf weights, which MLlib's trees don't have.
+    """
     if model not in TREE_MODELS:
         raise ValueError(f"unknown tree model: {model}")
-    labeled = with_class_weight(features.where(F.col(LABEL).isNotNull()), class_weight)
-    folded = stratified_kfold(labeled, folds, SEED)
-    if model == "gbdt":
-        stages, _, bins = indexed_stages(folded)
-        estimator = GBTClassifier(maxBins=bins, **{**GBDT_PARAMS, **(base or {})})
-    else:
-        stages, _ = one_hot_stages(folded)
-        defaults = BOOSTED_PARAMS if model == "xgb" else FOREST_PARAMS
-        estimator = (GBTClassifier if model == "xgb" else RandomForestClassifier)(**{**defaults, **(base or {})})
+    defaults = {"gbdt": GBDT_PARAMS, "xgb": BOOSTED_PARAMS, "rf": FOREST_PARAMS}[model]
+    estimator = (RandomForestClassifier if model == "rf" else GBTClassifier)(**{**defaults, **(base or {})})
     estimator = estimator.setLabelCol(LABEL).setWeightCol("weight").setSeed(SEED)
-    assembled = Pipeline(stages=stages).fit(folded).transform(folded).select("features", LABEL, "weight", "fold")
     builder = ParamGridBuilder()
     for name, values in (grid or TUNING_GRIDS[model]).items():
         builder = builder.addGrid(estimator.getParam(name), values)
     points = builder.build()
-    validator = CrossValidator(
-        estimator=estimator, estimatorParamMaps=points, evaluator=MacroF1Evaluator(), foldCol="fold",
-        numFolds=folds, parallelism=parallelism,
-    )
-    fitted = validator.fit(assembled)
+    labeled = features.where(F.col(LABEL).isNotNull()).fillna(0.0, NUMERIC_FEATURES)
+    folded = materialize(stratified_kfold(labeled, folds, SEED), "folds")
+    scores: list[list[float]] = [[] for _ in points]
+    for fold in range(folds):
+        train = with_class_weight(folded.where(F.col("fold") != fold), class_weight)
+        tables = category_tables(train)
+        sizes = table_sizes(tables)
+        if model == "gbdt":
+            estimator = estimator.setMaxBins(max(32, *[n + 2 for n in sizes.values()]))
+        indexed = nominal_indexes(materialize(with_category_indexes(train, tables, sizes), "fold-train"), sizes)
+        held = nominal_indexes(
+            materialize(with_category_indexes(folded.where(F.col("fold") == fold), tables, sizes), "fold-held"), sizes
+        )
+        matrix = Pipeline(stages=matrix_stages(model != "gbdt")).fit(indexed)
+        for point, found in zip(points, scores, strict=True):
+            fitted = estimator.copy(point).fit(matrix.transform(indexed))
+            found.append(MacroF1Evaluator().evaluate(fitted.transform(matrix.transform(held))))
     rows = [
-        (model, {p.name: str(v) for p, v in point.items()}, float(mean), float(std))
-        for point, mean, std in zip(points, fitted.avgMetrics, fitted.stdMetrics)
+        (model, {p.name: str(v) for p, v in point.items()}, float(np.mean(found)), float(np.std(found)))
+        for point, found in zip(points, scores, strict=True)
     ]
     schema = "model STRING, params MAP<STRING, STRING>, avg_macro_f1 DOUBLE, std_macro_f1 DOUBLE"
     return rank_models(features.sparkSession.createDataFrame(rows, schema))
 
 
 def rank_models(results: DataFrame, score: str = "avg_macro_f1") -> DataFrame:
-    return results.orderBy(F.col(score).desc())
+    """Best first; equal scores by model and parameters."""
+    return results.orderBy(F.col(score).desc(), "model", F.to_json("params"))
 
 
 # ---- comparison --------------------------------------------------------------------------
@@ -365,9 +403,9 @@ def compare_models(scores: DataFrame, step: float = 0.05, latency: DataFrame | N
     """
     table = m.full_report(scores, ["model"])
     if latency is not None:
-        table = table.join(F.broadcast(latency), "model", "left")
+        table = table.join(latency, "model", "left")
     if costs is not None:
-        table = table.join(F.broadcast(costs), F.lower("model") == F.col("cost_model"), "left").drop("cost_model")
+        table = table.join(costs, F.lower("model") == F.col("cost_model"), "left").drop("cost_model")
     return table, m.threshold_sweep(scores, step, ["model"])
 
 

@@ -158,10 +158,13 @@ def apply_rules(
             hit = column >= float(rule["threshold"] or 0.0)
         else:
             mark = f"_hit_{rule['name']}"
-            listed = values.where(F.col("feature") == rule["feature"]).select(
-                F.col("category").alias(f"_c_{rule['name']}"),
-                (F.col("support") if "support" in values.columns else F.lit(1)).alias("_support"),
-                F.lit(True).alias(mark),
+            listed = values.where(F.col("feature") == rule["feature"])
+            if "support" not in values.columns:
+                # A rule set read from its exchange form: count the rows, so that large categories are known.
+                sizes = features.groupBy(column.alias("category")).agg(F.count("*").alias("support"))
+                listed = materialize(listed.join(sizes, "category"), "rule-values")
+            listed = listed.select(
+                F.col("category").alias(f"_c_{rule['name']}"), F.col("support").alias("_support"), F.lit(True).alias(mark)
             )
             staged = out.withColumn(f"_c_{rule['name']}", column)
             out = attach_group_values(staged, listed, f"_c_{rule['name']}", "_support", [mark], spread_by=row_id).drop(

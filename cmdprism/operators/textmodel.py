@@ -18,8 +18,6 @@ from cmdprism.session import COMMAND, ROW_ID
 
 # Fixed value: a term is a run of two or more word characters.
 TOKEN_PATTERN = f"[{WORD_CHAR}]{{2,}}"
-# A vocabulary beyond this size would not fit driver and executors comfortably.
-MAX_VOCABULARY = 1 << 20
 
 
 @cache
@@ -65,13 +63,32 @@ def with_terms(df: DataFrame, text: str = COMMAND, ngram_range: tuple[int, int]
     return staged.withColumn("terms", F.concat(*[ngrams(F.col("_tokens"), n) for n in range(low, high + 1)])).drop("_tokens")
 
 
-def term_counts(df: DataFrame, row_id: str = ROW_ID) -> DataFrame:
-    """(row, term, tf); equal terms of a row are summed before anything is shuffled.
+def count_terms(terms: Column) -> Column:
+    """Array of (term, tf): equal terms stand side by side once sorted, so the starts of their runs give the counts."""
+    ordered = F.array_sort(F.coalesce(terms, F.array().cast("array<string>")))
 
-    The outer form of explode keeps Spark from adding a filter that tokenises every text again.
-    """
-    exploded = df.select(row_id, F.explode_outer("terms").alias("term")).where(F.col("term").isNotNull())
-    return exploded.groupBy(row_id, "term").agg(F.count("*").alias("tf"))
+    def starts(words: Column) -> Column:
+        return F.filter(
+            F.transform(words, lambda w, i: F.when((i == 0) | (w != F.try_element_at(words, i)), i)), lambda i: i.isNotNull()
+        )
+
+    def runs(words: Column) -> Column:
+        def counted(begins: Column) -> Column:
+            ends = F.concat(F.slice(begins, 2, F.greatest(F.size(begins), F.lit(1))), F.array(F.size(words)))
+            return F.zip_with(
+                begins, ends, lambda a, b: F.struct(F.element_at(words, a + 1).alias("term"), (b - a).cast("bigint").alias("tf"))
+            )
+
+        return F.element_at(F.transform(F.array(starts(words)), counted), 1)
+
+    # The lambdas bind the sorted array and the starts, so both are computed once per row.
+    return F.element_at(F.transform(F.array(ordered), lambda words: F.when(F.size(words) > 0, runs(words))), 1)
+
+
+def term_counts(df: DataFrame, row_id: str = ROW_ID) -> DataFrame:
+    """(row, term, tf), counted within the row: nothing is shuffled."""
+    counted = df.select(row_id, F.explode_outer(count_terms(F.col("terms"))).alias("t"))
+    return counted.where(F.col("t").isNotNull()).select(row_id, "t.term", "t.tf")
 
 
 def fit_tfidf(counts: DataFrame, n_rows: int, min_df: int = 1, max_features: int | None = None) -> DataFrame:
@@ -100,14 +117,13 @@ def transform_tfidf(counts: DataFrame, vocabulary: DataFrame, row_id: str = ROW_
 def fit_vectorizer(terms: DataFrame, min_df: int = 1, max_features: int | None = None) -> PipelineModel:
     """Terms to unit-length sparse TF-IDF vectors in ``features``, all on the JVM.
 
-    Models need the vocabulary in memory. Without ``max_features`` every term is used, and a
-    vocabulary too large for that is an error instead of being cut silently.
+    A model has one weight per term, so its vocabulary is on the driver like the weights; ``min_df`` and
+    ``max_features`` bound it. The relational form has no such need.
     """
     size = max_features
     if size is None:
-        size = terms.select(F.explode_outer("terms").alias("t")).where("t IS NOT NULL").distinct().count()
-        if size > MAX_VOCABULARY:
-            raise ValueError(f"{size} terms: set max_features, or use the relational form")
+        per_row = terms.select(F.explode_outer(F.array_distinct("terms")).alias("t")).where("t IS NOT NULL")
+        size = per_row.groupBy("t").count().where(F.col("count") >= min_df).count()
     counter = CountVectorizer(inputCol="terms", outputCol="_tf", minDF=float(min_df), vocabSize=max(size, 1)).fit(terms)
     smooth = IDF(inputCol="_tf", outputCol="_idf").fit(counter.transform(terms.select("terms")))
     scale = ElementwiseProduct(

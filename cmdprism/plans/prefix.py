@@ -1,7 +1,7 @@
 """Ordered running totals without a single-task window.
 
-Rows are put into ordered buckets of bounded size; the few bucket totals are summed first
-and their offsets joined back, so the row-level windows run per bucket and in parallel.
+Rows are written in ranges of bounded size; the totals of the ranges are summed first and their offsets joined
+back, so the row-level windows run per range and in parallel.
 """
 
 from __future__ import annotations
@@ -12,18 +12,27 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_BUCKETS = 256
-DIGEST_DIGITS = 3
+from cmdprism.sources.tables import materialize
 
+#: Rows that one range holds on average at most; their number grows with the table.
+MAX_RANGE_ROWS = 1 << 20
 
-def quantile_bounds(df: DataFrame, col: str, buckets: int = DEFAULT_BUCKETS) -> list[float]:
-    """Split points that hold about equally many rows each: one pass over one column.
 
-    A value as frequent as a third of all rows becomes a split point of its own, and callers
-    sum up equal values first, so no bucket of distinct values is larger than its share.
+def range_count(rows: int, least: int, most_rows: int = MAX_RANGE_ROWS) -> int:
+    """Ranges for so many rows: the session's shuffle partitions, or more where those would be too large."""
+    return max(1, least, -(-rows // most_rows))
+
+
+def in_ranges(df: DataFrame, by: list[str], order: list, name: str = "ranges") -> DataFrame:
+    """``df`` written in ranges of ``by`` and ``order``, with the number of its range in ``_range``.
+
+    Both writes go to the shared folder: the input is computed once, and the ranges stay as they are for every reader.
     """
-    steps = [i / buckets for i in range(1, buckets)]
-    return sorted(set(df.approxQuantile(col, steps, 1.0 / (4 * buckets))))
+    staged = materialize(df, name)
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = range_count(staged.count(), least)
+    placed = staged.repartitionByRange(ranges, *by, *order).withColumn("_range", F.spark_partition_id())
+    return materialize(placed, name)
 
 
 def with_score_bucket(df: DataFrame, col: str, bounds: list[float], bucket: str = "_bucket") -> DataFrame:
@@ -37,45 +46,37 @@ def with_score_bucket(df: DataFrame, col: str, bounds: list[float], bucket: str
     return out.withColumn(bucket, F.col("_bucket_out").cast("int")).drop("_bucket_in", "_bucket_out")
 
 
-def running_totals(
-    df: DataFrame,
-    by: list[str],
-    bucket: str,
-    order: list,
-    sums: list[str],
-    bucket_descending: bool = False,
-) -> DataFrame:
+def running_totals(df: DataFrame, by: list[str], order: list, sums: list[str]) -> DataFrame:
     """Add ``<sum>_before`` (rows ahead within ``by``) and ``<sum>_total`` for every sum column.
 
-    ``bucket`` must be monotone in ``order``. The bucket table has at most one row per
-    ``by`` group and bucket, so its broadcast does not grow with the data.
+    Rows that are equal in ``by`` and ``order`` stand in one range, so callers sum them up before. A window sees one range,
+    or one row for each range of a ``by`` group.
     """
-    per_bucket = df.groupBy(*by, bucket).agg(*[F.sum(s).alias(s) for s in sums])
-    bucket_order = F.col(bucket).desc() if bucket_descending else F.col(bucket).asc()
-    ahead = Window.partitionBy(*by).orderBy(bucket_order).rowsBetween(Window.unboundedPreceding, -1)
+    placed = in_ranges(df, by, order)
+    per_range = placed.groupBy(*by, "_range").agg(*[F.sum(s).alias(s) for s in sums])
+    ahead = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.partitionBy(*by)
-    offsets = per_bucket.select(
+    offsets = per_range.select(
         *by,
-        bucket,
+        "_range",
         *[F.coalesce(F.sum(s).over(ahead), F.lit(0)).alias(f"_{s}_offset") for s in sums],
         *[F.sum(s).over(everything).alias(f"{s}_total") for s in sums],
     )
-    keys = [*by, bucket]
+    keys = [*by, "_range"]
     offsets = offsets.withColumnsRenamed({k: f"_offset_{k}" for k in keys})
-    # NULL keys match as well, and a left join adds no NOT NULL filter that would compute the keys twice.
+    # NULL keys match as well.
     same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_offset_{k}")) for k in keys])
     local = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return (
-        df.join(F.broadcast(offsets), same, "left")
+        placed.join(offsets, same, "left")
         .withColumns(
             {f"{s}_before": F.coalesce(F.sum(s).over(local), F.lit(0)) + F.col(f"_{s}_offset") for s in sums}
         )
-        .drop(*[f"_{s}_offset" for s in sums], *[f"_offset_{k}" for k in keys])
+        .drop("_range", *[f"_{s}_offset" for s in sums], *[f"_offset_{k}" for k in keys])
     )
 
 
-def rank_by_digest(df: DataFrame, by: list[str], digest: str, rank: str = "_rank", total: str = "_n") -> DataFrame:
-    """0-based rank of each row by a uniform hex digest, and the row count, within ``by``."""
-    staged = df.withColumns({"_bucket": F.substring(digest, 1, DIGEST_DIGITS), "_one": F.lit(1).cast("bigint")})
-    ranked = running_totals(staged, by, "_bucket", [F.col(digest)], ["_one"])
-    return ranked.withColumnsRenamed({"_one_before": rank, "_one_total": total}).drop("_bucket", "_one")
+def rank_in_order(df: DataFrame, by: list[str], order: list, rank: str = "_rank", total: str = "_n") -> DataFrame:
+    """0-based rank of each row in ``order``, which must be unique, and the row count, within ``by``."""
+    ranked = running_totals(df.withColumn("_one", F.lit(1).cast("bigint")), by, order, ["_one"])
+    return ranked.withColumnsRenamed({"_one_before": rank, "_one_total": total}).drop("_one")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cmdprism.functions.text import parse_object, strip
-from cmdprism.session import ROW_ID, shared_dir
+from cmdprism.plans.prefix import running_totals
+from cmdprism.session import ROW_ID
+from cmdprism.sources.tables import materialize
 
 # Names of the declared event fields; every one is read as text.
 EVENT_FIELDS = [
@@ -23,8 +25,6 @@ VERDICT_SCHEMA = (
     "STRUCT<predicted_label: VARIANT, reason: STRING, confidence: STRING, "
     "attack_technique: STRING, technique: STRING>"
 )
-# Above this many file blocks the id offsets are shuffled instead of broadcast.
-BROADCAST_BLOCKS = 1_000_000
 
 
 def event_schema(verdict_field: str = VERDICT_FIELD) -> str:
@@ -47,12 +47,15 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_events(spark: SparkSession, path: str, verdict_field: str = VERDICT_FIELD) -> tuple[DataFrame, DataFrame]:
-    """Scan JSON Lines into events and a quarantine of lines that are no JSON object."""
+    """Scan JSON Lines into events and a quarantine of lines that are no JSON object.
+
+    Lines are parsed once, into one table in the shared folder; both results are parts of it. ``part`` and
+    ``part_block`` say where a row stands in that table.
+    """
     lines = read_lines(spark, path)
     event = parse_object(F.col("raw"), event_schema(verdict_field))
-    # As a generator the parser runs once per line; a plain column would be computed again in the filter.
+    # As a generator the parser runs once per line; a plain column would be computed again for each field.
     parsed = lines.select("*", F.explode(F.array(event)).alias("_event"))
-    is_object = F.col("_event").isNotNull()
     bad_fields = F.array_compact(
         F.array(
             *[
@@ -61,42 +64,36 @@ def read_events(spark: SparkSession, path: str, verdict_field: str = VERDICT_FIE
             ]
         )
     )
-    good = (
-        parsed.where(is_object).select(
-            "raw",
-            "file_path",
-            "file_block",
-            *[F.col(f"_event.`{n}`").alias(n) for n in EVENT_FIELDS],
-            *[F.expr(f"try_variant_get(_event.`{n}`, '$', 'string')").alias(n) for n in TEXT_FIELDS],
-            F.from_json(F.col(f"_event.`{verdict_field}`"), VERDICT_SCHEMA).alias("verdict"),
-            F.col(f"_event.`{verdict_field}.predicted_label`").alias("flat_label"),
-            bad_fields.alias("bad_fields"),
-        )
+    rows = parsed.select(
+        F.col("_event").isNotNull().alias("is_event"),
+        "raw",
+        "file_path",
+        "file_block",
+        *[F.col(f"_event.`{n}`").alias(n) for n in EVENT_FIELDS],
+        *[F.expr(f"try_variant_get(_event.`{n}`, '$', 'string')").alias(n) for n in TEXT_FIELDS],
+        F.from_json(F.col(f"_event.`{verdict_field}`"), VERDICT_SCHEMA).alias("verdict"),
+        F.col(f"_event.`{verdict_field}.predicted_label`").alias("flat_label"),
+        bad_fields.alias("bad_fields"),
     ).withColumn("EventID", F.col("EventID").try_cast("int"))
-    bad = parsed.where(~is_object).select("raw", "file_path", "file_block")
-    return good, bad
+    table = materialize(rows, "events").select(
+        "*", F.col("_metadata.file_path").alias("part"), F.col("_metadata.file_block_start").alias("part_block")
+    )
+    good = table.where("is_event").drop("is_event")
+    return good, table.where("NOT is_event").select("raw", "file_path", "file_block")
 
 
 def with_file_row_id(events: DataFrame) -> DataFrame:
-    """Dense 0-based ``row_id`` in file order over the rows of a line scan.
+    """Dense 0-based ``row_id`` in file order over the events of a scan.
 
-    One pass counts rows per file block; the second adds the block's offset to the position
-    within the block. No row moves between tasks, as long as the offsets fit a broadcast.
+    A piece (the rows of one file block in one part of the written table) is read in order by one task. One pass counts the rows of
+    each piece; the second adds the piece's offset to the position within it, so no row has to move.
     """
-    spark = events.sparkSession
-    shared_dir(spark)
+    piece = ["file_path", "file_block", "part", "part_block"]
     numbered = events.withColumn("_seq", F.monotonically_increasing_id())
-    blocks = numbered.groupBy("file_path", "file_block").agg(F.min("_seq").alias("_first"), F.count("*").alias("_n"))
-    order = Window.orderBy("file_path", "file_block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = blocks.select(
-        "file_path", "file_block", (F.coalesce(F.sum("_n").over(order), F.lit(0)) - F.col("_first")).alias("_shift")
-    ).checkpoint()
-    side = F.broadcast(offsets) if offsets.count() <= BROADCAST_BLOCKS else offsets
-    return (
-        numbered.join(side, ["file_path", "file_block"])
-        .withColumn(ROW_ID, F.col("_seq") + F.col("_shift"))
-        .drop("_seq", "_shift")
-    )
+    pieces = numbered.groupBy(*piece).agg(F.min("_seq").alias("_first"), F.count("*").alias("_n"))
+    ordered = running_totals(pieces.withColumn("_all", F.lit(0)), ["_all"], [F.col(c) for c in piece], ["_n"])
+    offsets = materialize(ordered.select(*piece, (F.col("_n_before") - F.col("_first")).alias("_shift")), "pieces")
+    return numbered.join(offsets, piece).withColumn(ROW_ID, F.col("_seq") + F.col("_shift")).drop("_seq", "_shift", "part", "part_block")
 
 
 def write_jsonl(df: DataFrame, path: str, keep_null: bool = False) -> None:

@@ -38,9 +38,14 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/manifest")
 
 
-def append_metrics(df: DataFrame, path: str) -> None:
-    """Add rows to a metric table (per-model metrics or threshold points)."""
-    df.write.mode("append").parquet(path)
+def append_metrics(df: DataFrame, path: str, run: str) -> None:
+    """Add the rows of a run to a metric table (per-model metrics or threshold points)."""
+    df.withColumn("run", F.lit(run)).write.mode("append").parquet(path)
+
+
+def read_metrics(spark: SparkSession, path: str, run: str) -> DataFrame:
+    """The rows of one run; a repeated job takes a new run."""
+    return spark.read.parquet(path).where(F.col("run") == run).drop("run")
 
 
 def write_rules(rules: DataFrame, path: str) -> None:
@@ -51,6 +56,11 @@ def read_rules(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(RULE_SCHEMA).parquet(path)
 
 
+def write_threshold(calibrated: DataFrame, path: str) -> None:
+    """A calibrated threshold with its precision and recall, as one row."""
+    calibrated.select("threshold", "precision", "recall", "recall_target", "achieved_target").write.mode("overwrite").parquet(path)
+
+
 def read_threshold(spark: SparkSession, path: str | None) -> float:
     """The calibrated threshold, or the default where none was saved."""
     if path is None:

@@ -37,19 +37,26 @@ def evaluate(frame, column):
     return [r[0] for r in frame.orderBy("i").select(column).collect()]
 
 
-def py_normalize(command):
-    if not command:
-        return ""
-    cmd = command.strip().lower()
-    if cmd.startswith('"') and cmd.endswith('"'):
-        cmd = cmd[1:-1]
-    cmd = re.sub(r"\s+", " ", cmd)
-    cmd = re.sub(r"[A-Za-z0-9+/=]{16,}", "<B64>", cmd)
-    return re.sub(r"\b\d+\b", "<NUM>", cmd).strip()
+# What each text becomes, worked out by hand.
+NORMALIZED = {
+    "": "", " ": "", '"': "", '""': "", '" a "': "a", '"a': '"a', "\t a\u00a0 b\n": "a b", "A" * 15: "a" * 15, "a" * 16: "<B64>", "B" * 40: "<B64>",
+    "12 34 5": "<NUM> <NUM> <NUM>", "a12 34b 5_6 7": "a12 34b 5_6 <NUM>", "é5 5é 7": "é5 5é <NUM>", "x|y&&z;": "x|y&&z;",
+    "REG.EXE   ADD": "reg.exe add", "http://x.y/z 0x1F": "http://x.y/z 0x1f", "deadbeefdeadbeef 99": "<B64> <NUM>", "-p 1-2,3": "-p <NUM>-<NUM>,<NUM>",
+}
 
 
-def test_normalized_command_matches_definition(frame):
-    assert evaluate(frame, tx.normalize_commandline(F.col("t"))) == [py_normalize(t) for t in texts()]
+def test_normalized_command_of_known_texts(spark):
+    df = spark.createDataFrame(list(enumerate(NORMALIZED)), "i INT, t STRING")
+    assert evaluate(df, tx.normalize_commandline(F.col("t"))) == list(NORMALIZED.values())
+
+
+def test_normalized_command_is_stable_and_masked(frame):
+    once = evaluate(frame, tx.normalize_commandline(F.col("t")))
+    assert once[0] == "" and all(x == x.strip() and "  " not in x for x in once)
+    for text in once:
+        bare = text.replace("<B64>", " ").replace("<NUM>", " ")
+        assert not re.search(r"[A-Za-z0-9+/=]{16}", bare), text
+        assert not re.search(r"(?<![^\W])[0-9]+(?![^\W])", bare), text
 
 
 def test_cleaned_text_and_strip_match_definition(frame):
@@ -94,32 +101,48 @@ def test_golden_features(spark):
         assert {f for f in FLAG_FEATURES if row[f] == 1.0} == flags
 
 
-FLAGS = {
-    "has_powershell": r"powershell", "has_encodedcommand": r"-enc(odedcommand)?", "has_download": r"download|http|https|ftp",
-    "has_iwr": r"invoke-webrequest|iwr", "has_curl": r"curl", "has_wmic": r"wmic", "has_reg_add": r"reg(\.exe)?\s+add",
-    "has_schtasks": r"schtasks", "has_cmd": r"cmd\.exe|cmd /c",
-}
-
-
-def test_features_match_python_definitions(frame):
-    rows = build_features(frame, "t", "t").orderBy("i").collect()
-    for row, t in zip(rows, texts()):
-        c = t or ""
-        words, letters = c.split(), [x for x in c if x.isalpha()]
-        assert row.cmd_length == len(c)
-        assert row.cmd_token_count == len(words), repr(c)
-        assert row.num_special_chars == sum(x in "|&;" for x in c)
-        assert row.cmd_digit_count == sum(x.isdigit() for x in c), repr(c)
-        assert row.cmd_upper_ratio == pytest.approx(sum(x.isupper() for x in letters) / len(letters) if letters else 0.0)
-        assert row.has_pipe == float("|" in c or "&&" in c)
-        assert row.has_base64 == float(bool(re.search(r"[A-Za-z0-9+/=]{40,}", c)))
-        ends = any(w.lower().strip('"').strip("'").endswith((".cab", ".zip", ".ps1", ".bat", ".vbs")) for w in words)
-        assert row.has_suspicious_ext == float(ends), repr(c)
-        for name, pattern in FLAGS.items():
-            assert row[name] == float(bool(re.search(pattern, c, re.IGNORECASE))), (name, c)
-        assert row.cmd_exe_base == (words[0].lower() if words else "")
-        assert row.source_image_base == c.split("\\")[-1].lower()
-        assert row.image_path_depth == c.count("\\")
+# Features that are not zero or empty, worked out by hand: (text, count features, flags, first word).
+KNOWN_FEATURES = [
+    ("", (0, 0, 0, 0.0, 0), set(), ""),
+    ("reg\u2003add", (7, 2, 0, 0.0, 0), {"has_reg_add"}, "reg"),
+    ("REG.EXE   ADD", (13, 2, 0, 1.0, 0), {"has_reg_add"}, "reg.exe"),
+    ("x|y&&z;", (7, 1, 4, 0.0, 0), {"has_pipe"}, "x|y&&z;"),
+    ("cmd /c dir", (10, 3, 0, 0.0, 0), {"has_cmd"}, "cmd"),
+    ("CMD.EXE", (7, 1, 0, 1.0, 0), {"has_cmd"}, "cmd.exe"),
+    ("-EnCodedCommand", (15, 1, 0, 3 / 14, 0), {"has_encodedcommand"}, "-encodedcommand"),
+    ("\u212aurl wMiC", (9, 2, 0, 3 / 8, 0), {"has_wmic"}, "kurl"),
+    ("a.PS1' \".bat\" c.vbs'\" d.zipx", (28, 4, 0, 2 / 15, 1), {"has_suspicious_ext"}, "a.ps1'"),
+    ("'.cab'", (6, 1, 0, 0.0, 0), {"has_suspicious_ext"}, "'.cab'"),
+    ("DÉJÀ VU", (7, 2, 0, 1.0, 0), set(), "déjà"),
+    ("\u0663\u00b2\u2460 9", (5, 2, 0, 0.0, 4), set(), "\u0663\u00b2\u2460"),
+    ("http://x.y/z 0x1F", (17, 2, 0, 1 / 9, 2), {"has_download"}, "http://x.y/z"),
+    ("B" * 40, (40, 1, 0, 1.0, 0), {"has_base64"}, "b" * 40),
+    ("a" * 39, (39, 1, 0, 0.0, 0), set(), "a" * 39),
+    ("powershell -ep ByPass iwr", (25, 4, 0, 2 / 21, 0), {"has_powershell", "has_bypass", "has_iwr"}, "powershell"),
+    ("certutil & bitsadmin", (20, 3, 1, 0.0, 0), {"has_certutil", "has_bitsadmin"}, "certutil"),
+    ("rundll32; mshta; schtasks", (25, 3, 2, 0.0, 2), {"has_rundll32", "has_mshta", "has_schtasks"}, "rundll32;"),
+    ("Invoke-WebRequest FTP", (21, 2, 0, 6 / 19, 0), {"has_iwr", "has_download"}, "invoke-webrequest"),
+]
+
+
+def test_features_of_known_texts(spark):
+    df = spark.createDataFrame([(i, e[0]) for i, e in enumerate(KNOWN_FEATURES)], "i INT, t STRING")
+    for row, (text, counts, flags, first) in zip(build_features(df, "t", "t").orderBy("i").collect(), KNOWN_FEATURES, strict=True):
+        assert (row.cmd_length, row.cmd_token_count, row.num_special_chars) == counts[:3], text
+        assert row.cmd_upper_ratio == pytest.approx(counts[3]) and row.cmd_digit_count == counts[4], text
+        assert {f for f in FLAG_FEATURES if row[f] == 1.0} == flags, text
+        assert row.cmd_exe_base == first, text
+
+
+def test_features_of_odd_texts_hold_together(frame):
+    for row, text in zip(build_features(frame, "t", "t").orderBy("i").collect(), texts(), strict=True):
+        plain = text or ""
+        assert row.cmd_length == len(plain)
+        assert row.num_special_chars <= row.cmd_length and row.cmd_digit_count <= row.cmd_length
+        assert row.cmd_token_count <= (row.cmd_length + 1) / 2 and 0.0 <= row.cmd_upper_ratio <= 1.0
+        assert (row.cmd_exe_base == "") == (row.cmd_token_count == 0)
+        assert row.image_path_depth == plain.count("\\") and "\\" not in row.source_image_base
+        assert all(row[f] in (0.0, 1.0) for f in FLAG_FEATURES)
 
 
 def test_align_features_orders_and_fills(spark):

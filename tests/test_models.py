@@ -81,14 +81,20 @@ def test_stacked_ensemble(events, forest, text):
         models.default_providers({"rf": forest})
 
 
-def test_vocabulary_limit_is_an_error_not_a_cut(spark, monkeypatch):
-    terms = textmodel.with_terms(spark.createDataFrame([("aa bb cc",)], "CommandLine STRING"))
-    monkeypatch.setattr(textmodel, "MAX_VOCABULARY", 3)
-    with pytest.raises(ValueError):
-        textmodel.fit_vectorizer(terms)
+def test_vocabulary_is_bounded_by_its_parameters_only(spark):
+    df = spark.createDataFrame([("aa bb cc",), ("aa bb dd",), (None,)], "CommandLine STRING")
+    terms = textmodel.with_terms(df)
+    assert len(textmodel.fit_vectorizer(terms).stages[0].vocabulary) == 7
+    assert set(textmodel.fit_vectorizer(terms, min_df=2).stages[0].vocabulary) == {"aa", "bb", "aa bb"}
     assert len(textmodel.fit_vectorizer(terms, max_features=3).stages[0].vocabulary) == 3
 
 
+def test_terms_are_counted_within_the_row(spark):
+    df = spark.createDataFrame([(1, ["b", "a", "b"]), (2, []), (3, None), (4, ["c"])], "row_id INT, terms ARRAY<STRING>")
+    got = {(r.row_id, r.term, r.tf) for r in textmodel.term_counts(df).collect()}
+    assert got == {(1, "a", 1), (1, "b", 2), (4, "c", 1)}
+
+
 def test_accents_and_grams(spark):
     df = spark.createDataFrame([("Déjà  vu, x ÉTÉ",)], "CommandLine STRING")
     assert textmodel.with_terms(df).first()["terms"] == ["deja", "vu", "ete", "deja vu", "vu ete"]
@@ -96,12 +102,19 @@ def test_accents_and_grams(spark):
     assert [r.terms for r in textmodel.with_terms(one).collect()] == [["solo"], [], []]
 
 
-def test_rare_categories_share_one_column(events):
-    stages, values = models.category_stages(events, ["source_image_base"], limit=2)
-    from pyspark.ml import PipelineModel
-
-    indexed = PipelineModel(stages).transform(events).select("source_image_base_index").distinct().count()
-    assert len(values[0]) == 2 and indexed == 3
+def test_every_category_keeps_its_index(spark):
+    rows = [(i, f"v{i % 1500}" if i % 3 else "hot") for i in range(4000)] + [(9999, None)]
+    df = spark.createDataFrame(rows, "row_id BIGINT, source_image_base STRING")
+    tables = models.category_tables(df, ["source_image_base"])
+    sizes = models.table_sizes(tables)
+    values = {v or "unknown" for _, v in rows}
+    assert sizes == {"source_image_base": len(values)} and len(values) > 1000
+    found = models.with_category_indexes(df, tables, sizes).collect()
+    index = {r.source_image_base or "unknown": r.source_image_base_index for r in found}
+    assert len(found) == len(rows) and sorted(index.values()) == [float(i) for i in range(len(values))]
+    assert index["hot"] == 0.0
+    new = spark.createDataFrame([(1, "never seen")], "row_id BIGINT, source_image_base STRING")
+    assert models.with_category_indexes(new, tables, sizes).first().source_image_base_index == float(len(values))
 
 
 def test_tree_contributions_add_up_to_the_score(spark, events, forest):

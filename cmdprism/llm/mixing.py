@@ -10,7 +10,7 @@ are dealt into blocks by hash; each epoch orders the blocks by another hash and
 Whole epochs take every document, the last one the documents whose tokens, added up in that order, fit the rest.
 
 Defined results: a null source is a source of its own. Null or empty texts have no tokens: they are taken in every
-whole epoch, and in the last one if they stand before its end; a source without any tokens is taken once. Equal hashes go by id and text. Repeated rows count and
+whole epoch, and in the last one if they stand before its end; a source without any tokens is taken once. Equal hashes go by id. Repeated rows count and
 are taken alike. An empty table gives no rows; one source alone keeps weight 1. ``epoch``, ``block``, ``block_order``,
 ``row_order`` and ``n_tokens`` are added; columns of the same names are replaced.
 """
@@ -181,7 +181,8 @@ def mix(
         "_rest",
         (F.col("_offset") + F.coalesce(F.sum("block_tokens").over(inside), F.lit(0))).alias("_before"),
     )
-    own = Window.partitionBy("_source", "_block").orderBy("_row", id_col, text_col).rowsBetween(Window.unboundedPreceding, 0)
+    # The hash covers id and text, so rows it can't tell apart are repeated rows; without the text a query of ids needs no texts here.
+    own = Window.partitionBy("_source", "_block").orderBy("_row", id_col).rowsBetween(Window.unboundedPreceding, 0)
     placed = staged.join(plan, ["_source", "_block"]).withColumn(
         "_take", F.col("_whole") + (F.col("_before") + F.sum("_tokens").over(own) <= F.col("_rest")).cast("long")
     )

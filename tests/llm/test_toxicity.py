@@ -82,6 +82,17 @@ def test_disguised_words_are_restored_and_scored(spark):
         assert model.words.score(restore(text)) < toxicity.THRESHOLD, text
 
 
+def test_patterns_are_run_wherever_they_match():
+    rng = random.Random(8)
+    alphabet = "aabé1$!. -_*0\u0416\u0663\u00b2\U0001f600\n"
+    for _ in range(3000):
+        text = "".join(rng.choice(alphabet) for _ in range(rng.randrange(14)))
+        spaced, leet, stretched = toxicity.possible(text)
+        assert spaced or not toxicity.SPACED.search(text), text
+        assert leet or not toxicity.LEET.search(text), text
+        assert stretched or not toxicity.STRETCHED.search(text), text
+
+
 def test_very_long_and_odd_texts(spark):
     rows, labels = corpus(200)
     _, _, model = model_of(spark, rows, labels)

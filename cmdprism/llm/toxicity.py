@@ -106,6 +106,28 @@ def letter_model(docs: DataFrame, text_col: str) -> np.ndarray:
     return -np.log2((counts + 5 * pairs[None]) / (counts.sum(axis=2, keepdims=True) + 5))
 
 
+@lru_cache(1)
+def point_kinds() -> tuple[np.ndarray, np.ndarray]:
+    """Signs that stand for letters, and what the patterns take for letters; the last entry serves all code points from 0x250."""
+    sign, letter = np.zeros(0x251, dtype=bool), np.ones(0x251, dtype=bool)
+    sign[[ord(c) for c in READINGS]] = True
+    letter[:0x250] = [bool(re.match(r"[^\W\d_]", chr(cp))) for cp in range(0x250)]
+    return sign, letter
+
+
+def possible(text: str) -> tuple[bool, bool, bool]:
+    """Whether a text may hold letters set apart, signs before a letter, or a letter three times in a row."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    if len(points) < 2:
+        return False, False, False
+    low = np.minimum(points, 0x250)
+    sign, letter = (kind[low] for kind in point_kinds())
+    leet = bool((sign[:-1] & letter[1:]).any())
+    stretched = bool((letter[2:] & (points[2:] == points[1:-1]) & (points[2:] == points[:-2])).any())
+    apart = letter[:-4] & ~letter[1:-3] & letter[2:-2] & ~letter[3:-1] & letter[4:] if len(points) >= 5 else letter[:0]
+    return bool(apart.any()), leet, stretched
+
+
 class Restorer:
     """Viterbi decoding of disguised stretches under the letter model."""
 
@@ -165,21 +187,23 @@ class Restorer:
         return out
 
     def disguised(self, text: str) -> list[tuple[int, int]]:
-        """Stretches to decode, in order, without overlaps."""
-        found: list[tuple[int, int]] = [m.span() for m in SPACED.finditer(text)]
+        """Stretches to decode, in order, without overlaps. A pattern is only run where the letters' classes allow a match."""
+        spaced, leet, stretched = possible(text)
+        found: list[tuple[int, int]] = [m.span() for m in SPACED.finditer(text)] if spaced else []
         done = 0
-        for m in LEET.finditer(text):
+        for m in LEET.finditer(text) if leet else ():
             if m.start() < done:
                 continue
             begin = m.start()
             while begin > done and (text[begin - 1].isalnum() or text[begin - 1] in "@$!|+"):
                 begin -= 1
             done = LEET_WORD.match(text, begin).end()
-            signs = sum(c in READINGS for c in text[begin:done])
-            if 2 * signs <= done - begin:
+            # At least a third of letters: a number with a letter is no word.
+            letters = sum(c not in READINGS for c in text[begin:done])
+            if 3 * letters >= done - begin:
                 found.append((begin, done))
         done = 0
-        for m in STRETCHED.finditer(text):
+        for m in STRETCHED.finditer(text) if stretched else ():
             if m.start() < done:
                 continue
             begin = m.start()

@@ -510,10 +510,16 @@ FROM objects"""
 ANSWER_PARTS = (("answers", ANSWERS), ("spans", SPANS), ("objects", OBJECTS), ("parsed", PARSED))
 
 
-@query("j8_parse_model_output", with_telemetry("SELECT row_id, label, explanation, confidence FROM parsed", *ANSWER_PARTS))
+@query("j8_parse_model_output", with_telemetry(
+    "SELECT row_id, label, explanation, CASE WHEN NOT is_number THEN confidence END AS confidence,"
+    " CASE WHEN is_number THEN CAST(confidence AS DOUBLE) END AS number FROM parsed",
+    *ANSWER_PARTS,
+))
 def j8_parse_model_output(spark, sf_dir):
     parsed = answers(spark, sf_dir).withColumn("p", pl.parse_model_output(F.col("text")))
-    return parsed.select("row_id", "p.label", "p.explanation", "p.confidence")
+    number = F.when(F.col("p.numeric_confidence"), F.col("p.confidence").cast("double")).alias("number")
+    word = F.when(~F.col("p.numeric_confidence"), F.col("p.confidence")).alias("confidence")
+    return parsed.select("row_id", "p.label", "p.explanation", word, number)
 
 
 @query(

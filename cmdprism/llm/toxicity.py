@@ -1,9 +1,10 @@
 """Toxicity of texts after noisy-channel deobfuscation.
 
 A character language model (three letters deep, counted over all documents) and a channel model restore words that
-were disguised: digits and signs for letters (``1d10t``), single letters set apart (``s c u m``) and stretched
-letters (``stuuupid``). Each disguised stretch becomes a lattice of readings, and the Viterbi path with the lowest cost
-(-log2 of language model and channel) replaces it. The restored text is scored: every word and every beginning of a
+were disguised: digits and signs for letters (``1d10t``, ``worthle$$``), letters or signs set apart (``s c u m``,
+``m 0 r 0 n``) and stretched letters (``stuuupid``), also together. Each disguised stretch becomes one lattice of swaps,
+gaps and repeats, and the Viterbi path with the lowest cost (-log2 of language model and channel) replaces it. Only a
+stretch without any letter is no candidate: it is a number. The restored text is scored: every word and every beginning of a
 word has a smoothed share of toxic documents, and a small logistic regression over a document's two highest
 log-odds and its number of words gives the probability.
 
@@ -22,6 +23,7 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import product
 
 import numpy as np
 import pandas as pd
@@ -47,15 +49,25 @@ READINGS = {
 }
 #: Channel costs in bits.
 SWAPPED, KEPT_SIGN, JOINED, KEPT_GAP, SHORTENED, KEPT_DOUBLE = 1.0, 12.0, 0.5, 6.0, 1.0, 2.0
+#: Exclamation marks that end a stretch are mostly what they look like.
+KEPT_MARK = 1.0
+#: A run of one sign stands for up to so many letters (``v111age``).
+RUN_LETTERS = 4
 
 SIGNS = "0-9@$!|+"
-#: Signs inside a word, or before its letters.
-LEET = re.compile(rf"(?<![{SIGNS}])[{SIGNS}]+(?=[^\W\d_])")
+GAPS = r" .\-_*"
+UNIT = rf"(?:[^\W\d_]|[{SIGNS}])"
+#: A sign beside a letter.
+LEET = re.compile(rf"[{SIGNS}](?=[^\W\d_])|(?<=[^\W\d_])[{SIGNS}]")
 LEET_WORD = re.compile(rf"(?:[^\W_]|[{SIGNS}])+")
-SPACED = re.compile(r"(?<![^\W_])[^\W\d_]([ .\-_*])[^\W\d_]\1[^\W\d_](?:\1[^\W\d_])*(?![^\W_])")
+#: Three or more letters or signs, each alone or repeated, with runs of separators between them.
+SPACED = re.compile(
+    rf"(?<![^\W_])(?<![@$|+])(?:(?!!)|(?<!!))({UNIT})\1*+[{GAPS}]++({UNIT})\2*+[{GAPS}]++({UNIT})\3*+(?:[{GAPS}]++({UNIT})\4*+)*(?![^\W_])"
+)
 STRETCHED = re.compile(r"([^\W\d_])\1\1+")
 WORD_END = re.compile(r"(?:[^\W_])*")
-RUN = re.compile(r"(.)\1*", re.S)
+RUN = re.compile(rf"[{GAPS}]+|(.)\1*", re.S)
+LETTER = re.compile(r"[^\W\d_]")
 WORD_BYTES = bytes(b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
 
 
@@ -107,24 +119,33 @@ def letter_model(docs: DataFrame, text_col: str) -> np.ndarray:
 
 
 @lru_cache(1)
-def point_kinds() -> tuple[np.ndarray, np.ndarray]:
-    """Signs that stand for letters, and what the patterns take for letters; the last entry serves all code points from 0x250."""
-    sign, letter = np.zeros(0x251, dtype=bool), np.ones(0x251, dtype=bool)
+def point_kinds() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Signs that stand for letters, what the patterns take for letters, separators, and letters or digits.
+
+    The last entry serves all code points from 0x250: they may be letters, and need not be letters or digits.
+    """
+    sign, letter, gap, alnum = (np.zeros(0x251, dtype=bool) for _ in range(4))
     sign[[ord(c) for c in READINGS]] = True
-    letter[:0x250] = [bool(re.match(r"[^\W\d_]", chr(cp))) for cp in range(0x250)]
-    return sign, letter
+    gap[[ord(c) for c in " .-_*"]] = True
+    letter[:0x250] = [bool(LETTER.match(chr(cp))) for cp in range(0x250)]
+    letter[0x250] = True
+    alnum[:0x250] = [bool(re.match(r"[^\W_]", chr(cp))) for cp in range(0x250)]
+    return sign, letter, gap, alnum
 
 
 def possible(text: str) -> tuple[bool, bool, bool]:
-    """Whether a text may hold letters set apart, signs before a letter, or a letter three times in a row."""
+    """Whether a text may hold letters or signs set apart, signs beside a letter, or a letter three times in a row."""
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     if len(points) < 2:
         return False, False, False
     low = np.minimum(points, 0x250)
-    sign, letter = (kind[low] for kind in point_kinds())
-    leet = bool((sign[:-1] & letter[1:]).any())
+    sign, letter, gap, alnum = (kind[low] for kind in point_kinds())
+    leet = bool((sign[:-1] & letter[1:]).any() or (letter[:-1] & sign[1:]).any())
     stretched = bool((letter[2:] & (points[2:] == points[1:-1]) & (points[2:] == points[:-2])).any())
-    apart = letter[:-4] & ~letter[1:-3] & letter[2:-2] & ~letter[3:-1] & letter[4:] if len(points) >= 5 else letter[:0]
+    # Runs of one character, and of separators, count as one.
+    first = np.r_[True, (points[1:] != points[:-1]) & ~(gap[1:] & gap[:-1])]
+    unit, gap, alnum = (np.r_[False, kind[first], False] for kind in (sign | letter, gap, alnum))
+    apart = unit[1:-5] & ~alnum[:-6] & gap[2:-4] & unit[3:-3] & gap[4:-2] & unit[5:-1] & ~alnum[6:] if len(unit) > 6 else unit[:0]
     return bool(apart.any()), leet, stretched
 
 
@@ -137,19 +158,24 @@ class Restorer:
         self.known: dict[str, str] = {}
 
     def readings(self, stretch: str) -> list[list[tuple[str, float]]]:
-        """For each run of one character: what it may stand for, with the channel's cost."""
-        spaced = re.fullmatch(r"[^\W\d_](?:([ .\-_*])[^\W\d_])(?:\1[^\W\d_])*", stretch)
-        gap = spaced.group(1) if spaced else None
+        """For each run of one character or of separators: what it may stand for, with the channel's cost."""
+        gaps = Counter(run.group() for run in RUN.finditer(stretch) if run.group(1) is None)
+        usual = max(gaps, key=lambda gap: (gaps[gap], gap != " "), default=None)
         out: list[list[tuple[str, float]]] = []
         for run in RUN.finditer(stretch):
             char, size = run.group(1), len(run.group())
-            if char == gap:
-                out.append([("", JOINED), (" ", KEPT_GAP)])
+            if char is None:
+                # Another separator than the stretch's usual one rather parts words.
+                out.append([("", JOINED), (" ", KEPT_GAP)] if run.group() == usual else [("", KEPT_GAP), (" ", JOINED)])
             elif char in READINGS:
-                swaps = [(x, SWAPPED) for x in READINGS[char]] + [(x + x, SWAPPED) for x in READINGS[char] if size > 1]
-                out.append([*swaps, (char * size, KEPT_SIGN * size)])
+                longest = min(size, RUN_LETTERS)
+                swaps = [("".join(x), SWAPPED + SHORTENED * (n < size)) for n in range(1, longest + 1) for x in product(READINGS[char], repeat=n)]
+                kept = KEPT_MARK if char == "!" and run.end() == len(stretch) else KEPT_SIGN * size
+                out.append([*swaps, (char * size, kept)])
             elif size > 2:
                 out.append([(char, SHORTENED), (char * 2, KEPT_DOUBLE)])
+            elif size == 2 and usual:
+                out.append([(char, SHORTENED), (char * 2, 0.0)])
             else:
                 out.append([(char * size, 0.0)])
         return out
@@ -187,9 +213,9 @@ class Restorer:
         return out
 
     def disguised(self, text: str) -> list[tuple[int, int]]:
-        """Stretches to decode, in order, without overlaps. A pattern is only run where the letters' classes allow a match."""
+        """Stretches to decode, in order; those that overlap are one. A pattern is only run where the letters' classes allow a match."""
         spaced, leet, stretched = possible(text)
-        found: list[tuple[int, int]] = [m.span() for m in SPACED.finditer(text)] if spaced else []
+        found: list[tuple[int, int]] = [m.span() for m in SPACED.finditer(text) if LETTER.search(m.group())] if spaced else []
         done = 0
         for m in LEET.finditer(text) if leet else ():
             if m.start() < done:
@@ -198,10 +224,7 @@ class Restorer:
             while begin > done and (text[begin - 1].isalnum() or text[begin - 1] in "@$!|+"):
                 begin -= 1
             done = LEET_WORD.match(text, begin).end()
-            # At least a third of letters: a number with a letter is no word.
-            letters = sum(c not in READINGS for c in text[begin:done])
-            if 3 * letters >= done - begin:
-                found.append((begin, done))
+            found.append((begin, done))
         done = 0
         for m in STRETCHED.finditer(text) if stretched else ():
             if m.start() < done:
@@ -215,6 +238,8 @@ class Restorer:
         for begin, end in sorted(found):
             if not out or begin >= out[-1][1]:
                 out.append((begin, end))
+            elif end > out[-1][1]:
+                out[-1] = out[-1][0], end
         return out
 
     def restore(self, text: str | None) -> str:

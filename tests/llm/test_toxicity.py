@@ -82,6 +82,23 @@ def test_disguised_words_are_restored_and_scored(spark):
         assert model.words.score(restore(text)) < toxicity.THRESHOLD, text
 
 
+def test_disguises_are_decoded_together(spark):
+    rows, labels = corpus()
+    _, _, model = model_of(spark, [*rows, *[(1000 + i, "worthless shit hate") for i in range(20)]], labels)
+    restore = model.restorer.restore
+    plain = {
+        "idio+": "idiot", "idio7": "idiot", "hat3": "hate", "worthle$$": "worthless", "m 0 r 0 n": "moron", "i d 1 0 t": "idiot",
+        "s.t.u.p.1.d": "stupid", "s - c - u - m": "scum", "s  c  u  m": "scum", "1d107": "idiot", "5h17": "shit",
+        "$ c u m": "scum", "ss c uuu mm": "scum", "s.7.uuu.p.!.d": "stupid",
+    }
+    for disguised, word in plain.items():
+        assert restore(f"the {disguised}, here") == f"the {word}, here", disguised
+    assert restore("101 10 1 0 1") == "101 10 1 0 1"
+    model.words.prepare()
+    for text in ["the quiet m 0 r 0 n walks", "a s.t.u.p.1.d town", "the river 1d107", "i d 1 0 t"]:
+        assert model.words.score(restore(text)) >= toxicity.THRESHOLD, text
+
+
 def test_patterns_are_run_wherever_they_match():
     rng = random.Random(8)
     alphabet = "aabé1$!. -_*0\u0416\u0663\u00b2\U0001f600\n"

@@ -4,11 +4,14 @@ A conversation logged again after every turn leaves many rows that begin alike.
 messages and its number, and the digests up to a turn, combined with exclusive or, identify the prefix that ends
 there. Conversations with the same whole digest are one class, of which the smallest id stays. A class is a snapshot if its
 digest is that of a proper prefix of another conversation: an anti-join keeps the classes that aren't. Only what stays is
-rendered, in parts of ``PART_TURNS`` turn numbers, so no conversation has to fit into one row or task.
+rendered, in parts of ``PART_TURNS`` turn numbers. A part of more than ``PART_BYTES`` is cut into pieces by a running total
+over ranges of its messages, so no conversation and no part has to fit into one row or task, whatever its turns are.
 
 Defined results: messages of one turn are a set, in the order of role and text: a repeated row counts once. A null
 turn comes before all others; null roles and texts are rendered as empty, but differ from empty ones in comparisons. Rows
-with a null conversation id are one conversation. Empty tables give no rows; extra columns take no part.
+with a null conversation id are one conversation. Pieces are parts of their own: they and the later parts of their
+conversation have higher numbers, ascending, with gaps. Only a message longer than ``PART_BYTES`` makes a longer row.
+Empty tables give no rows; extra columns take no part.
 """
 
 from __future__ import annotations
@@ -16,10 +19,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cmdprism.plans.prefix import running_totals
 from cmdprism.sources.tables import materialize
 
 #: Turn numbers that one rendered part covers; also the share of a conversation that one window sees.
 PART_TURNS = 512
+#: Bytes of messages that one rendered row holds, and what a message counts besides its role and text.
+PART_BYTES, MESSAGE_BYTES = 16 << 20, 64
 SEEDS = (101, 202)
 
 
@@ -91,9 +97,28 @@ def rendered(role: Column, text: Column) -> Column:
     return F.concat(F.lit("<|"), F.coalesce(role, F.lit("")), F.lit("|>\n"), F.coalesce(text, F.lit("")), F.lit("\n"))
 
 
+def same_part(conv: str = "_conv", part: str = "_part") -> Column:
+    return F.col("conv_id").eqNullSafe(F.col(conv)) & (F.col("part") == F.col(part))
+
+
+def in_pieces(rows: DataFrame, large: DataFrame, part_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """The messages of the large parts that stay, with their piece, and (_conv, extras): how many numbers each large part takes more.
+
+    ``large`` has less rows than the table has bytes / ``part_bytes``.
+    """
+    order = [F.col(c).asc_nulls_first() for c in ("turn", "role", "text")]
+    distinct = rows.join(F.broadcast(large.where("snapshots IS NOT NULL")), same_part()).drop("_conv", "_part").distinct()
+    placed = running_totals(distinct, ["conv_id", "part"], order, ["cost"])
+    pieces = materialize(placed.withColumn("piece", F.floor(F.col("cost_before") / part_bytes).cast("long")), "chat-pieces")
+    more = pieces.groupBy("conv_id", "part").agg(F.floor(F.max("cost_total") / part_bytes).cast("long").alias("extra"))
+    extras = more.groupBy(F.col("conv_id").alias("_conv")).agg(F.collect_list(F.struct("part", "extra")).alias("extras"))
+    return pieces, extras
+
+
 def format_chats(
-    conversations: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text"
-) -> DataFrame:
+    conversations: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text",
+    part_bytes: int = PART_BYTES,
+) -> DataFrame:
     """conv_id, part, n_messages, snapshots, rendered: the maximal conversations, part after part."""
     messages = conversations.select(
         F.col(conv_col).alias("conv_id"),
@@ -102,15 +127,31 @@ def format_chats(
         F.col(text_col).alias("text"),
     )
     kept = materialize(maximal(messages), "chat-kept")
-    kept = kept.select(F.col("conv_id").alias("_kept"), F.col("part").alias("_part"), "snapshots")
-    same = F.col("conv_id").eqNullSafe(F.col("_kept")) & (F.col("part") == F.col("_part"))
-    rows = messages.withColumn("part", part_of(F.col("turn"))).join(kept, same)
+    kept = kept.select(F.col("conv_id").alias("_kept"), F.col("part").alias("_kept_part"), "snapshots")
+    cost = F.coalesce(F.octet_length("role"), F.lit(0)) + F.coalesce(F.octet_length("text"), F.lit(0)) + F.lit(MESSAGE_BYTES)
+    rows = messages.withColumns({"part": part_of(F.col("turn")), "cost": cost.cast("long")})
+    sizes = rows.groupBy("conv_id", "part").agg(F.sum("cost").alias("total")).where(F.col("total") > part_bytes)
+    large = sizes.join(kept, same_part("_kept", "_kept_part"), "left")
+    large = materialize(large.select(F.col("conv_id").alias("_conv"), F.col("part").alias("_part"), "snapshots"), "chat-large")
+    cut = not large.isEmpty()
+    small = rows.join(F.broadcast(large), same_part(), "left_anti") if cut else rows
+    held = small.join(kept, same_part("_kept", "_kept_part")).withColumn("piece", F.lit(0).cast("long"))
+    names = ["conv_id", "part", "piece", "turn", "role", "text", "snapshots"]
+    held = held.select(*names)
+    if cut:
+        pieces, extras = in_pieces(rows, large, part_bytes)
+        held = held.unionByName(pieces.select(*names))
     # A part's messages in order: turn (null first), role, text.
-    held = F.sort_array(F.collect_set(F.struct("turn", "role", "text")))
-    parts = rows.groupBy("conv_id", "part").agg(held.alias("held"), F.max("snapshots").alias("snapshots"))
+    ordered = F.sort_array(F.collect_set(F.struct("turn", "role", "text")))
+    parts = held.groupBy("conv_id", "part", "piece").agg(ordered.alias("held"), F.max("snapshots").alias("snapshots"))
+    number = F.col("part")
+    if cut:
+        parts = parts.join(F.broadcast(extras), F.col("conv_id").eqNullSafe(F.col("_conv")), "left")
+        earlier = F.filter(F.coalesce("extras", F.array().cast("array<struct<part:bigint,extra:bigint>>")), lambda x: x["part"] < F.col("part"))
+        number = number + F.col("piece") + F.aggregate(earlier, F.lit(0).cast("long"), lambda n, x: n + x["extra"])
     return parts.select(
         "conv_id",
-        "part",
+        number.alias("part"),
         F.size("held").cast("long").alias("n_messages"),
         "snapshots",
         F.array_join(F.transform("held", lambda m: rendered(m["role"], m["text"])), "").alias("rendered"),

@@ -71,6 +71,30 @@ def test_kept_conversations_equal_brute_force(spark):
     assert len(parts[500]) == 3
 
 
+def test_parts_are_bounded_whatever_the_turns_are(spark):
+    rng = random.Random(7)
+    rows = [(None, None, "user", f"lost {i} " + "x" * rng.randrange(200), 1) for i in range(3000)]
+    rows += [(1, rng.randrange(2), rng.choice(["user", None]), f"say {i} " + "y" * rng.randrange(200), 1) for i in range(3000)]
+    rows += [(1, 600, "user", "later", 1), (1, 1200, "user", None, 1), (2, 0, "user", "short", 1), (2, 700, "user", "end", 1)]
+    rows += [(3, 0, "user", "one\n" * 20_000, 1), (3, 1, "user", "after a long one", 1)]
+    rows += [(4, 0, "user", "again", 1)] * 2000  # one message
+    rows += rows[:500]
+    rng.shuffle(rows)
+    got = chat.format_chats(spark.createDataFrame(rows, SCHEMA), part_bytes=20_000).collect()
+    parts = {}
+    for r in got:
+        parts.setdefault(r["conv_id"], []).append(r)
+        assert r["n_messages"] == 1 or len(r["rendered"]) <= 20_000 + 300
+        assert r["n_messages"] <= 20_000 // chat.MESSAGE_BYTES + 1
+    for conv, n, messages in brute(rows):
+        mine = sorted(parts.pop(conv), key=lambda r: r["part"])
+        assert len({r["part"] for r in mine}) == len(mine) and {r["snapshots"] for r in mine} == {n}
+        assert sum(r["n_messages"] for r in mine) == len(messages)
+        assert "".join(r["rendered"] for r in mine) == "".join(f"<|{role or ''}|>\n{text or ''}\n" for _, role, text in messages)
+    assert not parts
+    assert [r["part"] for r in got if r["conv_id"] == 2] in ([0, 1], [1, 0]) and [r["part"] for r in got if r["conv_id"] == 4] == [0]
+
+
 @pytest.mark.parametrize("sf", ["0.001", "0.01"])
 def test_query_equals_its_sql(spark, sf):
     sf_dir = f"/root/testdata/sf{sf}"

@@ -163,3 +163,20 @@ def test_latency_of_unmeasured_models_is_zero(spark, events):
     names = spark.createDataFrame([("value",), ("outside",)], "model STRING")
     got = {r.model: r for r in models.latency_stats(runs, names).collect()}
     assert got["value"].runs == 2 and got["value"].total_seconds > 0 and got["outside"].total_seconds == 0
+
+
+def test_tuning_query_runs_the_published_grids_of_all_models(spark, monkeypatch):
+    from cmdprism.catalog import text_queries
+
+    rows = spark.range(3)
+    called = []
+
+    def tune(features, model, grid=None, folds=5, class_weight="balanced", base=None):
+        called.append((features is rows, model, grid or models.TUNING_GRIDS[model], folds, base))
+        return spark.createDataFrame([(model, {"at": "1"}, len(called) / 10, 0.0)], "model string, params map<string,string>, avg_macro_f1 double, std_macro_f1 double")
+
+    monkeypatch.setattr(text_queries, "train_and_rest", lambda *_: (rows, None))
+    monkeypatch.setattr(text_queries.md, "tune", tune)
+    got = text_queries.h12_tune(spark, "").collect()
+    assert [r["model"] for r in got] == ["rf", "xgb", "gbdt"]
+    assert called == [(True, m, models.TUNING_GRIDS[m], 5, None) for m in ("gbdt", "xgb", "rf")]

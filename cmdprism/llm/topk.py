@@ -4,12 +4,13 @@ The vectors' Gram matrix gives a rotation (its singular vectors) that gathers mo
 leading axes. Candidates go by falling length. The longest ones are multiplied out with every query and give
 each query a first k-th best score; a later block stops a query once length times length falls below that
 score, and else bounds each product by the rotated partial sum plus the product of the two residual lengths
-(Cauchy-Schwarz). What the bound can't exclude is multiplied out in integers, so the answer is exact.
+(Cauchy-Schwarz). What the bound can't exclude is multiplied out in whole numbers, so the answer is exact.
 
 Defined results: a vector that is null, empty or holds a null or non-finite component takes no part, neither as
 a query nor as a candidate. Vectors of different length can't be multiplied: a query meets candidates of its own
 length only. Equal scores go by the smaller id; a query with fewer than k candidates gets them all; repeated ids
-are rows of their own, and a query skips every row with its id. Null ids are no queries and no candidates.
+are rows of their own: each query row has its own list, equal ones too, each row is a candidate, and a query skips every row
+with its id. Products are sums of integers in doubles, exact below 2**53; vectors that could reach it are an error. Null ids are no queries and no candidates.
 Empty tables give no rows; extra columns take no part.
 """
 
@@ -33,7 +34,9 @@ QUERY_BLOCK = 65_536
 SEED_ROWS = 4_096
 #: Candidates and queries that are multiplied at a time.
 TILE_ROWS, TILE_QUERIES = 2_048, 512
-FOUND = "query_id long, vec_id long, score long"
+FOUND = "query_id long, query_row long, copies long, vec_id long, score long"
+#: From this squared length on, doubles may round a product.
+INEXACT = 2.0**53
 
 
 def integer_vectors(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
@@ -74,8 +77,8 @@ def best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
 class Searcher:
     """Queries, their rotated forms and the scores they must reach."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, rotation: np.ndarray, k: int) -> None:
-        self.ids, self.vectors, self.rotation, self.k = ids, vectors, rotation, k
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, copies: np.ndarray, rotation: np.ndarray, k: int) -> None:
+        self.ids, self.vectors, self.copies, self.rotation, self.k = ids, vectors, copies, rotation, k
         self.floor = np.full(len(ids), -np.inf)
         self.length = np.sqrt((vectors**2).sum(axis=1))
         self.head = max(1, vectors.shape[1] // 4)
@@ -123,7 +126,10 @@ class Searcher:
                         floor[q] = max(floor[q], all_scores[top[-1]])
             for q, (found, scores) in enumerate(held):
                 if len(found):
-                    yield pd.DataFrame({"query_id": self.ids[begin + q], "vec_id": found, "score": scores.astype(np.int64)})
+                    at = begin + q
+                    yield pd.DataFrame(
+                        {"query_id": self.ids[at], "query_row": at, "copies": self.copies[at], "vec_id": found, "score": scores.astype(np.int64)}
+                    )
 
 
 def search_rows(vectors: DataFrame, searcher: Searcher) -> DataFrame:
@@ -139,7 +145,8 @@ def search_rows(vectors: DataFrame, searcher: Searcher) -> DataFrame:
 def top_of(found: DataFrame, k: int) -> DataFrame:
     """At most k rows of each task and query come in, so no query has many rows to rank."""
     ranked = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("vec_id").alias("v"))))
-    per_query = found.groupBy("query_id").agg(F.slice(ranked, 1, k).alias("top"))
+    per_query = found.groupBy("query_id", "query_row", "copies").agg(F.slice(ranked, 1, k).alias("top"))
+    per_query = per_query.select("query_id", "top", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
     return per_query.select("query_id", F.posexplode("top").alias("at", "x")).select(
         "query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("x.v").alias("vec_id"), (-F.col("x.s")).alias("score")
     )
@@ -166,16 +173,19 @@ def top_k(
         _, _, rotation = np.linalg.svd(gram_matrix(own, width))
         rotation = rotation.T
         longest = own.orderBy(F.desc("sq"), "id").limit(seed_rows).toPandas()
+        if longest["sq"].iloc[0] >= INEXACT:
+            raise ValueError(f"vectors of squared length {longest['sq'].iloc[0]:g}: products of 2**53 and more would be rounded")
         seeds = np.stack(longest["v"].to_numpy())
         # Candidates by falling length: each task's share is a range of lengths.
         ordered = own.repartitionByRange(F.desc("sq"), F.xxhash64("id"))
-        queries = own.where(is_query)
+        # Equal query rows are searched once and answered once each.
+        queries = own.where(is_query).groupBy("id", "v").agg(F.count("*").alias("copies"))
         blocks = -(-queries.count() // query_block)
         for block in range(blocks):
-            mine = queries.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block).select("id", "v").distinct().toPandas()
+            mine = queries.where(F.pmod(F.xxhash64("id", "v"), F.lit(blocks)) == block).toPandas()
             if not len(mine):
                 continue
-            searcher = Searcher(mine["id"].to_numpy(np.int64), np.stack(mine["v"].to_numpy()), rotation, k)
+            searcher = Searcher(mine["id"].to_numpy(np.int64), np.stack(mine["v"].to_numpy()), mine["copies"].to_numpy(), rotation, k)
             searcher.floor = first_floors(searcher, longest["id"].to_numpy(np.int64), seeds)
             found = top_of(search_rows(ordered, searcher), k)
             out = found if out is None else out.unionByName(found)

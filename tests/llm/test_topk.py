@@ -51,3 +51,23 @@ def test_query_over_the_table(spark, sf_dir):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert topk.top_k(df, F.pmod("id", F.lit(2)) == 0).collect() == []
+
+
+def test_query_rows_that_share_an_id_have_their_own_lists(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in rng.integers(-9, 9, size=4)]) for i in [*range(40), 2, 2, 4, 7]]
+    rows += [rows[6], rows[6]]  # equal rows
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = []
+    for q, a in rows:
+        if q % 2 == 0:
+            scores = sorted((-sum(x * y for x, y in zip(a, b, strict=True)), i) for i, b in rows if i != q)
+            want += [(q, rank, i, -s) for rank, (s, i) in enumerate(scores[:5], 1)]
+    for block in (65_536, 3):
+        assert answer(topk.top_k(df, F.pmod("id", F.lit(2)) == 0, scale=1, query_block=block)) == sorted(want)
+
+
+def test_products_that_doubles_would_round_are_an_error(spark):
+    df = spark.createDataFrame([(0, [2.0**27, 1.0]), (1, [2.0**27, 3.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(ValueError, match="rounded"):
+        topk.top_k(df, F.pmod("id", F.lit(2)) == 0, scale=1)

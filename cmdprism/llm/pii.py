@@ -117,14 +117,23 @@ def further(text: str, dropped: list[tuple[str, int, int]]) -> list[tuple[str, i
     out += [("card", *m.span()) for m in DOTTED_CARD.finditer(text)]
     out += [("phone", *m.span()) for m in LOCAL_PHONE.finditer(text)]
     for kind, a, b in dropped:
-        if kind != "card":
+        if kind == "ip":
             continue
-        # A long run of numbers may hold a card number: consecutive groups of 13 to 19 digits.
         groups = [(m.start(), m.end()) for m in GROUP.finditer(text, a, b)]
+        if kind == "phone":
+            # A run of too many digits may begin with a phone number: the longest one, so that none is masked in part.
+            sizes = np.cumsum([e - s for s, e in groups])
+            fits = np.flatnonzero((sizes >= 8) & (sizes <= 15))
+            out += [("phone", a, groups[j][1]) for j in fits[-1:]]
+            continue
+        # A long run of numbers may hold a card number: consecutive groups of 13 to 19 digits.
         for i in range(len(groups)):
-            for j in range(i, min(i + 5, len(groups))):
-                size = sum(e - s for s, e in groups[i : j + 1])
-                if 13 <= size <= 19 and luhn(digits_of(text[groups[i][0] : groups[j][1]])):
+            size = 0
+            for j in range(i, len(groups)):
+                size += groups[j][1] - groups[j][0]
+                if size > 19:
+                    break
+                if size >= 13 and luhn(digits_of(text[groups[i][0] : groups[j][1]])):
                     out.append(("card", groups[i][0], groups[j][1]))
     return out
 

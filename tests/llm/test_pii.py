@@ -104,3 +104,15 @@ def test_empty_table_and_no_candidates(spark):
     assert pii.op3(spark.createDataFrame([], "doc_id long, text string")).collect() == []
     row = pii.op3(spark.createDataFrame([(None, "plain words")], "doc_id long, text string")).first()
     assert row["spans"] == "" and row["n_email"] == 0
+
+
+def test_numbers_of_many_groups_are_candidates_inside_longer_runs():
+    card = "4111111111111111"
+    for size in (1, 2, 3, 4):
+        spelt = " ".join(card[i : i + size] for i in range(0, len(card), size))
+        for text in (f"pay {spelt} 20240102", f"pay 20240102 {spelt}"):
+            at = text.index(spelt)
+            assert ("card", at, at + len(spelt)) in pii.candidates(text)[1], text
+    text = "call +49 30 12 34 56 78 20240102 1530"
+    assert ("phone", 5, 5 + len("+49 30 12 34 56 78")) in pii.candidates(text)[1]
+    assert len(pii.candidates("1 " * 20_000)[1]) <= 7 * 20_000

@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cmdprism.llm import chat, contamination, jaccard, language, mixing, pii, quality, secrets, topk, toxicity
+from cmdprism.llm import (
+    chat,
+    contamination,
+    jaccard,
+    language,
+    licenses,
+    merkle,
+    mixing,
+    pii,
+    quality,
+    secrets,
+    topk,
+    toxicity,
+    whitening,
+)
 from cmdprism.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,6 +68,18 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), every)
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.op11(table(spark, sf_dir, "embeddings"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.op12(table(spark, sf_dir, "documents"))
+
+
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.op13(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_language_id": op1_language_id,
     "op2_chat_snapshots": op2_chat_snapshots,
@@ -65,5 +91,8 @@ QUERIES: dict[str, Query] = {
     "op8_temperature_mix": op8_temperature_mix,
     "op9_quality_grades": op9_quality_grades,
     "op10_exact_top_k": op10_exact_top_k,
+    "op11_whitening": op11_whitening,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_license_scan": op13_license_scan,
 }
-ORACLES: dict[str, str] = {"op2_chat_snapshots": chat.OP2_SQL}
+ORACLES: dict[str, str] = {"op2_chat_snapshots": chat.OP2_SQL, "op12_merkle_manifest": merkle.OP12_SQL}

@@ -110,6 +110,24 @@ def a1_read_events(spark, sf_dir):
     return events.unionByName(rejected)
 
 
+@query(
+    "a1_line_numbers",
+    with_telemetry(
+        """SELECT CAST(row_id AS VARCHAR) AS process_id, line_number FROM (
+  SELECT row_id, CAST(1 + coalesce(sum(CASE WHEN row_id % 11 = 3 THEN 2 ELSE 1 END) OVER (
+    PARTITION BY row_id % 4 ORDER BY row_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS line_number FROM telemetry)
+WHERE row_id % 11 IN (0, 1, 2)"""
+    ),
+)
+def a1_line_numbers(spark, sf_dir):
+    """Where each rejected line stands in its file; every eleventh event is followed by a blank line."""
+    path = scratch_path(spark, "raw-events")
+    lines = raw_event_lines(spark, sf_dir).withColumn("file", F.col("row_id") % 4)
+    lines.repartition(4, "file").sortWithinPartitions("file", "row_id").select("line", "file").write.partitionBy("file").text(path)
+    _, bad = ev.read_events(spark, path)
+    return bad.select(F.regexp_extract("raw", '"ProcessId": "([0-9]+)"', 1).alias("process_id"), "line_number")
+
+
 @query(
     "a2_row_id",
     with_telemetry(

@@ -239,16 +239,56 @@ def i4_linear_contributions(spark, sf_dir):
     return items.select("row_id", (F.col("pos") + 1).cast("bigint").alias("rank"), "c.feature", "c.phrase", F.round("c.impact", 6).alias("impact"))
 
 
-@query("i4_tree_contributions", with_telemetry("SELECT row_id, TRUE AS in_range, TRUE AS adds_up FROM telemetry"))
-def i4_tree_contributions(spark, sf_dir):
-    """Path attribution of a trained forest: impacts and base add up to every row's score."""
-    features = build_features(telemetry(spark, sf_dir))
-    model = md.train_random_forest(features)
-    out, base = ex.tree_contributions(model, features, top_k=1000)
+def attributed(spark, sf_dir, detector, method, margin):
+    """Whether impacts and base add up to every row's output, and how many impacts are reported."""
+    out, base = ex.tree_contributions(detector, build_features(telemetry(spark, sf_dir)), 1000, method)
     total = F.aggregate("contributions", F.lit(base), lambda acc, c: acc + c["impact"])
     # Impacts below the reporting limit are left out, so the sum may be off by as much for each feature.
     limit = ex.MIN_IMPACT * 40
-    return out.select("row_id", F.col("score").between(0, 1).alias("in_range"), (F.abs(total - F.col("score")) <= limit).alias("adds_up"))
+    return out.select(
+        "row_id", F.col("score").between(0, 1).alias("in_range"), (F.abs(total - margin) <= limit).alias("adds_up"),
+        (F.size("contributions") > 0).alias("explained"),
+    )
+
+
+ATTRIBUTED_SQL = with_telemetry("SELECT row_id, TRUE AS in_range, TRUE AS adds_up, TRUE AS explained FROM telemetry")
+
+
+@query("i4_tree_contributions", ATTRIBUTED_SQL)
+def i4_tree_contributions(spark, sf_dir):
+    """Shapley values of leaf-wise boosted trees add up to every row's margin."""
+    detector = md.train_gbdt(build_features(telemetry(spark, sf_dir)))
+    return attributed(spark, sf_dir, detector, "shapley", F.log(F.col("score") / (1 - F.col("score"))))
+
+
+@query("i4_path_contributions", ATTRIBUTED_SQL)
+def i4_path_contributions(spark, sf_dir):
+    """Credits along the decision paths of a forest add up to every row's score."""
+    return attributed(spark, sf_dir, md.train_random_forest(build_features(telemetry(spark, sf_dir))), "path", F.col("score"))
+
+
+# One split by hand: the impact of the only feature is the leaf's value minus the mean, both from counts of the labels.
+STUMP_SQL = with_features(
+    """SELECT row_id, round(CASE WHEN has_certutil > 0 THEN high ELSE low END - mean, 4) AS impact FROM features, (
+  SELECT 0.1e0 * (o1 - n1 * q) / (n1 * q * (1 - q)) AS high, 0.1e0 * (o0 - n0 * q) / (n0 * q * (1 - q)) AS low,
+    (n1 * (0.1e0 * (o1 - n1 * q) / (n1 * q * (1 - q))) + n0 * (0.1e0 * (o0 - n0 * q) / (n0 * q * (1 - q)))) / (n0 + n1) AS mean FROM (
+    SELECT *, (o0 + o1) / CAST(n0 + n1 AS DOUBLE) AS q FROM (
+      SELECT sum(CASE WHEN has_certutil > 0 THEN 1 ELSE 0 END) AS n1, sum(CASE WHEN has_certutil > 0 THEN 0 ELSE 1 END) AS n0,
+        sum(CASE WHEN has_certutil > 0 THEN "_label" ELSE 0 END) AS o1, sum(CASE WHEN has_certutil > 0 THEN 0 ELSE "_label" END) AS o0 FROM features)))"""
+)
+
+
+@query("i4_stump_impacts", STUMP_SQL)
+def i4_stump_impacts(spark, sf_dir):
+    """Shapley values of one split over one flag, all other features held constant."""
+    from cmdprism.functions.features import CATEGORICAL_FEATURES, NUMERIC_FEATURES
+
+    features = build_features(telemetry(spark, sf_dir))
+    others = {n: F.lit(0.0) for n in NUMERIC_FEATURES if n != "has_certutil"} | {n: F.lit("same") for n in CATEGORICAL_FEATURES}
+    plain = features.withColumns(others)
+    detector = md.train_gbdt(plain, {"n_estimators": 1, "num_leaves": 2, "learning_rate": 0.1, "colsample_bytree": 1.0})
+    out, _ = ex.tree_contributions(detector, plain, 1)
+    return out.select("row_id", F.round(F.col("contributions")[0]["impact"], 4).alias("impact"))
 
 
 @query(

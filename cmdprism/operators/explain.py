@@ -4,15 +4,15 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cmdprism.functions.features import CATEGORICAL_FEATURES, NUMERIC_FEATURES
 from cmdprism.functions.numbers import fixed
 from cmdprism.functions.signals import build_signals, feature_phrase
+from cmdprism.operators.attribution import Attribution
 from cmdprism.operators.models import Detector
-from cmdprism.session import LABEL, ROW_ID, scratch_path
+from cmdprism.session import LABEL, ROW_ID
 
 # Fixed value: smaller impacts are not reported.
 MIN_IMPACT = 1e-4
@@ -67,91 +67,43 @@ def feature_means(features: DataFrame, names: list[str]) -> dict[str, float]:
     return {n: float(row[n] or 0.0) for n in names}
 
 
-def path_impacts(nodes: pd.DataFrame) -> tuple[float, list[tuple[np.ndarray, np.ndarray]]]:
-    """Base value, and per tree the features and impacts along the path to each leaf.
+def shown_features(features: list[tuple[str, str | None]]) -> list[tuple[str, Column]]:
+    """Name and shown value of the features that the trees split on; a one-hot column is named after its value."""
+    out = []
+    for name, value in features:
+        if value is not None:
+            hit = F.coalesce(F.col(name), F.lit("unknown")) == value
+            out.append((f"{name}_{value}", F.when(hit, "1.0").otherwise("0.0")))
+        elif name in CATEGORICAL_FEATURES:
+            out.append((name, F.col(name)))
+        else:
+            out.append((name, F.col(name).cast("double").cast("string")))
+    return out
 
-    Every step of a path credits the change of the node value to the feature split on.
-    Leaves come in the order of the model's own leaf index.
-    """
-    base, trees = 0.0, []
-    for _, tree in nodes.sort_values(["tree", "id"]).groupby("tree"):
-        table = tree.set_index("id")
-        value = (table["value"] * table["weight"]).to_dict()
-        children = {i: (left, right, f) for i, left, right, f in zip(table.index, table["left"], table["right"], table["feature"])}
-        paths, stack = [], [(0, [])]
-        while stack:
-            node, steps = stack.pop()
-            left, right, split_on = children[node]
-            if left < 0:
-                paths.append(steps)
-                continue
-            for child in (right, left):
-                stack.append((child, [*steps, (split_on, value[child] - value[node])]))
-        depth = max(1, *(len(p) for p in paths))
-        index = np.zeros((len(paths), depth), dtype=np.int64)
-        impact = np.zeros((len(paths), depth))
-        for row, steps in enumerate(paths):
-            for step, (split_on, change) in enumerate(steps):
-                index[row, step], impact[row, step] = split_on, change
-        base += value[0]
-        trees.append((index, impact))
-    return base, trees
-
-
-def used_features(detector: Detector, positions: list[int]) -> list[tuple[str, Column]]:
-    """Name and shown value of the matrix columns that the trees split on; the model bounds their number."""
-    sizes, out = detector.config["sizes"], {}
-    for i in positions:
-        if i < len(NUMERIC_FEATURES):
-            out[i] = (NUMERIC_FEATURES[i], F.col(NUMERIC_FEATURES[i]).cast("double").cast("string"))
-    if detector.config["feature_type"] == "categorical":
-        for k, name in enumerate(CATEGORICAL_FEATURES):
-            out[len(NUMERIC_FEATURES) + k] = (name, F.col(name))
-        return [out[i] for i in positions]
-    offset = len(NUMERIC_FEATURES)
-    for name, table in detector.categories.items():
-        wanted = [i - offset for i in positions if offset <= i <= offset + sizes[name]]
-        found = {int(r["index"]): r["value"] for r in table.where(F.col("index").isin(wanted)).collect()} if wanted else {}
-        for k in wanted:
-            value = F.coalesce(F.col(name), F.lit("unknown"))
-            hit = F.col(f"{name}_index") == sizes[name] if k == sizes[name] else value == found[k]
-            shown = F.when(hit, "1.0").otherwise("0.0")
-            out[offset + k] = (f"{name}_{found[k]}" if k in found else f"{name}_other", shown)
-        offset += sizes[name] + 1
-    return [out[i] for i in positions]
-
-
-def tree_contributions(detector: Detector, df: DataFrame, top_k: int = 3) -> tuple[DataFrame, float]:
-    """Score events with a tree model and attribute each margin to features along the decision paths.
-
-    The model's own leaf index says where a row ends in every tree, so the Python part only adds up prepared path
-    tables for an Arrow batch, over the features that the trees split on. Impacts plus the base value give the margin.
+
+def tree_contributions(detector: Detector, df: DataFrame, top_k: int = 3, method: str = "shapley") -> tuple[DataFrame, float]:
+    """Score events with a tree model and give the impacts of the features that the trees split on, with the base value.
+
+    ``method``: ``shapley`` (path-dependent Shapley values) or ``path`` (credits along the decision path). All impacts and the base
+    add up to the margin of boosted trees, and to the probability of a forest.
     """
-    spark = df.sparkSession
-    base, trees = path_impacts(saved_nodes(spark, detector))
-    positions = sorted({int(i) for index, _ in trees for i in np.unique(index)})
-    place = {i: k for k, i in enumerate(positions)}
-    trees = [(np.vectorize(place.get, otypes=[np.int64])(index), impact) for index, impact in trees]
-    used = used_features(detector, positions)
-    shared = spark.sparkContext.broadcast(trees)
-    n_features = len(positions)
-    keep = min(top_k, n_features)
+    model = detector.trees
+    attribution = Attribution(model, detector.config["feature_type"] == "ohe")
+    scored = detector.prepare(df).withColumn("score", model.probability())
+    used = shown_features(attribution.features)
+    keep = min(top_k, len(used))
+    if not keep:
+        return scored.withColumn("contributions", F.array().cast(f"ARRAY<{CONTRIBUTION}>")), attribution.base
 
     @F.pandas_udf("index array<int>, impact array<double>")
-    def attribute(leaves: pd.Series) -> pd.DataFrame:
-        matrix = np.vstack(leaves.to_numpy()).astype(np.int64)
-        total = np.zeros((len(matrix), n_features))
-        rows = np.arange(len(matrix))[:, None]
-        for tree, (index, impact) in enumerate(shared.value):
-            np.add.at(total, (rows, index[matrix[:, tree]]), impact[matrix[:, tree]])
-        order = np.argsort(-np.abs(total), axis=1, kind="stable")[:, :keep]
-        return pd.DataFrame({"index": list(order.astype(np.int32)), "impact": list(np.take_along_axis(total, order, axis=1))})
-
-    scored = detector.pipeline.transform(detector.prepare(df))
+    def attribute(numbers: pd.Series, *categories: pd.Series) -> pd.DataFrame:
+        impacts = attribution.impacts(method, *attribution.walker.arrays(numbers, categories))
+        order = np.argsort(-np.abs(impacts), axis=1, kind="stable")[:, :keep]
+        top = np.take_along_axis(impacts, order, axis=1)
+        return pd.DataFrame({"index": list(order.astype(np.int32)), "impact": list(top)})
+
     labels = F.array(*[F.lit(name) for name, _ in used])
-    staged = scored.withColumns(
-        {"_impacts": attribute(vector_to_array("leaf")), "_values": F.array(*[shown for _, shown in used])}
-    )
+    staged = scored.withColumns({"_impacts": attribute(*model.inputs()), "_values": F.array(*[shown for _, shown in used])})
     items = F.zip_with(
         "_impacts.index",
         "_impacts.impact",
@@ -159,26 +111,7 @@ def tree_contributions(detector: Detector, df: DataFrame, top_k: int = 3) -> tup
             F.element_at(labels, i + 1).alias("feature"), F.element_at(F.col("_values"), i + 1).alias("value"), impact.alias("impact")
         ),
     )
-    staged = staged.withColumn("contributions", _top(items, top_k))
-    staged = staged.withColumn("score", vector_to_array("probability")[1])
-    return staged.drop("_impacts", "_values"), base
-
-
-def saved_nodes(spark, detector: Detector) -> pd.DataFrame:
-    """Node table of a tree ensemble, read from the model's saved form; its size is the model's."""
-    model = detector.pipeline.stages[-1]
-    path = scratch_path(spark, "trees")
-    model.write().overwrite().save(path)
-    weights = spark.read.parquet(f"{path}/treesMetadata").toDF("tree", "_meta", "weight").select("tree", "weight")
-    node = F.col("nodeData")
-    stats = node["impurityStats"]
-    forest = "RandomForest" in type(model).__name__
-    value = stats[1] / (stats[0] + stats[1]) / F.lit(float(model.getNumTrees)) if forest else node["prediction"] * 2.0
-    nodes = spark.read.parquet(f"{path}/data").select(
-        F.col("treeID").alias("tree"), node["id"].alias("id"), value.alias("value"), node["leftChild"].alias("left"),
-        node["rightChild"].alias("right"), node["split"]["featureIndex"].alias("feature"),
-    )
-    return nodes.join(weights, "tree").toPandas()
+    return staged.withColumn("contributions", _top(items, top_k)).drop("_impacts", "_values"), attribution.base
 
 
 def explain(df: DataFrame, score: str = "score", threshold: float = 0.5, top_k: int = 3) -> DataFrame:

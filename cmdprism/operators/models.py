@@ -1,4 +1,4 @@
-"""Detectors on MLlib: training, tuning, saving, batch scoring, comparison."""
+"""Detectors: training, tuning, saving, batch scoring, comparison. Regressions are MLlib's, trees are those of ``trees``."""
 
 from __future__ import annotations
 
@@ -7,21 +7,22 @@ import time
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
+from itertools import product
 
 import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.evaluation import Evaluator
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import OneHotEncoder, VectorAssembler
 from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
-from pyspark.ml.tuning import ParamGridBuilder
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
 from cmdprism.functions.features import CATEGORICAL_FEATURES, NUMERIC_FEATURES, build_features
 from cmdprism.functions.text import clean_command_text
 from cmdprism.operators import metrics as m
+from cmdprism.operators import trees
+from cmdprism.operators.growth import Layout, TreeParams
 from cmdprism.operators.scoring import Provider, stack_probabilities
 from cmdprism.operators.splits import stratified_kfold
 from cmdprism.operators.textmodel import fit_vectorizer, with_terms
@@ -32,16 +33,22 @@ from cmdprism.sources.tables import materialize
 
 # Default training parameters.
 SEED = 13
-GBDT_PARAMS = {"maxIter": 300, "stepSize": 0.05, "maxDepth": 5, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8"}
-BOOSTED_PARAMS = {"maxIter": 400, "stepSize": 0.05, "maxDepth": 5, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8"}
-FOREST_PARAMS = {"numTrees": 400, "maxDepth": 30}
+GBDT_PARAMS = {
+    "n_estimators": 300, "learning_rate": 0.05, "num_leaves": 31, "subsample": 0.8, "colsample_bytree": 0.8, "min_child_samples": 20,
+    "min_child_weight": 1e-3, "reg_lambda": 0.0,
+}
+BOOSTED_PARAMS = {
+    "n_estimators": 400, "learning_rate": 0.05, "max_depth": 5, "subsample": 0.8, "subsample_freq": 1, "colsample_bytree": 0.8,
+    "reg_lambda": 1.0, "min_child_weight": 1.0, "min_child_samples": 1, "num_leaves": None, "native_categories": False,
+}
+FOREST_PARAMS = {"n_estimators": 400, "max_depth": None, "num_leaves": None, "native_categories": False, "forest": True}
 TEXT_C = 2.0
 ENSEMBLE_C = 4.0
 MAX_ITER = 500
 TUNING_GRIDS = {
-    "gbdt": {"stepSize": [0.03, 0.05, 0.1], "maxDepth": [5, 6], "minInfoGain": [0.0, 0.1]},
-    "xgb": {"maxDepth": [4, 5, 6], "stepSize": [0.03, 0.05, 0.1]},
-    "rf": {"maxDepth": [30, 20], "numTrees": [300, 500]},
+    "gbdt": {"learning_rate": [0.03, 0.05, 0.1], "num_leaves": [31, 63], "reg_lambda": [0.0, 0.1]},
+    "xgb": {"max_depth": [4, 5, 6], "learning_rate": [0.03, 0.05, 0.1]},
+    "rf": {"max_depth": [None, 20], "n_estimators": [300, 500]},
 }
 TREE_MODELS = ("gbdt", "xgb", "rf")
 
@@ -52,16 +59,15 @@ class Detector:
 
     name: str
     kind: str
-    pipeline: PipelineModel
+    pipeline: PipelineModel | None
     config: dict = field(default_factory=dict)
     feature_names: list[str] = field(default_factory=list)
     encoder: Callable | None = None
-    categories: dict[str, DataFrame] = field(default_factory=dict)
+    trees: trees.TreeModel | None = None
 
     def prepare(self, df: DataFrame) -> DataFrame:
         if self.kind == "tree":
-            features = df if set(NUMERIC_FEATURES) <= set(df.columns) else build_features(df)
-            return with_category_indexes(features.fillna(0.0, NUMERIC_FEATURES), self.categories, self.config["sizes"])
+            return df if set(NUMERIC_FEATURES) <= set(df.columns) else build_features(df)
         if self.kind == "tfidf":
             return with_terms(df, accents=self.config.get("strip_accents", True))
         if self.kind == "sentence":
@@ -73,6 +79,8 @@ class Detector:
     def score(self, df: DataFrame, out: str | None = None) -> DataFrame:
         """Add the probability of class 1; helper columns of the pipeline are dropped."""
         out = out or f"prob_{self.name}"
+        if self.kind == "tree":
+            return self.prepare(df).withColumn(out, self.trees.probability()).select(*df.columns, out)
         scored = self.pipeline.transform(self.prepare(df))
         return scored.withColumn(out, vector_to_array("probability")[1]).select(*df.columns, out)
 
@@ -220,26 +228,6 @@ def train_embedding_lr(
     return Detector("st", "sentence", PipelineModel([model]), {"C": c, "batch_size": batch_size}, names, make_encoder)
 
 
-def _train_trees(
-    name: str, features: DataFrame, estimator, one_hot_input: bool, weight: str | None, params: dict, max_bins: int | None = None
-) -> Detector:
-    """Fit trees on the matrix. Categories as such need a bin for each value: ``max_bins`` bounds them only where it is given."""
-    table = features.where(F.col(LABEL).isNotNull()).fillna(0.0, NUMERIC_FEATURES)
-    if weight is not None:
-        table = with_class_weight(table, weight)
-        estimator = estimator.setWeightCol("weight")
-    tables = category_tables(table)
-    sizes = table_sizes(tables)
-    if not one_hot_input:
-        estimator = estimator.setMaxBins(max_bins or max(32, *[n + 2 for n in sizes.values()]))
-    indexed = materialize(with_category_indexes(table, tables, sizes), "train")
-    # The nominal attributes are lost in the written table, so they are set again.
-    indexed = nominal_indexes(indexed, sizes)
-    pipeline = Pipeline(stages=[*matrix_stages(one_hot_input), estimator]).fit(indexed)
-    config = {**params, "feature_type": "ohe" if one_hot_input else "categorical", "class_weight": weight, "sizes": sizes}
-    return Detector(name, "tree", pipeline, config, [*NUMERIC_FEATURES, *CATEGORICAL_FEATURES], categories=tables)
-
-
 def nominal_indexes(df: DataFrame, sizes: dict[str, int]) -> DataFrame:
     """Mark the index columns as categories with one value more than their tables have."""
     for name, size in sizes.items():
@@ -248,24 +236,51 @@ def nominal_indexes(df: DataFrame, sizes: dict[str, int]) -> DataFrame:
     return df
 
 
+def tree_params(defaults: dict, params: dict | None = None, class_weight: str | None = None) -> TreeParams:
+    merged = {"random_state": SEED, "class_weight": class_weight, **defaults, **(params or {})}
+    return TreeParams(**{k: v for k, v in merged.items() if v is not None or k in ("num_leaves", "max_depth", "class_weight")})
+
+
+def binned_features(features: DataFrame, fold: str | None = None) -> tuple[DataFrame, Layout, dict[str, DataFrame]]:
+    """Labelled features binned once into a written table, its layout, and the tables of the categories' codes.
+
+    ``fold`` names a column with the row's fold. Rows are told apart in samples by ``row_id``, or by all features without one.
+    """
+    table = features.where(F.col(LABEL).isNotNull()).fillna(0.0, NUMERIC_FEATURES)
+    tables = category_tables(table)
+    sizes = table_sizes(tables)
+    kept = [*([ROW_ID] if ROW_ID in table.columns else []), *([fold] if fold else []), LABEL, *NUMERIC_FEATURES, *CATEGORICAL_FEATURES]
+    indexed = materialize(with_category_indexes(table.select(*kept), tables, sizes), "train")
+    layout = trees.fit_layout(indexed, NUMERIC_FEATURES, CATEGORICAL_FEATURES, sizes)
+    key = F.xxhash64(ROW_ID) if ROW_ID in kept else F.xxhash64(*NUMERIC_FEATURES, *CATEGORICAL_FEATURES)
+    binned = trees.with_bins(indexed, layout, key, F.col(fold) if fold else F.lit(0))
+    return binned, layout, tables
+
+
+def _train_trees(name: str, features: DataFrame, p: TreeParams) -> Detector:
+    binned, layout, tables = binned_features(features)
+    base, made = trees.fit(binned, layout, p)
+    config = {**p.__dict__, "feature_type": "categorical" if p.native_categories else "ohe"}
+    model = trees.model_of(base, made, layout, p, tables)
+    return Detector(name, "tree", None, config, [*NUMERIC_FEATURES, *CATEGORICAL_FEATURES], trees=model)
+
+
 def train_gbdt(features: DataFrame, params: dict | None = None, class_weight: str | None = None) -> Detector:
-    """Boosted trees over indexed categoricals."""
-    merged = {**GBDT_PARAMS, **(params or {})}
-    trees = GBTClassifier(labelCol=LABEL, seed=SEED, leafCol="leaf", **merged)
-    return _train_trees("gbdt", features, trees, False, class_weight, merged)
+    """Leaf-wise boosted trees over the numbers and the categories as such.
+
+    As in the library whose parameters these are, ``subsample`` takes effect with a ``subsample_freq`` only.
+    """
+    return _train_trees("gbdt", features, tree_params(GBDT_PARAMS, params, class_weight))
 
 
 def train_boosted_ohe(features: DataFrame, params: dict | None = None, class_weight: str | None = "positive") -> Detector:
-    """Boosted trees over the one-hot matrix, positives weighted up."""
-    merged = {**BOOSTED_PARAMS, **(params or {})}
-    trees = GBTClassifier(labelCol=LABEL, seed=SEED, leafCol="leaf", **merged)
-    return _train_trees("xgb", features, trees, True, class_weight, merged)
+    """Boosted trees by level over the numbers and one-hot categories, positives weighted up."""
+    return _train_trees("xgb", features, tree_params(BOOSTED_PARAMS, params, class_weight))
 
 
 def train_random_forest(features: DataFrame, params: dict | None = None, class_weight: str | None = None) -> Detector:
-    merged = {**FOREST_PARAMS, **(params or {})}
-    trees = RandomForestClassifier(labelCol=LABEL, seed=SEED, leafCol="leaf", **merged)
-    return _train_trees("rf", features, trees, True, class_weight, merged)
+    """A forest of full depth over the numbers and one-hot categories; each node draws the square root of the columns."""
+    return _train_trees("rf", features, tree_params(FOREST_PARAMS, params, class_weight))
 
 
 def train_stacked_ensemble(
@@ -301,20 +316,27 @@ def default_providers(available: dict[str, Detector]) -> list[Detector]:
 
 def save_detector(spark: SparkSession, detector: Detector, path: str) -> None:
     """Model, configuration and feature list under one prefix."""
-    detector.pipeline.write().overwrite().save(f"{path}/model")
-    for name, table in detector.categories.items():
-        table.write.mode("overwrite").parquet(f"{path}/categories/{name}")
-    row = [(detector.name, detector.kind, json.dumps(detector.config), detector.feature_names)]
+    config = dict(detector.config)
+    if detector.kind == "tree":
+        model = detector.trees
+        model.table(spark).write.mode("overwrite").parquet(f"{path}/nodes")
+        config["model"] = {"numbers": model.numbers, "categories": model.categories, "base": model.base, "forest": model.forest}
+    else:
+        detector.pipeline.write().overwrite().save(f"{path}/model")
+    row = [(detector.name, detector.kind, json.dumps(config), detector.feature_names)]
     schema = "name STRING, kind STRING, config STRING, feature_names ARRAY<STRING>"
     spark.createDataFrame(row, schema).write.mode("overwrite").parquet(f"{path}/config")
 
 
 def load_detector(spark: SparkSession, path: str, encoder: Callable | None = None) -> Detector:
     row = spark.read.parquet(f"{path}/config").first()
-    pipeline = PipelineModel.load(f"{path}/model")
     config = json.loads(row["config"])
-    categories = {name: spark.read.parquet(f"{path}/categories/{name}") for name in config.get("sizes", {})}
-    return Detector(row["name"], row["kind"], pipeline, config, list(row["feature_names"]), encoder, categories)
+    if row["kind"] == "tree":
+        nodes = spark.read.parquet(f"{path}/nodes").toPandas()
+        model = trees.TreeModel(**config.pop("model"), nodes=nodes.sort_values(["tree", "node"], ignore_index=True))
+        return Detector(row["name"], row["kind"], None, config, list(row["feature_names"]), trees=model)
+    pipeline = PipelineModel.load(f"{path}/model")
+    return Detector(row["name"], row["kind"], pipeline, config, list(row["feature_names"]), encoder)
 
 
 def providers_from_metadata(
@@ -334,58 +356,59 @@ def providers_from_metadata(
 # ---- tuning ------------------------------------------------------------------------------
 
 
-class MacroF1Evaluator(Evaluator):
-    """Macro F1 of the predicted classes, from confusion counts."""
+def grid_points(model: str, grid: dict[str, list] | None = None) -> list[dict]:
+    """All points of a grid, the first parameter changing slowest."""
+    grid = grid or TUNING_GRIDS[model]
+    return [dict(zip(grid, values, strict=True)) for values in product(*grid.values())]
+
+
+def macro_f1(hits: DataFrame, by: list[str]) -> DataFrame:
+    """Macro F1 from rows (label, prediction, n); a class without rows or predictions counts 0."""
 
-    def _evaluate(self, dataset: DataFrame) -> float:
-        counts = m.confusion_counts(dataset, prediction=F.col("prediction"))
-        return float(m.classification_report(counts).first()["macro_f1"])
+    def count(label: int, prediction: int) -> Column:
+        return F.sum(F.when((F.col("label") == label) & (F.col("prediction") == prediction), F.col("n")).otherwise(0)).cast("double")
 
-    def isLargerBetter(self) -> bool:
-        return True
+    tn, fp, fn, tp = count(0, 0), count(0, 1), count(1, 0), count(1, 1)
+    # try_divide gives NULL for a class that neither stands nor is predicted.
+    scores = [F.coalesce(F.try_divide(2 * t, 2 * t + fp + fn), F.lit(0.0)) for t in (tn, tp)]
+    return hits.groupBy(*by).agg(((scores[0] + scores[1]) / 2).alias("macro_f1"), F.sum("n").alias("n"), (fn + tp).cast("bigint").alias("positives"))
 
 
 def tune(
-    features: DataFrame, model: str, grid: dict[str, list] | None = None, folds: int = 5, class_weight: str = "balanced",
-    base: dict | None = None,
+    features: DataFrame, model: str, grid: dict[str, list] | None = None, folds: int = 5, class_weight: str | None = "balanced",
+    base: dict | None = None, task_rows: int = trees.TASK_ROWS,
 ) -> DataFrame:
-    """Mean macro F1 over stratified folds for every grid point, best first.
+    """Mean macro F1 over stratified folds for every grid point, best first, with the rows that were scored.
 
-    Category tables and weights are made from the training part of each fold. The grids' ``maxDepth`` stands for
-    a limit on leaves and ``minInfoGain`` for a penalty on leaf weights, which MLlib's trees don't have.
+    Features are binned once; all points and folds are grown in one pass over them (``trees``). Class weights come from the
+    training part of each fold, but for ``xgb``, whose positive weight comes from all labels.
     """
     if model not in TREE_MODELS:
         raise ValueError(f"unknown tree model: {model}")
     defaults = {"gbdt": GBDT_PARAMS, "xgb": BOOSTED_PARAMS, "rf": FOREST_PARAMS}[model]
-    estimator = (RandomForestClassifier if model == "rf" else GBTClassifier)(**{**defaults, **(base or {})})
-    estimator = estimator.setLabelCol(LABEL).setWeightCol("weight").setSeed(SEED)
-    builder = ParamGridBuilder()
-    for name, values in (grid or TUNING_GRIDS[model]).items():
-        builder = builder.addGrid(estimator.getParam(name), values)
-    points = builder.build()
-    labeled = features.where(F.col(LABEL).isNotNull()).fillna(0.0, NUMERIC_FEATURES)
+    points = grid_points(model, grid)
+    labeled = features.where(F.col(LABEL).isNotNull())
     folded = materialize(stratified_kfold(labeled, folds, SEED), "folds")
-    scores: list[list[float]] = [[] for _ in points]
-    for fold in range(folds):
-        train = with_class_weight(folded.where(F.col("fold") != fold), class_weight)
-        tables = category_tables(train)
-        sizes = table_sizes(tables)
-        if model == "gbdt":
-            estimator = estimator.setMaxBins(max(32, *[n + 2 for n in sizes.values()]))
-        indexed = nominal_indexes(materialize(with_category_indexes(train, tables, sizes), "fold-train"), sizes)
-        held = nominal_indexes(
-            materialize(with_category_indexes(folded.where(F.col("fold") == fold), tables, sizes), "fold-held"), sizes
-        )
-        matrix = Pipeline(stages=matrix_stages(model != "gbdt")).fit(indexed)
-        for point, found in zip(points, scores, strict=True):
-            fitted = estimator.copy(point).fit(matrix.transform(indexed))
-            found.append(MacroF1Evaluator().evaluate(fitted.transform(matrix.transform(held))))
-    rows = [
-        (model, {p.name: str(v) for p, v in point.items()}, float(np.mean(found)), float(np.std(found)))
-        for point, found in zip(points, scores, strict=True)
-    ]
-    schema = "model STRING, params MAP<STRING, STRING>, avg_macro_f1 DOUBLE, std_macro_f1 DOUBLE"
-    return rank_models(features.sparkSession.createDataFrame(rows, schema))
+    binned, layout, _ = binned_features(folded, "fold")
+    weighting: dict = {}
+    if class_weight is not None:
+        zero, one = (sum(c) for c in zip(*trees.label_counts(binned).values(), strict=True))
+        weighting = {
+            "gbdt": {"class_weight": class_weight, "is_unbalance": class_weight == "balanced"},
+            "xgb": {"scale_pos_weight": zero / max(one, 1)},
+            "rf": {"class_weight": "balanced_subsample"},
+        }[model]
+    made = [tree_params(defaults, {**weighting, **(base or {}), **point}) for point in points]
+    hits = trees.held_predictions(binned, layout, made, folds, task_rows)
+    per_fold = macro_f1(hits, ["point", "fold"])
+    per_point = per_fold.groupBy("point").agg(
+        F.avg("macro_f1").alias("avg_macro_f1"), F.stddev_pop("macro_f1").alias("std_macro_f1"),
+        F.sum("n").alias("n_scored"), F.sum("positives").alias("positives"),
+    )
+    names = [(k, model, {n: str(v) for n, v in point.items()}) for k, point in enumerate(points)]
+    described = features.sparkSession.createDataFrame(names, "point INT, model STRING, params MAP<STRING, STRING>")
+    columns = ["model", "params", "avg_macro_f1", "std_macro_f1", "n_scored", "positives"]
+    return rank_models(described.join(per_point, "point").select(*columns))
 
 
 def rank_models(results: DataFrame, score: str = "avg_macro_f1") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cmdprism.functions.text import parse_object, strip
@@ -35,22 +35,34 @@ def event_schema(verdict_field: str = VERDICT_FIELD) -> str:
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Non-blank stripped lines with the file block they come from."""
+    """Stripped lines, blank ones included, with the file block they come from."""
     value = F.col("value")
     bare = value.startswith("{") & value.endswith("}")
-    lines = spark.read.text(path).select(
+    return spark.read.text(path).select(
         F.when(bare, value).otherwise(strip(value)).alias("raw"),
         F.col("_metadata.file_path").alias("file_path"),
         F.col("_metadata.file_block_start").alias("file_block"),
     )
-    return lines.where(F.col("raw") != "")
+
+
+def with_line_number(table: DataFrame) -> DataFrame:
+    """Add the 1-based ``line_number`` of each row within its file. ``table`` is written and holds every line of the files.
+
+    A piece (one file block in one part of the table) is read in order by one task; a window over a file's pieces gives their offsets.
+    """
+    piece = ["file_path", "file_block", "part", "part_block"]
+    numbered = table.withColumn("_seq", F.monotonically_increasing_id())
+    pieces = numbered.groupBy(*piece).agg(F.min("_seq").alias("_first"), F.count("*").alias("_n"))
+    ahead = Window.partitionBy("file_path").orderBy(*piece[1:]).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = pieces.select(*piece, (F.coalesce(F.sum("_n").over(ahead), F.lit(0)) - F.col("_first") + 1).alias("_shift"))
+    return numbered.join(offsets, piece).withColumn("line_number", F.col("_seq") + F.col("_shift")).drop("_seq", "_shift")
 
 
 def read_events(spark: SparkSession, path: str, verdict_field: str = VERDICT_FIELD) -> tuple[DataFrame, DataFrame]:
     """Scan JSON Lines into events and a quarantine of lines that are no JSON object.
 
     Lines are parsed once, into one table in the shared folder; both results are parts of it. ``part`` and
-    ``part_block`` say where a row stands in that table.
+    ``part_block`` say where a row stands in that table. Rejected lines carry their ``line_number``, for which blank lines count too.
     """
     lines = read_lines(spark, path)
     event = parse_object(F.col("raw"), event_schema(verdict_field))
@@ -79,7 +91,8 @@ def read_events(spark: SparkSession, path: str, verdict_field: str = VERDICT_FIE
         "*", F.col("_metadata.file_path").alias("part"), F.col("_metadata.file_block_start").alias("part_block")
     )
     good = table.where("is_event").drop("is_event")
-    return good, table.where("NOT is_event").select("raw", "file_path", "file_block")
+    rejected = with_line_number(table).where("NOT is_event AND raw <> ''")
+    return good, rejected.select("raw", "file_path", "file_block", "line_number")
 
 
 def with_file_row_id(events: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ def auc(scored, column):
 
 @pytest.fixture(scope="module")
 def forest(events):
-    return models.train_random_forest(events, {"numTrees": 6, "maxDepth": 4})
+    return models.train_random_forest(events, {"n_estimators": 6, "max_depth": 4})
 
 
 @pytest.fixture(scope="module")
@@ -36,7 +36,7 @@ def text(events):
 
 
 def test_trees_separate_the_classes(events, forest):
-    boosted = models.train_gbdt(events, {"maxIter": 4, "maxDepth": 3})
+    boosted = models.train_gbdt(events, {"n_estimators": 8, "learning_rate": 0.3})
     assert auc(forest.score(events), "prob_rf") > GOOD_AUC
     assert auc(boosted.score(events), "prob_gbdt") > GOOD_AUC
     assert boosted.config["feature_type"] == "categorical" and forest.config["feature_type"] == "ohe"
@@ -117,13 +117,14 @@ def test_every_category_keeps_its_index(spark):
     assert models.with_category_indexes(new, tables, sizes).first().source_image_base_index == float(len(values))
 
 
-def test_tree_contributions_add_up_to_the_score(spark, events, forest):
-    rows, base = ex.tree_contributions(forest, events, top_k=100)
+@pytest.mark.parametrize("method", ["shapley", "path"])
+def test_tree_contributions_add_up_to_the_score(events, forest, method):
+    rows, base = ex.tree_contributions(forest, events, 100, method)
     total = F.aggregate("contributions", F.lit(base), lambda acc, c: acc + c["impact"])
     worst = rows.agg(F.max(F.abs(total - F.col("score")))).first()[0]
     assert worst < 0.005  # impacts below the reporting limit are left out
-    boosted = models.train_gbdt(events, {"maxIter": 3, "maxDepth": 3})
-    rows, base = ex.tree_contributions(boosted, events, top_k=100)
+    boosted = models.train_gbdt(events, {"n_estimators": 10, "learning_rate": 0.3})
+    rows, base = ex.tree_contributions(boosted, events, 100, method)
     margin = F.log(F.col("score") / (1 - F.col("score")))
     total = F.aggregate("contributions", F.lit(base), lambda acc, c: acc + c["impact"])
     assert rows.agg(F.max(F.abs(total - margin))).first()[0] < 0.005
@@ -152,8 +153,8 @@ def test_explain_wording(spark):
 
 
 def test_tuning_ranks_the_grid(events):
-    out = models.tune(events, "xgb", {"maxDepth": [1, 3]}, folds=2, base={"maxIter": 2}).collect()
-    assert len(out) == 2 and out[0].avg_macro_f1 >= out[1].avg_macro_f1
+    out = models.tune(events, "xgb", {"max_depth": [1, 3]}, folds=2, base={"n_estimators": 5}).collect()
+    assert len(out) == 2 and {r["n_scored"] for r in out} == {events.count()} and out[0].avg_macro_f1 >= out[1].avg_macro_f1
     with pytest.raises(ValueError):
         models.tune(events, "svm")
 
@@ -165,18 +166,7 @@ def test_latency_of_unmeasured_models_is_zero(spark, events):
     assert got["value"].runs == 2 and got["value"].total_seconds > 0 and got["outside"].total_seconds == 0
 
 
-def test_tuning_query_runs_the_published_grids_of_all_models(spark, monkeypatch):
-    from cmdprism.catalog import text_queries
-
-    rows = spark.range(3)
-    called = []
-
-    def tune(features, model, grid=None, folds=5, class_weight="balanced", base=None):
-        called.append((features is rows, model, grid or models.TUNING_GRIDS[model], folds, base))
-        return spark.createDataFrame([(model, {"at": "1"}, len(called) / 10, 0.0)], "model string, params map<string,string>, avg_macro_f1 double, std_macro_f1 double")
-
-    monkeypatch.setattr(text_queries, "train_and_rest", lambda *_: (rows, None))
-    monkeypatch.setattr(text_queries.md, "tune", tune)
-    got = text_queries.h12_tune(spark, "").collect()
-    assert [r["model"] for r in got] == ["rf", "xgb", "gbdt"]
-    assert called == [(True, m, models.TUNING_GRIDS[m], 5, None) for m in ("gbdt", "xgb", "rf")]
+def test_published_grids():
+    assert [len(models.grid_points(m)) for m in models.TREE_MODELS] == [12, 9, 4]
+    assert models.grid_points("gbdt")[0] == {"learning_rate": 0.03, "num_leaves": 31, "reg_lambda": 0.0}
+    assert models.grid_points("rf")[-1] == {"max_depth": 20, "n_estimators": 500}

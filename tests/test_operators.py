@@ -366,6 +366,28 @@ def test_read_events_edge_lines(spark, tmp_path):
     assert checked[10].prompt == "éè"
 
 
+@pytest.mark.parametrize("block", ["1k", "128m"])
+def test_rejected_lines_carry_their_line_number(spark, tmp_path, block):
+    """Blank lines count, whether a file is read in one block or in many."""
+    want = {}
+    for name, count in (("b.jsonl", 7), ("a.jsonl", 900)):
+        lines = []
+        for i in range(count):
+            lines.append(["", "   ", '{"L": 1}', f"broken {name} {i}", '{"ProcessId": "x"}'][(i * i + i // 3) % 5])
+            if lines[-1].startswith("broken"):
+                want[lines[-1]] = i + 1
+        (tmp_path / name).write_text("\n".join(lines) + "\n")
+    saved = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", block)
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        _, bad = events.read_events(spark, str(tmp_path))
+        assert {r["raw"]: r["line_number"] for r in bad.collect()} == want and len(want) > 100
+    finally:
+        for k, v in saved.items():
+            spark.conf.set(k, v)
+
+
 def test_file_row_ids_follow_files_and_lines(spark, tmp_path):
     for name, count in (("b.jsonl", 3), ("a.jsonl", 400), ("c.jsonl", 50)):
         (tmp_path / name).write_text("".join(f'{{"ProcessId": "{name}-{i}"}}\n' for i in range(count)))

@@ -16,6 +16,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+class Aside:
+    """A table whose columns carry numbered names while helper columns are added, and get their own names back at the end."""
+
+    def __init__(self, df: DataFrame) -> None:
+        self.names = df.columns
+        self.rows = df.toDF(*[f"c{i}" for i in range(len(self.names))])
+
+    def __getitem__(self, name: str) -> str:
+        """The numbered name of a column; names match as Spark matches them, whatever their case."""
+        return f"c{[n.lower() for n in self.names].index(name.lower())}"
+
+    def back(self, *left_out: str) -> list[Column]:
+        """All columns but ``left_out``, under their own names."""
+        gone = {n.lower() for n in left_out}
+        return [F.col(f"c{i}").alias(name) for i, name in enumerate(self.names) if name.lower() not in gone]
+
+
 def crc_bucket(id_col: str, buckets: int) -> Column:
     """crc32 of the id as text, modulo ``buckets``; a null id counts as empty text."""
     text = F.coalesce(F.col(id_col).cast("string"), F.lit(""))

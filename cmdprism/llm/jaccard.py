@@ -17,7 +17,7 @@ copies included.
 Defined results: null texts and texts without words have no shingles, no links and a class each (their set is null). A text of
 fewer than ``width`` words has one shingle, all of it. The class id is the smallest non-null document id of the class (null
 if it has none). Repeated rows are copies. Empty tables give no rows. Extra columns take no part
-and are kept where documents are returned; names that begin with ``_set``, ``_own`` or ``_stay`` are taken.
+and are kept where documents are returned, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cmdprism.llm.common import in_steps
+from cmdprism.llm.common import Aside, in_steps
 from cmdprism.sources.tables import materialize
 
 WIDTH = 5
@@ -470,16 +470,17 @@ def one_of_each(
     stay = sets.where(F.col("set") == F.col("rep_set")).select(
         F.hex("set").alias("_stay"), F.coalesce(F.col("class_id").cast("string"), F.lit("null")).alias("_stay_id")
     )
-    rows = join.with_set(docs, text_col)
+    aside = Aside(docs)
+    rows = join.with_set(aside.rows, aside[text_col])
     # A document without words has a key of its own, which nothing else has.
     own = F.concat(F.lit("row/"), F.monotonically_increasing_id().cast("string"))
     rows = rows.withColumn("_own", F.coalesce(F.hex("_set"), own)).withColumn(
-        "_own_id", F.coalesce(F.col(id_col).cast("long").cast("string"), F.lit("null"))
+        "_own_id", F.coalesce(F.col(aside[id_col]).cast("long").cast("string"), F.lit("null"))
     )
     same = (F.col("_own") == F.col("_stay")) & (F.col("_own_id") == F.col("_stay_id"))
     kept = rows.join(stay, same, "left").where(F.col("_set").isNull() | F.col("_stay").isNotNull())
     # Rows that repeat an id and a text are copies as well.
-    return kept.dropDuplicates(["_own", "_own_id"]).select(*docs.columns)
+    return kept.dropDuplicates(["_own", "_own_id"]).select(*aside.back())
 
 
 def op4(docs: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ Whole epochs take every document, the last one the documents whose tokens, added
 Defined results: a null source is a source of its own. Null or empty texts have no tokens: they are taken in every
 whole epoch, and in the last one if they stand before its end; a source without any tokens is taken once. Equal hashes go by id. Repeated rows count and
 are taken alike. An empty table gives no rows; one source alone keeps weight 1. ``epoch``, ``block``, ``block_order``,
-``row_order`` and ``n_tokens`` are added; columns of the same names are replaced.
+``row_order`` and ``n_tokens`` are added; columns of the same names are replaced, all others are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cmdprism.llm.common import Aside
 from cmdprism.sources.tables import materialize
 
 #: Share of the highest possible entropy that the weights must reach.
@@ -147,10 +148,9 @@ def mix(
     Sorting by (epoch, block_order, block, row_order) gives each source's block permutation. Documents are shuffled once, by
     (source, block); blocks of all sources number about rows / ``block_rows`` each, so a hot source is spread like the others.
     """
-    kept = [c for c in docs.columns if c not in ("n_tokens", "epoch", "block", "block_order", "row_order")]
-    staged = docs.select(
-        *kept, source_name(F.col(source_col)).alias("_source"), token_count(F.col(text_col)).alias("_tokens")
-    )
+    aside = Aside(docs)
+    text_col, source_col, id_col = aside[text_col], aside[source_col], aside[id_col]
+    staged = aside.rows.withColumns({"_source": source_name(F.col(source_col)), "_tokens": token_count(F.col(text_col))})
     rows = docs.count()
     budgets, _ = source_budgets(staged, target_entropy, max_epochs, budget)
     blocks = max(1, -(-rows // block_rows))
@@ -188,7 +188,7 @@ def mix(
     )
     copies = placed.where("_take > 0").withColumn("_epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_take") - 1)))
     return copies.select(
-        *kept,
+        *aside.back("n_tokens", "epoch", "block", "block_order", "row_order"),
         F.col("_tokens").alias("n_tokens"),
         F.col("_epoch").alias("epoch"),
         F.col("_block").alias("block"),

@@ -5,12 +5,14 @@ split there, and the lengths of the parts add up to code-point offsets. Private-
 itself are first replaced by another private-use character, one for one, which no pattern accepts.
 
 Entropy: candidates are runs of 20 and more characters of the base64 and URL alphabets with a letter and a digit.
-For each window of 20 characters, the sum of n*log2(n) over the characters' counts n is kept up to date with the
-counts of the character that leaves and the one that enters; entropy is log2(20) - sum/20. The highest
+A fold moves a window of 20 characters along the run. Its state holds the count of every character of the run and the sum of
+n*log2(n) over these counts n; a step changes the two counts of the character that leaves and the one that enters, and the sum by
+their terms. Entropy is log2(20) - sum/20. The highest
 window must reach the threshold of the run's character class, and no allow-list pattern may match the run.
 
 Defined results: null and empty texts have no spans. Spans of one kind don't overlap; base spans always stay,
-and an ``entropy`` span that touches one is left out. Repeated rows are scanned alone; extra columns take no part.
+and an ``entropy`` span that touches one is left out. Repeated rows are scanned alone; extra columns of any name
+are kept, but one named like ``out_col`` is replaced.
 """
 
 from __future__ import annotations
@@ -18,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cmdprism.llm.common import Aside
+
 WINDOW = 20
 #: Base patterns, group 1 what stands before the value and group 2 the value, and the value's least length; fixed
 #: values. Runs of one character class are asked for at their least length at once: a shorter run holds none.
@@ -74,10 +78,6 @@ def weight(n: Column) -> Column:
     return F.when(n > 0, n * F.log2(n.cast("double"))).otherwise(0.0)
 
 
-def count_in(chars: Column, char: Column) -> Column:
-    return F.size(F.filter(chars, lambda c: c == char))
-
-
 def let(value: Column, use) -> Column:
     """``use(value)`` with ``value`` computed once, as a lambda variable."""
     return F.element_at(F.transform(F.array(value), use), 1)
@@ -86,36 +86,49 @@ def let(value: Column, use) -> Column:
 def highest_entropy(value: Column, window: int = WINDOW) -> Column:
     """Highest entropy in bits of any window of ``value`` (at least as long as a window)."""
 
-    def slide(chars: Column, state: Column, i: Column) -> Column:
-        # The window before began at i - 1, the new one begins at i (1-based); both share ``middle``.
-        gone, come = F.element_at(chars, i - 1), F.element_at(chars, i + F.lit(window - 1))
-
-        def moved(middle: Column) -> Column:
-            n_gone, n_come = count_in(middle, gone), count_in(middle, come)
-            return state["sum"] - weight(n_gone + 1) + weight(n_gone) + weight(n_come + 1) - weight(n_come)
-
-        return let(
-            let(F.slice(chars, i, F.lit(window - 1)), moved),
-            lambda total: F.struct(total.alias("sum"), F.least(state["least"], total).alias("least")),
-        )
-
-    def least_sum(chars: Column) -> Column:
-        first = F.slice(chars, 1, window)
-        first_sum = F.aggregate(F.array_distinct(first), F.lit(0.0), lambda s, c: s + weight(count_in(first, c)))
-        later = F.when(F.size(chars) > window, F.sequence(F.lit(2), F.size(chars) - (window - 1))).otherwise(
-            F.array().cast("array<int>")
-        )
-        return let(
-            first_sum,
-            lambda total: F.aggregate(
-                later,
-                F.struct(total.alias("sum"), total.alias("least")),
-                lambda state, i: slide(chars, state, i),
-                lambda state: state["least"],
-            ),
-        )
-
-    return F.log2(F.lit(float(window))) - let(F.split(value, ""), least_sum) / window
+    def slide(codes: Column, state: Column, i: Column) -> Column:
+        """The window that began at i - 1 moves to i (1-based)."""
+
+        def moved(ends: Column) -> Column:
+            gone, come = ends["gone"], ends["come"]
+            n_gone = F.element_at(state["counts"], gone)
+            n_come = F.element_at(state["counts"], come)
+            total = state["sum"] - weight(n_gone) + weight(n_gone - 1) + weight(n_come + 1) - weight(n_come)
+            counts = F.transform(state["counts"], lambda n, k: n - (k == gone - 1).cast("int") + (k == come - 1).cast("int"))
+            after = F.when(gone == come, state["sum"]).otherwise(total)
+            return let(
+                after,
+                lambda sum_: F.struct(
+                    F.when(gone == come, state["counts"]).otherwise(counts).alias("counts"), sum_.alias("sum"),
+                    F.least(state["least"], sum_).alias("least"),
+                ),
+            )
+
+        return let(F.struct(F.element_at(codes, i - 1).alias("gone"), F.element_at(codes, i + F.lit(window - 1)).alias("come")), moved)
+
+    def least_sum(codes: Column) -> Column:
+        first = F.slice(codes, 1, window)
+        counts = F.transform(F.sequence(F.lit(1), F.array_max(codes)), lambda k: F.size(F.filter(first, lambda c: c == k)))
+        later = F.when(F.size(codes) > window, F.sequence(F.lit(2), F.size(codes) - (window - 1))).otherwise(F.array().cast("array<int>"))
+
+        def folded(begun: Column) -> Column:
+            return let(
+                F.aggregate(begun, F.lit(0.0), lambda s, n: s + weight(n)),
+                lambda total: F.aggregate(
+                    later,
+                    F.struct(begun.alias("counts"), total.alias("sum"), total.alias("least")),
+                    lambda state, i: slide(codes, state, i),
+                    lambda state: state["least"],
+                ),
+            )
+
+        return let(counts, folded)
+
+    def coded(chars: Column) -> Column:
+        """Each character as its place among the run's different ones."""
+        return let(F.array_distinct(chars), lambda known: F.transform(chars, lambda c: F.array_position(known, c).cast("int")))
+
+    return F.log2(F.lit(float(window))) - let(let(F.split(value, ""), coded), least_sum) / window
 
 
 def random_looking(value: Column) -> Column:
@@ -134,9 +147,10 @@ def once(df: DataFrame, name: str, value: Column) -> DataFrame:
 
 def scan(docs: DataFrame, text_col: str = "text", out_col: str = "_spans") -> DataFrame:
     """``docs`` with an array ``out_col`` of (start, rank, end, kind), by start, then kind."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    aside = Aside(docs)
+    text = F.coalesce(F.col(aside[text_col]), F.lit(""))
     patterns = {kind: pattern for kind, (pattern, _) in BASE.items()} | {ENTROPY: RUN}
-    found = once(docs, "_found", F.struct(*[matches(text, p).alias(kind) for kind, p in patterns.items()]))
+    found = once(aside.rows, "found", F.struct(*[matches(text, p).alias(kind) for kind, p in patterns.items()]))
 
     def spans(kind: str, rank: int, kept: Column) -> Column:
         return F.transform(
@@ -145,18 +159,18 @@ def scan(docs: DataFrame, text_col: str = "text", out_col: str = "_spans") -> Da
         )
 
     def long_enough(kind: str, least: int) -> Column:
-        return F.filter(F.col("_found")[kind], lambda m: F.length(m["value"]) >= least)
+        return F.filter(F.col("found")[kind], lambda m: F.length(m["value"]) >= least)
 
     base = [spans(kind, rank, long_enough(kind, least)) for rank, (kind, (_, least)) in enumerate(BASE.items())]
-    found = once(found, "_base", F.concat(*base))
+    found = once(found, "base", F.concat(*base))
     added = F.filter(
-        F.col("_found")[ENTROPY],
+        F.col("found")[ENTROPY],
         lambda m: F.when(
-            F.exists("_base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])), False
+            F.exists("base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])), False
         ).otherwise(random_looking(m["value"])),
     )
-    found = once(found, out_col, F.array_sort(F.concat("_base", spans(ENTROPY, len(BASE), added))))
-    return found.select(*[c for c in docs.columns if c != out_col], out_col)
+    found = once(found, "spans", F.array_sort(F.concat("base", spans(ENTROPY, len(BASE), added))))
+    return found.select(*aside.back(out_col), F.col("spans").alias(out_col))
 
 
 def listed(spans: Column) -> Column:

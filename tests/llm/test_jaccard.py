@@ -174,3 +174,30 @@ def test_pipeline_stage_names():
     assert [name for name, _ in corpus_pipeline.STAGES] == [
         "toxicity", "near_duplicates", "decontamination", "personal_data", "mixing",
     ]
+
+
+def test_clashing_columns_are_kept(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    df = spark.createDataFrame(
+        [(1, text, "a", "b", "c"), (2, text, "d", "e", "f"), (3, "other words", "g", "h", "i")], "doc_id long, text string, _set string, _own string, _stay string"
+    )
+    assert sorted(tuple(r) for r in jaccard.one_of_each(df).collect()) == [(1, text, "a", "b", "c"), (3, "other words", "g", "h", "i")]
+
+
+@pytest.mark.parametrize("small", [4, 32])
+def test_recall_just_above_the_threshold(spark, small):
+    """Sets that share nearly all their words meet in large buckets of all levels: every pair has a similarity of 0.82."""
+    rng = random.Random(9)
+    shared = [f"w{i}" for i in range(75)]
+    rows = []
+    for i in range(120):
+        own = [f"x{i}y{j}" for j in range(8)]
+        # One-word shingles make the similarity exact: 75 shared of 91 words.
+        words = shared + own
+        rng.shuffle(words)
+        rows.append((i, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = jaccard.near_duplicates(df, width=1, small=small)
+    got = [r["n_links"] for r in found.collect()]
+    assert sum(got) >= 0.99 * 120 * 119
+    assert {r["class_id"] for r in found.collect()} == {0}

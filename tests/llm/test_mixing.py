@@ -93,3 +93,12 @@ def test_empty_table_and_single_source(spark):
     assert [r["epoch"] for r in mixing.mix(one).collect()] == [0, 0]
     none = spark.createDataFrame([(1, None, None)], "doc_id long, text string, source string")
     assert len(mixing.mix(none).collect()) == 1
+
+
+def test_clashing_columns_are_kept(spark):
+    rows = [(i, f"wort {i} text", f"s{i % 3}", f"own {i}", i, -i, f"b{i}", "t") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, _source string, _tokens long, _block int, _row string, block string")
+    out = mixing.mix(df)
+    assert {c for c in df.columns if c != "block"} <= set(out.columns)
+    got = {(r["doc_id"], r["_source"], r["_tokens"], r["_block"], r["_row"]) for r in out.collect()}
+    assert got == {(r[0], r[3], r[4], r[5], r[6]) for r in rows}

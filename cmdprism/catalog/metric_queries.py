@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from cmdprism.catalog.registry import query
 from cmdprism.catalog.scored import MODELS, score_runs, scored, stacked, with_scored
-from cmdprism.catalog.telemetry import FLAG_FEATURES, telemetry, with_telemetry
+from cmdprism.catalog.telemetry import FLAG_FEATURES, table, telemetry, with_telemetry
 from cmdprism.functions.features import build_features
 from cmdprism.operators import errors as er
 from cmdprism.operators import metrics as m
+from cmdprism.plans.nearest import nearest_rows
 from cmdprism.sources.tables import materialize
 
 CONFUSION = """SELECT model,
@@ -376,6 +377,24 @@ def d11_nearest_threshold_rows(spark, sf_dir):
     return rounded_points(picked)
 
 
+@query(
+    "d11_nearest_orders",
+    """SELECT event_id, CASE WHEN a.v IS NULL OR b.v - e.v < e.v - a.v THEN b.k ELSE a.k END AS o_orderkey,
+  CASE WHEN a.v IS NULL OR b.v - e.v < e.v - a.v THEN b.v ELSE a.v END AS price
+FROM (SELECT event_id, user_id % 7 AS g, value * 1e3 AS v FROM events) e
+ASOF LEFT JOIN (SELECT o_custkey % 7 AS g, CAST(o_totalprice AS DOUBLE) AS v, min(o_orderkey) AS k FROM orders GROUP BY ALL) a ON e.g = a.g AND e.v >= a.v
+ASOF LEFT JOIN (SELECT o_custkey % 7 AS g, CAST(o_totalprice AS DOUBLE) AS v, min(o_orderkey) AS k FROM orders GROUP BY ALL) b ON e.g = b.g AND e.v <= b.v""",
+)
+def d11_nearest_orders(spark, sf_dir):
+    """For every event the order of its group with the closest total price: both sides are whole tables."""
+    events = table(spark, sf_dir, "events", ["event_id", "user_id", "value"])
+    events = events.select("event_id", (F.col("user_id") % 7).alias("g"), (F.col("value") * 1e3).alias("v"))
+    orders = table(spark, sf_dir, "orders", ["o_orderkey", "o_custkey", "o_totalprice"])
+    orders = orders.select((F.col("o_custkey") % 7).alias("g"), F.col("o_totalprice").cast("double").alias("v"), "o_orderkey")
+    found = nearest_rows(orders, events, "v", ["g"])
+    return found.select("event_id", F.col("nearest.o_orderkey").alias("o_orderkey"), F.col("nearest.v").alias("price"))
+
+
 @query(
     "e20_verdict_metrics",
     with_telemetry(

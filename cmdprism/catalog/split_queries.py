@@ -105,6 +105,58 @@ def g2_rebalanced_split(spark, sf_dir):
     return whole.select("n_rows", F.lit(malicious).cast("bigint").alias("malicious"), "n_groups", "whole", F.lit(closer).alias("closer"))
 
 
+# The greedy moves one by one on the size histogram, as plain SQL: a row of cells (split now, size, split at first, groups) is taken from
+# step to step; the smallest group of the split most above its target goes to the one most below.
+MOVES = 1000
+REBALANCE_PARTS = (
+    ("aims", "SELECT [n * 6 // 10, n * 2 // 10, n - n * 6 // 10 - n * 2 // 10] AS aim FROM (SELECT CAST(sum(size) AS BIGINT) AS n FROM groups)"),
+    ("cells0", "SELECT list(struct_pack(now := split, size := size, origin := split, n := n) ORDER BY split, size) AS cells FROM (SELECT split, size, count(*) AS n FROM groups GROUP BY ALL)"),
+    (
+        "walk",
+        f"""SELECT 0 AS step, cells, aim, FALSE AS done FROM cells0, aims
+  UNION ALL
+  SELECT step + 1, CASE WHEN stop THEN cells ELSE list_concat(
+      list_filter(list_transform(cells, lambda c: struct_pack(now := c.now, size := c.size, origin := c.origin,
+        n := c.n + CASE WHEN c.size <> fs OR c.origin <> o THEN 0 WHEN c.now = over THEN -1 WHEN c.now = under THEN 1 ELSE 0 END)), lambda c: c.n > 0),
+      CASE WHEN len(list_filter(cells, lambda c: c.now = under AND c.size = fs AND c.origin = o)) > 0 THEN []
+        ELSE [struct_pack(now := under, size := fs, origin := o, n := CAST(1 AS BIGINT))] END) END, aim, stop
+  FROM (SELECT *, CASE WHEN list_contains(origins, over) THEN over ELSE origins[1] END AS o FROM (
+    SELECT *, list_transform(list_filter(cells, lambda c: c.now = over AND c.size = fs), lambda c: c.origin) AS origins FROM (
+      SELECT *, list_min(list_transform(list_filter(cells, lambda c: c.now = over), lambda c: c.size)) AS fs FROM (
+        SELECT *, ['train', 'val', 'test'][list_position(e, list_max(e))] AS over, ['train', 'val', 'test'][list_position(e, list_min(e))] AS under,
+          list_max(e) <= 0 OR list_min(e) >= 0 AS stop FROM (
+          SELECT *, list_transform([1, 2, 3], lambda i: CAST(coalesce(list_sum(list_transform(list_filter(cells, lambda c: c.now = ['train', 'val', 'test'][i]),
+            lambda c: c.size * c.n)), 0) AS BIGINT) - aim[i]) AS e FROM walk WHERE NOT done AND step < {MOVES})))))""",
+    ),
+    ("ends", "SELECT c.now AS now, c.size AS size, c.origin AS origin, c.n AS n FROM (SELECT unnest(arg_max(cells, step)) AS c FROM walk)"),
+    (
+        "spans",
+        """SELECT origin, size, now, coalesce(sum(n) OVER (PARTITION BY origin, size ORDER BY CASE now WHEN 'train' THEN 0 WHEN 'val' THEN 1 ELSE 2 END
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a, sum(n) OVER (PARTITION BY origin, size ORDER BY CASE now WHEN 'train' THEN 0 WHEN 'val' THEN 1 ELSE 2 END) AS b
+  FROM ends WHERE now <> origin""",
+    ),
+    ("ranked", "SELECT *, sha256(concat(group_key, '|13')) AS digest, row_number() OVER (PARTITION BY split, size ORDER BY sha256(concat(group_key, '|13'))) - 1 AS r FROM groups"),
+)
+
+
+@query(
+    "g2_rebalanced_groups",
+    with_splits(
+        """SELECT digest, ranked.size AS size, split AS before, coalesce(now, split) AS split FROM ranked
+LEFT JOIN spans ON origin = split AND spans.size = ranked.size AND r >= a AND r < b""",
+        *REBALANCE_PARTS,
+    ).replace("WITH ", "WITH RECURSIVE ", 1),
+)
+def g2_rebalanced_groups(spark, sf_dir):
+    """Every group's split before and after the moves to row targets of 60, 20 and 20 per cent, a thousand moves at most."""
+    before = sp.split_table(keyed(spark, sf_dir))
+    total = before.agg(F.sum("size")).first()[0]
+    targets = {"train": total * 6 // 10, "val": total * 2 // 10, "test": total - total * 6 // 10 - total * 2 // 10}
+    after = sp.rebalance_groups(before, targets, MOVES).select(F.col("digest").alias("_d"), F.col("split").alias("_after"))
+    joined = before.join(after, F.col("digest") == F.col("_d"))
+    return joined.select("digest", "size", F.col("split").alias("before"), F.col("_after").alias("split"))
+
+
 @query(
     "g3_disjoint_split",
     with_splits(
@@ -295,6 +347,38 @@ def e11_mine_numeric_rules(spark, sf_dir):
     return rl.mine_numeric_rules(features(spark, sf_dir))
 
 
+@query(
+    "e8_amount_quartiles",
+    """SELECT l_returnflag, round(min(l_extendedprice), 6) AS min_len, round(quantile_cont(l_extendedprice, 0.25), 6) AS q1, round(quantile_cont(l_extendedprice, 0.5), 6) AS median,
+  round(quantile_cont(l_extendedprice, 0.75), 6) AS q3, round(max(l_extendedprice), 6) AS max_len, count(*) AS n_rows FROM (
+  SELECT l_returnflag, CAST(l_extendedprice AS DOUBLE) / (1e0 + l_orderkey) AS l_extendedprice FROM lineitem) GROUP BY l_returnflag""",
+)
+def e8_amount_quartiles(spark, sf_dir):
+    """Fractions that nearly all differ, by rank selection."""
+    rows = table(spark, sf_dir, "lineitem", ["l_returnflag", "l_extendedprice", "l_orderkey"])
+    amount = F.col("l_extendedprice").cast("double") / (1e0 + F.col("l_orderkey"))
+    return rounded(pf.length_distribution(rows, "l_returnflag", amount), ["min_len", "q1", "median", "q3", "max_len"])
+
+
+@query(
+    "e11_rules_of_fractions",
+    """SELECT ordinal, feature, round(hi, 6) AS threshold, round(lo, 6) AS benign_p90 FROM (
+  SELECT 0 AS ordinal, 'price' AS feature, quantile_cont(price, 0.75) FILTER (y = 1) AS hi, quantile_cont(price, 0.9) FILTER (y = 0) AS lo FROM x
+  UNION ALL SELECT 1, 'unit', quantile_cont(unit, 0.75) FILTER (y = 1), quantile_cont(unit, 0.9) FILTER (y = 0) FROM x
+  UNION ALL SELECT 2, 'quantity', quantile_cont(quantity, 0.75) FILTER (y = 1), quantile_cont(quantity, 0.9) FILTER (y = 0) FROM x) WHERE hi > lo""".replace(
+        " FROM x", """ FROM (SELECT CAST(l_extendedprice AS DOUBLE) AS price, l_extendedprice / CAST(l_quantity AS DOUBLE) AS unit, CAST(l_quantity AS BIGINT) AS quantity,
+    CASE WHEN l_quantity > 25 THEN 1 ELSE 0 END AS y FROM lineitem)"""
+    ),
+)
+def e11_rules_of_fractions(spark, sf_dir):
+    """Threshold rules over prices, whose quantiles are found by rank, and over a count."""
+    rows = table(spark, sf_dir, "lineitem", ["l_extendedprice", "l_quantity"]).select(
+        F.col("l_extendedprice").cast("double").alias("price"), (F.col("l_extendedprice") / F.col("l_quantity").cast("double")).cast("double").alias("unit"),
+        F.col("l_quantity").cast("bigint").alias("quantity"), (F.col("l_quantity") > 25).cast("int").alias("y"),
+    )
+    return rounded(rl.mine_numeric_rules(rows, ["price", "unit", "quantity"], "y"), ["threshold", "benign_p90"])
+
+
 @query(
     "e12_mine_category_rules",
     with_features("SELECT ordinal, feature, category, support, round(rate, 6) AS rate FROM mined_categories", MINED[2]),

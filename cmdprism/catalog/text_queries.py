@@ -279,6 +279,28 @@ def h4_train_text_lr(spark, sf_dir):
     return trained_checks(md.train_text_lr(train).score(rest), "text")
 
 
+TRAIN_TEXTS = """(SELECT row_id, coalesce("CommandLine", '') AS t FROM telemetry JOIN assigned USING (row_id) WHERE split = 'train')"""
+
+
+@query(
+    "h4_weights_table",
+    with_telemetry(
+        f"""SELECT split, n, support_1, n AS in_range, n AS consistent, TRUE AS beats_base_rate, TRUE AS optimal, n_terms
+FROM (SELECT split, count(*) AS n, CAST(sum("_label") AS BIGINT) AS support_1 FROM assigned WHERE split <> 'train' GROUP BY 1),
+  (SELECT count(DISTINCT term) AS n_terms FROM ({terms_sql(TRAIN_TEXTS, 'row_id', 't')}))""",
+        *SPLIT_PARTS,
+    ),
+)
+def h4_weights_table(spark, sf_dir):
+    """The text regression with its weights as a table; at its end the loss has no slope."""
+    from cmdprism.operators import sparse_lr
+
+    train, rest = train_and_rest(spark, sf_dir)
+    fitted = sparse_lr.train_text_table(train, tolerance=1e-5)
+    checked = trained_checks(fitted.score(rest), "text")
+    return checked.withColumns({"optimal": F.lit(fitted.model.slope <= 1e-5), "n_terms": F.lit(fitted.model.weights.count()).cast("bigint")})
+
+
 @query(
     "h5_train_embedding_lr",
     """SELECT 'held' AS split, count(*) AS n, CAST(sum(CASE WHEN label < 5 THEN 1 ELSE 0 END) AS BIGINT) AS support_1,
@@ -301,8 +323,8 @@ def h5_train_embedding_lr(spark, sf_dir):
     beta = F.lit([float(b) for b in fitted.coefficients])
     slopes = terms.groupBy("j").agg(F.sum(F.col("r") * F.col("x")).alias("s"), F.count("*").alias("n"))
     slope = F.abs(F.col("s") + F.element_at(beta, F.col("j") + 1) / md.TEXT_C) / F.col("n")
-    optimum = slopes.agg((F.max(slope) < 1e-4).alias("optimal"))
-    return trained_checks(model.score(vectors.where("split = 'held'")), "st").drop("beats_base_rate").join(optimum, F.lit(True))
+    optimum = slopes.agg((F.max(slope) < 1e-4).alias("optimal")).withColumn("split", F.lit("held"))
+    return trained_checks(model.score(vectors.where("split = 'held'")), "st").drop("beats_base_rate").join(optimum, "split")
 
 
 @query("h7_train_gbdt", with_telemetry(TRAINED_SQL, *SPLIT_PARTS))
@@ -353,14 +375,12 @@ def h7_first_split(spark, sf_dir):
     """The root of the first boosted tree, all columns drawn."""
     train, _ = train_and_rest(spark, sf_dir)
     nodes = md.train_gbdt(train, {"n_estimators": 1, "colsample_bytree": 1.0}).trees.table(spark)
-    root, left, right = (nodes.where(c) for c in ("node = 0", "node = 1", "node <> 1"))
-    sides = right.join(root.select(F.col("right").alias("node")), "node").select(F.col("cover").cast("bigint").alias("n_right"))
-    below = left.select(F.col("cover").cast("bigint").alias("n_left"))
-    top = root.select(
+    first = nodes.where("node < 2").groupBy("tree").agg(*[F.max_by(c, -F.col("node")).alias(c) for c in ("column", "threshold", "values", "cover")], F.min("cover").alias("left"))
+    return first.select(
         F.col("column").alias("column_name"), F.when(F.size("values") == 0, F.col("threshold")).alias("threshold"),
-        F.array_join(F.array_sort("values"), "; ").alias("category_values"),
+        F.array_join(F.array_sort("values"), "; ").alias("category_values"), F.col("left").cast("bigint").alias("n_left"),
+        (F.col("cover") - F.col("left")).cast("bigint").alias("n_right"),
     )
-    return top.join(below, F.lit(True)).join(sides, F.lit(True))
 
 
 @query("h8_train_boosted_ohe", with_telemetry(TRAINED_SQL, *SPLIT_PARTS))
@@ -587,3 +607,34 @@ def h14_score_stream(spark, sf_dir):
     stream = event_stream(spark, f"{base}/in", schema)
     score_stream(stream, score, f"{base}/out", f"{base}/log").awaitTermination()
     return spark.read.parquet(f"{base}/out")
+
+
+@query(
+    "h14_trained_stream",
+    with_telemetry(
+        """SELECT name AS model, n, support_1, n AS in_range, n AS consistent, n AS same, 1 AS versions, TRUE AS beats_base_rate FROM (
+  SELECT count(*) AS n, CAST(sum("_label") AS BIGINT) AS support_1 FROM assigned WHERE split <> 'train'), (VALUES ('rf'), ('text'), ('gbdt')) v(name)""",
+        *SPLIT_PARTS,
+    ),
+)
+def h14_trained_stream(spark, sf_dir):
+    """Trained tree and text detectors over a file stream: every row once, with the scores of the batch form."""
+    from cmdprism.sources.events import write_jsonl
+    from cmdprism.streaming.scoring import publish_detectors, score_stream_with
+
+    train, rest = train_and_rest(spark, sf_dir)
+    base = scratch_path(spark, "trained-stream")
+    small = {"n_estimators": 50}
+    detectors = [md.train_random_forest(train, small), md.train_text_lr(train), md.train_gbdt(train, small)]
+    publish_detectors(spark, detectors, f"{base}/models", 1)
+    write_jsonl(rest.select("row_id", "CommandLine", "SourceImage", "_label").repartition(6), f"{base}/in")
+    stream = event_stream(spark, f"{base}/in", "row_id BIGINT, CommandLine STRING, SourceImage STRING, _label INT", max_files=2)
+    score_stream_with(stream, f"{base}/models", f"{base}/out", f"{base}/log").awaitTermination()
+    streamed = spark.read.parquet(f"{base}/out").select("row_id", "_label", "model", F.col("prob").alias("prob_any"), "version")
+    scored = sc.stack_probabilities(rest, [d.provider() for d in detectors])
+    batch = sc.score_table(scored, [d.name for d in detectors]).select(F.col("row_id").alias("id"), F.col("model").alias("of"), F.col("prob").alias("want"))
+    both = streamed.join(batch, (F.col("row_id") == F.col("id")) & (F.col("model") == F.col("of")))
+    same = both.groupBy("model").agg(
+        F.count_if(F.abs(F.col("prob_any") - F.col("want")) < 1e-12).alias("same"), F.count_distinct("version").cast("int").alias("versions")
+    )
+    return trained_checks(streamed, "any", "model").join(same, "model")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from cmdprism.functions import text as tx
 from cmdprism.functions.labels import label_from_variant
@@ -14,7 +15,8 @@ from cmdprism.session import COMMAND, GROUP_KEY, IMAGE, LABEL, ROW_ID
 
 def with_row_id(df: DataFrame, order_by: str, row_id: str = ROW_ID) -> DataFrame:
     """Dense 0-based id in the order of a unique column."""
-    ranked = rank_in_order(df.withColumn("_all", F.lit(0)), ["_all"], [F.col(order_by)])
+    number = isinstance(df.schema[order_by].dataType, NumericType)
+    ranked = rank_in_order(df.withColumn("_all", F.lit(0)), ["_all"], [F.col(order_by)], key=F.col(order_by) if number else None)
     return ranked.withColumnRenamed("_rank", row_id).drop("_all", "_n")
 
 

@@ -95,7 +95,7 @@ def score_counts(df: DataFrame, by: list[str], label: str = LABEL, score: str =
 def ranked_scores(df: DataFrame, by: list[str] = (), label: str = LABEL, score: str = "score") -> DataFrame:
     """Distinct scores with the positives and negatives scored strictly higher, and the totals."""
     keyed, keys = _keys(df, by)
-    return running_totals(score_counts(keyed, keys, label, score), keys, [F.col(score).desc()], ["p", "n"])
+    return running_totals(score_counts(keyed, keys, label, score), keys, [F.col(score).desc()], ["p", "n"], -F.col(score))
 
 
 def roc_points(ranked: DataFrame, score: str = "score") -> DataFrame:

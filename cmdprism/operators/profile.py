@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import FractionalType
 
 from cmdprism.functions.numbers import ratio
+from cmdprism.plans.quantiles import exact_quantiles
 from cmdprism.session import GROUP_KEY, IMAGE, LABEL
+from cmdprism.sources.tables import materialize
 
 
 def top_values(df: DataFrame, value: Column, n: int = 10, name: str = "value") -> DataFrame:
@@ -61,7 +64,10 @@ def top_images_by_label(df: DataFrame, label: str, label_values: list, n: int =
 
 
 def length_distribution(df: DataFrame, by: str, length: Column) -> DataFrame:
-    """Box-plot numbers per group; exact percentiles keep one counter per distinct length."""
+    """Box-plot numbers per group. Whole lengths are few different numbers, so each task keeps a counter for each; quantiles of
+    fractions, which may all differ, are found by rank."""
+    if isinstance(df.select(length).schema[0].dataType, FractionalType):
+        return _fraction_distribution(df, by, length)
     quartiles = F.percentile(F.col("_len"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
     stats = df.select(by, length.alias("_len")).groupBy(by).agg(
         F.min("_len").alias("min_len"), quartiles.alias("_q"), F.max("_len").alias("max_len"), F.count("*").alias("n_rows")
@@ -72,6 +78,15 @@ def length_distribution(df: DataFrame, by: str, length: Column) -> DataFrame:
     )
 
 
+def _fraction_distribution(df: DataFrame, by: str, length: Column) -> DataFrame:
+    rows = materialize(df.select(by, length.alias("_len")), "lengths")
+    stats = rows.groupBy(by).agg(F.min("_len").alias("min_len"), F.max("_len").alias("max_len"), F.count("*").alias("n_rows"))
+    found = exact_quantiles(rows, ["_len"], [0.25, 0.5, 0.75], [by]).groupBy(by).pivot("prob", [0.25, 0.5, 0.75]).agg(F.first("value"))
+    found = found.toDF("_by", "q1", "median", "q3")
+    joined = stats.join(found, F.col(by).eqNullSafe(F.col("_by")), "left")
+    return joined.select(by, "min_len", "q1", "median", "q3", "max_len", "n_rows")
+
+
 def majority_label(df: DataFrame, label: str = LABEL) -> DataFrame:
     """Most frequent label, the smallest on ties (one row)."""
     counted = df.groupBy(label).agg(F.count("*").alias("n_rows"))

@@ -6,8 +6,10 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import FractionalType
 
 from cmdprism.functions.numbers import ratio
+from cmdprism.plans.quantiles import exact_quantiles
 from cmdprism.plans.skew import attach_group_values
 from cmdprism.session import LABEL, ROW_ID
 from cmdprism.sources.tables import materialize
@@ -59,16 +61,18 @@ def mine_boolean_rules(features: DataFrame, flags: list[str] = RULE_FLAGS, label
 def mine_numeric_rules(features: DataFrame, numerics: list[str] = RULE_NUMERICS, label: str = LABEL) -> DataFrame:
     """Features whose malicious upper quartile lies above the benign 90th percentile.
 
-    The percentiles are exact: these features are small counts, so each task keeps one
-    counter per distinct value. Without benign rows the rule is kept.
+    The percentiles are exact. Whole numbers are few different ones, so each task keeps a counter for each; quantiles of
+    fractions, which may all differ, are found by rank. Without benign rows the rule is kept.
     """
+    fractions = [n for n in numerics if isinstance(features.schema[n].dataType, FractionalType)]
     parts = []
     for name in numerics:
-        value = F.col(name).cast("double")
-        parts += [
-            F.percentile(F.when(F.col(label) == 1, value), F.lit(MALICIOUS_QUANTILE)).alias(f"_hi_{name}"),
-            F.percentile(F.when(F.col(label) == 0, value), F.lit(BENIGN_QUANTILE)).alias(f"_lo_{name}"),
-        ]
+        if name not in fractions:
+            value = F.col(name).cast("double")
+            parts += [
+                F.percentile(F.when(F.col(label) == 1, value), F.lit(MALICIOUS_QUANTILE)).alias(f"_hi_{name}"),
+                F.percentile(F.when(F.col(label) == 0, value), F.lit(BENIGN_QUANTILE)).alias(f"_lo_{name}"),
+            ]
     items = F.array(
         *[
             F.struct(
@@ -78,7 +82,20 @@ def mine_numeric_rules(features: DataFrame, numerics: list[str] = RULE_NUMERICS,
             for i, name in enumerate(numerics)
         ]
     )
-    stats = features.agg(*parts).select(F.inline(items))
+    stats = features.agg(F.count("*").alias("_n"), *parts)
+    if fractions:
+        found = exact_quantiles(features, fractions, [MALICIOUS_QUANTILE, BENIGN_QUANTILE], [label])
+        wanted = (F.col(label) == 1) & (F.col("prob") == MALICIOUS_QUANTILE) | (F.col(label) == 0) & (F.col("prob") == BENIGN_QUANTILE)
+        ends = found.where(wanted).groupBy().agg(
+            *[
+                F.max(F.when((F.col("column") == name) & (F.col(label) == side), F.col("value"))).alias(f"_{end}_{name}")
+                for name in fractions
+                for side, end in ((1, "hi"), (0, "lo"))
+            ]
+        )
+        both = stats.unionByName(ends, allowMissingColumns=True)
+        stats = both.agg(*[F.max(c).alias(c) for c in both.columns])
+    stats = stats.select(F.inline(items))
     above = F.col("benign_p90").isNull() | (F.col("threshold") > F.col("benign_p90"))
     return stats.where(F.col("threshold").isNotNull() & above)
 

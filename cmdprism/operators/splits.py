@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cmdprism.functions.numbers import ratio
 from cmdprism.functions.text import group_digest
-from cmdprism.plans.prefix import rank_in_order
+from cmdprism.plans.prefix import digest_key, rank_in_order
 from cmdprism.plans.skew import attach_group_values
 from cmdprism.session import GROUP_KEY, LABEL, ROW_ID
 from cmdprism.sources.tables import materialize
@@ -38,7 +38,7 @@ def digest_groups(
         raise ValueError("ratios must sum to 1")
     train, val, test = ratios
     stats = group_label_stats(df.select(group_digest(F.col(group), seed).alias("digest"), label), "digest", label)
-    ranked = rank_in_order(stats, ["strat_label"], [F.col("digest")])
+    ranked = rank_in_order(stats, ["strat_label"], [F.col("digest")], key=digest_key(F.col("digest")))
     first = F.round(F.col("_n") * F.lit(train))
     second = first + F.round((F.col("_n") - first) * F.lit(val / (val + test)))
     split = F.when(F.col("_rank") < first, "train").when(F.col("_rank") < second, "val").otherwise("test")
@@ -251,7 +251,7 @@ def rebalance_groups(groups: DataFrame, targets: dict[str, int], max_moves: int
     joined = groups.join(per_cell, ["split", "size"], "left")
     # Each split gives up its sizes in ascending order, so only a handful of cells move in part.
     partial = F.coalesce("_partial", F.lit(False))
-    ranked = rank_in_order(joined.where(partial), ["split", "size"], [F.col("digest")]).drop("_n")
+    ranked = rank_in_order(joined.where(partial), ["split", "size"], [F.col("digest")], key=digest_key(F.col("digest"))).drop("_n")
     every = ranked.unionByName(joined.where(~partial).withColumn("_rank", F.lit(0).cast("bigint")))
     end = F.filter("_ends", lambda e: (F.col("_rank") >= e["_from"]) & (F.col("_rank") < e["_to"]))
     moved = F.try_element_at(end, F.lit(1))["_end"]
@@ -299,5 +299,5 @@ def assert_disjoint(df: DataFrame, splits: DataFrame, label: str = LABEL) -> Non
 def stratified_kfold(df: DataFrame, k: int = 5, seed: int = 13, label: str = LABEL, row_id: str = ROW_ID) -> DataFrame:
     """Add ``fold``: digest rank within the label, modulo ``k``."""
     digest = group_digest(F.col(row_id).cast("string"), seed)
-    ranked = rank_in_order(df.withColumn("_digest", digest), [label], [F.col("_digest"), F.col(row_id)])
+    ranked = rank_in_order(df.withColumn("_digest", digest), [label], [F.col("_digest"), F.col(row_id)], key=digest_key(F.col("_digest")))
     return ranked.withColumn("fold", (F.col("_rank") % k).cast("int")).drop("_rank", "_n", "_digest")

@@ -21,25 +21,56 @@ TOKEN_PATTERN = f"[{WORD_CHAR}]{{2,}}"
 
 
 @cache
-def accent_table() -> tuple[str, str]:
-    """Characters whose decomposition is one base character, with that base; marks map to nothing."""
-    single, bases, marks = [], [], []
+def accent_table() -> tuple[str, str, dict[str, str]]:
+    """Characters whose decomposition without marks is one character, with that one; marks, which map to nothing, come last. And
+    the characters that become several."""
+    single, bases, marks, several = [], [], [], {}
     for code in range(0x80, sys.maxunicode + 1):
-        char = chr(code)
-        if unicodedata.combining(char):
-            marks.append(char)
+        if 0xD800 <= code <= 0xDFFF:
             continue
+        char = chr(code)
         plain = "".join(c for c in unicodedata.normalize("NFKD", char) if not unicodedata.combining(c))
-        if plain != char and len(plain) == 1:
-            single.append(char)
-            bases.append(plain)
-    return "".join(single + marks), "".join(bases)
+        if not plain:
+            marks.append(char)
+        elif plain != char:
+            if len(plain) == 1:
+                single.append(char)
+                bases.append(plain)
+            else:
+                several[char] = plain
+    return "".join(single + marks), "".join(bases), several
+
+
+@cache
+def expansion_tables() -> list[tuple[str, str]]:
+    """For each place of an expansion the characters that have one there, with it, followed by those that are shorter and map to nothing."""
+    several = accent_table()[2]
+    out = []
+    for place in range(max(map(len, several.values()))):
+        longer = [c for c, plain in several.items() if len(plain) > place]
+        shorter = [c for c, plain in several.items() if len(plain) <= place]
+        out.append(("".join([*longer, *shorter]), "".join(several[c][place] for c in longer)))
+    return out
+
+
+def expand(c: Column) -> Column:
+    """Ligatures, fractions, Hangul syllables and the like by the several characters they stand for, by table look-up."""
+    tables = expansion_tables()
+    # A character of the first table maps to nothing here: that finds the texts and the characters to expand.
+    every = tables[0][0]
+
+    def several(char: Column) -> Column:
+        return F.concat(*[F.translate(char, source, target) for source, target in tables])
+
+    held = F.length(F.translate(c, every, "")) < F.length(c)
+    expanded = F.array_join(F.transform(F.split(c, ""), lambda char: F.when(F.translate(char, every, "") == "", several(char)).otherwise(char)), "")
+    return F.when(held, expanded).otherwise(c)
 
 
 def strip_accents(c: Column) -> Column:
-    """Base letters for accented ones; characters that decompose into several letters stay."""
-    source, target = accent_table()
-    return F.when(F.octet_length(c) == F.length(c), c).otherwise(F.translate(c, source, target))
+    """Compatibility decomposition without marks, character by character; plain ASCII texts are left alone."""
+    source, target, _ = accent_table()
+    return F.when(F.octet_length(c) == F.length(c), c).otherwise(F.translate(expand(c), source, target))
 
 
 def tokens(c: Column, accents: bool = True) -> Column:

@@ -9,13 +9,15 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cmdprism.sources.tables import materialize
 
 #: Rows that one range holds on average at most; their number grows with the table.
 MAX_RANGE_ROWS = 1 << 20
+#: Quantiles of a key that may be ends of ranges; more ranges take a second aggregate.
+KEY_STEPS = 1_000
 
 
 def range_count(rows: int, least: int, most_rows: int = MAX_RANGE_ROWS) -> int:
@@ -35,6 +37,25 @@ def in_ranges(df: DataFrame, by: list[str], order: list, name: str = "ranges") -
     return materialize(placed, name)
 
 
+def in_key_ranges(df: DataFrame, key: Column, name: str = "ranges") -> DataFrame:
+    """``df`` written once, with ``_range``, the number of the range that ``key`` falls into.
+
+    The ends of the ranges are quantiles of the key, from one small aggregate, so the range is a function of the row: no second
+    write, and a task that runs again places its rows alike.
+    """
+    staged = materialize(df.withColumn("_key", key.cast("double")), name)
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    number = F.when(~F.isnan("_key"), F.col("_key"))
+    shares = F.lit([i / KEY_STEPS for i in range(1, KEY_STEPS)])
+    rows, ends = staged.agg(F.count("*"), F.percentile_approx(number, shares, 10 * KEY_STEPS)).first()
+    ranges = range_count(rows, least)
+    if ends and ranges > KEY_STEPS:
+        finer = F.lit([i / ranges for i in range(1, ranges)])
+        ends = staged.agg(F.percentile_approx(number, finer, 10 * ranges)).first()[0]
+    picked = sorted({ends[(i * (len(ends) + 1)) // ranges - 1] for i in range(1, ranges)} if ends and ranges > 1 else set())
+    return with_score_bucket(staged, "_key", picked, "_range").drop("_key")
+
+
 def with_score_bucket(df: DataFrame, col: str, bounds: list[float], bucket: str = "_bucket") -> DataFrame:
     """Number of bounds less than or equal to the value, found by binary search."""
     inf = float("inf")
@@ -46,13 +67,14 @@ def with_score_bucket(df: DataFrame, col: str, bounds: list[float], bucket: str
     return out.withColumn(bucket, F.col("_bucket_out").cast("int")).drop("_bucket_in", "_bucket_out")
 
 
-def running_totals(df: DataFrame, by: list[str], order: list, sums: list[str]) -> DataFrame:
+def running_totals(df: DataFrame, by: list[str], order: list, sums: list[str], key: Column | None = None) -> DataFrame:
     """Add ``<sum>_before`` (rows ahead within ``by``) and ``<sum>_total`` for every sum column.
 
     Rows that are equal in ``by`` and ``order`` stand in one range, so callers sum them up before. A window sees one range,
-    or one row for each range of a ``by`` group.
+    or one row for each range of a ``by`` group. ``key``: a number that never falls along ``order`` and that few rows share; with
+    it the rows are written once.
     """
-    placed = in_ranges(df, by, order)
+    placed = in_ranges(df, by, order) if key is None else in_key_ranges(df, key)
     per_range = placed.groupBy(*by, "_range").agg(*[F.sum(s).alias(s) for s in sums])
     ahead = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.partitionBy(*by)
@@ -76,7 +98,14 @@ def running_totals(df: DataFrame, by: list[str], order: list, sums: list[str]) -
     )
 
 
-def rank_in_order(df: DataFrame, by: list[str], order: list, rank: str = "_rank", total: str = "_n") -> DataFrame:
+def digest_key(digest: Column) -> Column:
+    """A number in the order of a hexadecimal digest: its first 52 bits."""
+    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double")
+
+
+def rank_in_order(
+    df: DataFrame, by: list[str], order: list, rank: str = "_rank", total: str = "_n", key: Column | None = None
+) -> DataFrame:
     """0-based rank of each row in ``order``, which must be unique, and the row count, within ``by``."""
-    ranked = running_totals(df.withColumn("_one", F.lit(1).cast("bigint")), by, order, ["_one"])
+    ranked = running_totals(df.withColumn("_one", F.lit(1).cast("bigint")), by, order, ["_one"], key)
     return ranked.withColumnsRenamed({"_one_before": rank, "_one_total": total}).drop("_one")

@@ -170,3 +170,49 @@ def test_published_grids():
     assert [len(models.grid_points(m)) for m in models.TREE_MODELS] == [12, 9, 4]
     assert models.grid_points("gbdt")[0] == {"learning_rate": 0.03, "num_leaves": 31, "reg_lambda": 0.0}
     assert models.grid_points("rf")[-1] == {"max_depth": 20, "n_estimators": 500}
+
+
+def test_accent_folding_equals_full_decomposition_on_every_code_point(spark):
+    import unicodedata
+
+    chars = [chr(c) for c in range(1, 0x110000) if not 0xD800 <= c <= 0xDFFF]
+    rows = [(i, "".join(chars[i : i + 500])) for i in range(0, len(chars), 500)]
+    got = spark.createDataFrame(rows, "i int, t string").select("i", textmodel.strip_accents(F.col("t")).alias("s")).collect()
+    want = {i: "".join(c for c in "".join(unicodedata.normalize("NFKD", x) for x in t) if not unicodedata.combining(c)) for i, t in rows}
+    assert {r["i"]: r["s"] for r in got} == want
+
+
+def test_table_regression_equals_mllib(spark):
+    """Weights within 1e-6 of MLlib's at a tight tolerance; a row without entries has the intercept as margin."""
+    import random
+
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.linalg import Vectors
+
+    from cmdprism.operators import sparse_lr
+    from cmdprism.sources.tables import materialize
+
+    rng = random.Random(2)
+    width, n = 20, 80
+    x = [{j: rng.gauss(0, 1) for j in rng.sample(range(width), 5)} if i else {} for i in range(n)]
+    y = [int(sum(v * (1 if j % 3 else -1) for j, v in row.items()) + rng.gauss(0, 1.5) > 0) for row in x]
+    weight = [1.0 + (i % 3) / 2 for i in range(n)]
+    total = sum(weight)
+    dense = spark.createDataFrame([(float(a), w, Vectors.sparse(width, row)) for a, w, row in zip(y, weight, x)], ["label", "w", "features"])
+    wanted = LogisticRegression(weightCol="w", regParam=1.0 / (2.0 * total), standardization=False, tol=1e-14, maxIter=1000).fit(dense)
+    entries = spark.createDataFrame([(i, f"t{j}", v) for i, row in enumerate(x) for j, v in row.items()], "row long, term string, x double")
+    labels = spark.createDataFrame(list(zip(range(n), y, weight)), "row long, y int, weight double")
+    fitted = sparse_lr.fit(materialize(entries, "entries"), materialize(labels, "labels"), 2.0, tolerance=1e-9)
+    got = {r["term"]: r["weight"] for r in fitted.weights.collect()}
+    assert max(abs(got[f"t{j}"] - wanted.coefficients[j]) for j in range(width)) < 1e-6
+    assert abs(fitted.intercept - wanted.intercept) < 1e-6 and fitted.slope < 1e-9
+
+
+def test_table_text_model_equals_the_vector_model(events):
+    from cmdprism.operators import sparse_lr
+
+    few = events.where("row_id < 60")
+    table = sparse_lr.train_text_table(few, tolerance=1e-6)
+    vector = models.train_text_lr(few)
+    both = vector.score(table.score(events, "prob_table")).select(F.abs(F.col("prob_table") - F.col("prob_text")).alias("d"))
+    assert both.count() == events.count() and both.agg(F.max("d")).first()[0] < 2e-3

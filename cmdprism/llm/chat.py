@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cmdprism.plans.prefix import running_totals
+from cmdprism.plans.prefix import in_ranges, running_totals
 from cmdprism.sources.tables import materialize
 
 #: Turn numbers that one rendered part covers; also the share of a conversation that one window sees.
@@ -53,19 +53,29 @@ def turn_digests(messages: DataFrame) -> DataFrame:
 def prefixes(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Prefix digests (conv_id, p101, p202, last) after every turn, and (conv_id, part) of all parts.
 
-    Digests are combined within parts, then the parts' totals before are added; a window sees one part of a conversation, or
-    one row for each of its parts.
+    Digests are combined within parts, then the parts' totals before are added. Parts stand in ranges of bounded size (where turns are
+    time stamps, every turn is a part), so a window sees one part of a conversation, the parts of one range, or one row per range.
     """
     digests = [f"d{s}" for s in SEEDS]
     totals = turns.groupBy("conv_id", "part").agg(*[F.bit_xor(d).alias(d) for d in digests], F.max("turn").alias("end"))
-    ahead = Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    after = Window.partitionBy("conv_id").orderBy("part")
-    offsets = totals.select(
+    placed = in_ranges(totals, ["conv_id"], [F.col("part")], "chat-parts")
+    per_range = placed.groupBy("conv_id", "_range").agg(*[F.bit_xor(d).alias(d) for d in digests])
+    ahead = Window.partitionBy("conv_id").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    nothing = F.lit(0).cast("long")
+    ranges = per_range.select(
+        F.col("conv_id").alias("_conv"), F.col("_range").alias("_at"),
+        F.lead("_range").over(Window.partitionBy("conv_id").orderBy("_range")).isNull().alias("_last_range"),
+        *[F.coalesce(F.bit_xor(d).over(ahead), nothing).alias(f"_{d}") for d in digests],
+    )
+    after = Window.partitionBy("conv_id", "_range").orderBy("part")
+    before = after.rowsBetween(Window.unboundedPreceding, -1)
+    same_range = F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("_range") == F.col("_at"))
+    offsets = placed.join(ranges, same_range).select(
         F.col("conv_id").alias("_conv"),
         F.col("part").alias("_part"),
-        F.lead("part").over(after).isNull().alias("_last_part"),
+        (F.col("_last_range") & F.lead("part").over(after).isNull()).alias("_last_part"),
         F.col("end").alias("_end"),
-        *[F.coalesce(F.bit_xor(d).over(ahead), F.lit(0).cast("long")).alias(f"_{d}") for d in digests],
+        *[F.coalesce(F.bit_xor(d).over(before), nothing).bitwiseXOR(F.col(f"_{d}")).alias(f"_{d}") for d in digests],
     )
     within = Window.partitionBy("conv_id", "part").orderBy(F.col("turn").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
     same = F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("part") == F.col("_part"))
@@ -74,7 +84,7 @@ def prefixes(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
         (F.col("_last_part") & F.col("turn").eqNullSafe(F.col("_end"))).alias("last"),
         *[F.bit_xor(d).over(within).bitwiseXOR(F.col(f"_{d}")).alias(f"p{s}") for s, d in zip(SEEDS, digests, strict=True)],
     )
-    return rows, totals.select("conv_id", "part")
+    return rows, placed.select("conv_id", "part")
 
 
 def maximal(messages: DataFrame) -> DataFrame:
@@ -101,18 +111,21 @@ def same_part(conv: str = "_conv", part: str = "_part") -> Column:
     return F.col("conv_id").eqNullSafe(F.col(conv)) & (F.col("part") == F.col(part))
 
 
-def in_pieces(rows: DataFrame, large: DataFrame, part_bytes: int) -> tuple[DataFrame, DataFrame]:
-    """The messages of the large parts that stay, with their piece, and (_conv, extras): how many numbers each large part takes more.
-
-    ``large`` has less rows than the table has bytes / ``part_bytes``.
-    """
+def in_pieces(rows: DataFrame, large: DataFrame, part_bytes: int) -> DataFrame:
+    """The messages of the large parts that stay, with their piece."""
     order = [F.col(c).asc_nulls_first() for c in ("turn", "role", "text")]
-    distinct = rows.join(F.broadcast(large.where("snapshots IS NOT NULL")), same_part()).drop("_conv", "_part").distinct()
+    distinct = rows.join(large.where("snapshots IS NOT NULL"), same_part()).drop("_conv", "_part").distinct()
     placed = running_totals(distinct, ["conv_id", "part"], order, ["cost"])
-    pieces = materialize(placed.withColumn("piece", F.floor(F.col("cost_before") / part_bytes).cast("long")), "chat-pieces")
+    return materialize(placed.withColumn("piece", F.floor(F.col("cost_before") / part_bytes).cast("long")), "chat-pieces")
+
+
+def part_numbers(kept: DataFrame, pieces: DataFrame, part_bytes: int) -> DataFrame:
+    """(_conv, _part, shift): how many numbers the parts before take more, by a running total over ranges of parts."""
     more = pieces.groupBy("conv_id", "part").agg(F.floor(F.max("cost_total") / part_bytes).cast("long").alias("extra"))
-    extras = more.groupBy(F.col("conv_id").alias("_conv")).agg(F.collect_list(F.struct("part", "extra")).alias("extras"))
-    return pieces, extras
+    named = more.select(F.col("conv_id").alias("_conv"), F.col("part").alias("_part"), "extra")
+    every = kept.select(F.col("_kept").alias("conv_id"), F.col("_kept_part").alias("part")).join(named, same_part(), "left")
+    counted = running_totals(every.select("conv_id", "part", F.coalesce("extra", F.lit(0)).alias("extra")), ["conv_id"], [F.col("part")], ["extra"])
+    return counted.select(F.col("conv_id").alias("_conv"), F.col("part").alias("_part"), F.col("extra_before").alias("shift"))
 
 
 def format_chats(
@@ -134,21 +147,20 @@ def format_chats(
     large = sizes.join(kept, same_part("_kept", "_kept_part"), "left")
     large = materialize(large.select(F.col("conv_id").alias("_conv"), F.col("part").alias("_part"), "snapshots"), "chat-large")
     cut = not large.isEmpty()
-    small = rows.join(F.broadcast(large), same_part(), "left_anti") if cut else rows
+    small = rows.join(large, same_part(), "left_anti") if cut else rows
     held = small.join(kept, same_part("_kept", "_kept_part")).withColumn("piece", F.lit(0).cast("long"))
     names = ["conv_id", "part", "piece", "turn", "role", "text", "snapshots"]
     held = held.select(*names)
     if cut:
-        pieces, extras = in_pieces(rows, large, part_bytes)
+        pieces = in_pieces(rows, large, part_bytes)
         held = held.unionByName(pieces.select(*names))
     # A part's messages in order: turn (null first), role, text.
     ordered = F.sort_array(F.collect_set(F.struct("turn", "role", "text")))
     parts = held.groupBy("conv_id", "part", "piece").agg(ordered.alias("held"), F.max("snapshots").alias("snapshots"))
     number = F.col("part")
     if cut:
-        parts = parts.join(F.broadcast(extras), F.col("conv_id").eqNullSafe(F.col("_conv")), "left")
-        earlier = F.filter(F.coalesce("extras", F.array().cast("array<struct<part:bigint,extra:bigint>>")), lambda x: x["part"] < F.col("part"))
-        number = number + F.col("piece") + F.aggregate(earlier, F.lit(0).cast("long"), lambda n, x: n + x["extra"])
+        parts = parts.join(part_numbers(kept, pieces, part_bytes), same_part())
+        number = number + F.col("piece") + F.col("shift")
     return parts.select(
         "conv_id",
         number.alias("part"),
@@ -183,9 +195,9 @@ WITH messages AS (
   SELECT conv_id, snapshots FROM whole
   WHERE prefix NOT IN (SELECT prefix FROM prefixes WHERE NOT is_last)
 )
-SELECT m.conv_id, floor(m.turn / 512)::BIGINT AS part, count(*) AS n_messages, max(snapshots) AS snapshots,
+SELECT m.conv_id, coalesce(floor(m.turn / 512)::BIGINT, -4611686018427387904) AS part, count(*) AS n_messages, max(snapshots) AS snapshots,
        string_agg('<|' || coalesce(role, '') || '|>' || chr(10) || coalesce(text, '') || chr(10), ''
                   ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS rendered
-FROM messages m JOIN kept k ON m.conv_id = k.conv_id
+FROM messages m JOIN kept k ON m.conv_id IS NOT DISTINCT FROM k.conv_id
 GROUP BY m.conv_id, floor(m.turn / 512)::BIGINT
 """

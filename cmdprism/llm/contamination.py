@@ -15,12 +15,16 @@ Extra columns take no part.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cmdprism.llm.common import Aside
+from cmdprism.sources.tables import materialize
+
 WINDOW = 10
 #: Words that one index covers; longer streams are cut with an overlap of a window.
 SHARD_WORDS = 2_000_000
@@ -229,8 +233,8 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def search_column(phrases: Phrases, text: Column, before: Column | None) -> Column:
-    """Hits of one block of phrases, merged with those of the blocks before."""
+def search_column(phrases: Phrases, text: Column) -> Column:
+    """Hits of one block of phrases."""
 
     def steps(texts: pd.Series) -> Iterator[tuple[int, list[tuple[int, int]], list[str]]]:
         batch: list[str | None] = []
@@ -243,26 +247,25 @@ def search_column(phrases: Phrases, text: Column, before: Column | None) -> Colu
                 batch, size = [], 0
         yield from hits_of(batch, phrases)
 
-    if before is None:
+    @F.pandas_udf(RESULT)
+    def search(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            rows = [(n, [{"start": a, "end": b} for a, b in s], i) for n, s, i in steps(texts)]
+            yield pd.DataFrame(rows, columns=["n_words", "spans", "items"])
 
-        @F.pandas_udf(RESULT)
-        def search(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-            for texts in batches:
-                rows = [(n, [{"start": a, "end": b} for a, b in s], i) for n, s, i in steps(texts)]
-                yield pd.DataFrame(rows, columns=["n_words", "spans", "items"])
+    return search.asNondeterministic()(text)
 
-        return search.asNondeterministic()(text)
 
-    @F.pandas_udf(RESULT)
-    def search_more(batches: Iterator[tuple[pd.Series, pd.DataFrame]]) -> Iterator[pd.DataFrame]:
-        for texts, earlier in batches:
-            rows = []
-            for (n, spans, items), old, held in zip(steps(texts), earlier["spans"], earlier["items"], strict=True):
-                both = merged(spans + [(x["start"], x["end"]) for x in old])
-                rows.append((n, [{"start": a, "end": b} for a, b in both], sorted({*items, *held})))
-            yield pd.DataFrame(rows, columns=["n_words", "spans", "items"])
+def merged_spans(spans: Column) -> Column:
+    """Spans as few: overlapping and touching ones are one."""
 
-    return search_more.asNondeterministic()(text, before)
+    def add(held: Column, x: Column) -> Column:
+        last = F.element_at(held, -1)
+        joined = F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"))
+        touches = (F.size(held) > 0) & (F.try_element_at(held, F.lit(-1))["end"] >= x["start"])
+        return F.when(touches, F.concat(F.slice(held, 1, F.greatest(F.size(held) - 1, F.lit(0))), F.array(joined))).otherwise(F.concat(held, F.array(x)))
+
+    return F.aggregate(F.array_sort(spans), F.slice(spans, 1, 0), add)
 
 
 def find_contamination(
@@ -277,19 +280,33 @@ def find_contamination(
 ) -> DataFrame:
     """``docs`` with a struct ``out_col``: n_words, spans (word positions, end exclusive), items.
 
-    The benchmark is the stated query set: it goes to the tasks in blocks of about ``block_bytes``,
-    chosen by hash, and every block is searched in all documents in the same pass, without a shuffle.
+    The benchmark is the stated query set: it goes to the tasks in blocks of about ``block_bytes``, chosen by hash. One block is
+    searched in a pass without a shuffle. Of several, each one's hits are written before the next is built, so
+    neither driver nor tasks hold more than one; only rows with hits meet again.
     """
     items = benchmark.select(F.col(item_col).cast("string").alias("item_id"), F.col(item_text_col).alias("text"))
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = 1 + size // block_bytes
-    before = None
-    for block in range(blocks):
+
+    def phrases_of(block: int) -> Phrases:
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()
-        phrases = Phrases([(r["item_id"], r["text"]) for r in rows], window)
-        docs = docs.withColumn(out_col, search_column(phrases, F.col(text_col), before))
-        before = F.col(out_col)
-    return docs
+        return Phrases([(r["item_id"], r["text"]) for r in rows], window)
+
+    if blocks == 1:
+        return docs.withColumn(out_col, search_column(phrases_of(0), F.col(text_col)))
+    aside = Aside(docs)
+    rows = materialize(aside.rows.withColumn("row", F.monotonically_increasing_id()), "contamination-rows")
+    parts = []
+    for block in range(blocks):
+        hits = rows.select("row", search_column(phrases_of(block), F.col(aside[text_col])).alias("hits"))
+        # The first block counts the words of every row.
+        parts.append(materialize(hits if block == 0 else hits.where("size(hits.spans) > 0"), "contamination-hits"))
+    found = reduce(DataFrame.unionByName, parts).groupBy("row").agg(
+        F.max("hits.n_words").alias("n_words"), F.flatten(F.collect_list("hits.spans")).alias("spans"), F.flatten(F.collect_list("hits.items")).alias("items")
+    )
+    whole = F.struct("n_words", merged_spans(F.col("spans")).alias("spans"), F.array_sort(F.array_distinct("items")).alias("items"))
+    joined = rows.join(found.select(F.col("row").alias("of"), whole.alias("found")), F.col("row") == F.col("of"))
+    return joined.select(*aside.back(out_col), F.col("found").alias(out_col))
 
 
 def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -306,3 +323,26 @@ def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         F.sha2(F.array_join(hits["items"], ","), 256).alias("items_sha256"),
         (n_hit > 0).alias("contaminated"),
     )
+
+
+_SQL_LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_SQL_WORDS = r"regexp_extract_all(coalesce({0}, ''), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+def _sql_words(text: str) -> str:
+    return _SQL_WORDS.format(_SQL_LOWER.format(text))
+
+
+#: The contract's columns in plain SQL: every run of a window's length in every document.
+OP7_SQL = f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_sql_words('text')} AS w FROM documents),
+items AS (SELECT CAST(item_id AS VARCHAR) AS item_id, {_sql_words('text')} AS w FROM benchmark),
+sized AS (SELECT item_id, w, least(len(w), {WINDOW}) AS k FROM items WHERE len(w) > 0),
+windows AS (SELECT DISTINCT item_id, k, array_to_string(w[i:i + k - 1], ' ') AS gram FROM (SELECT item_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM sized)),
+grams AS (SELECT r, i, k, array_to_string(w[i:i + k - 1], ' ') AS gram FROM (
+  SELECT r, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, (SELECT DISTINCT k FROM windows) WHERE len(w) >= k)),
+found AS (SELECT r, i, g.k AS k, item_id FROM grams g JOIN windows v ON g.gram = v.gram AND g.k = v.k),
+hit AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + k)) AS p FROM found) GROUP BY r),
+named AS (SELECT r, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS names FROM (SELECT DISTINCT r, item_id FROM found) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (r) LEFT JOIN named USING (r)"""

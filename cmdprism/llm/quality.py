@@ -28,6 +28,8 @@ from cmdprism.sources.tables import materialize
 
 #: The regression is fitted on about this many rated documents, chosen by a hash of the id.
 FIT_ROWS = 20_000
+#: Tasks that the sample is dealt to.
+FIT_TASKS = 16
 BUCKETS = 1 << 15
 ROUNDS = 30
 RIDGE = 1e-3
@@ -189,7 +191,8 @@ def fit(
             yield pd.DataFrame({"grade": batch["grade"], "at": [r[0] for r in rows], "x": [r[1] for r in rows]})
 
     sample = texts.join(F.broadcast(rated), "id").select("text", "grade")
-    sample = materialize(sample.mapInPandas(hashed, "grade int, at array<int>, x array<double>"), "quality-sample")
+    # Each step brings one gradient of every task to the driver: the sample is dealt to a fixed number of them.
+    sample = materialize(sample.mapInPandas(hashed, "grade int, at array<int>, x array<double>").repartition(FIT_TASKS), "quality-sample")
     grades = {r["grade"]: r["count"] for r in sample.groupBy("grade").count().collect()}
     if len(grades) < 2:
         return GradeModel(np.zeros(buckets), np.zeros(1), next(iter(grades), 0))

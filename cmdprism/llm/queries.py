@@ -95,4 +95,9 @@ QUERIES: dict[str, Query] = {
     "op12_merkle_manifest": op12_merkle_manifest,
     "op13_license_scan": op13_license_scan,
 }
-ORACLES: dict[str, str] = {"op2_chat_snapshots": chat.OP2_SQL, "op12_merkle_manifest": merkle.OP12_SQL}
+ORACLES: dict[str, str] = {
+    "op2_chat_snapshots": chat.OP2_SQL,
+    "op7_decontamination": contamination.OP7_SQL,
+    "op10_exact_top_k": topk.OP10_SQL,
+    "op12_merkle_manifest": merkle.OP12_SQL,
+}

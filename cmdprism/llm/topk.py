@@ -232,3 +232,12 @@ def first_floors(searcher: Searcher, longest: pd.DataFrame) -> np.ndarray:
             slack = 1e-9 * searcher.length[of] * np.sqrt(longest["sq"].iloc[0])
             floors[of] = np.where(slack > 0.5, best_of - slack, best_of)
     return floors
+
+
+#: The registered query in plain SQL: every product of a query row and another row.
+OP10_SQL = f"""WITH v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor({SCALE} * CAST(x AS DOUBLE))) AS x
+  FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding))
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, CAST(score AS BIGINT) AS score FROM (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_dot_product(q.x, c.x) AS score,
+    row_number() OVER (PARTITION BY q.r ORDER BY list_dot_product(q.x, c.x) DESC, c.vec_id) AS rank
+  FROM v q JOIN v c ON q.r <> c.r AND len(q.x) = len(c.x) WHERE q.vec_id % {QUERY_STEP} = 0) WHERE rank <= {K}"""

@@ -1,8 +1,10 @@
+import hashlib
 import random
 import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cmdprism.llm import contamination as c
 
@@ -86,9 +88,9 @@ def test_query_equals_brute_force_in_one_and_in_many_blocks(spark, sf_dir):
     real_items = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
     from cmdprism.llm.queries import QUERIES
 
-    got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["n_items"], r["contaminated"]) for r in QUERIES["op7_decontamination"](spark, sf_dir).collect()}
+    got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["n_items"], r["contaminated"], r["items_sha256"]) for r in QUERIES["op7_decontamination"](spark, sf_dir).collect()}
     for row, (n, hit, found) in zip(real, brute([r["text"] for r in real], real_items), strict=True):
-        assert got[row["doc_id"]] == (n, hit, len(found), hit > 0)
+        assert got[row["doc_id"]] == (n, hit, len(found), hit > 0, hashlib.sha256(",".join(found).encode()).hexdigest())
     assert any(v[3] for v in got.values())
 
 
@@ -99,3 +101,9 @@ def test_empty_tables(spark):
     one = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     row = c.digest(one, items).first()
     assert (row["n_words"], row["n_hit"], row["contaminated"]) == (2, 0, False)
+
+
+def test_spans_of_blocks_are_merged(spark):
+    rows = [([(0, 3), (5, 9), (2, 4), (9, 12), (20, 21)],), ([],), ([(1, 2)],)]
+    df = spark.createDataFrame(rows, "s array<struct<start: int, end: int>>").select(c.merged_spans(F.col("s")).alias("m"))
+    assert [[(x["start"], x["end"]) for x in r["m"]] for r in df.collect()] == [[(0, 4), (5, 12), (20, 21)], [], [(1, 2)]]

@@ -73,3 +73,41 @@ def test_nulls_single_grades_and_empty_tables(spark):
     only = quality.op9(docs, labels.where("quality = 1 and toxic = 0"))
     assert all(0 <= r["tail"] <= 1 for r in only.collect())
     assert quality.op9(docs.where("false"), labels).collect() == []
+
+
+def test_fit_and_scores_equal_plain_loops(spark):
+    """The fitted model has no slope by a plain sum over all rows and terms, and grades follow from its weights and thresholds."""
+    rng = np.random.default_rng(4)
+    rows = [(i, " ".join(str(x) for x in rng.choice(["good", "poor", "text", "!!", "words", "line"], 12))) for i in range(80)]
+    ratings = [(i, min(2, t.count("good"))) for i, t in rows]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    rated = spark.createDataFrame(ratings, "doc_id long, g int")
+    buckets = 64
+    model = quality.fit(docs, rated, rated["g"], buckets=buckets, rounds=400)
+    weights, cuts = model.weights, list(quality.thresholds(model.free))
+
+    def plain(w, free):
+        total = 0.0
+        bounds = quality.thresholds(free)
+        for (_, text), (_, grade) in zip(rows, ratings, strict=True):
+            at, x = quality.features(text, buckets)
+            score = sum(float(v) * w[int(i)] for i, v in zip(at, x, strict=True))
+            below = [0.0, *[1 / (1 + np.exp(-(b - score))) for b in bounds], 1.0]
+            total -= np.log(max(below[grade + 1] - below[grade], 1e-300))
+        return total / len(rows) + quality.RIDGE / 2 * float(w @ w)
+
+    step = 1e-5
+    at_end = plain(weights, model.free)
+    start = plain(np.zeros(buckets), model.free)
+    assert at_end < start
+    for i in list(rng.choice(buckets, 12, replace=False)):
+        up, down = weights.copy(), weights.copy()
+        up[i] += step
+        down[i] -= step
+        assert abs(plain(up, model.free) - plain(down, model.free)) / (2 * step) < 5e-3
+    for _, text in rows[:20]:
+        at, x = quality.features(text, buckets)
+        score = sum(float(v) * weights[int(i)] for i, v in zip(at, x, strict=True))
+        tails = [1 - 1 / (1 + np.exp(-(b - score))) for b in cuts]
+        expected, tail = model.predict(text, 1)
+        assert abs(expected - sum(tails)) < 1e-9 and abs(tail - tails[0]) < 1e-9

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 HOT_SHARE = 1000
+#: Bytes of keys that the hot groups may have to be broadcast.
+HOT_BYTES = 8 << 20
 SPREAD = 4096
 
 
@@ -14,19 +16,20 @@ def attach_group_values(
 ) -> DataFrame:
     """Left join of ``values`` from ``groups`` (one row per ``key``, with its row count ``size``).
 
-    Groups with at least 1/HOT_SHARE of all rows number HOT_SHARE at most, so their broadcast
-    is bounded whatever the data; their rows take the value from it and are then spread over
+    Groups with at least 1/HOT_SHARE of all rows number HOT_SHARE at most; where their longest key keeps them under HOT_BYTES they
+    are broadcast, else Spark chooses how they are met. Their rows take the value from it and are then spread over
     the shuffle by a key that matches nothing, made from ``spread_by`` so that a repeated task
     sends each row to the same place. All other rows meet in an ordinary join, in which no key
     is large. ``groups`` is read three times and should be a written table.
     """
     names = {v: f"_hot_{v}" for v in values}
-    total = groups.agg(F.sum(size)).first()[0] or 0
+    total, longest = groups.agg(F.sum(size), F.max(F.octet_length(F.col(key).cast("string")))).first()
+    total = total or 0
     hot = groups.where(F.col(size) * HOT_SHARE >= total).select(
         key, F.lit(True).alias("_hot"), *[F.col(v).alias(names[v]) for v in values]
     )
     spread_key = F.concat(F.lit("spread/"), F.pmod(F.xxhash64(spread_by), F.lit(SPREAD)).cast("string"))
-    staged = rows.join(F.broadcast(hot), key, "left").withColumn(
+    staged = rows.join(F.broadcast(hot) if (longest or 0) * HOT_SHARE <= HOT_BYTES else hot, key, "left").withColumn(
         "_join_key", F.when(F.col("_hot"), spread_key).otherwise(F.concat(F.lit("key/"), F.col(key)))
     )
     cold = groups.select(F.concat(F.lit("key/"), F.col(key)).alias("_join_key"), *values)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -41,6 +43,7 @@ def shared_dir(spark: SparkSession) -> str:
         if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         path = tempfile.mkdtemp(prefix="cmdprism-")
+        atexit.register(shutil.rmtree, path, True)
     if active is None:
         context.setCheckpointDir(path)
     path = path or active.rsplit("/", 1)[0]
@@ -48,5 +51,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/cmdprism/{name}-{uuid.uuid4().hex}"
+    """A fresh path below the application's folder in the shared one."""
+    return f"{shared_dir(spark)}/cmdprism/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove all tables that this application wrote to its folder. Results that read them must be saved before."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/cmdprism/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

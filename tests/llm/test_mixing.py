@@ -1,6 +1,8 @@
 import math
+import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from cmdprism.llm import mixing
 from cmdprism.llm.queries import QUERIES
@@ -102,3 +104,38 @@ def test_clashing_columns_are_kept(spark):
     assert {c for c in df.columns if c != "block"} <= set(out.columns)
     got = {(r["doc_id"], r["_source"], r["_tokens"], r["_block"], r["_row"]) for r in out.collect()}
     assert got == {(r[0], r[3], r[4], r[5], r[6]) for r in rows}
+
+
+def test_the_last_epoch_is_the_exact_prefix_of_the_block_permutation(spark):
+    """Blocks by their hash for the epoch, documents by theirs: taken as long as their tokens, added up, fit the rest of the budget."""
+    rng = random.Random(12)
+    rows = [(i, " ".join(["w"] * rng.randint(0, 30)) + f" x{i}", f"s{0 if i % 3 else 1 + i % 7}") for i in range(700)]
+    rows += [rows[5], rows[5]]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = mixing.mix(df, block_rows=16)
+    got = [r.asDict() for r in out.collect()]
+    staged = df.select(mixing.source_name(F.col("source")).alias("_source"), mixing.token_count(F.col("text")).alias("_tokens"))
+    budgets = {r["_source"]: (r["tokens"], r["budget"]) for r in mixing.source_budgets(staged, mixing.TARGET_ENTROPY, mixing.MAX_EPOCHS, None)[0].collect()}
+    blocks = -(-len(rows) // 16)
+    last = 0
+    for name, (tokens, budget) in budgets.items():
+        own = [r for r in rows if f"s:{r[2]}" == name]
+        whole = budget // tokens
+        keys = spark.createDataFrame(own, df.schema).select(
+            "doc_id", "text",
+            F.pmod(F.xxhash64(F.lit(mixing.SEED), "doc_id", "text"), F.lit(blocks)).cast("long").alias("block"),
+            F.xxhash64(F.lit(mixing.SEED + 1), "doc_id", "text").alias("row"),
+        ).withColumn("order", F.xxhash64(F.lit(mixing.SEED + 2), F.lit(whole).cast("long"), F.lit(name), "block"))
+        ordered = sorted(keys.collect(), key=lambda r: (r["order"], r["block"], r["row"], r["doc_id"]))
+        taken, total = [], 0
+        for r in ordered:
+            total += len(r["text"].split())
+            if total <= budget - whole * tokens:
+                taken.append(r["doc_id"])
+        mine = [r for r in got if f"s:{r['source']}" == name]
+        for epoch in range(whole):
+            assert sorted(r["doc_id"] for r in mine if r["epoch"] == epoch) == sorted(r[0] for r in own)
+        assert sorted(r["doc_id"] for r in mine if r["epoch"] == whole) == sorted(taken)
+        assert max((r["epoch"] for r in mine), default=0) <= whole
+        last += len(taken)
+    assert last > 10

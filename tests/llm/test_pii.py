@@ -116,3 +116,27 @@ def test_numbers_of_many_groups_are_candidates_inside_longer_runs():
     text = "call +49 30 12 34 56 78 20240102 1530"
     assert ("phone", 5, 5 + len("+49 30 12 34 56 78")) in pii.candidates(text)[1]
     assert len(pii.candidates("1 " * 20_000)[1]) <= 7 * 20_000
+
+
+def test_added_spans_are_the_likeliest_that_overlap_nothing(spark):
+    """By plain choice: of all candidates that are likely enough and free, the likeliest is taken, until none is left."""
+    rng = np.random.default_rng(8)
+    parts = [
+        "mail ann (at) example (dot) org", "card 4111.1111.1111.1111", "call 030 1234 5678", "phone 0151-2345678", "pay 4111 1111 1111 1111 20240102 77",
+        "ip 10.0.0.1", "bob@example.com", "+49 30 1234567", "4111 1111 1111 1111", "nothing here", "tel +49 30 12 34 56 78 20240102 1530",
+    ]
+    texts = [" ".join(rng.choice(parts, size=int(rng.integers(1, 7)))) for _ in range(150)]
+    model = pii.fit(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    added = 0
+    for text in texts:
+        own, more = pii.candidates(text)
+        taken = list(own)
+        open_ = [(pii.SpanClassifier.probability(model, pii.describe(text, *s, False)), s) for s in more]
+        while True:
+            free = [(p, s) for p, s in open_ if p >= pii.ACCEPT and not any(s[1] < b and a < s[2] for _, a, b in taken)]
+            if not free:
+                break
+            taken.append(min(free, key=lambda x: (-x[0], x[1]))[1])
+        assert sorted(taken) == sorted(model.spans(text)[1])
+        added += len(taken) - len(own)
+    assert added > 20

@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cmdprism.llm.common import Aside, in_steps
+from cmdprism.plans.skew import attach_group_values
 from cmdprism.sources.tables import materialize
 
 WIDTH = 5
@@ -41,8 +42,8 @@ DEPTH = 3
 BRANCH = 1.5
 #: Buckets of up to so many sets are compared at once; larger ones are split on.
 SMALL = 32
-#: Sets in one chunk of a cluster.
-CHUNK = 256
+#: Sets in one chunk of a cluster, and bytes of their texts, on average at most.
+CHUNK, CHUNK_BYTES = 1024, 16 << 20
 #: Shingles that are hashed at a time.
 STEP_TOKENS = 4_000_000
 
@@ -175,25 +176,29 @@ def components(edges: DataFrame, name: str) -> DataFrame:
     """(id, root) of all nodes of ``edges`` (a, b): root is the smallest node of the component.
 
     Alternating stars: each node hands its larger neighbours, then all its smaller ones, to the smallest; components
-    shrink to stars in a number of rounds that grows with the logarithm of their size.
+    shrink to stars in a number of rounds that grows with the logarithm of their size. Edges meet the value of their node by a
+    join that a hot node (the middle of a star) doesn't skew. Nodes are hex texts meanwhile, in the same order.
     """
-    edges = edges.where("a <> b").select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct()
-    edges, before = materialize(edges, name), None
+    named = edges.where("a <> b").select(F.hex(F.least("a", "b")).alias("lo"), F.hex(F.greatest("a", "b")).alias("hi"))
+    edges, before = materialize(named.distinct(), name), None
     while True:
         state = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("lo", "hi"))).first()
         if state == before or not state[0]:
             break
         before = state
         both = edges.unionByName(edges.select(F.col("hi").alias("lo"), F.col("lo").alias("hi")))
-        least = both.groupBy(F.col("lo").alias("node")).agg(F.min("hi").alias("m")).select("node", F.least("node", "m").alias("m"))
-        large = both.where("hi > lo").join(least, F.col("lo") == F.col("node")).select(F.col("m").alias("lo"), "hi").distinct()
-        down = large.groupBy(F.col("hi").alias("node")).agg(F.min("lo").alias("m"))
+        least = both.groupBy("lo").agg(F.min("hi").alias("m"), F.count("*").alias("n")).select("lo", F.least("lo", "m").alias("m"), "n")
+        handed = attach_group_values(edges, materialize(least, name), "lo", "n", ["m"], spread_by="hi")
+        large = materialize(handed.select(F.col("m").alias("lo"), "hi").distinct(), name)
+        down = materialize(large.groupBy("hi").agg(F.min("lo").alias("m"), F.count("*").alias("n")), name)
         # Every node but the smallest hangs on the smallest of its neighbours, which takes over the others.
-        joined = large.join(down, F.col("hi") == F.col("node")).select("lo", "hi", "m")
-        others = joined.where("lo <> m").select(F.least("lo", "m").alias("lo"), F.greatest("lo", "m").alias("hi"))
-        edges = materialize(others.unionByName(joined.select(F.col("m").alias("lo"), "hi")).distinct(), name)
-    return edges.select(F.col("hi").alias("id"), F.col("lo").alias("root")).unionByName(
-        edges.select(F.col("lo").alias("id"), F.col("lo").alias("root")).distinct()
+        joined = attach_group_values(large, down, "hi", "n", ["m"], spread_by="lo")
+        pairs = F.array(
+            F.struct(F.least("lo", "m").alias("lo"), F.greatest("lo", "m").alias("hi")), F.struct(F.col("m").alias("lo"), F.col("hi").alias("hi"))
+        )
+        edges = materialize(joined.select(F.inline(pairs)).where("lo <> hi").distinct(), name)
+    return edges.select(F.unhex("hi").alias("id"), F.unhex("lo").alias("root")).unionByName(
+        edges.select(F.unhex("lo").alias("id"), F.unhex("lo").alias("root")).distinct()
     )
 
 
@@ -383,10 +388,11 @@ class Join:
         clusters = materialize(components(stars, "jaccard-clusters"), "jaccard-clusters").select(
             F.col("id").alias("set"), F.col("root").alias("cluster")
         )
-        sizes = clusters.groupBy("cluster").agg(F.count("*").alias("n"))
-        chunked = clusters.join(sizes, "cluster").select(
-            "set", "cluster", F.ceil(F.col("n") / self.chunk).cast("int").alias("chunks")
-        )
+        lengths = texts.select("set", F.octet_length("text").alias("bytes"))
+        sizes = clusters.join(lengths, "set").groupBy("cluster").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+        # Every text goes out once for each chunk of its cluster, so chunks are as large as a task may hold two of.
+        chunks = F.greatest(F.ceil(F.col("n") / self.chunk), F.ceil(F.col("bytes") / CHUNK_BYTES), F.lit(1))
+        chunked = clusters.join(sizes, "cluster").select("set", "cluster", chunks.cast("int").alias("chunks"))
         chunked = chunked.withColumn("own", F.pmod(F.xxhash64("set"), F.col("chunks")).cast("int"))
         members = lists.select("list", F.explode("sets").alias("set")).join(clusters, "set", "left")
         pairs = self.compare_lists(members.join(texts, "set").select("list", "set", "text", "copies", "cluster"))

@@ -16,6 +16,8 @@ from cmdprism.sources.tables import materialize
 
 #: Rows that one range holds on average at most; their number grows with the table.
 MAX_RANGE_ROWS = 1 << 20
+#: Rows of a table that one window may hold as they are.
+ONE_RANGE_ROWS = 1 << 16
 #: Quantiles of a key that may be ends of ranges; more ranges take a second aggregate.
 KEY_STEPS = 1_000
 
@@ -41,13 +43,16 @@ def in_key_ranges(df: DataFrame, key: Column, name: str = "ranges") -> DataFrame
     """``df`` written once, with ``_range``, the number of the range that ``key`` falls into.
 
     The ends of the ranges are quantiles of the key, from one small aggregate, so the range is a function of the row: no second
-    write, and a task that runs again places its rows alike.
+    write, and a task that runs again places its rows alike. A table of at most ONE_RANGE_ROWS is one range.
     """
     staged = materialize(df.withColumn("_key", key.cast("double")), name)
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = staged.count()
+    if rows <= ONE_RANGE_ROWS:
+        return staged.withColumn("_range", F.lit(0)).drop("_key")
     number = F.when(~F.isnan("_key"), F.col("_key"))
     shares = F.lit([i / KEY_STEPS for i in range(1, KEY_STEPS)])
-    rows, ends = staged.agg(F.count("*"), F.percentile_approx(number, shares, 10 * KEY_STEPS)).first()
+    ends = staged.agg(F.percentile_approx(number, shares, 10 * KEY_STEPS)).first()[0]
     ranges = range_count(rows, least)
     if ends and ranges > KEY_STEPS:
         finer = F.lit([i / ranges for i in range(1, ranges)])

@@ -475,3 +475,27 @@ def test_export_without_records_is_an_error(spark):
     empty = spark.createDataFrame([], "row_id BIGINT, split STRING")
     with pytest.raises(ValueError):
         corpus.export_corpus(event(spark), empty, shared_dir(spark) + "/cmdprism/test-empty-corpus")
+
+
+@pytest.mark.parametrize("one_range", [0, 1 << 16])
+def test_keyed_ranges_give_the_same_totals(spark, monkeypatch, one_range):
+    """Rows dealt by quantiles of a key, in many ranges or in one, against a plain sum."""
+    monkeypatch.setattr(prefix, "ONE_RANGE_ROWS", one_range)
+    rng = random.Random(5)
+    scores = [*rng.sample(range(-500, 500), 300), float("nan"), float("inf"), float("-inf")]
+    rows = [(k, float(s), rng.randint(0, 5)) for k in ("a", "b", None) for s in scores]
+    df = spark.createDataFrame(rows, "k string, s double, n long")
+    got = {(r.k, str(r.s)): (r.n_before, r.n_total) for r in running_totals(df, ["k"], [F.col("s").desc()], ["n"], -F.col("s")).collect()}
+    for k in ("a", "b", None):
+        own = sorted((r for r in rows if r[0] == k), key=lambda r: (r[1] == r[1], -r[1] if r[1] == r[1] else 0))
+        before = 0
+        for _, s, n in own:
+            assert got[k, str(s)] == (before, sum(r[2] for r in own))
+            before += n
+
+
+def test_digest_keys_follow_the_digests(spark):
+    df = spark.range(500).select(F.sha2(F.col("id").cast("string"), 256).alias("d"))
+    rows = df.select("d", prefix.digest_key(F.col("d")).alias("k")).orderBy("d").collect()
+    keys = [r.k for r in rows]
+    assert keys == sorted(keys) and len(set(keys)) == 500

@@ -461,16 +461,45 @@ class Cells:
         """Training rows per cell, each taken so many times."""
         return np.bincount(self.of_row, times, len(self.y)) * self.train
 
+    def everything(self, key: np.ndarray) -> np.ndarray:
+        """Training rows per cell."""
+        return self.count(np.ones(len(key)))
+
+    def sampled(self, p: TreeParams, tree: int, key: np.ndarray) -> np.ndarray:
+        """Training rows per cell that a boosted tree sees."""
+        return self.count(sampled(p, tree, key))
+
+    def drawn(self, p: TreeParams, tree: int, key: np.ndarray) -> np.ndarray:
+        """Training rows per cell in a forest tree's bootstrap sample."""
+        return self.count(drawn(p, tree, key))
+
+
+@dataclass
+class CountedCells(Cells):
+    """Cells whose rows were counted before, with how many of them each tree draws: one column per tree, from ``first`` on."""
+
+    n: np.ndarray
+    draws: np.ndarray | None
+    first: int
+
+    def everything(self, key: np.ndarray) -> np.ndarray:
+        return self.n * self.train
+
+    def sampled(self, p: TreeParams, tree: int, key: np.ndarray) -> np.ndarray:
+        return self.everything(key) if self.draws is None else self.draws[:, tree - self.first] * self.train
+
+    drawn = sampled
+
 
 def boost(cells: Cells, key: np.ndarray, weights: tuple[float, float], layout: Layout, p: TreeParams):
     """Boosted trees on rows in memory: (base margin, trees, final margin of every cell). Cells outside the training only follow."""
     weight = np.where(cells.y > 0, weights[1], weights[0])
-    everything = cells.count(np.ones(len(key)))
+    everything = cells.everything(key)
     base = base_margin(*[float(weights[c] * everything[cells.y == c].sum()) for c in (0, 1)])
     margin, trees = np.full(len(cells.y), base), []
     for t in range(p.n_estimators):
         tree = Growing.root(p, t)
-        count = everything if p.subsample_freq <= 0 else cells.count(sampled(p, t, key))
+        count = everything if p.subsample_freq <= 0 else cells.sampled(p, t, key)
         node_of = grow(cells.x, gradients(margin, cells.y, weight, count), layout, tree)
         made, leaf_of = tree.finished(p.learning_rate)
         margin = margin + tree.values(p.learning_rate)[leaf_of[node_of]]
@@ -480,7 +509,7 @@ def boost(cells: Cells, key: np.ndarray, weights: tuple[float, float], layout: L
 
 def forest_tree(cells: Cells, key: np.ndarray, weights: tuple[float, float], layout: Layout, p: TreeParams, t: int):
     """One tree of a forest on rows in memory: the tree and the created node of every cell."""
-    count = cells.count(drawn(p, t, key))
+    count = cells.drawn(p, t, key)
     if p.class_weight == "balanced_subsample":
         weights = subsample_weights(*[float(count[cells.y == c].sum()) for c in (0, 1)])
     tree = Growing.root(p, t)

@@ -6,7 +6,9 @@ Rows are binned once into a written table. Trees grow in one of two ways that gi
   nodes of all models whose split is not known yet; the best split of each node is found where its sums meet, and
   one row per node comes to the driver. Margins are written every ``KEEP_ROUNDS`` rounds, so a lost executor repeats little.
 * **Tasks.** A table of at most ``task_rows`` rows is dealt to one task for each model (boosting) or each ``CHUNK`` of trees
-  (forests). In a larger forest, waves divide the large nodes and every node that has come under the bound is finished in a
+  (forests). Trees can't tell equal rows apart, so a larger table goes the same way once equal rows are counted (``counted_cells``),
+  if it has at most ``task_rows`` different ones; how many of them a tree draws is counted over all rows before. In a larger
+  forest, waves divide the large nodes and every node that has come under the bound is finished in a
   task. Only the order of work differs, never the rows.
 
 Categories are split as such: codes by gradient over Hessian, best prefix of at most ``max_cat_threshold`` codes; or as
@@ -26,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cmdprism.operators import growth
-from cmdprism.operators.growth import UNIT, Cells, Growing, Layout, Split, Sums, TreeParams
+from cmdprism.operators.growth import UNIT, Cells, CountedCells, Growing, Layout, Split, Sums, TreeParams
 from cmdprism.session import LABEL
 from cmdprism.sources.tables import materialize
 
@@ -40,6 +42,10 @@ MAX_BINS = 255
 KEEP_ROUNDS = 8
 #: Trees of a forest that one task grows.
 CHUNK = 25
+#: Draws (different rows x trees) that one task may hold.
+TASK_DRAWS = 1 << 24
+#: Different rows that a task keeps while it counts draws.
+HELD_CELLS = 1 << 13
 #: Codes of a category that meet in one group of a wave; more are cut down in parts first.
 CATEGORY_ROWS = 1 << 16
 
@@ -112,6 +118,77 @@ class Batch:
         )
 
 
+def draws_rows(p: TreeParams) -> bool:
+    """Whether trees see samples of the rows."""
+    return p.forest or p.subsample < 1.0 and p.subsample_freq > 0
+
+
+def counted_cells(binned: DataFrame, layout: Layout, p: TreeParams, chunks: list[range], task_rows: int) -> DataFrame | None:
+    """Equal rows of a large table as one: (row, fold, label, n, x0, ...), where ``row`` numbers the different ones, and with samples
+    ``draws``, one array per chunk of trees. None if they are too many for a task.
+
+    Which rows a tree draws goes by their own keys, so it is counted row by row; a task adds up what it has seen first.
+    """
+    names = [f"x{i}" for i in range(len(layout.numbers) + len(layout.categories))]
+    by = ["fold", "label", *names]
+    cells = materialize(binned.groupBy(*by).agg(F.count("*").alias("n")).withColumn("row", F.monotonically_increasing_id()), "cells")
+    most = max(c.stop for c in chunks)
+    found = cells.count()
+    if found > task_rows:
+        return None
+    if not draws_rows(p):
+        return cells
+    if found * most > TASK_DRAWS:
+        return None
+    wide = max(len(c) for c in chunks)
+    drawn = [f"d{i}" for i in range(wide)]
+
+    def frames(keys: np.ndarray, counts: np.ndarray) -> Iterator[pd.DataFrame]:
+        for k, chunk in enumerate(chunks):
+            out = pd.DataFrame(keys, columns=by)
+            out["chunk"] = k
+            padded = np.zeros((len(keys), wide), np.int64)
+            padded[:, : len(chunk)] = counts[:, chunk.start : chunk.stop]
+            yield pd.concat([out, pd.DataFrame(padded, columns=drawn)], axis=1)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        keys, counts = np.zeros((0, len(by)), np.int32), np.zeros((0, most))
+        for rows in batches:
+            key = rows["key"].to_numpy(np.int64)
+            own, of_row = np.unique(rows[by].to_numpy(np.int32), axis=0, return_inverse=True)
+            of_row = of_row.ravel()
+            take = growth.drawn if p.forest else growth.sampled
+            made = np.stack([np.bincount(of_row, take(p, t, key), len(own)) for t in range(most)], axis=1)
+            keys, place = np.unique(np.concatenate([keys, own]), axis=0, return_inverse=True)
+            total = np.zeros((len(keys), most))
+            np.add.at(total, place.ravel(), np.concatenate([counts, made]))
+            counts = total
+            if len(keys) > HELD_CELLS:
+                yield from frames(keys, counts)
+                keys, counts = keys[:0], counts[:0]
+        yield from frames(keys, counts)
+
+    schema = ", ".join(f"{c} int" for c in [*by, "chunk"]) + "".join(f", {d} long" for d in drawn)
+    sums = binned.select("key", *by).mapInPandas(run, schema).groupBy(*by, "chunk").agg(*[F.sum(d).alias(d) for d in drawn])
+    arrays = F.array_sort(F.collect_list(F.struct("chunk", F.array(*[F.col(d).cast("int") for d in drawn]).alias("d"))))
+    per_cell = sums.groupBy(*by).agg(F.transform(arrays, lambda s: s["d"]).alias("draws"))
+    return materialize(cells.join(per_cell, by), "cells")
+
+
+def cells_of(rows: pd.DataFrame, layout: Layout, job: Job, chunks: list[range] | None = None) -> tuple[Cells, Batch]:
+    """Cells of binned rows, or of a table of counted ones with the draws of ``chunks``."""
+    batch = Batch.of(rows if "key" in rows else rows.assign(key=0), layout)
+    train = job.train(batch.fold)
+    if "n" not in rows:
+        return Cells.of(batch.x, batch.y, train), batch
+    draws = None
+    if "draws" in rows:
+        parts = [np.stack([d[: len(c)] for d in rows["draws"].map(lambda a, k=k: a[k])]) for k, c in enumerate(chunks)]
+        draws = np.concatenate(parts, axis=1)
+    n = rows["n"].to_numpy(np.int64)
+    return CountedCells(batch.x, batch.y, train, np.arange(len(n)), n, draws, chunks[0].start if chunks else 0), batch
+
+
 # ---- models to grow ---------------------------------------------------------------------------------------
 
 
@@ -164,10 +241,16 @@ def job_of(p: TreeParams, counts: dict[int, tuple[int, int]], held: int | None =
     return Job(p, held, sum(c[0] for c in used), sum(c[1] for c in used))
 
 
-def dealt(binned: DataFrame, n_jobs: int, run: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """Every job gets all rows in a task of its own. Callers hold the number of rows under TASK_ROWS."""
+def dealt(binned: DataFrame, n_jobs: int, run: Callable[[pd.DataFrame], pd.DataFrame], schema: str, n_chunks: int = 1) -> DataFrame:
+    """Every job gets all rows in a task of its own. Callers hold the number of rows under TASK_ROWS.
+
+    With ``n_chunks`` jobs go through the chunks of a forest, and counted rows bring the draws of the job's chunk only.
+    """
     jobs = F.explode(F.sequence(F.lit(0), F.lit(n_jobs - 1))).alias("job")
-    return binned.select("*", jobs).repartition(n_jobs, "job").groupBy("job").applyInPandas(run, schema)
+    rows = binned.select("*", jobs)
+    if n_chunks > 1 and "draws" in binned.columns:
+        rows = rows.withColumn("draws", F.array(F.get("draws", F.col("job") % n_chunks)))
+    return rows.repartition(n_jobs, "job").groupBy("job").applyInPandas(run, schema)
 
 
 def tree_table(trees: list[tuple[int, dict[str, list]]], job: int) -> pd.DataFrame:
@@ -178,9 +261,9 @@ def boosted_in_tasks(binned: DataFrame, layout: Layout, jobs: list[Job]) -> Data
     """The trees of every job, as rows of TREE."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        at, batch = int(rows["job"].iloc[0]), Batch.of(rows, layout)
+        at = int(rows["job"].iloc[0])
         job = jobs[at]
-        cells = Cells.of(batch.x, batch.y, job.train(batch.fold))
+        cells, batch = cells_of(rows, layout, job, chunks_of(job.p))
         _, trees, _ = growth.boost(cells, batch.key, job.weights, layout, job.p)
         return tree_table(list(enumerate(trees)), at)
 
@@ -196,12 +279,12 @@ def forest_in_tasks(binned: DataFrame, layout: Layout, job: Job) -> DataFrame:
     chunks = chunks_of(job.p)
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        batch = Batch.of(rows, layout)
-        cells = Cells.of(batch.x, batch.y, job.train(batch.fold))
-        grown = [(t, growth.forest_tree(cells, batch.key, job.weights, layout, job.p, t)[0]) for t in chunks[int(rows["job"].iloc[0])]]
+        chunk = chunks[int(rows["job"].iloc[0])]
+        cells, batch = cells_of(rows, layout, job, [chunk])
+        grown = [(t, growth.forest_tree(cells, batch.key, job.weights, layout, job.p, t)[0]) for t in chunk]
         return tree_table([(t, tree.finished(1.0)[0]) for t, tree in grown], 0)
 
-    return dealt(binned, len(chunks), run, TREE)
+    return dealt(binned, len(chunks), run, TREE, len(chunks))
 
 
 # ---- growing in waves ---------------------------------------------------------------------------------------
@@ -507,8 +590,9 @@ def fit(binned: DataFrame, layout: Layout, p: TreeParams, task_rows: int = TASK_
     job = job_of(p, label_counts(binned))
     if job.zero + job.one == 0:
         raise ValueError("no labeled rows available")
-    if job.zero + job.one <= task_rows:
-        grown = forest_in_tasks(binned, layout, job) if p.forest else boosted_in_tasks(binned, layout, [job])
+    rows = binned if job.zero + job.one <= task_rows else counted_cells(binned, layout, p, chunks_of(p), task_rows)
+    if rows is not None:
+        grown = forest_in_tasks(rows, layout, job) if p.forest else boosted_in_tasks(rows, layout, [job])
         return job.base, grown.toPandas().sort_values(["tree", "node"], ignore_index=True)
     if p.forest:
         made = forest_in_waves(binned, layout, job, task_rows)
@@ -524,18 +608,23 @@ def held_predictions(binned: DataFrame, layout: Layout, points: list[TreeParams]
     if points[0].forest:
         return _forest_predictions(binned, layout, points, folds, counts, small, task_rows)
     jobs = [job_of(p, counts, fold) for p in points for fold in range(folds)]
-    if small:
+    longest = max(points, key=lambda p: p.n_estimators)
+    table = binned if small else None
+    if not small and len({(p.random_state, p.subsample, p.subsample_freq) if draws_rows(p) else None for p in points}) == 1:
+        table = counted_cells(binned, layout, longest, chunks_of(longest), task_rows)
+    if table is not None:
 
         def run(rows: pd.DataFrame) -> pd.DataFrame:
-            at, batch = int(rows["job"].iloc[0]), Batch.of(rows, layout)
+            at = int(rows["job"].iloc[0])
             job = jobs[at]
-            cells = Cells.of(batch.x, batch.y, job.train(batch.fold))
+            cells, batch = cells_of(rows, layout, job, chunks_of(longest))
             _, _, margin = growth.boost(cells, batch.key, job.weights, layout, job.p)
             held = ~job.train(batch.fold)
-            hit = pd.DataFrame({"label": batch.y[held], "prediction": (margin[cells.of_row[held]] > 0).astype(int)})
-            return hit.groupby(["label", "prediction"]).size().reset_index(name="n").assign(job=at)[["job", "label", "prediction", "n"]]
+            n = rows["n"].to_numpy()[held] if "n" in rows else 1
+            hit = pd.DataFrame({"label": batch.y[held], "prediction": (margin[cells.of_row[held]] > 0).astype(int), "n": n})
+            return hit.groupby(["label", "prediction"])["n"].sum().reset_index().assign(job=at)[["job", "label", "prediction", "n"]]
 
-        found = dealt(binned, len(jobs), run, "job int, label int, prediction int, n long")
+        found = dealt(table, len(jobs), run, "job int, label int, prediction int, n long")
     else:
         _, rows = boosted_in_waves(binned, layout, jobs)
         each = F.array(*[F.struct(F.lit(j).alias("job"), F.col(f"m{j}").alias("margin")) for j in range(len(jobs))])
@@ -568,26 +657,27 @@ def _forest_predictions(
 
     def summed(rows: pd.DataFrame) -> pd.DataFrame:
         fold, chunk = units[int(rows["job"].iloc[0])]
-        batch = Batch.of(rows, layout)
+        cells, batch = cells_of(rows, layout, jobs[fold], [chunks[chunk]])
         train = jobs[fold].train(batch.fold)
-        cells = Cells.of(batch.x, batch.y, train)
         totals = np.zeros((len(depths), len(cells.y)))
         for t in chunks[chunk]:
             tree, node_of = growth.forest_tree(cells, batch.key, jobs[fold].weights, layout, widest, t)
             for d, depth in enumerate(depths):
                 totals[d] += cut_values(tree, depth)[node_of]
         held = np.flatnonzero(~train)
-        out = {"row": batch.row[held], "fold": fold, "label": batch.y[held], "chunk": chunk}
+        n = rows["n"].to_numpy(np.int64)[held] if "n" in rows else 1
+        out = {"row": batch.row[held], "fold": fold, "label": batch.y[held], "n": n, "chunk": chunk}
         return pd.concat([pd.DataFrame({**out, "depth": d, "total": totals[d][cells.of_row[held]]}) for d in range(len(depths))])
 
-    if small:
-        parts = dealt(binned, len(units), summed, "row long, fold int, label int, chunk int, depth int, total double")
+    table = binned if small else counted_cells(binned, layout, widest, chunks, task_rows)
+    if table is not None:
+        parts = dealt(table, len(units), summed, "row long, fold int, label int, n long, chunk int, depth int, total double", len(chunks))
         parts = materialize(parts, "held-votes")
         found = []
         for k, p in enumerate(points):
             own = parts.where((F.col("depth") == depths.index(p.max_depth)) & (F.col("chunk") < ends.index(p.n_estimators) + 1))
-            votes = own.groupBy("row", "fold", "label").agg((F.sum("total") / p.n_estimators).alias("share"))
-            found.append(votes.select(F.lit(k).alias("point"), "fold", "label", (F.col("share") > 0.5).cast("int").alias("prediction")))
+            votes = own.groupBy("row", "fold", "label", "n").agg((F.sum("total") / p.n_estimators).alias("share"))
+            found.append(votes.select(F.lit(k).alias("point"), "fold", "label", (F.col("share") > 0.5).cast("int").alias("prediction"), "n"))
     else:
         found = []
         for k, p in enumerate(points):
@@ -595,11 +685,11 @@ def _forest_predictions(
                 made = forest_in_waves(binned, layout, job_of(p, counts, fold), task_rows)
                 rows = binned.where(F.col("fold") == fold)
                 shares = binned_shares(rows, layout, tree_table(made, 0), p.n_estimators)
-                found.append(shares.select(F.lit(k).alias("point"), "fold", "label", (F.col("share") > 0.5).cast("int").alias("prediction")))
+                found.append(shares.select(F.lit(k).alias("point"), "fold", "label", (F.col("share") > 0.5).cast("int").alias("prediction"), F.lit(1).alias("n")))
     union = found[0]
     for more in found[1:]:
         union = union.unionByName(more)
-    return union.groupBy("point", "fold", "label", "prediction").agg(F.count("*").alias("n"))
+    return union.groupBy("point", "fold", "label", "prediction").agg(F.sum("n").alias("n"))
 
 
 def binned_shares(rows: DataFrame, layout: Layout, nodes: pd.DataFrame, n_trees: int) -> DataFrame:

@@ -150,6 +150,47 @@ def test_waves_and_tasks_grow_the_same_trees(spark, monkeypatch, p, category_row
     pd.testing.assert_frame_equal(sorted_nodes(small), sorted_nodes(large), check_dtype=False)
 
 
+def repeated(n, seed):
+    """Rows of which many are equal, with labels that the columns don't settle."""
+    x, y = table(n, seed)
+    x[:, 1:3] %= 2
+    x[:, 3:] %= 3
+    return x, y
+
+
+@pytest.mark.parametrize("p", [LEAFWISE, BY_LEVEL, FOREST], ids=["leafwise", "by_level", "forest"])
+def test_counted_rows_grow_the_same_trees(spark, monkeypatch, p):
+    """A table of more rows than a task may hold, but fewer different ones, is counted and needs no wave."""
+
+    def no_waves(*_):
+        raise AssertionError("grown in waves")
+
+    monkeypatch.setattr(trees, "grow_waves", no_waves)
+    monkeypatch.setattr(trees, "CHUNK", 3)
+    monkeypatch.setattr(trees, "HELD_CELLS", 20)
+    x, y = repeated(600, 8)
+    assert 60 < len(np.unique(np.column_stack([x, y]), axis=0)) <= 200
+    rows = binned(spark, x, y).repartition(5)
+    base, small = trees.fit(rows, LAYOUT, p)
+    again, counted = trees.fit(rows, LAYOUT, p, task_rows=200)
+    assert base == again and len(small) == len(counted) > 20
+    pd.testing.assert_frame_equal(sorted_nodes(small), sorted_nodes(counted), check_dtype=False)
+
+
+@pytest.mark.parametrize("p", [LEAFWISE, BY_LEVEL, FOREST], ids=["leafwise", "by_level", "forest"])
+def test_counted_rows_are_tuned_alike(spark, monkeypatch, p):
+    monkeypatch.setattr(trees, "CHUNK", 3)
+    monkeypatch.setattr(trees, "grow_waves", None)
+    x, y = repeated(900, 9)
+    rows = binned(spark, x, y, np.arange(900) % 2)
+    points = [TreeParams(**{**p.__dict__, "n_estimators": n, "max_depth": d}) for n, d in ((4, 2), (7, 3))]
+    found = [
+        {(r["point"], r["fold"], r["label"], r["prediction"]): r["n"] for r in trees.held_predictions(rows, LAYOUT, points, 2, bound).collect()}
+        for bound in (1 << 18, 400)
+    ]
+    assert found[0] == found[1] and sum(found[0].values()) == 2 * 900
+
+
 def test_a_forest_has_pure_leaves(spark):
     """Without a limit on depth every leaf is pure unless its rows can't be told apart."""
     rng = np.random.default_rng(3)

@@ -36,15 +36,18 @@ def nearest_rows(points: DataFrame, targets: DataFrame, value: str, by: list[str
     seen = F.when(F.col("_point").isNotNull(), F.struct("_v", "_point"))
     ends = placed.groupBy(*keys, "_range").agg(F.max_by(seen, F.when(seen.isNotNull(), F.col("_v"))).alias("_last"), F.min_by(seen, F.when(seen.isNotNull(), F.col("_v"))).alias("_first"))
     ahead = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    behind = Window.partitionBy(*keys).orderBy("_range").rowsBetween(1, Window.unboundedFollowing)
+    # What lies ahead is looked up backwards: a frame that ends with its group is summed up anew for every row.
+    behind = Window.partitionBy(*keys).orderBy(F.col("_range").desc()).rowsBetween(Window.unboundedPreceding, -1)
     carried = ends.select(
-        *[F.col(k).alias(f"_c{k}") for k in [*keys, "_range"]], F.last("_last", True).over(ahead).alias("_before"), F.first("_first", True).over(behind).alias("_after")
+        *[F.col(k).alias(f"_c{k}") for k in [*keys, "_range"]], F.last("_last", True).over(ahead).alias("_before"), F.last("_first", True).over(behind).alias("_after")
     )
     same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_c{k}")) for k in [*keys, "_range"]])
-    inner = Window.partitionBy(*keys, "_range").orderBy("_v")
+    inner = Window.partitionBy(*keys, "_range")
     # Rows of equal value see each other, so a point of the very value is met from both sides.
-    back = F.last(seen, True).over(inner.rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    front = F.first(seen, True).over(inner.rangeBetween(Window.currentRow, Window.unboundedFollowing))
+    back, front = (
+        F.last(seen, True).over(inner.orderBy(order).rangeBetween(Window.unboundedPreceding, Window.currentRow))
+        for order in (F.col("_v").asc(), F.col("_v").desc())
+    )
     looked = placed.select("*", back.alias("_back"), front.alias("_front")).where(F.col("_target").isNotNull()).join(carried, same, "left")
     lower, upper = F.coalesce("_back", "_before"), F.coalesce("_front", "_after")
     near = _closer(lower, upper)

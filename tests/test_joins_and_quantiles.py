@@ -45,6 +45,13 @@ def test_nearest_rows_without_groups_and_with_one_hot_value(spark, monkeypatch):
     assert [r["nearest"] for r in nearest_rows(p.limit(0), t, "v", target_value="at").collect()] == [None] * 302
 
 
+def test_nearest_rows_read_each_range_once_per_direction(spark):
+    """A frame up to the end of its range is summed up anew for every row: quadratic in the rows of a range."""
+    p = spark.createDataFrame([(1.0, 1)], "v double, k int")
+    plan = nearest_rows(p, p.select("v"), "v")._jdf.queryExecution().executedPlan().toString().lower()
+    assert "rangeframe" in plan and "unboundedfollowing" not in plan
+
+
 PROBS = [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0]
 
 

@@ -145,6 +145,14 @@ def transform_tfidf(counts: DataFrame, vocabulary: DataFrame, row_id: str = ROW_
     return weighted.select(row_id, "term", "tf", (F.col("_w") / norm).alias("tfidf"))
 
 
+def vector_entries(vector: Column) -> Column:
+    """Array of (pos, x) of a vector's entries other than 0, so that columns can be summed by rows and no task holds them all."""
+    v = F.unwrap_udt(vector)
+    sparse = F.zip_with(v["indices"], v["values"], lambda i, x: F.struct(i.alias("pos"), x.alias("x")))
+    dense = F.transform(v["values"], lambda x, i: F.struct(i.alias("pos"), x.alias("x")))
+    return F.filter(F.when(v["type"] == 0, sparse).otherwise(dense), lambda e: e["x"] != 0)
+
+
 def fit_vectorizer(terms: DataFrame, min_df: int = 1, max_features: int | None = None) -> PipelineModel:
     """Terms to unit-length sparse TF-IDF vectors in ``features``, all on the JVM.
 

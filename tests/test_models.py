@@ -229,3 +229,18 @@ def test_a_model_is_held_against_the_base_rate_of_its_training_rows(spark):
     scores = spark.createDataFrame(rows, "split string, prob_any double, _label int")
     found = {r["split"]: r["beats_base_rate"] for r in trained_checks(scores, "any", rate).collect()}
     assert found == {"learned": True, "constant": False}
+
+
+def test_columns_are_summed_by_entries(spark):
+    """Entries of sparse and dense vectors; no aggregate of a query holds a vector as wide as the vocabulary or the categories."""
+    from pyspark.ml.linalg import Vectors
+
+    from cmdprism.catalog import all_queries
+    from cmdprism.operators.textmodel import vector_entries
+
+    df = spark.createDataFrame([(Vectors.sparse(4, [1, 3], [2.0, 0.0]),), (Vectors.dense(1.0, 0.0, 5.0, 0.0),), (Vectors.sparse(4, [], []),)], ["v"])
+    found = sorted((r["pos"], r["x"]) for r in df.select(F.inline(vector_entries(F.col("v")))).collect())
+    assert found == [(0, 1.0), (1, 2.0), (2, 5.0)]
+    for name in ("h3_vectorizer_matches_long_form", "c27_one_hot"):
+        plan = all_queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().lower()
+        assert "unwrap_udt" in plan and "summar" not in plan and "vector_to_array" not in plan

@@ -5,6 +5,9 @@ by row; a gradient is a join of entries and residuals summed by term, so a term
 solver is L-BFGS in its vector-free form: one aggregate gives all dot products of the kept differences and the gradient, the two loops
 run on these numbers, and the direction is a linear combination of columns. Margins are linear along a direction, so one
 aggregate looks at many step lengths at once. The driver holds the dot products, the intercept and its differences.
+
+The solver sees each weight times the root of its largest possible curvature (``scale``): terms of most rows and of one row then
+have steps of a like size, which takes far fewer rounds. Rows of equal text are one row with their summed weight.
 """
 
 from __future__ import annotations
@@ -41,9 +44,10 @@ def _residual(margin: Column) -> Column:
 
 
 def _gradients(entries: DataFrame, rows: DataFrame) -> DataFrame:
-    """(term, dg): derivatives of the summed loss."""
-    residuals = rows.select("row", _residual(F.col("z")).alias("r"))
-    return entries.join(residuals, "row").groupBy("term").agg(F.sum(F.col("x") * F.col("r")).alias("dg"))
+    """(term, dg, top): derivatives of the summed loss, and the most that its second derivatives can be."""
+    residuals = rows.select("row", _residual(F.col("z")).alias("r"), (F.col("weight") / 4).alias("most"))
+    sums = F.sum(F.col("x") * F.col("r")).alias("dg"), F.sum(F.col("x") * F.col("x") * F.col("most")).alias("top")
+    return entries.join(residuals, "row").groupBy("term").agg(*sums)
 
 
 def direction(dots: np.ndarray) -> np.ndarray:
@@ -63,46 +67,49 @@ def direction(dots: np.ndarray) -> np.ndarray:
 
 
 def fit(
-    entries: DataFrame, labels: DataFrame, c: float = TEXT_C, max_rounds: int = 200, tolerance: float = 1e-7, memory: int = MEMORY
+    entries: DataFrame, labels: DataFrame, c: float = TEXT_C, max_rounds: int = 200, tolerance: float = 1e-7, memory: int = MEMORY,
+    n_rows: int | None = None,
 ) -> TableWeights:
     """Minimise ``sum weight * log loss + |w|^2 / (2 c)``; the intercept is not penalised.
 
     ``entries`` (row, term, x) and ``labels`` (row, y, weight) are written tables, one row per row and term. Rows without
-    entries have the intercept as margin. Ends when no derivative of the mean loss exceeds ``tolerance``.
+    entries have the intercept as margin. Ends when no derivative of the mean loss exceeds ``tolerance``. Where a row stands for
+    several, ``y`` is the mean of theirs by weight and ``weight`` their sum; ``n_rows`` is then how many there are in all.
     """
-    n = labels.count()
+    n = labels.count() if n_rows is None else n_rows
     if not n:
         raise ValueError("no labeled rows available")
     rows = labels.select("row", F.col("y").cast("double").alias("y"), "weight", F.lit(0.0).alias("z"))
-    start = _gradients(entries, rows).select("term", F.lit(0.0).alias("w"), F.col("dg").alias("g"))
+    scale = F.sqrt(F.col("top") + 1.0 / c).alias("scale")
+    start = _gradients(entries, rows).select("term", scale, F.lit(0.0).alias("w"), F.col("dg").alias("g"))
     nothing = F.array().cast("array<double>")
     state = materialize(start.withColumns({"s": nothing, "y": nothing}), "lr-state")
     b, held_s, held_y = 0.0, [], []
-    gb = rows.agg(F.sum(_residual(F.col("z")))).first()[0]
+    gb, top = rows.agg(F.sum(_residual(F.col("z"))), F.sum(F.col("weight") / 4)).first()
+    own_scale = np.sqrt(top) or 1.0
     slope, rounds = np.inf, 0
     while True:
         m = len(held_s)
-        basis = [*[F.col("s")[i] for i in range(m)], *[F.col("y")[i] for i in range(m)], F.col("g"), F.col("w")]
-        pairs = [(i, j) for i in range(2 * m + 2) for j in range(i + 1)]
+        basis = [*[F.col("s")[i] for i in range(m)], *[F.col("y")[i] for i in range(m)], F.col("g") / F.col("scale")]
+        pairs = [(i, j) for i in range(2 * m + 1) for j in range(i + 1)]
         found = state.agg(F.max(F.abs("g")).alias("top"), *[F.sum(basis[i] * basis[j]).alias(f"d{i}_{j}") for i, j in pairs]).first()
         slope = max(found["top"] or 0.0, abs(gb)) / n
         if slope <= tolerance or rounds >= max_rounds:
             break
-        dots = np.zeros((2 * m + 2, 2 * m + 2))
+        dots = np.zeros((2 * m + 1, 2 * m + 1))
         for i, j in pairs:
             dots[i, j] = dots[j, i] = found[f"d{i}_{j}"] or 0.0
-        own = np.array([*held_s, *held_y, gb])
-        inner = dots[:-1, :-1]
-        weights = direction(inner + np.outer(own, own))
-        d = sum((basis[i] * float(weights[i]) for i in range(1, 2 * m + 1)), basis[0] * float(weights[0]))
-        db = float(own @ weights)
+        own = np.array([*held_s, *held_y, gb / own_scale])
+        weights = direction(dots + np.outer(own, own))
+        d = sum((basis[i] * float(weights[i]) for i in range(1, 2 * m + 1)), basis[0] * float(weights[0])) / F.col("scale")
+        db = float(own @ weights) / own_scale
+        dw, dd = (x or 0.0 for x in state.agg(F.sum(d * F.col("w")), F.sum(d * d)).first())
         moves = entries.join(state.select("term", d.alias("d")), "term").groupBy("row").agg(F.sum(F.col("x") * F.col("d")).alias("m"))
         moved = rows.join(moves, "row", "left").select("row", "y", "weight", "z", (F.coalesce("m", F.lit(0.0)) + db).alias("dz"))
         moved = materialize(moved, "lr-moves")
         residuals = [_residual(F.col("z") + a * F.col("dz")) for a in STEPS]
         sums = moved.agg(*[F.sum(F.col("dz") * r) for r in residuals], *[F.sum(r) for r in residuals]).first()
         # d . (w + a d) / c is the penalty's derivative along the direction, which the intercept has no part in.
-        dw, dd = float(weights @ dots[:-1, -1]), float(weights @ inner @ weights)
         slopes = [sums[i] + (dw + a * dd) / c for i, a in enumerate(STEPS)]
         if slopes[0] >= 0:
             break  # no descent left within doubles
@@ -114,12 +121,13 @@ def fit(
         joined = state.join(_gradients(entries, rows), "term", "left")
         state = materialize(
             joined.select(
-                "term", (F.col("w") + a * d).alias("w"), after.alias("g"),
-                F.slice(F.concat(F.array(a * d), "s"), 1, memory).alias("s"), F.slice(F.concat(F.array(after - F.col("g")), "y"), 1, memory).alias("y"),
+                "term", "scale", (F.col("w") + a * d).alias("w"), after.alias("g"),
+                F.slice(F.concat(F.array(a * d * F.col("scale")), "s"), 1, memory).alias("s"),
+                F.slice(F.concat(F.array((after - F.col("g")) / F.col("scale")), "y"), 1, memory).alias("y"),
             ),
             "lr-state",
         )
-        held_s, held_y = [a * db, *held_s][:memory], [new_gb - gb, *held_y][:memory]
+        held_s, held_y = [a * db * own_scale, *held_s][:memory], [(new_gb - gb) / own_scale, *held_y][:memory]
         b, gb, rounds = b + a * db, new_gb, rounds + 1
     return TableWeights(state.select("term", F.col("w").alias("weight")), b, slope, rounds)
 
@@ -144,11 +152,16 @@ class TextWeights:
 def train_text_table(
     train: DataFrame, min_df: int = 1, c: float = TEXT_C, max_rounds: int = 200, tolerance: float = 1e-6, text: str = COMMAND, row_id: str = ROW_ID
 ) -> TextWeights:
-    """Balanced regression over TF-IDF terms of any number. ``row_id`` must be unique."""
-    labeled = materialize(with_class_weight(train.where(F.col(LABEL).isNotNull()).select(row_id, text, LABEL)), "labeled")
-    counts = materialize(term_counts(with_terms(labeled, text), row_id), "term-counts")
-    vocabulary = materialize(fit_tfidf(counts, labeled.count(), min_df), "vocabulary")
-    entries = transform_tfidf(counts, vocabulary, row_id).select(F.col(row_id).alias("row"), "term", F.col("tfidf").alias("x"))
-    labels = labeled.select(F.col(row_id).alias("row"), F.col(LABEL).alias("y"), "weight")
-    model = fit(materialize(entries, "lr-entries"), materialize(labels, "lr-labels"), c, max_rounds, tolerance)
+    """Balanced regression over TF-IDF terms of any number. ``row_id`` must be unique; rows of equal text go as one."""
+    weighted = with_class_weight(train.where(F.col(LABEL).isNotNull()).select(row_id, text, LABEL))
+    weight = F.sum("weight")
+    merged = weighted.groupBy(text).agg(
+        F.min(row_id).alias("row"), F.count("*").alias("n"), weight.alias("weight"), (F.sum(F.col("weight") * F.col(LABEL)) / weight).alias("y")
+    )
+    labels = materialize(merged, "lr-labels")
+    n_rows = labels.agg(F.sum("n")).first()[0] or 0
+    counts = materialize(term_counts(with_terms(labels, text), "row", ("n",)), "term-counts")
+    vocabulary = materialize(fit_tfidf(counts, n_rows, min_df, times="n"), "vocabulary")
+    entries = transform_tfidf(counts, vocabulary, "row").select("row", "term", F.col("tfidf").alias("x"))
+    model = fit(materialize(entries, "lr-entries"), labels.select("row", "y", "weight"), c, max_rounds, tolerance, n_rows=n_rows)
     return TextWeights(model, vocabulary)

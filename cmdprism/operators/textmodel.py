@@ -116,15 +116,19 @@ def count_terms(terms: Column) -> Column:
     return F.element_at(F.transform(F.array(ordered), lambda words: F.when(F.size(words) > 0, runs(words))), 1)
 
 
-def term_counts(df: DataFrame, row_id: str = ROW_ID) -> DataFrame:
-    """(row, term, tf), counted within the row: nothing is shuffled."""
-    counted = df.select(row_id, F.explode_outer(count_terms(F.col("terms"))).alias("t"))
-    return counted.where(F.col("t").isNotNull()).select(row_id, "t.term", "t.tf")
+def term_counts(df: DataFrame, row_id: str = ROW_ID, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(row, term, tf) and the columns in ``keep``, counted within the row: nothing is shuffled."""
+    counted = df.select(row_id, *keep, F.explode_outer(count_terms(F.col("terms"))).alias("t"))
+    return counted.where(F.col("t").isNotNull()).select(row_id, *keep, "t.term", "t.tf")
 
 
-def fit_tfidf(counts: DataFrame, n_rows: int, min_df: int = 1, max_features: int | None = None) -> DataFrame:
-    """Vocabulary table (term, df, corpus_tf, idf) with smooth idf ``ln((1+n)/(1+df)) + 1``."""
-    vocabulary = counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("corpus_tf"))
+def fit_tfidf(counts: DataFrame, n_rows: int, min_df: int = 1, max_features: int | None = None, times: str | None = None) -> DataFrame:
+    """Vocabulary table (term, df, corpus_tf, idf) with smooth idf ``ln((1+n)/(1+df)) + 1``.
+
+    ``times`` names a column with the number of equal rows that a row stands for.
+    """
+    df, tf = (F.count("*"), F.sum("tf")) if times is None else (F.sum(times), F.sum(F.col("tf") * F.col(times)))
+    vocabulary = counts.groupBy("term").agg(df.alias("df"), tf.alias("corpus_tf"))
     if min_df > 1:
         vocabulary = vocabulary.where(F.col("df") >= min_df)
     if max_features is not None:

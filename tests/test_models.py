@@ -1,5 +1,7 @@
 """Detectors, stacking, saving, attribution, streaming."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -244,3 +246,30 @@ def test_columns_are_summed_by_entries(spark):
     for name in ("h3_vectorizer_matches_long_form", "c27_one_hot"):
         plan = all_queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().lower()
         assert "unwrap_udt" in plan and "summar" not in plan and "vector_to_array" not in plan
+
+
+def test_table_regression_takes_few_rounds_where_terms_differ_in_size(spark):
+    """Terms of rows that stand for many beside terms of single rows: 8 rounds, 27 without the scale."""
+    from cmdprism.operators import sparse_lr
+    from cmdprism.sources.tables import materialize
+
+    entries, labels = [], []
+    for i in range(40):
+        terms = [(f"tool{i % 4}", 0.6), ("run", 0.1), (f"u{i % 7}", 0.6), *([(f"only{i}", 0.9)] if i % 2 else [])]
+        entries += [(i, t, x) for t, x in terms]
+        labels.append((i, (i % 7 + i % 4) % 5 / 10 + 0.1, 1.0 if i % 2 else 10000.0))
+    entries = materialize(spark.createDataFrame(entries, "row long, term string, x double").coalesce(1), "entries")
+    labels = materialize(spark.createDataFrame(labels, "row long, y double, weight double").coalesce(1), "labels")
+    fitted = sparse_lr.fit(entries, labels, 2.0, tolerance=1e-5, n_rows=200020)
+    assert fitted.slope <= 1e-5 and fitted.rounds <= 15
+
+
+def test_equal_texts_are_one_row_of_the_table_regression(spark):
+    from cmdprism.operators import sparse_lr
+
+    rows = [(10 * i + k, f"tool{i} run" if i else None, int(i < 2 or k == 0)) for i in range(4) for k in range(3)]
+    fitted = sparse_lr.train_text_table(spark.createDataFrame(rows, "row_id long, CommandLine string, _label int").coalesce(1), max_rounds=1)
+    found = {r["term"]: (r["df"], r["corpus_tf"]) for r in fitted.vocabulary.collect()}
+    assert found["run"] == (9, 9) and found["tool2"] == (3, 3) and found["tool3 run"] == (3, 3) and len(found) == 7
+    # The written labels: one row for each text, the empty one included, with the mean label by weight.
+    assert fitted.model.rounds == 1

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -129,26 +131,36 @@ def reason_or_default(c: Column) -> Column:
     return F.coalesce(F.nullif(strip(F.coalesce(c, F.lit(""))), F.lit("")), F.lit(NO_EXPLANATION))
 
 
+def once(c: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(c)`` with ``c`` computed once per row, however often it is used: the lambda binds its value."""
+    return F.transform(F.array(c), use)[0]
+
+
 def parse_model_output(c: Column) -> Column:
     """STRUCT<label, explanation, confidence, numeric_confidence, attack_technique> from generated text.
 
     The span from the first opening to the last closing brace is read as JSON; if that is no
     object, the whole text is the explanation and the label is unknown.
     """
-    cleaned = strip(c)
-    span = F.regexp_extract(cleaned, r"(?s)\{.*\}", 0)
-    parsed = parse_object(span, "label STRING, explanation STRING, confidence VARIANT, attack_technique STRING")
-    word = F.lower(parsed["label"])
-    readable = parsed.isNotNull()
-    return F.struct(
-        F.coalesce(F.when(word.isin("malicious", "benign"), word), F.lit("unknown")).alias("label"),
-        F.when(readable, strip(parsed["explanation"])).otherwise(cleaned).alias("explanation"),
-        parsed["confidence"].cast("string").alias("confidence"),
-        F.coalesce(F.schema_of_variant(parsed["confidence"]).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), F.lit(False)).alias(
-            "numeric_confidence"
-        ),
-        parsed["attack_technique"].alias("attack_technique"),
-    )
+    schema = "label STRING, explanation STRING, confidence VARIANT, attack_technique STRING"
+
+    def fields(cleaned: Column, parsed: Column) -> Column:
+        word = F.lower(parsed["label"])
+        return F.struct(
+            F.coalesce(F.when(word.isin("malicious", "benign"), word), F.lit("unknown")).alias("label"),
+            F.when(parsed.isNotNull(), strip(parsed["explanation"])).otherwise(cleaned).alias("explanation"),
+            parsed["confidence"].cast("string").alias("confidence"),
+            F.coalesce(F.schema_of_variant(parsed["confidence"]).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), F.lit(False)).alias(
+                "numeric_confidence"
+            ),
+            parsed["attack_technique"].alias("attack_technique"),
+        )
+
+    def read(cleaned: Column) -> Column:
+        span = F.regexp_extract(cleaned, r"(?s)\{.*\}", 0)
+        return once(once(span, lambda s: parse_object(s, schema)), lambda parsed: fields(cleaned, parsed))
+
+    return once(strip(c), read)
 
 
 def _without_fence(c: Column) -> Column:

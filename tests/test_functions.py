@@ -223,3 +223,20 @@ def test_parse_review_response(spark):
 
 def test_feature_list_is_complete():
     assert len(FEATURES) == 25 and len(set(FEATURES)) == 25
+
+
+def test_model_output_is_parsed_once_per_text(spark):
+    from cmdprism.catalog import all_queries
+
+    plan = all_queries()["j9_prediction_to_prob"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(") == 1
+
+
+def test_short_rows_are_dealt_by_their_number(spark, tmp_path, monkeypatch):
+    """A small file of many rows: one split by its bytes, tasks by its rows."""
+    from cmdprism.sources import tables
+
+    spark.range(100_000).coalesce(1).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    monkeypatch.setattr(tables, "SPREAD_ROWS", 4_000)
+    assert tables.spread_small(df).rdd.getNumPartitions() == 25 and tables.spread_small(df).count() == 100_000

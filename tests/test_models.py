@@ -161,6 +161,14 @@ def test_tuning_ranks_the_grid(events):
         models.tune(events, "svm")
 
 
+def test_models_are_tuned_on_shared_bins(events, monkeypatch):
+    grid, base = {"max_depth": [1, 3]}, {"n_estimators": 3}
+    alone = {m: models.tune(events, m, grid, folds=2, base=base).collect() for m in ("xgb", "rf")}
+    bins = models.folded_bins(events, 2)
+    monkeypatch.setattr(models, "binned_features", None)
+    assert {m: models.tune(events, m, grid, folds=2, base=base, bins=bins).collect() for m in ("xgb", "rf")} == alone
+
+
 def test_latency_of_unmeasured_models_is_zero(spark, events):
     runs = models.measure_latency("value", events.withColumn("prob_value", F.col("score")), runs=2)
     names = spark.createDataFrame([("value",), ("outside",)], "model STRING")

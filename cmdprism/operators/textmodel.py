@@ -12,7 +12,7 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cmdprism.functions.text import WORD_CHAR, clean_command_text
+from cmdprism.functions.text import WORD_CHAR, text_or_empty
 from cmdprism.plans.skew import attach_group_values
 from cmdprism.session import COMMAND, ROW_ID
 
@@ -74,17 +74,18 @@ def strip_accents(c: Column) -> Column:
 
 
 def tokens(c: Column, accents: bool = True) -> Column:
-    cleaned = clean_command_text(c)
+    """The words of a cleaned text; white space is in no word, so its runs may stay as they are."""
+    cleaned = F.lower(text_or_empty(c))
     return F.regexp_extract_all(strip_accents(cleaned) if accents else cleaned, F.lit(TOKEN_PATTERN), 0)
 
 
 def ngrams(words: Column, n: int) -> Column:
     """Runs of ``n`` neighbouring words joined by a blank."""
-    out = words
+    runs = F.greatest(F.size(words) - (n - 1), F.lit(0))
+    out = words if n == 1 else F.slice(words, 1, runs)
     for skip in range(1, n):
-        shifted = F.slice(words, skip + 1, F.greatest(F.size(words), F.lit(1)))
-        out = F.zip_with(out, shifted, lambda a, b: F.concat(a, F.lit(" "), b))
-    return F.array_compact(out)
+        out = F.zip_with(out, F.slice(words, skip + 1, runs), lambda a, b: F.concat(a, F.lit(" "), b))
+    return out
 
 
 def with_terms(df: DataFrame, text: str = COMMAND, ngram_range: tuple[int, int] = (1, 2), accents: bool = True) -> DataFrame:
@@ -96,12 +97,11 @@ def with_terms(df: DataFrame, text: str = COMMAND, ngram_range: tuple[int, int]
 
 def count_terms(terms: Column) -> Column:
     """Array of (term, tf): equal terms stand side by side once sorted, so the starts of their runs give the counts."""
-    ordered = F.array_sort(F.coalesce(terms, F.array().cast("array<string>")))
+    # Not array_sort, which calls a comparing lambda for every two words.
+    ordered = F.sort_array(F.coalesce(terms, F.array().cast("array<string>")))
 
     def starts(words: Column) -> Column:
-        return F.filter(
-            F.transform(words, lambda w, i: F.when((i == 0) | (w != F.try_element_at(words, i)), i)), lambda i: i.isNotNull()
-        )
+        return F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: (i == 0) | (F.get(words, i) != F.get(words, i - 1)))
 
     def runs(words: Column) -> Column:
         def counted(begins: Column) -> Column:
@@ -137,16 +137,29 @@ def fit_tfidf(counts: DataFrame, n_rows: int, min_df: int = 1, max_features: int
     return vocabulary.withColumn("idf", idf)
 
 
-def transform_tfidf(counts: DataFrame, vocabulary: DataFrame, row_id: str = ROW_ID) -> DataFrame:
-    """(row, term, tf, tfidf), each row scaled to unit length. Frequent terms do not skew the join.
+def weigh_terms(counts: DataFrame, vocabulary: DataFrame, row_id: str = ROW_ID) -> DataFrame:
+    """(row, term, tf, weight) before rows are scaled. Frequent terms do not skew the join.
 
     Both inputs are read more than once and should be written tables.
     """
     sized = vocabulary.select("term", "df", "idf")
     weighted = attach_group_values(counts, sized, "term", "df", ["idf"], spread_by=row_id)
-    weighted = weighted.where(F.col("idf").isNotNull()).withColumn("_w", F.col("tf") * F.col("idf"))
-    norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(row_id)))
-    return weighted.select(row_id, "term", "tf", (F.col("_w") / norm).alias("tfidf"))
+    return weighted.where(F.col("idf").isNotNull()).select(row_id, "term", "tf", (F.col("tf") * F.col("idf")).alias("weight"))
+
+
+def transform_tfidf(counts: DataFrame, vocabulary: DataFrame, row_id: str = ROW_ID) -> DataFrame:
+    """(row, term, tf, tfidf), each row scaled to unit length."""
+    norm = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy(row_id)))
+    return weigh_terms(counts, vocabulary, row_id).select(row_id, "term", "tf", (F.col("weight") / norm).alias("tfidf"))
+
+
+def summarize_tfidf(counts: DataFrame, vocabulary: DataFrame, row_id: str = ROW_ID) -> DataFrame:
+    """(row, n_terms, total, top) of the values of :func:`transform_tfidf`: sums per row are scaled, so no row's terms have to meet."""
+    weighted = weigh_terms(counts, vocabulary, row_id)
+    sums = weighted.groupBy(row_id).agg(
+        F.count("*").alias("n_terms"), F.sum("weight").alias("_sum"), F.max("weight").alias("_max"), F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("_norm")
+    )
+    return sums.select(row_id, "n_terms", (F.col("_sum") / F.col("_norm")).alias("total"), (F.col("_max") / F.col("_norm")).alias("top"))
 
 
 def vector_entries(vector: Column) -> Column:

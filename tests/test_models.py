@@ -281,3 +281,17 @@ def test_equal_texts_are_one_row_of_the_table_regression(spark):
     assert found["run"] == (9, 9) and found["tool2"] == (3, 3) and found["tool3 run"] == (3, 3) and len(found) == 7
     # The written labels: one row for each text, the empty one included, with the mean label by weight.
     assert fitted.model.rounds == 1
+
+
+def test_rows_of_weights_are_summed_alike(spark):
+    rows = [(1, "One two two"), (2, "two  three\u2003four two"), (3, ""), (4, "x"), (5, "été one")]
+    df = textmodel.with_terms(spark.createDataFrame(rows, "row_id BIGINT, CommandLine STRING"))
+    counts = textmodel.term_counts(df)
+    plan = counts._jdf.queryExecution().optimizedPlan().toString()
+    # No lambda compares the words of a row, and white space is not collapsed before words are taken.
+    assert "array_sort" not in plan and "regexp_replace" not in plan
+    counts = counts.cache()
+    vocabulary = textmodel.fit_tfidf(counts, 5).cache()
+    plain = textmodel.transform_tfidf(counts, vocabulary).groupBy("row_id").agg(F.count("*").alias("n"), F.sum("tfidf").alias("s"), F.max("tfidf").alias("m"))
+    want = {r.row_id: (r.n, pytest.approx(r.s), pytest.approx(r.m)) for r in plain.collect()}
+    assert {r.row_id: (r.n_terms, r.total, r.top) for r in textmodel.summarize_tfidf(counts, vocabulary).collect()} == want and set(want) == {1, 2, 5}

@@ -34,6 +34,9 @@ BASE64_PATTERN = "[A-Za-z0-9+/=]{40,}"
 REG_ADD_PATTERN = rf"reg(\.exe)?{SPACE}+add"
 SCRIPT_EXTENSION_PATTERN = rf"""\.(cab|zip|ps1|bat|vbs)'*"*({SPACE}|\z)"""
 
+# Every character that separates tokens, the same ones as in WHITESPACE.
+WHITESPACE_CHARS = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
+
 # Column order of the feature table.
 COUNT_FEATURES = ["cmd_length", "cmd_token_count", "num_special_chars", "cmd_upper_ratio", "cmd_digit_count"]
 FLAG_FEATURES = [
@@ -84,10 +87,12 @@ def _digits(c: Column) -> Column:
 
 
 def _tokens(c: Column) -> Column:
-    """Number of white-space separated tokens: the pieces between runs, less empty ones at the ends."""
-    pieces = F.size(F.split(c, f"{SPACE}+"))
-    at_ends = c.rlike(rf"\A{SPACE}").cast("int") + c.rlike(rf"{SPACE}\z").cast("int")
-    return F.when(c == "", 0).otherwise(pieces - at_ends).cast("bigint")
+    """Number of white-space separated tokens, without a pattern: white space becomes blanks, and each run of blanks a pair of marks,
+    which are white space themselves and so in no text by then."""
+    blank = F.trim(F.translate(c, WHITESPACE_CHARS, " " * len(WHITESPACE_CHARS)))
+    marked = F.replace(F.replace(blank, F.lit(" "), F.lit("\x1e\x1f")), F.lit("\x1f\x1e"), F.lit(""))
+    runs = F.octet_length(marked) - F.octet_length(F.replace(marked, F.lit("\x1e"), F.lit("")))
+    return F.when(blank == "", 0).otherwise(runs + 1).cast("bigint")
 
 
 def feature_columns(cmd: Column, folded: Column, image: Column) -> dict[str, Column]:

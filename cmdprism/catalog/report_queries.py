@@ -13,7 +13,7 @@ from cmdprism.catalog.telemetry import feature_sql, table, telemetry, with_featu
 from cmdprism.functions import payloads as pl
 from cmdprism.functions import signals as sg
 from cmdprism.functions import text as tx
-from cmdprism.functions.features import build_features
+from cmdprism.functions.features import CATEGORICAL_FEATURES, NUMERIC_FEATURES, build_features
 from cmdprism.operators import corpus as cp
 from cmdprism.operators import costs as co
 from cmdprism.operators import explain as ex
@@ -24,6 +24,7 @@ from cmdprism.operators import splits as sp
 from cmdprism.operators.ingest import add_group_key
 from cmdprism.session import scratch_path
 from cmdprism.sources import events as ev
+from cmdprism.sources.tables import materialize
 
 
 def js(c: str) -> str:
@@ -239,9 +240,11 @@ def i4_linear_contributions(spark, sf_dir):
     return items.select("row_id", (F.col("pos") + 1).cast("bigint").alias("rank"), "c.feature", "c.phrase", F.round("c.impact", 6).alias("impact"))
 
 
-def attributed(spark, sf_dir, detector, method, margin):
-    """Whether impacts and base add up to every row's output, and how many impacts are reported."""
-    out, base = ex.tree_contributions(detector, build_features(telemetry(spark, sf_dir)), 1000, method)
+def attributed(spark, sf_dir, train, method, margin):
+    """Whether impacts and base add up to every row's output, and how many impacts are reported. The features are computed once."""
+    features = build_features(telemetry(spark, sf_dir)).select("row_id", "_label", *NUMERIC_FEATURES, *CATEGORICAL_FEATURES)
+    features = materialize(features, "features")
+    out, base = ex.tree_contributions(train(features), features, 1000, method)
     total = F.aggregate("contributions", F.lit(base), lambda acc, c: acc + c["impact"])
     # Impacts below the reporting limit are left out, so the sum may be off by as much for each feature.
     limit = ex.MIN_IMPACT * 40
@@ -257,14 +260,13 @@ ATTRIBUTED_SQL = with_telemetry("SELECT row_id, TRUE AS in_range, TRUE AS adds_u
 @query("i4_tree_contributions", ATTRIBUTED_SQL)
 def i4_tree_contributions(spark, sf_dir):
     """Shapley values of leaf-wise boosted trees add up to every row's margin."""
-    detector = md.train_gbdt(build_features(telemetry(spark, sf_dir)))
-    return attributed(spark, sf_dir, detector, "shapley", F.log(F.col("score") / (1 - F.col("score"))))
+    return attributed(spark, sf_dir, md.train_gbdt, "shapley", F.log(F.col("score") / (1 - F.col("score"))))
 
 
 @query("i4_path_contributions", ATTRIBUTED_SQL)
 def i4_path_contributions(spark, sf_dir):
     """Credits along the decision paths of a forest add up to every row's score."""
-    return attributed(spark, sf_dir, md.train_random_forest(build_features(telemetry(spark, sf_dir))), "path", F.col("score"))
+    return attributed(spark, sf_dir, md.train_random_forest, "path", F.col("score"))
 
 
 # One split by hand: the impact of the only feature is the leaf's value minus the mean, both from counts of the labels.
@@ -281,8 +283,6 @@ STUMP_SQL = with_features(
 @query("i4_stump_impacts", STUMP_SQL)
 def i4_stump_impacts(spark, sf_dir):
     """Shapley values of one split over one flag, all other features held constant."""
-    from cmdprism.functions.features import CATEGORICAL_FEATURES, NUMERIC_FEATURES
-
     features = build_features(telemetry(spark, sf_dir))
     others = {n: F.lit(0.0) for n in NUMERIC_FEATURES if n != "has_certutil"} | {n: F.lit("same") for n in CATEGORICAL_FEATURES}
     plain = features.withColumns(others)

@@ -12,10 +12,15 @@ from cmdprism.functions.numbers import fixed
 from cmdprism.functions.signals import build_signals, feature_phrase
 from cmdprism.operators.attribution import Attribution
 from cmdprism.operators.models import Detector
+from cmdprism.operators.trees import TreeModel
+from cmdprism.plans.skew import attach_group_values
 from cmdprism.session import LABEL, ROW_ID
+from cmdprism.sources.tables import SPREAD_ROWS, materialize
 
 # Fixed value: smaller impacts are not reported.
 MIN_IMPACT = 1e-4
+#: Different rows of model inputs that are worth a task of their own.
+TASK_INPUTS = 64
 CONTRIBUTION = "STRUCT<feature: STRING, phrase: STRING, value: STRING, impact: DOUBLE>"
 
 
@@ -85,15 +90,35 @@ def tree_contributions(detector: Detector, df: DataFrame, top_k: int = 3, method
     """Score events with a tree model and give the impacts of the features that the trees split on, with the base value.
 
     ``method``: ``shapley`` (path-dependent Shapley values) or ``path`` (credits along the decision path). All impacts and the base
-    add up to the margin of boosted trees, and to the probability of a forest.
+    add up to the margin of boosted trees, and to the probability of a forest. Rows of equal inputs are computed once, over the whole
+    table: the different ones are written, attributed in tasks of their own and joined back, so the cost of the trees goes by their number.
     """
     model = detector.trees
     attribution = Attribution(model, detector.config["feature_type"] == "ohe")
-    scored = detector.prepare(df).withColumn("score", model.probability())
+    prepared = detector.prepare(df)
+    inputs = [*model.numbers, *model.categories]
+    made = [c for c in ("score", "contributions") if c in prepared.columns]
+    keyed = prepared.drop(*made).withColumns({"_input": input_digest(inputs), "_spread": F.monotonically_increasing_id()})
+    different = materialize(keyed.groupBy("_input").agg(F.count("*").alias("_n"), *[F.first(c).alias(c) for c in inputs]), "tree-inputs")
+    n = different.count()
+    tasks = max(1, min(df.sparkSession.sparkContext.defaultParallelism, n // TASK_INPUTS), -(-n // SPREAD_ROWS))
+    staged = different.repartition(tasks, "_input").withColumn("score", model.probability())
+    found = materialize(attributed(attribution, model, staged, top_k, method).select("_input", "_n", "score", "contributions"), "tree-impacts")
+    out = attach_group_values(keyed, found, "_input", "_n", ["score", "contributions"], spread_by="_spread")
+    return out.select(*dict.fromkeys([*prepared.columns, "score", "contributions"])), attribution.base
+
+
+def input_digest(inputs: list[str]) -> Column:
+    """A digest of a row's model inputs: equal where all of them are, nulls included."""
+    return F.sha2(F.to_json(F.struct(*inputs), {"ignoreNullFields": "false"}), 256)
+
+
+def attributed(attribution: Attribution, model: TreeModel, scored: DataFrame, top_k: int, method: str) -> DataFrame:
+    """Scored rows of model inputs with their ``contributions``."""
     used = shown_features(attribution.features)
     keep = min(top_k, len(used))
     if not keep:
-        return scored.withColumn("contributions", F.array().cast(f"ARRAY<{CONTRIBUTION}>")), attribution.base
+        return scored.withColumn("contributions", F.array().cast(f"ARRAY<{CONTRIBUTION}>"))
 
     @F.pandas_udf("index array<int>, impact array<double>")
     def attribute(numbers: pd.Series, *categories: pd.Series) -> pd.DataFrame:
@@ -111,7 +136,7 @@ def tree_contributions(detector: Detector, df: DataFrame, top_k: int = 3, method
             F.element_at(labels, i + 1).alias("feature"), F.element_at(F.col("_values"), i + 1).alias("value"), impact.alias("impact")
         ),
     )
-    return staged.withColumn("contributions", _top(items, top_k)).drop("_impacts", "_values"), attribution.base
+    return staged.withColumn("contributions", _top(items, top_k)).drop("_impacts", "_values")
 
 
 def explain(df: DataFrame, score: str = "score", threshold: float = 0.5, top_k: int = 3) -> DataFrame:

@@ -1,13 +1,15 @@
 """Detectors, stacking, saving, attribution, streaming."""
 
 import random
+from functools import reduce
 
 import pytest
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cmdprism.catalog.scored import WEIGHTS
 from cmdprism.catalog.telemetry import telemetry
-from cmdprism.functions.features import build_features
+from cmdprism.functions.features import CATEGORICAL_FEATURES, NUMERIC_FEATURES, build_features
 from cmdprism.operators import explain as ex
 from cmdprism.operators import metrics, models, scoring, textmodel
 from cmdprism.session import scratch_path
@@ -132,6 +134,23 @@ def test_tree_contributions_add_up_to_the_score(events, forest, method):
     assert rows.agg(F.max(F.abs(total - margin))).first()[0] < 0.005
 
 
+@pytest.mark.parametrize("method", ["shapley", "path"])
+def test_equal_inputs_are_attributed_once(spark, events, forest, monkeypatch, method):
+    copies = reduce(DataFrame.unionByName, [events.withColumn("row_id", F.col("row_id") + k * 1_000_000) for k in range(4)])
+    different = events.select(*NUMERIC_FEATURES, *CATEGORICAL_FEATURES).distinct().count()
+    want = {r.row_id: (r.score, r.contributions) for r in ex.tree_contributions(forest, events, 3, method)[0].collect()}
+    seen, plain = spark.sparkContext.accumulator(0), ex.Attribution.impacts
+
+    def impacts(self, method, x, codes):
+        seen.add(len(x))
+        return plain(self, method, x, codes)
+
+    monkeypatch.setattr(ex.Attribution, "impacts", impacts)
+    rows = ex.tree_contributions(forest, copies, 3, method)[0].collect()
+    assert seen.value == different < events.count()
+    assert len(rows) == 4 * len(want) and all(want[r.row_id % 1_000_000] == (r.score, r.contributions) for r in rows)
+
+
 def test_linear_contributions_add_up_to_the_margin(events):
     weights, intercept = WEIGHTS["shape"]
     means = ex.feature_means(events, list(weights))

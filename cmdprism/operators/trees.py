@@ -58,21 +58,15 @@ CELLS = "job int, node int, column int, code long, g long, h long, c long"
 
 
 def fit_layout(table: DataFrame, numbers: Sequence[str], categories: Sequence[str], sizes: dict[str, int]) -> Layout:
-    """Bins of the numbers: their values, or quantiles where there are more than MAX_BINS. Two aggregates."""
+    """Bins of the numbers: their values, or quantiles where there are more than MAX_BINS. Two aggregates, and one for the quantiles if any."""
     doubles = [F.col(n).cast("double") for n in numbers]
-    share = F.lit([(i + 1) / MAX_BINS for i in range(MAX_BINS)])
-    row = table.agg(
-        *[F.approx_count_distinct(c).alias(f"n{i}") for i, c in enumerate(doubles)],
-        *[F.percentile_approx(c, share, 10_000).alias(f"q{i}") for i, c in enumerate(doubles)],
-    ).first()
+    row = table.agg(*[F.approx_count_distinct(c).alias(f"n{i}") for i, c in enumerate(doubles)]).first()
     few = [i for i in range(len(numbers)) if (row[f"n{i}"] or 0) <= MAX_BINS * 5 // 4]
     sets = table.agg(F.count("*").alias("n"), *[F.collect_set(doubles[i]).alias(f"s{i}") for i in few]).first()
-    cuts = []
-    for i in range(len(numbers)):
-        values = sets[f"s{i}"] if i in few else []
-        if not values or len(values) > MAX_BINS:
-            values = row[f"q{i}"] or [0.0]
-        cuts.append(tuple(sorted(set(values))))
+    many = [i for i in range(len(numbers)) if i not in few or not 0 < len(sets[f"s{i}"]) <= MAX_BINS]
+    share = F.lit([(i + 1) / MAX_BINS for i in range(MAX_BINS)])
+    ends = table.agg(*[F.percentile_approx(doubles[i], share, 10_000).alias(f"q{i}") for i in many]).first() if many else {}
+    cuts = [tuple(sorted(set((ends[f"q{i}"] or [0.0]) if i in many else sets[f"s{i}"]))) for i in range(len(numbers))]
     return Layout(tuple(numbers), tuple(cuts), tuple(categories), tuple(sizes[c] + 1 for c in categories))
 
 

@@ -6,8 +6,9 @@ import sys
 import unicodedata
 from functools import cache
 
+import numpy as np
 from pyspark.ml import PipelineModel
-from pyspark.ml.feature import IDF, CountVectorizer, ElementwiseProduct, Normalizer
+from pyspark.ml.feature import CountVectorizer, ElementwiseProduct, Normalizer
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -170,19 +171,25 @@ def vector_entries(vector: Column) -> Column:
     return F.filter(F.when(v["type"] == 0, sparse).otherwise(dense), lambda e: e["x"] != 0)
 
 
-def fit_vectorizer(terms: DataFrame, min_df: int = 1, max_features: int | None = None) -> PipelineModel:
+def fit_vectorizer(terms: DataFrame, min_df: int = 1, max_features: int | None = None, times: str | None = None) -> PipelineModel:
     """Terms to unit-length sparse TF-IDF vectors in ``features``, all on the JVM.
 
     A model has one weight per term, so its vocabulary is on the driver like the weights; ``min_df`` and
-    ``max_features`` bound it. The relational form has no such need.
+    ``max_features`` bound it. The relational form has no such need. ``times`` names a column with the number of equal rows that a row stands for.
     """
+    counted = terms.select("terms", (F.lit(1) if times is None else F.col(times)).cast("bigint").alias("_times"))
     size = max_features
     if size is None:
-        per_row = terms.select(F.explode_outer(F.array_distinct("terms")).alias("t")).where("t IS NOT NULL")
-        size = per_row.groupBy("t").count().where(F.col("count") >= min_df).count()
-    counter = CountVectorizer(inputCol="terms", outputCol="_tf", minDF=float(min_df), vocabSize=max(size, 1)).fit(terms)
-    smooth = IDF(inputCol="_tf", outputCol="_idf").fit(counter.transform(terms.select("terms")))
-    scale = ElementwiseProduct(
-        scalingVec=Vectors.dense(smooth.idf.toArray() + 1.0), inputCol="_tf", outputCol="_tfidf"
-    )
+        per_row = counted.select("_times", F.explode_outer(F.array_distinct("terms")).alias("t")).where("t IS NOT NULL")
+        size = per_row.groupBy("t").agg(F.sum("_times").alias("n")).where(F.col("n") >= min_df).count()
+    # Where every term is taken, equal rows need not be counted apart.
+    every = counted if times is None or min_df <= 1 and max_features is None else counted.select("terms", F.explode(F.sequence(F.lit(1), "_times")))
+    counter = CountVectorizer(inputCol="terms", outputCol="_tf", minDF=float(min_df), vocabSize=max(size, 1)).fit(every)
+    entries = counter.transform(counted).select("_times", F.explode(vector_entries(F.col("_tf"))).alias("e"))
+    held = entries.groupBy("e.pos").agg(F.sum("_times").alias("n")).toPandas()
+    n_rows = counted.agg(F.sum("_times")).first()[0] or 0
+    df = np.zeros(len(held))  # every term of the vocabulary is in some row
+    df[held["pos"].to_numpy(np.int64)] = held["n"].to_numpy(np.float64)
+    idf = np.log((n_rows + 1.0) / (df + 1.0)) + 1.0
+    scale = ElementwiseProduct(scalingVec=Vectors.dense(idf), inputCol="_tf", outputCol="_tfidf")
     return PipelineModel([counter, scale, Normalizer(p=2.0, inputCol="_tfidf", outputCol="features")])

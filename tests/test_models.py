@@ -3,7 +3,9 @@
 import random
 from functools import reduce
 
+import numpy as np
 import pytest
+from pyspark.ml.feature import IDF
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -51,6 +53,25 @@ def test_text_model(events, text):
     assert "findstr" in text.feature_names and "cmd exe" in text.feature_names
 
 
+def test_equal_texts_are_one_row_of_the_regression(spark, events, monkeypatch):
+    few = events.where("CommandLine IS NULL OR CommandLine NOT LIKE 'powershell%'").select("row_id", "CommandLine", "_label")
+    merged = few.select("CommandLine", "_label").distinct().count()
+    read, plain = [], models.LogisticRegression.fit
+    monkeypatch.setattr(models.LogisticRegression, "fit", lambda self, df: (read.append(df.count()), plain(self, df))[1])
+    model = models.train_text_lr(few)
+    models.train_embedding_lr(few, lambda: lambda texts: [[float(len(t))] for t in texts], max_iter=5)
+    assert read == [merged, merged] and merged < few.count()
+    # The same regression over all rows one by one, with Spark's own document frequencies.
+    weighted = models.with_class_weight(few)
+    rows = model.pipeline.stages[0].transform(textmodel.with_terms(weighted))
+    idf = IDF(inputCol="_tf", outputCol="_idf").fit(rows).idf.toArray() + 1.0
+    assert np.allclose(idf, model.pipeline.stages[1].getScalingVec().toArray(), rtol=1e-12)
+    vectors = model.pipeline.stages[2].transform(model.pipeline.stages[1].transform(rows))
+    lone = plain(models.logistic_regression(models.TEXT_C, few.count()), vectors)
+    assert np.allclose(lone.coefficients.toArray(), model.pipeline.stages[3].coefficients.toArray(), atol=0.02)
+    assert textmodel.fit_vectorizer(rows.select("terms", F.lit(2).alias("n")), min_df=2, times="n").stages[0].vocabulary
+
+
 def test_embedding_model_with_an_injected_encoder(events):
     def make_encoder():
         return lambda texts: [[float(len(t)), float(sum(c.isdigit() for c in t))] for t in texts]

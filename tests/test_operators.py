@@ -499,3 +499,15 @@ def test_digest_keys_follow_the_digests(spark):
     rows = df.select("d", prefix.digest_key(F.col("d")).alias("k")).orderBy("d").collect()
     keys = [r.k for r in rows]
     assert keys == sorted(keys) and len(set(keys)) == 500
+
+
+def test_an_exported_corpus_is_packed_whole(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(corpus, "FILE_RECORDS", 2)
+    df = spark.range(7).select(F.col("id").alias("row_id"), F.lit("cmd.exe /c whoami").alias("CommandLine"), (F.col("id") % 2).cast("int").alias("_label"))
+    splits = df.select("row_id", F.when(F.col("row_id") < 5, "train").otherwise("test").alias("split"))
+    assert corpus.export_corpus(df, splits, f"{tmp_path}/out") == {"train": 5, "test": 2}
+    files = [f.name for f in tmp_path.glob("out/split=train/part-*")]
+    assert len(files) >= 3 and all(f.endswith(".json.gz") for f in files)
+    saved = spark.read.json(f"{tmp_path}/out")
+    want = corpus.instruction_records(df.join(splits, "row_id"), F.col("split")).select("row_id", "split", "formatted_prompt", "formatted_response")
+    assert sorted(saved.select(*want.columns).collect()) == sorted(want.collect()) and saved.count() == 7

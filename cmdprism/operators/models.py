@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 from itertools import product
+from typing import TYPE_CHECKING
 
 import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
@@ -25,12 +26,15 @@ from cmdprism.operators import trees
 from cmdprism.operators.growth import Layout, TreeParams
 from cmdprism.operators.scoring import Provider, stack_probabilities
 from cmdprism.operators.splits import stratified_kfold
-from cmdprism.operators.textmodel import fit_vectorizer, with_terms
+from cmdprism.operators.textmodel import fit_vectorizer, vocabulary_size, with_terms
 from cmdprism.plans.prefix import rank_in_order
 from cmdprism.plans.skew import attach_group_values
 from cmdprism.session import COMMAND, LABEL, ROW_ID
 from cmdprism.sources.tables import materialize
 
+if TYPE_CHECKING:
+    from cmdprism.operators.sparse_lr import TextWeights
+
 # Default training parameters.
 SEED = 13
 GBDT_PARAMS = {
@@ -45,6 +49,8 @@ FOREST_PARAMS = {"n_estimators": 400, "max_depth": None, "num_leaves": None, "na
 TEXT_C = 2.0
 ENSEMBLE_C = 4.0
 MAX_ITER = 500
+#: The table form ends when a round takes less than this share of the first loss off it; MLlib's ends when ten take less than 1e-6.
+SETTLED = 1e-7
 #: Megabytes of rows that the solver takes at a time; for each block it makes a vector as long as all weights.
 BLOCK_MB = 64.0
 TUNING_GRIDS = {
@@ -66,6 +72,8 @@ class Detector:
     feature_names: list[str] = field(default_factory=list)
     encoder: Callable | None = None
     trees: trees.TreeModel | None = None
+    #: Vocabulary and weights of a text model that are too many for the driver, as ``sparse_lr.TextWeights``.
+    weights: TextWeights | None = None
 
     def prepare(self, df: DataFrame) -> DataFrame:
         if self.kind == "tree":
@@ -83,6 +91,8 @@ class Detector:
         out = out or f"prob_{self.name}"
         if self.kind == "tree":
             return self.prepare(df).withColumn(out, self.trees.probability()).select(*df.columns, out)
+        if self.weights is not None:
+            return self.weights.score(df, out)
         scored = self.pipeline.transform(self.prepare(df))
         return scored.withColumn(out, vector_to_array("probability")[1]).select(*df.columns, out)
 
@@ -215,11 +225,18 @@ def equal_texts(weighted: DataFrame, text: str = COMMAND) -> DataFrame:
 def train_text_lr(
     train: DataFrame, min_df: int = 1, max_features: int | None = None, c: float = TEXT_C, max_iter: int = MAX_ITER
 ) -> Detector:
+    """A vocabulary that the driver can hold makes a pipeline of MLlib's, a larger one the table form with the same loss."""
     weighted, n = _labeled(train)
     terms = with_terms(equal_texts(weighted)).select("terms", LABEL, "weight", "n")
-    vectorizer = fit_vectorizer(terms, min_df, max_features, times="n")
-    model = logistic_regression(c, n, max_iter).fit(vectorizer.transform(terms))
     config = {"C": c, "min_df": min_df, "max_features": max_features, "ngram_range": [1, 2], "strip_accents": True}
+    size = vocabulary_size(terms, min_df, max_features, times="n")
+    if size is None:
+        from cmdprism.operators.sparse_lr import train_text_table
+
+        weights = train_text_table(train, min_df, c, max_iter, max_features=max_features, tolerance=0.0, settled=SETTLED)
+        return Detector("text", "tfidf", None, config, weights=weights)
+    vectorizer = fit_vectorizer(terms, min_df, max_features, times="n", size=size)
+    model = logistic_regression(c, n, max_iter).fit(vectorizer.transform(terms))
     return Detector("text", "tfidf", PipelineModel([*vectorizer.stages, model]), config, vectorizer.stages[0].vocabulary)
 
 
@@ -324,12 +341,15 @@ def default_providers(available: dict[str, Detector]) -> list[Detector]:
 
 
 def save_detector(spark: SparkSession, detector: Detector, path: str) -> None:
-    """Model, configuration and feature list under one prefix."""
+    """Model, configuration and feature list under one prefix; a text model in table form has its terms beside their weights."""
     config = dict(detector.config)
     if detector.kind == "tree":
         model = detector.trees
         model.table(spark).write.mode("overwrite").parquet(f"{path}/nodes")
         config["model"] = {"numbers": model.numbers, "categories": model.categories, "base": model.base, "forest": model.forest}
+    elif detector.weights is not None:
+        detector.weights.vocabulary.write.mode("overwrite").parquet(f"{path}/weights")
+        config["intercept"] = detector.weights.intercept
     else:
         detector.pipeline.write().overwrite().save(f"{path}/model")
     row = [(detector.name, detector.kind, json.dumps(config), detector.feature_names)]
@@ -344,6 +364,11 @@ def load_detector(spark: SparkSession, path: str, encoder: Callable | None = Non
         nodes = spark.read.parquet(f"{path}/nodes").toPandas()
         model = trees.TreeModel(**config.pop("model"), nodes=nodes.sort_values(["tree", "node"], ignore_index=True))
         return Detector(row["name"], row["kind"], None, config, list(row["feature_names"]), trees=model)
+    if "intercept" in config:
+        from cmdprism.operators.sparse_lr import TextWeights
+
+        weights = TextWeights(spark.read.parquet(f"{path}/weights"), config.pop("intercept"), config.get("strip_accents", True))
+        return Detector(row["name"], row["kind"], None, config, list(row["feature_names"]), weights=weights)
     pipeline = PipelineModel.load(f"{path}/model")
     return Detector(row["name"], row["kind"], pipeline, config, list(row["feature_names"]), encoder)
 

@@ -4,21 +4,28 @@ from __future__ import annotations
 
 import sys
 import unicodedata
+from dataclasses import dataclass
 from functools import cache
 
 import numpy as np
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import CountVectorizer, ElementwiseProduct, Normalizer
-from pyspark.ml.linalg import Vectors
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.ml.linalg import Vectors, VectorUDT
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from cmdprism.functions.text import WORD_CHAR, text_or_empty
+from cmdprism.plans.prefix import rank_in_order
 from cmdprism.plans.skew import attach_group_values
-from cmdprism.session import COMMAND, ROW_ID
+from cmdprism.session import COMMAND, ROW_ID, scratch_path
+from cmdprism.sources.tables import materialize
 
 # Fixed value: a term is a run of two or more word characters.
 TOKEN_PATTERN = f"[{WORD_CHAR}]{{2,}}"
+#: Terms of a vocabulary that the driver holds, and bytes of their texts; a larger vocabulary is a table.
+DRIVER_TERMS = 1 << 18
+DRIVER_BYTES = 16 << 20
 
 
 @cache
@@ -138,20 +145,22 @@ def fit_tfidf(counts: DataFrame, n_rows: int, min_df: int = 1, max_features: int
     return vocabulary.withColumn("idf", idf)
 
 
-def weigh_terms(counts: DataFrame, vocabulary: DataFrame, row_id: str = ROW_ID) -> DataFrame:
-    """(row, term, tf, weight) before rows are scaled. Frequent terms do not skew the join.
+def weigh_terms(
+    counts: DataFrame, vocabulary: DataFrame, row_id: str = ROW_ID, keep: tuple[str, ...] = (), out: str = "weight"
+) -> DataFrame:
+    """(row, term, tf, weight as ``out``) and the vocabulary's columns in ``keep``, before rows are scaled. Frequent terms do not skew the join.
 
-    Both inputs are read more than once and should be written tables.
+    The vocabulary is read more than once and should be a written table.
     """
-    sized = vocabulary.select("term", "df", "idf")
-    weighted = attach_group_values(counts, sized, "term", "df", ["idf"], spread_by=row_id)
-    return weighted.where(F.col("idf").isNotNull()).select(row_id, "term", "tf", (F.col("tf") * F.col("idf")).alias("weight"))
+    sized = vocabulary.select("term", "df", "idf", *keep)
+    weighted = attach_group_values(counts, sized, "term", "df", ["idf", *keep], spread_by=row_id)
+    return weighted.where(F.col("idf").isNotNull()).select(row_id, "term", "tf", (F.col("tf") * F.col("idf")).alias(out), *keep)
 
 
-def transform_tfidf(counts: DataFrame, vocabulary: DataFrame, row_id: str = ROW_ID) -> DataFrame:
-    """(row, term, tf, tfidf), each row scaled to unit length."""
+def transform_tfidf(counts: DataFrame, vocabulary: DataFrame, row_id: str = ROW_ID, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(row, term, tf, tfidf) and the vocabulary's columns in ``keep``, each row scaled to unit length."""
     norm = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy(row_id)))
-    return weigh_terms(counts, vocabulary, row_id).select(row_id, "term", "tf", (F.col("weight") / norm).alias("tfidf"))
+    return weigh_terms(counts, vocabulary, row_id, keep).select(row_id, "term", "tf", (F.col("weight") / norm).alias("tfidf"), *keep)
 
 
 def summarize_tfidf(counts: DataFrame, vocabulary: DataFrame, row_id: str = ROW_ID) -> DataFrame:
@@ -171,17 +180,74 @@ def vector_entries(vector: Column) -> Column:
     return F.filter(F.when(v["type"] == 0, sparse).otherwise(dense), lambda e: e["x"] != 0)
 
 
-def fit_vectorizer(terms: DataFrame, min_df: int = 1, max_features: int | None = None, times: str | None = None) -> PipelineModel:
+def vocabulary_size(terms: DataFrame, min_df: int = 1, max_features: int | None = None, times: str | None = None) -> int | None:
+    """Number of terms of the vocabulary, or None where the driver can't hold it."""
+    if max_features is not None and max_features <= DRIVER_TERMS:
+        return max_features
+    counted = terms.select("terms", (F.lit(1) if times is None else F.col(times)).alias("_times"))
+    per_row = counted.select("_times", F.explode_outer(F.array_distinct("terms")).alias("t")).where("t IS NOT NULL")
+    held = per_row.groupBy("t").agg(F.sum("_times").alias("n")).where(F.col("n") >= min_df)
+    n, size = held.agg(F.count("*"), F.sum(F.octet_length("t"))).first()
+    return n if n <= DRIVER_TERMS and (size or 0) <= DRIVER_BYTES else None
+
+
+@dataclass
+class TableVectorizer:
+    """Terms to unit-length sparse TF-IDF vectors where the vocabulary (term, df, idf, pos) is a written table of ``size`` rows."""
+
+    vocabulary: DataFrame
+    size: int
+
+    def transform(self, terms: DataFrame) -> DataFrame:
+        """Add ``features``. The rows are written once under numbers of their own, so no key is needed."""
+        rows = materialize(terms.withColumn("_row", F.monotonically_increasing_id()), "vector-rows")
+        weighted = weigh_terms(term_counts(rows, "_row"), self.vocabulary, "_row", ("pos",))
+        entries = F.array_sort(F.collect_list(F.struct(F.col("pos").cast("int").alias("pos"), F.col("weight").alias("x"))))
+        found = weighted.groupBy("_row").agg(entries.alias("e"), F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
+        every = rows.select("_row").join(found, "_row", "left")
+        empty = F.array().cast("array<struct<pos:int,x:double>>")
+        scaled = F.transform(F.coalesce("e", empty), lambda e: F.struct(e["pos"].alias("pos"), (e["x"] / F.col("norm")).alias("x")))
+        parts = every.select("_row", scaled.alias("e")).select(
+            "_row",
+            F.struct(F.lit(0).cast("tinyint").alias("type"), F.lit(self.size).alias("size"), F.col("e.pos").alias("indices"), F.col("e.x").alias("values")).alias("features"),
+        )
+        # The file holds the parts of a vector as Spark stores it, so it can be read as one.
+        path = scratch_path(terms.sparkSession, "vectors")
+        parts.write.parquet(path)
+        vectors = terms.sparkSession.read.schema(StructType([parts.schema["_row"], StructField("features", VectorUDT())])).parquet(path)
+        return rows.join(vectors, "_row").select(*terms.columns, "features")
+
+
+def fit_table_vectorizer(terms: DataFrame, min_df: int = 1, max_features: int | None = None, times: str | None = None) -> TableVectorizer:
+    """The vectorizer whose vocabulary is a table; terms take their places by a hash."""
+    counted = terms.select("terms", (F.lit(1) if times is None else F.col(times)).cast("bigint").alias("_times"))
+    n_rows = counted.agg(F.sum("_times")).first()[0] or 0
+    fitted = fit_tfidf(term_counts(counted, "_times"), n_rows, min_df, max_features, "_times").select("term", "df", "idf")
+    digest = F.xxhash64("term")
+    ranked = rank_in_order(fitted.withColumn("_all", F.lit(0)), ["_all"], [digest, F.col("term")], key=digest)
+    vocabulary = materialize(ranked.select("term", "df", "idf", F.col("_rank").cast("int").alias("pos")), "vocabulary")
+    return TableVectorizer(vocabulary, vocabulary.count())
+
+
+def vocabulary_table(spark: SparkSession, model: PipelineModel | TableVectorizer) -> DataFrame:
+    """(pos, term) of a vectorizer's vocabulary."""
+    if isinstance(model, TableVectorizer):
+        return model.vocabulary.select("pos", "term")
+    return spark.createDataFrame(list(enumerate(model.stages[0].vocabulary)), "pos INT, term STRING")
+
+
+def fit_vectorizer(
+    terms: DataFrame, min_df: int = 1, max_features: int | None = None, times: str | None = None, size: int | None = None
+) -> PipelineModel | TableVectorizer:
     """Terms to unit-length sparse TF-IDF vectors in ``features``, all on the JVM.
 
-    A model has one weight per term, so its vocabulary is on the driver like the weights; ``min_df`` and
-    ``max_features`` bound it. The relational form has no such need. ``times`` names a column with the number of equal rows that a row stands for.
+    A vocabulary that the driver can hold makes a pipeline of MLlib's stages, a larger one a :class:`TableVectorizer`. ``times`` names
+    a column with the number of equal rows that a row stands for; ``size`` is what :func:`vocabulary_size` gives, where it is known.
     """
-    counted = terms.select("terms", (F.lit(1) if times is None else F.col(times)).cast("bigint").alias("_times"))
-    size = max_features
+    size = vocabulary_size(terms, min_df, max_features, times) if size is None else size
     if size is None:
-        per_row = counted.select("_times", F.explode_outer(F.array_distinct("terms")).alias("t")).where("t IS NOT NULL")
-        size = per_row.groupBy("t").agg(F.sum("_times").alias("n")).where(F.col("n") >= min_df).count()
+        return fit_table_vectorizer(terms, min_df, max_features, times)
+    counted = terms.select("terms", (F.lit(1) if times is None else F.col(times)).cast("bigint").alias("_times"))
     # Where every term is taken, equal rows need not be counted apart.
     every = counted if times is None or min_df <= 1 and max_features is None else counted.select("terms", F.explode(F.sequence(F.lit(1), "_times")))
     counter = CountVectorizer(inputCol="terms", outputCol="_tf", minDF=float(min_df), vocabSize=max(size, 1)).fit(every)

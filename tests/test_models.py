@@ -335,3 +335,35 @@ def test_rows_of_weights_are_summed_alike(spark):
     plain = textmodel.transform_tfidf(counts, vocabulary).groupBy("row_id").agg(F.count("*").alias("n"), F.sum("tfidf").alias("s"), F.max("tfidf").alias("m"))
     want = {r.row_id: (r.n, pytest.approx(r.s), pytest.approx(r.m)) for r in plain.collect()}
     assert {r.row_id: (r.n_terms, r.total, r.top) for r in textmodel.summarize_tfidf(counts, vocabulary).collect()} == want and set(want) == {1, 2, 5}
+
+
+@pytest.fixture(scope="module")
+def large_text(events):
+    """A text model whose vocabulary is more than the driver may hold."""
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(textmodel, "DRIVER_TERMS", 10)
+        return models.train_text_lr(events.where("row_id < 120"))
+
+
+def test_a_vocabulary_too_large_for_the_driver_is_a_table(spark, events, large_text):
+    assert large_text.pipeline is None and large_text.feature_names == []
+    assert large_text.weights.vocabulary.count() > 10
+    vector = models.train_text_lr(events.where("row_id < 120"))
+    assert vector.pipeline is not None
+    # Rows that come twice, without a text or without a key are scored like any others.
+    odd = events.select("row_id", "CommandLine", "_label").where("row_id < 200")
+    odd = odd.unionByName(odd.limit(3)).unionByName(spark.createDataFrame([(None, None, 1), (None, "", 0)], "row_id BIGINT, CommandLine STRING, _label INT"))
+    both = vector.score(large_text.score(odd, "prob_table")).select(F.abs(F.col("prob_table") - F.col("prob_text")).alias("d"))
+    assert both.agg(F.count("d"), F.max("d")).first()[0] == odd.count() and both.agg(F.max("d")).first()[0] < 5e-3
+
+
+def test_a_large_text_model_is_saved_and_stacked(spark, events, forest, large_text):
+    path = scratch_path(spark, "large-text")
+    models.save_detector(spark, large_text, path)
+    (provider,) = models.providers_from_metadata(spark, [{"name": "again", "type": "tfidf", "path": path}])
+    few = events.where("row_id < 200")
+    both = provider[1](large_text.score(few))
+    assert both.count() == few.count() and both.where(F.abs(F.col("prob_again") - F.col("prob_text")) > 1e-12).count() == 0
+    pair = [d.provider() for d in models.default_providers({"rf": forest, "text": large_text})]
+    model, _ = models.train_stacked_ensemble(few, pair, max_iter=5)
+    assert auc(models.score_ensemble(few, model, pair), "prob_ensemble") > GOOD_AUC

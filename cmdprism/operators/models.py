@@ -315,7 +315,7 @@ def train_stacked_ensemble(
     """Regression over the providers' probabilities; returns the model and its input columns."""
     weighted, n = _labeled(train)
     columns = [f"prob_{name}" for name, _ in providers]
-    stacked = stack_probabilities(weighted, providers).select(*columns, LABEL, "weight")
+    stacked = materialize(stack_probabilities(weighted, providers).select(*columns, LABEL, "weight"), "stacked")
     assembler = VectorAssembler(inputCols=columns, outputCol="features")
     model = Pipeline(stages=[assembler, logistic_regression(c, n, max_iter)]).fit(stacked)
     return model, columns

@@ -367,3 +367,18 @@ def test_a_large_text_model_is_saved_and_stacked(spark, events, forest, large_te
     pair = [d.provider() for d in models.default_providers({"rf": forest, "text": large_text})]
     model, _ = models.train_stacked_ensemble(few, pair, max_iter=5)
     assert auc(models.score_ensemble(few, model, pair), "prob_ensemble") > GOOD_AUC
+
+
+def test_providers_of_an_ensemble_are_scored_once(spark, events, text):
+    """The regression's rounds read what the providers gave, not the providers."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def watch(p):
+        seen.add(1)
+        return p
+
+    name, score = text.provider()
+    few = events.where("row_id < 100")
+    models.train_stacked_ensemble(few, [(name, lambda df: score(df).withColumn("prob_text", watch("prob_text")))], max_iter=5)
+    assert seen.value == few.count()

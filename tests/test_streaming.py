@@ -55,3 +55,17 @@ def test_one_loader_serves_all_batches(spark, events, tmp_path):
     current = st.CurrentDetectors(path)
     version, detectors = current.get(spark)
     assert version == 1 and current.get(spark)[1] is detectors
+
+
+def test_a_text_model_in_table_form_is_published(spark, events, tmp_path, monkeypatch):
+    from cmdprism.operators import textmodel
+
+    monkeypatch.setattr(textmodel, "DRIVER_TERMS", 10)
+    few = events.where("row_id < 60")
+    detector = models.train_text_lr(few, max_iter=3)
+    st.publish_detectors(spark, [detector], f"{tmp_path}/models", 1)
+    raw = few.select("row_id", "CommandLine", "SourceImage", "_label")
+    st.score_batch_into(raw, 0, st.CurrentDetectors(f"{tmp_path}/models"), f"{tmp_path}/out")
+    want = {r["row_id"]: r["prob_text"] for r in detector.score(few).collect()}
+    got = rows_of(spark, f"{tmp_path}/out")
+    assert detector.weights is not None and len(got) == len(want) and all(abs(want[i] - p) < 1e-12 for i, _, p, _ in got)
